@@ -203,7 +203,7 @@ SELECT *, CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall /
 FROM (SELECT question_id, k, n_expected, n_hits, (n_hits > 0)::INTEGER AS hit, n_hits / k AS precision,
   CASE WHEN n_expected > 0 THEN n_hits / n_expected ELSE 0 END AS recall,
   CASE WHEN first_rank <= k THEN 1 / first_rank ELSE 0 END AS rr,
-  CASE WHEN n_expected > 0 THEN ap_sum / least(n_expected, k) ELSE 0 END AS ap,
-  CASE WHEN n_expected > 0 THEN dcg / list_sum(list_transform(range(1, least(n_expected, k) + 1),
-    lambda r: 1 / log2(r + 1))) ELSE 0 END AS ndcg FROM counted)"""
+  round(CASE WHEN n_expected > 0 THEN ap_sum / least(n_expected, k) ELSE 0 END, 12) AS ap,
+  round(CASE WHEN n_expected > 0 THEN dcg / list_sum(list_transform(range(1, least(n_expected, k) + 1),
+    lambda r: 1 / log2(r + 1))) ELSE 0 END, 12) AS ndcg FROM counted)"""
 METRICS = ["purchases", "asked", "ranking", "returned", "hits", "numbered", "expected", "counted", "metrics"]

@@ -42,6 +42,11 @@ def f1(precision: Column, recall: Column) -> Column:
     return F.when(precision + recall == 0, 0.0).otherwise(2 * precision * recall / (precision + recall))
 
 
+def stable(value: Column) -> Column:
+    """Sums of floats depend on their order in the last digits; thresholds must not."""
+    return F.round(value, 12)
+
+
 def question_metrics(questions: DataFrame, ranked: DataFrame, gold: DataFrame, ks: list[int]) -> DataFrame:
     """One row per question and k with all rank metrics; questions without gold or candidates score 0."""
     ks = sorted(set(ks))
@@ -50,22 +55,22 @@ def question_metrics(questions: DataFrame, ranked: DataFrame, gold: DataFrame, k
     hits = gold_hits(ranked, gold, ks[-1])
     rank, hit_no = F.col("rank"), F.col("hit_no")
 
+    # gains come from a table of constants: the JVM's log2 is not exact at powers of two
+    gains = [1 / log2(position + 1) for position in range(1, ks[-1] + 1)]
+    gain = F.get(F.lit(gains), rank - 1)
+
     def upto(k: int, value: Column) -> Column:
         return F.coalesce(F.sum(F.when(rank <= k, value)), F.lit(0.0))
 
     sums = [F.min("rank").alias("first_rank")]
     for k in ks:
         sums += [F.count_if(rank <= k).alias(f"n_{k}"), upto(k, hit_no / rank).alias(f"ap_{k}"),
-                 upto(k, 1 / F.log2(rank + 1)).alias(f"dcg_{k}")]
+                 upto(k, gain).alias(f"dcg_{k}")]
     per_question = (questions.select("question_id")
                     .join(expected_counts(gold), "question_id", "left")
                     .join(hits.groupBy("question_id").agg(*sums), "question_id", "left")
                     .withColumn("n_expected", F.coalesce("n_expected", F.lit(0))))
-    ideal, total = [0.0], 0.0
-    for position in range(1, ks[-1] + 1):
-        total += 1 / log2(position + 1)
-        ideal.append(total)
-    ideal_gain = F.lit(ideal)
+    ideal_gain = F.lit([sum(gains[:n]) for n in range(ks[-1] + 1)])
     rows = []
     for k in ks:
         n_hits = F.coalesce(F.col(f"n_{k}"), F.lit(0))
@@ -78,9 +83,9 @@ def question_metrics(questions: DataFrame, ranked: DataFrame, gold: DataFrame, k
             (n_hits > 0).cast("int").alias("hit"), precision.alias("precision"), recall.alias("recall"),
             f1(precision, recall).alias("f1"),
             F.when(F.col("first_rank") <= k, 1 / F.col("first_rank")).otherwise(0.0).alias("rr"),
-            F.when(has_gold, F.coalesce(F.col(f"ap_{k}"), F.lit(0.0)) / best).otherwise(0.0).alias("ap"),
-            F.when(has_gold, F.coalesce(F.col(f"dcg_{k}"), F.lit(0.0))
-                   / F.get(ideal_gain, best.cast("int"))).otherwise(0.0).alias("ndcg"),
+            stable(F.when(has_gold, F.coalesce(F.col(f"ap_{k}"), F.lit(0.0)) / best).otherwise(0.0)).alias("ap"),
+            stable(F.when(has_gold, F.coalesce(F.col(f"dcg_{k}"), F.lit(0.0))
+                   / F.get(ideal_gain, best.cast("int"))).otherwise(0.0)).alias("ndcg"),
         ))
     return per_question.select(
         "question_id", "n_expected", F.explode(F.array(*rows)).alias("m")).select(

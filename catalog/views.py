@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone import model
+from lodestone.sources.files import spread
 
 SOURCE_LIST = ", ".join(f"'{s}'" for s in model.ALLOWED_SOURCES)
 KS = [1, 5, 10, 20]
@@ -20,7 +21,8 @@ def ctes(*names: str) -> str:
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    scan = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(scan) if name in ("documents", "pages") else scan
 
 
 def source_of(number) -> F.Column:
@@ -75,7 +77,7 @@ def passage_gold(spark: SparkSession, sf: str) -> DataFrame:
         F.array_join(F.slice(words(F.col("text")), 1, 8), " ").alias("run"))
     runs = table(spark, sf, "documents").select(
         F.col("doc_id").cast("string").alias("item_id"), words(F.col("text")).alias("w")).filter(
-        F.size("w") >= 8).select("item_id", F.explode(F.transform(
+        F.size("w") >= 8).select("item_id", F.explode_outer(F.transform(
             F.sequence(F.lit(1), F.size("w") - 7),
             lambda i: F.array_join(F.slice(F.col("w"), i, 8), " "))).alias("run"))
     return runs.join(keys, "run").select("question_id", "item_id").distinct()

@@ -7,19 +7,25 @@ from pyspark.sql import functions as F
 
 from lodestone import model
 
-_EDGE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
+# The characters that count as white space at the ends of a text.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 _LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
 
 def strip(text: Column) -> Column:
     """Remove white space of any script from both ends."""
-    return F.regexp_replace(text, _EDGE, "")
+    return F.trim(text, F.lit(WHITE_SPACE))
 
 
 def clean_text(text: Column) -> Column:
     """Null to empty, one kind of line break, single blanks, at most three line breaks, stripped."""
-    unified = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"\r\n?", "\n")
-    blanks = F.regexp_replace(F.translate(unified, "　", " "), r"[ \t]+", " ")
+    unified = F.coalesce(text.cast("string"), F.lit(""))
+    for old, new in (("\r\n", "\n"), ("\r", "\n"), ("\u3000", " ")):
+        unified = F.replace(unified, F.lit(old), F.lit(new))
+    blanks = F.regexp_replace(unified, r"[ \t]+", " ")
     return strip(F.regexp_replace(blanks, r"\n{4,}", "\n\n\n"))
 
 
@@ -30,12 +36,11 @@ def normalize_list(value: Column, is_array: bool = True) -> Column:
     return F.coalesce(F.filter(texts, lambda item: item.isNotNull()), F.array().cast("array<string>"))
 
 
-def document_text(title: Column, source_type: Column, content: Column) -> Column:
+def document_text(title: Column, source_type: Column, content: Column, cleaned: bool = False) -> Column:
     """The text that is chunked: a two-line header, a blank line, the content."""
-    return strip(F.concat(
-        F.lit("Title: "), clean_text(title), F.lit("\nSource type: "), clean_text(source_type),
-        F.lit("\n\n"), clean_text(content),
-    ))
+    if not cleaned:
+        title, source_type, content = clean_text(title), clean_text(source_type), clean_text(content)
+    return strip(F.concat(F.lit("Title: "), title, F.lit("\nSource type: "), source_type, F.lit("\n\n"), content))
 
 
 def mentions(text: Column, words: str | None, free_text: str | None = None, labels: str | None = None) -> Column:
@@ -50,20 +55,39 @@ def mentions(text: Column, words: str | None, free_text: str | None = None, labe
     return text.rlike("(?iU)" + "|".join(parts))
 
 
-def semantic_type(source_type: Column, title: Column, content: Column) -> Column:
-    """Coarse type of a document: by source where that decides, else by the words it holds."""
-    source = F.lower(clean_text(source_type))
-    text = F.concat(clean_text(title), F.lit("\n"), clean_text(content))
+def semantic_type(source_type: Column, title: Column, content: Column, cleaned: bool = False) -> Column:
+    """Coarse type of a document: by source where that decides, else by the words it holds.
+
+    Matching whole words in any script is slow, so a pattern runs only on texts that hold one of its words
+    as a plain substring.
+    """
+    if not cleaned:
+        source_type, title, content = clean_text(source_type), clean_text(title), clean_text(content)
+    source = F.lower(source_type)
     by_source = F.lit(None).cast("string")
     for name, kind in model.SOURCE_TO_SEMANTIC_TYPE.items():
         by_source = F.when(source == name, kind).otherwise(by_source)
-    by_words = F.lit("generic_doc")
-    for kind, words, free_text in reversed(model.DOCUMENT_TYPE_WORDS):
-        found = mentions(text, words, free_text, model.DOCUMENT_TYPE_LABELS.get(kind))
-        by_words = F.when(found, kind).otherwise(by_words)
-    is_issue = ~mentions(text, model.CODE_CHANGE_WORDS) & mentions(text, model.ISSUE_WORDS)
-    on_github = F.when(is_issue, "issue_ticket").otherwise("code_change")
-    return F.coalesce(by_source, F.when(source == "github", on_github), by_words)
+
+    def judge(text: Column, lowered: Column) -> Column:
+        def holds(words: str, free_text: str | None = None, labels: str | None = None) -> Column:
+            plain = words.split("|") + (free_text.split("|") if free_text else []) + (
+                [f"{label}:" for label in labels.split("|")] if labels else [])
+            return contains_any(lowered, plain, is_lower=True) & mentions(text, words, free_text, labels)
+
+        by_words = F.lit("generic_doc")
+        for kind, words, free_text in reversed(model.DOCUMENT_TYPE_WORDS):
+            found = holds(words, free_text, model.DOCUMENT_TYPE_LABELS.get(kind))
+            by_words = F.when(found, kind).otherwise(by_words)
+        is_issue = ~holds(model.CODE_CHANGE_WORDS) & holds(model.ISSUE_WORDS)
+        on_github = F.when(is_issue, "issue_ticket").otherwise("code_change")
+        return F.when(source == "github", on_github).otherwise(by_words)
+
+    body = F.concat(title, F.lit("\n"), content)
+    # the two letters that lower-case to themselves but match s and i when case is ignored
+    lowered = F.regexp_replace(F.regexp_replace(F.lower(body), "ſ", "s"), "ı", "i")
+    # an array of one, so that both forms of the text are computed once for all patterns
+    forms = F.array(F.struct(body.alias("text"), lowered.alias("lowered")))
+    return F.coalesce(by_source, F.get(F.transform(forms, lambda f: judge(f["text"], f["lowered"])), F.lit(0)))
 
 
 def lines(text: Column) -> Column:
@@ -117,9 +141,9 @@ def profile_slug(name: Column, parent_size: Column, parent_overlap: Column,
     return F.when(safe != "", slug).otherwise(F.raise_error(message).cast("string"))
 
 
-def contains_any(text: Column, phrases: list[str]) -> Column:
+def contains_any(text: Column, phrases: list[str], is_lower: bool = False) -> Column:
     """True where the lower-cased text holds any of the phrases."""
-    lowered = F.lower(text)
+    lowered = text if is_lower else F.lower(text)
     found = F.lit(False)
     for phrase in phrases:
         found = found | lowered.contains(phrase)

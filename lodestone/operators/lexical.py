@@ -56,7 +56,9 @@ def bm25_index(items: DataFrame, mode: str = "child", terms: DataFrame | None =
     stats = lengths.agg(
         F.count("*").alias("n_docs"),
         (F.sum("doc_len") / F.greatest(F.count("*"), F.lit(1))).alias("avgdl"))
-    tokens = tokenized.select("item_id", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("term"))
+    # the outer form keeps Spark from inferring a filter on the array, which would tokenize twice
+    tokens = tokenized.select("item_id", F.size("tokens").alias("doc_len"),
+                              F.explode_outer("tokens").alias("term")).filter("term IS NOT NULL")
     if terms is not None:
         tokens = tokens.join(terms.select("term").distinct(), "term", "left_semi").repartition("item_id")
     postings = tokens.groupBy("item_id", "doc_len", "term").agg(F.count("*").alias("tf"))

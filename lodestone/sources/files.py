@@ -13,11 +13,21 @@ FILE_CAP = 20 * 1024 * 1024
 BATCH_CAP = 200 * 1024 * 1024
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Give every core work where a fresh scan has fewer partitions than the session has cores.
+
+    For files of few row groups; a large scan has more partitions than cores and stays as it is.  Only for
+    plain scans: asking a plan with shuffles for its partitions would run them.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def scan_documents(spark: SparkSession, path: str, names: dict[str, str] | None = None) -> DataFrame:
     """The four document columns and no others; ``names`` maps them to other column names."""
     names = names or {}
     columns = [F.col(names.get(c, c)).cast("string").alias(c) for c in ("doc_id", "source_type", "title", "content")]
-    return spark.read.parquet(path).select(*columns)
+    return spread(spark.read.parquet(path).select(*columns))
 
 
 def normalize_questions(raw: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.session import guard_unions
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 GROUPS = ["sources", "text", "chunks", "retrieval", "rules", "graph", "metrics", "memory", "streams"]
@@ -17,7 +19,12 @@ def query(name: str, sql: str | None = None):
     def register(build: Callable[[SparkSession, str], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query registered twice: {name}")
-        QUERIES[name] = build
+
+        def guarded(spark: SparkSession, sf: str) -> DataFrame:
+            guard_unions(spark)
+            return build(spark, sf)
+
+        QUERIES[name] = guarded
         if sql is not None:
             ORACLES[name] = sql.strip()
         return build

@@ -170,7 +170,7 @@ def decisions(spark, sf):
         i.cast("string").alias("query_id"), F.when(i % 3 == 0, "hard").when(i % 3 == 1, "soft").otherwise("none").alias("mode"),
         F.array(V.source_of(i), V.source_of(i + 1)).alias("source_types"), F.array(F.lit("generic_doc"), F.lit("issue_ticket"), F.lit("chat_thread")).alias("doc_semantic_types"),
         F.when(i % 2 == 0, F.array(first_word)).otherwise(none).alias("title_keywords"), F.array(F.lit("")).alias("section_keywords"),
-        F.array(V.source_of(i + 2)).alias("source_hints"))
+        F.array(V.source_of(i + 2)).alias("source_hints"), F.lit("by rule").alias("reason"))
 
 
 def attributes(spark, sf):
@@ -446,9 +446,9 @@ def d23_memories(spark, sf):
 
 @query("d24_merge_sources", V.ctes(*V.BM25) + """,
 web AS (SELECT (page_id % 40)::VARCHAR AS query_id, row_number() OVER (PARTITION BY page_id % 40 ORDER BY page_id) AS rank, CASE WHEN page_id % 5 = 0 THEN '' ELSE url END AS url, CASE WHEN page_id % 3 = 0 THEN '' ELSE 'T' || page_id END AS title FROM pages),
-both AS (SELECT query_id, 0 AS b, rank, item_id AS source_id, 'doc ' || item_id AS title, 'kb' AS source_type FROM bm25 UNION ALL
+joined AS (SELECT query_id, 0 AS b, rank, item_id AS source_id, 'doc ' || item_id AS title, 'kb' AS source_type FROM bm25 UNION ALL
   SELECT query_id, 1, rank, 'web:' || coalesce(nullif(url, ''), nullif(title, ''), 'result'), coalesce(nullif(title, ''), nullif(url, ''), 'Web reference'), 'web_reference' FROM web)
-SELECT query_id, source_id, title, source_type, row_number() OVER (PARTITION BY query_id ORDER BY b, rank, source_id)::INTEGER AS position FROM both""")
+SELECT query_id, source_id, title, source_type, row_number() OVER (PARTITION BY query_id ORDER BY b, rank, source_id)::INTEGER AS position FROM joined""")
 def d24(spark, sf):
     p = F.col("page_id")
     web = V.table(spark, sf, "pages").select(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone import model
 from lodestone.operators.ranking import with_rank
+from lodestone.session import stack
 
 
 def collapse_to_parent(ranked: DataFrame, rerank: bool = True) -> DataFrame:
@@ -26,7 +27,7 @@ def collapse_to_parent(ranked: DataFrame, rerank: bool = True) -> DataFrame:
 
 def _union(lists: dict[str, DataFrame], columns: list[str]) -> DataFrame:
     marked = [rows.select(*columns).withColumn("channel", F.lit(name)) for name, rows in lists.items()]
-    return reduce(DataFrame.unionByName, marked)
+    return reduce(stack, marked)
 
 
 def rrf_fuse(lists: dict[str, DataFrame], k: int = model.RRF_K) -> DataFrame:
@@ -80,7 +81,7 @@ def rrf_fuse_graph(children: DataFrame, graph: DataFrame, k: int = model.RRF_K)
         none.cast("int").alias("bm25_rank"), none.cast("double").alias("bm25_score"),
         F.lit(0.0).alias("fused_score"), F.lit(True).alias("_from_graph"),
         F.col("rank").cast("int").alias("graph_rank"), F.col("score").alias("graph_score"), evidence.alias("evidence_ids"))
-    both = left.unionByName(right)
+    both = left.transform(stack, right)
     # one parent of one query: its few children and at most one hit
     parent = Window.partitionBy("query_id", "_key")
     best_rank = F.least(F.coalesce("vector_rank", F.lit(2**31 - 1)), F.coalesce("bm25_rank", F.lit(2**31 - 1)))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lodestone import model
 from lodestone.functions.tokens import tokenize
 from lodestone.operators.ranking import keep_top
+from lodestone.session import stack
 
 
 @dataclass(frozen=True)
@@ -128,5 +129,5 @@ def bm25_multifield(questions: DataFrame, rows: DataFrame, k: int, boosts: dict[
         per_field.append(values.join(weighted, "term").select("query_id", "item_id", "score"))
     union = per_field[0]
     for scored in per_field[1:]:
-        union = union.unionByName(scored)
+        union = union.transform(stack, scored)
     return keep_top(union.groupBy("query_id", "item_id").agg(F.max("score").alias("score")), k)

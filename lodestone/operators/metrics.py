@@ -11,6 +11,7 @@ from math import log2
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from lodestone.session import stack
 
 METRICS = ["hit", "precision", "recall", "f1", "rr", "ap", "ndcg"]
 
@@ -144,7 +145,7 @@ def chunk_level_metrics(questions: DataFrame, ranked_chunks: DataFrame, gold_doc
         return question_metrics(questions, ranked, gold, ks).select(
             F.lit(name).alias("level"), "question_id", "k", "hit", "precision", "recall")
 
-    return level("chunk", "chunk_id", gold_chunks).unionByName(level("doc", "doc_id", gold_docs))
+    return level("chunk", "chunk_id", gold_chunks).transform(stack, level("doc", "doc_id", gold_docs))
 
 
 def first_per_item(ranked: DataFrame) -> DataFrame:

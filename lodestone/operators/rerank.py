@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.ranking import with_rank
+from lodestone.session import stack
 
 MAX_CHARS = 4000
 
@@ -49,8 +50,8 @@ def coverage_order(ranked: DataFrame, documents: DataFrame, reranked: DataFrame)
     heads = documents.join(reranked.select("query_id"), "query_id", "left_semi")
     siblings = chunks.filter("parent_doc_id <> ''").join(
         heads.select("query_id", "parent_doc_id"), ["query_id", "parent_doc_id"], "left_semi")
-    phased = heads.filter("item_id <> ''").select("query_id", "item_id", F.struct(F.lit(0).alias("p"), "rank").alias("place")).unionByName(
+    phased = heads.filter("item_id <> ''").select("query_id", "item_id", F.struct(F.lit(0).alias("p"), "rank").alias("place")).transform(stack, 
         siblings.select("query_id", "item_id", F.struct(F.lit(1).alias("p"), "rank").alias("place")))
     once = phased.groupBy("query_id", "item_id").agg(F.min("place").alias("place"))
     ordered = with_rank(once, [F.col("place"), F.col("item_id")]).select("query_id", "item_id", "rank")
-    return plain.unionByName(ordered)
+    return plain.transform(stack, ordered)

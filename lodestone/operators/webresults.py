@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import strip
 from lodestone.operators.ranking import with_rank
+from lodestone.session import stack
 
 
 def _first_of(df: DataFrame, names: list[str]) -> Column:
@@ -39,5 +40,5 @@ def merge_sources(internal: DataFrame, web: DataFrame) -> DataFrame:
         "query_id", F.lit(1).alias("block"), F.col("rank").cast("bigint").alias("rank"),
         F.concat(F.lit("web:"), F.coalesce(url, title, F.lit("result"))).alias("source_id"),
         F.coalesce(title, url, F.lit("Web reference")).alias("title"), F.lit("web_reference").alias("source_type"))
-    return with_rank(inside.unionByName(outside), [F.col("block"), F.col("rank"), F.col("source_id")],
+    return with_rank(inside.transform(stack, outside), [F.col("block"), F.col("rank"), F.col("source_id")],
                      name="position").drop("block", "rank")

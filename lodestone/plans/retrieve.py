@@ -13,7 +13,7 @@ from lodestone.functions.rules import broaden, evidence_check
 from lodestone.operators import filters, fusion, graph as graphs, lexical, rerank, subqueries
 from lodestone.operators.dense import knn_exact
 from lodestone.operators.ranking import keep_top, with_rank
-from lodestone.session import cut_lineage
+from lodestone.session import cut_lineage, stack
 
 ATTRIBUTES = ["parent_chunk_id", "parent_doc_id", "source_type", "doc_semantic_type", "title", "section_heading"]
 
@@ -133,7 +133,7 @@ def _with_graph(fused: DataFrame, attributes: DataFrame, probes: DataFrame, corp
     kinds = corpus.graph.parents.select(F.col("parent_chunk_id").alias("item_id"), *ATTRIBUTES[:1], *ATTRIBUTES[1:])
     found = hits.join(kinds, "item_id").withColumn("evidence_ids", F.array("item_id"))
     merged = fusion.rrf_fuse_graph(fused, found)
-    side = attributes.unionByName(kinds).dropDuplicates(["item_id"])
+    side = attributes.transform(stack, kinds).dropDuplicates(["item_id"])
     rest = [c for c in ATTRIBUTES if c not in ("parent_chunk_id", "doc_semantic_type")]
     return merged.join(side.select("item_id", *rest), "item_id", "left")
 
@@ -165,7 +165,7 @@ def retrieve_with_fallback(questions: DataFrame, decisions: DataFrame,
     second = cut_lineage(search(to_broaden, broaden(decisions)).withColumn("attempt", F.lit(2)))
     if max_retries < 1:
         return _last_attempts([first, second])
-    still = missing(to_broaden, second).unionByName(unmet.join(hard.select("query_id"), "query_id", "left_anti"))
+    still = missing(to_broaden, second).transform(stack, unmet.join(hard.select("query_id"), "query_id", "left_anti"))
     third = search(subqueries.rewrite_queries(still), broaden(decisions)).withColumn("attempt", F.lit(3))
     return _last_attempts([first, second, third])
 
@@ -174,5 +174,5 @@ def _last_attempts(passes: list[DataFrame]) -> DataFrame:
     """A question whose pass failed found nothing in it, so every question has rows of one pass only."""
     result = passes[0]
     for later in passes[1:]:
-        result = result.unionByName(later)
+        result = result.transform(stack, later)
     return result

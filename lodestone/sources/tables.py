@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.session import cut_lineage
+from lodestone.session import cut_lineage, stack
 
 
 def _first_given(*values: Column) -> Column:
@@ -44,7 +44,7 @@ def upsert_rows(existing: DataFrame, incoming: DataFrame, key: str, order: str |
         latest = incoming.groupBy(F.col(key).alias("_key")).agg(
             F.max_by(whole, order).alias("row")).select("row.*")
     kept = existing.join(latest.select(key), key, "left_anti")
-    return kept.unionByName(latest)
+    return kept.transform(stack, latest)
 
 
 def numbered(df: DataFrame, key: str | list[str]) -> DataFrame:

@@ -1,7 +1,7 @@
-"""Nearest neighbours by cosine similarity.
+"""Nearest neighbours by cosine similarity, over all vectors or within a key such as a user.
 
-Queries and vectors meet as matrices: each batch of vectors becomes one row, queries are packed in small
-blocks, and an equi-join on (cell, block, salt) brings them together.  A task multiplies two matrices and
+Queries and vectors meet as matrices: the vectors of a batch become one row per cell, the queries of a cell
+are packed in small blocks, and an equi-join on (cell, block, salt) brings them together.  A task multiplies two matrices and
 emits the best k per query, never a pair per row.  The packed queries are broadcast only where Spark finds
 them below its threshold; beyond it both sides are shuffled, salted so that no block waits for one task.
 """
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.ranking import keep_top
@@ -21,7 +21,7 @@ QUERIES_PER_BLOCK = 256
 BYTES_PER_PACK = 8 << 20
 SALTS = 32
 FILTER_COLUMNS = ("category", "title", "section")
-QUERY_FILTERS = ("allowed", "title_phrases", "section_phrases")
+QUERY_FILTERS = ("allowed", "title_phrases", "section_phrases", "before")
 
 
 def _pack_vectors(bits: int, seed: int):
@@ -40,12 +40,12 @@ def _pack_vectors(bits: int, seed: int):
             matrix = flat.astype(np.float64).reshape(batch.num_rows, -1)
             length = np.linalg.norm(matrix, axis=1, keepdims=True)
             matrix = np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
-            cells = np.zeros(batch.num_rows, dtype=np.int64)
+            cells = batch.column("cell").to_numpy(zero_copy_only=False)
             if bits:
                 planes = np.random.default_rng(seed).standard_normal((matrix.shape[1], bits))
                 cells = ((matrix @ planes > 0) * (1 << np.arange(bits))).sum(axis=1)
             per_pack = max(1, bytes_per_pack // (8 * matrix.shape[1]))
-            rows = {name: [] for name in ("cell", "ids", "width", "matrix", *names)}
+            rows = {name: [] for name in ("cell", "ids", "width", "matrix", "ordinal", *names)}
             for cell in np.unique(cells):
                 members = np.flatnonzero(cells == cell)
                 for start in range(0, len(members), per_pack):
@@ -54,10 +54,10 @@ def _pack_vectors(bits: int, seed: int):
                     rows["ids"].append(batch.column("item_id").take(pa.array(part)).to_pylist())
                     rows["width"].append(matrix.shape[1])
                     rows["matrix"].append(matrix[part].tobytes())
-                    for name in names:
+                    for name in ("ordinal", *names):
                         rows[name].append(batch.column(name).take(pa.array(part)).to_pylist())
             text = pa.list_(pa.string())
-            types = [pa.int64(), text, pa.int32(), pa.binary(), text, text, text]
+            types = [pa.int64(), text, pa.int32(), pa.binary(), pa.list_(pa.int64()), text, text, text]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(v, t) for v, t in zip(rows.values(), types)], names=list(rows))
 
@@ -78,6 +78,8 @@ def _best_of_packs(k: int):
             for phrases, texts in ((query["title_phrases"], row.title), (query["section_phrases"], row.section)):
                 if phrases is not None and len(phrases):
                     masks.append([any(p in t for p in phrases) for t in texts])
+            if query["before"] is not None:
+                masks.append([o < query["before"] for o in row.ordinal])
             return np.logical_and.reduce(masks) if masks else None
 
         for frame in frames:
@@ -104,30 +106,35 @@ def _best_of_packs(k: int):
 
 
 def _search(queries: DataFrame, vectors: DataFrame, k: int, bits: int, flips: int, seed: int) -> DataFrame:
-    vectors = vectors.select("item_id", "embedding", *[
-        (F.coalesce(F.col(c), F.lit("")) if c in vectors.columns else F.lit("")).alias(c) for c in FILTER_COLUMNS])
-    packs = vectors.mapInArrow(_pack_vectors(bits, seed), "cell bigint, ids array<string>, width int, matrix binary, "
-                               "category array<string>, title array<string>, section array<string>")
-    filters = [(F.col(c) if c in queries.columns else F.lit(None).cast("array<string>")).alias(c) for c in QUERY_FILTERS]
-    wide = queries.select("query_id", F.transform("embedding", lambda v: v.cast("double")).alias("embedding"), *filters)
-    n_blocks = wide.agg(F.greatest(F.ceil(F.count("*") / QUERIES_PER_BLOCK), F.lit(1)).alias("n")).scalar()
+    def column(df: DataFrame, name: str, default) -> Column:
+        return (F.coalesce(F.col(name), default) if name in df.columns else default).alias(name)
+
+    cell = F.xxhash64("key").alias("cell") if "key" in vectors.columns else F.lit(0).cast("bigint").alias("cell")
+    rows = vectors.select("item_id", "embedding", cell, column(vectors, "ordinal", F.lit(-1).cast("bigint")),
+                          *[column(vectors, c, F.lit("")) for c in FILTER_COLUMNS])
+    packs = rows.mapInArrow(
+        _pack_vectors(bits, seed), "cell bigint, ids array<string>, width int, matrix binary, ordinal array<bigint>, "
+        "category array<string>, title array<string>, section array<string>")
+    texts, number = F.lit(None).cast("array<string>"), F.lit(None).cast("bigint")
+    wide = queries.select(
+        "query_id", F.transform("embedding", lambda v: v.cast("double")).alias("embedding"), cell,
+        *[column(queries, c, number if c == "before" else texts) for c in QUERY_FILTERS])
     if bits:
-        wide = wide.withColumn("cell", F.explode(_probes(queries, bits, flips, seed)))
-    else:
-        wide = wide.withColumn("cell", F.lit(0).cast("bigint"))
-    # a block holds about QUERIES_PER_BLOCK queries: its number is a hash of a unique id
-    blocks = (wide.withColumn("block", F.pmod(F.xxhash64("query_id"), n_blocks))
+        wide = wide.withColumn("cell", F.explode(_probes(F.col("embedding"), bits, flips, seed)))
+    # a block holds about QUERIES_PER_BLOCK queries of its cell: its number is a hash of a unique id
+    sizes = wide.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES_PER_BLOCK).alias("n_blocks"))
+    blocks = (wide.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("n_blocks")))
               .groupBy("cell", "block").agg(F.collect_list(F.struct("query_id", "embedding", *QUERY_FILTERS)).alias("queries"))
               .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
-    placed = (packs.withColumn("salt", F.pmod(F.xxhash64("matrix"), F.lit(SALTS)).cast("int"))
-              .withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), n_blocks - 1))))
+    placed = (packs.withColumn("salt", F.pmod(F.xxhash64("matrix"), F.lit(SALTS)).cast("int")).join(sizes, "cell")
+              .withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_blocks") - 1))))
     met = placed.join(blocks, ["cell", "block", "salt"]).select(
-        "ids", "width", "matrix", *FILTER_COLUMNS, "queries")
+        "ids", "width", "matrix", "ordinal", *FILTER_COLUMNS, "queries")
     scored = met.mapInPandas(_best_of_packs(k), "query_id string, item_id string, score double")
     return keep_top(scored, k)
 
 
-def _probes(queries: DataFrame, bits: int, flips: int, seed: int):
+def _probes(embedding: Column, bits: int, flips: int, seed: int):
     """The cells a query looks into: its own and those that differ in at most ``flips`` bits."""
     masks = [sum(1 << b for b in chosen) for n in range(flips + 1) for chosen in combinations(range(bits), n)]
 
@@ -139,7 +146,7 @@ def _probes(queries: DataFrame, bits: int, flips: int, seed: int):
         cells = ((matrix @ planes > 0) * (1 << np.arange(bits))).sum(axis=1)
         return pd.Series([[int(c) ^ m for m in masks] for c in cells], dtype=object)
 
-    return F.pandas_udf(own_cells, "array<bigint>")(F.col("embedding"))
+    return F.pandas_udf(own_cells, "array<bigint>")(embedding)
 
 
 def empty_ranking(df: DataFrame) -> DataFrame:
@@ -155,6 +162,17 @@ def knn_exact(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return empty_ranking(queries) if k <= 0 else _search(queries, vectors, k, 0, 0, 0)
 
 
+def knn_within(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """Exact search among the vectors with the query's own ``key``.
+
+    ``vectors`` may carry an ``ordinal`` and queries ``before``: then only smaller ordinals are seen.
+    """
+    if k <= 0:
+        return empty_ranking(queries)
+    # cells are hashes of the key; the filter on the key itself keeps colliding keys apart
+    return _search(queries.withColumn("allowed", F.array("key")), vectors.withColumn("category", F.col("key")), k, 0, 0, 0)
+
+
 def knn_approx(queries: DataFrame, vectors: DataFrame, k: int, bits: int = 6, flips: int = 3, seed: int = 7) -> DataFrame:
     """Look only into cells of random hyperplanes near the query; scores inside them are exact.
 

@@ -11,7 +11,7 @@ from lodestone.session import guard_unions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-GROUPS = ["sources", "text", "chunks", "retrieval", "rules", "graph", "metrics", "memory", "streams"]
+GROUPS = ["sources", "text", "chunks", "retrieval", "rules", "graph", "metrics", "memory", "streams", "hooks"]
 
 
 def query(name: str, sql: str | None = None):

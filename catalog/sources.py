@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog import query
 from catalog import text as T
 from catalog import views as V
-from lodestone.sources import files, tables
+from lodestone.operators import metrics
+from lodestone.session import shared_folder
+from lodestone.sources import files, sinks, tables
 
 
 @query("a01_scan_documents", "SELECT doc_id::VARCHAR AS doc_id, source AS source_type, lang AS title, md5(text) AS content FROM documents")
@@ -153,3 +157,69 @@ def a15(spark, sf):
 @query("a15_scan_parent_texts", V.ctes("line_parents") + " SELECT parent_chunk_id, text FROM line_parents")
 def a15_texts(spark, sf):
     return files.scan_parent_texts(line_parents(spark, sf))
+
+
+# ---------------------------------------------------------------- written and read again
+
+def folder(spark):
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+@query("a03_scan_jsonl", "SELECT page_id, url, md5(html) AS html FROM pages")
+def a03(spark, sf):
+    path = folder(spark)
+    sinks.write_jsonl(V.table(spark, sf, "pages"), path)
+    return files.scan_jsonl(spark, path, "page_id bigint, url string, html string").withColumn("html", F.md5("html"))
+
+
+@query("a04_load_questions_jsonl", r"""
+SELECT conv_id::VARCHAR AS question_id, '' AS question_type, 0::BIGINT AS n_sources, CASE WHEN conv_id % 3 = 0 THEN '' ELSE 'x' || conv_id || '/y|z' END AS groups FROM conversations WHERE turn = 0""")
+def a04(spark, sf):
+    path = folder(spark)
+    c = F.col("conv_id")
+    groups = F.when(c % 3 == 0, F.lit('[[], [" "], "none", null]')).otherwise(F.concat(F.lit('[[" x'), c, F.lit('", null, "y "], [""], ["z"], 7]')))
+    lines = V.table(spark, sf, "conversations").filter("turn = 0").select(F.concat(
+        F.lit('{"question_id": "'), c, F.lit('", "question": "q", "source_types": null, "required_evidence_groups": '), groups, F.lit("}")).alias("value"))
+    lines.write.text(path)
+    loaded = files.load_questions_jsonl(spark, path)
+    shown = F.array_join(F.transform("required_evidence_groups", lambda g: F.array_join(g, "/")), "|")
+    return loaded.select("question_id", "question_type", F.size("source_types").cast("bigint").alias("n_sources"), shown.alias("groups"))
+
+
+@query("a05_scan_text_files", "SELECT count(*) AS n, sum(length(text)) ::BIGINT AS chars FROM (SELECT replace(text, chr(10), ' ') AS text FROM documents)")
+def a05(spark, sf):
+    """documents as text files of one line each per row, read back as whole files."""
+    path = folder(spark)
+    V.table(spark, sf, "documents").select(F.replace("text", F.lit("\n"), F.lit(" ")).alias("value")).write.text(path)
+    texts = files.scan_text_files(spark, path).select(F.explode(F.split(F.trim("text", F.lit("\n")), "\n")).alias("line"))
+    return texts.agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("chars"))
+
+
+@query("a08_write_details_csv", V.ctes(*V.METRICS) + """
+SELECT question_id, max(hit) FILTER (k = 5) AS hit_5, round(max(recall) FILTER (k = 5), 6) AS recall_5, round(max(rr) FILTER (k = 5), 6) AS rr_5, coalesce(max(top), '') AS top FROM metrics
+LEFT JOIN (SELECT question_id, string_agg(item_id, '|' ORDER BY rank) AS top FROM ranking WHERE rank <= 5 GROUP BY ALL) USING (question_id) GROUP BY question_id""")
+def a08(spark, sf):
+    path = folder(spark)
+    at5 = metrics.question_metrics(V.asked(spark, sf), V.ranking(spark, sf), V.returned(spark, sf), [5])
+    top = V.ranking(spark, sf).filter("rank <= 10").groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "item_id"))).alias("hits"))
+    no_ids = F.array().cast("array<string>")
+    details = V.asked(spark, sf).join(at5, "question_id").join(top, "question_id", "left").select(
+        F.lit("m").alias("method"), F.lit("m").alias("normalized_method"), "question_id", "question_type", "source_types", no_ids.alias("expected_doc_ids"),
+        F.coalesce(F.transform("hits", lambda h: h["item_id"]), no_ids).alias("retrieved_parent_doc_ids"), "latency_ms", F.size("hits").alias("dedup_parent_results"),
+        F.lit(0).alias("required_evidence_groups_count"), F.lit(0.0).alias("evidence_coverage"), F.lit(False).alias("reranker_used"), F.lit(False).alias("source_boost_applied"),
+        *[F.col(m).alias(f"{m}@5") for m in ("hit", "precision", "recall", "f1", "ndcg", "ap", "rr")], F.lit(0.0).alias("evidence_coverage@5"), no_ids.alias("matched_doc_ids@5"))
+    sinks.write_details_csv(details, path, [5])
+    back = spark.read.option("header", "true").csv(path)
+    return back.select("question_id", F.col("`hit@5`").cast("int").alias("hit_5"), F.round(F.col("`recall@5`").cast("double"), 6).alias("recall_5"),
+                       F.round(F.col("`rr@5`").cast("double"), 6).alias("rr_5"), F.coalesce("top_parent_doc_ids", F.lit("")).alias("top"))
+
+
+@query("a09_write_run_artifacts", """
+SELECT kind, 'run-1' AS run_id, count(*) AS n FROM (SELECT 'config' AS kind FROM region WHERE r_regionkey = 0 UNION ALL SELECT 'summary' FROM nation UNION ALL SELECT 'details' FROM customer UNION ALL SELECT 'failures' FROM supplier) GROUP BY ALL""")
+def a09(spark, sf):
+    path = folder(spark)
+    parts = [V.table(spark, sf, "region").filter("r_regionkey = 0"), *[V.table(spark, sf, n) for n in ("nation", "customer", "supplier")]]
+    sinks.write_run_artifacts(path, "run-1", *parts)
+    counts = [spark.read.json(f"{path}/{kind}").groupBy("run_id").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "run_id", "n")
+              for kind in ("config", "summary", "details", "failures")]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])

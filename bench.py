@@ -19,7 +19,7 @@ HEADLINES = [
     "g09_summarize_run", "g11_doc_type_summary", "g14_failure_reasons", "g21_final_contexts",
     "b05_normalize_documents", "c01_sample_gold_plus_background", "c03_recursive_split", "c08_chunk_parent_child",
     "c08_chunk_parent_child_semantic", "a11_build_index_rows", "e06_evidence_check", "f05_build_graph",
-    "f10_graph_search", "h01_pair_turns", "h09_drop_semantic_duplicates", "h11_search_memories",
+    "f10_graph_search_depth1", "h01_pair_turns", "h09_drop_semantic_duplicates", "h11_search_memories",
     "s04_admission_windows", "s05_stream_stage_latency",
 ]
 

@@ -159,3 +159,16 @@ def f10(spark, sf):
     found = graph.graph_search(questions(spark, sf), graph.build_graph(parents(spark, sf)), 20, 2)
     return found.select("query_id", "item_id", "rank", F.round("score", 6).alias("score"), F.array_join("matched_entities", "|").alias("matched_entities"),
                         F.array_join("matched_relations", "|").alias("matched_relations"))
+
+
+V.SQL["near"] = V.SQL["rscores"].replace("FROM dists JOIN", "FROM (SELECT *, 0 AS depth FROM d0) dists JOIN")
+V.SQL["near_scores"] = V.SQL["cscores"].replace("FROM rscores JOIN", "FROM near JOIN")
+
+
+@query("f10_graph_search_depth1", V.ctes(*BUILT, "gquestions", "seeds", "d0", "near", "near_scores") + """
+SELECT query_id, chunk_id AS item_id, rank::INTEGER AS rank, round(score, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
+    SELECT c.query_id, chunk_id, round(score + CASE WHEN hint = source_type THEN 0.15 ELSE 0 END, 9) AS score FROM near_scores c JOIN gparents USING (chunk_id) JOIN gquestions USING (query_id))) WHERE rank <= 20""")
+def f10_near(spark, sf):
+    found = graph.graph_search(questions(spark, sf), graph.build_graph(parents(spark, sf)), 20, 1)
+    return found.select("query_id", "item_id", "rank", F.round("score", 6).alias("score"))

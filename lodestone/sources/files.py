@@ -119,7 +119,8 @@ def scan_text_files(spark: SparkSession, folder: str, extensions: tuple[str, ...
     """``(path, content, text)`` of the allowed files under a folder.
 
     Files over the cap are left out by their listed size, before they are read; a batch over its cap is
-    an error, as it is at the upload endpoint.  A file that is neither UTF-8 nor GBK gives no row.
+    an error, as it is at the upload endpoint.  A file that is neither UTF-8 nor GBK gives no row, nor does
+    one of no bytes, which the scan itself leaves out.
     """
     glob = "*.{" + ",".join(extensions) + "}"
     listed = (spark.read.format("binaryFile").option("pathGlobFilter", glob)

@@ -155,6 +155,13 @@ def d06(spark, sf):
     return dense.knn_approx(centroids(spark, sf), vectors(spark, sf), 20).withColumn("score", F.round("score", 6))
 
 
+@query("d06_knn_recall")
+def d06_recall(spark, sf):
+    """How much of the exact result the approximate search finds."""
+    approximate = dense.knn_approx(centroids(spark, sf), vectors(spark, sf), 20)
+    return dense.recall(approximate, dense.knn_exact(centroids(spark, sf), vectors(spark, sf), 20))
+
+
 # ---------------------------------------------------------------- filters: decisions per question
 
 FILTER_SQL = f"""

@@ -9,6 +9,15 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 OUTPUT = "key string, event_id bigint, micros bigint, window_start bigint, admitted boolean"
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    """Times as microseconds; times without a zone count as UTC whatever the session's zone."""
+    if dict(events.dtypes)["ts"] == "timestamp_ntz":
+        micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts"))
+    else:
+        micros = F.unix_micros("ts")
+    return events.select(F.col("key").cast("string").alias("key"), F.col("event_id").cast("bigint").alias("event_id"), micros.alias("micros"))
+
+
 def _judge(limit: int, micros: int):
     """The rule for one event: (start, count) and a time → (start, count, admitted)."""
     def judge(start, count, at):
@@ -29,9 +38,7 @@ def admission_windows(events: DataFrame, limit: int, seconds: int) -> DataFrame:
     task islands follow each other in order and only the open window is held.
     """
     micros = seconds * 1_000_000
-    timed = events.select(F.col("key").cast("string").alias("key"), F.col("event_id").cast("bigint").alias("event_id"),
-                          F.unix_micros(F.col("ts").cast("timestamp")).alias("micros")).withColumn(
-        "_bucket", F.floor(F.col("micros") / micros))
+    timed = _timed(events).withColumn("_bucket", F.floor(F.col("micros") / micros))
     occupied = timed.select("key", "_bucket").distinct()
     # one row per key and occupied bucket, not per event
     order = Window.partitionBy("key").orderBy("_bucket")
@@ -73,7 +80,5 @@ def stream_admission_windows(events: DataFrame, limit: int, seconds: int) -> Dat
         state.update((start, count))
         yield pd.DataFrame(out, columns=["key", "event_id", "micros", "window_start", "admitted"])
 
-    timed = events.select(F.col("key").cast("string").alias("key"), F.col("event_id").cast("bigint").alias("event_id"),
-                          F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
-    return timed.groupBy("key").applyInPandasWithState(
+    return _timed(events).groupBy("key").applyInPandasWithState(
         run, OUTPUT, "start bigint, count bigint", "append", GroupStateTimeout.NoTimeout)

@@ -44,53 +44,58 @@ def query_terms(questions: DataFrame, mode: str = "child") -> DataFrame:
     return tokens.groupBy("query_id", "term").agg(F.count("*").alias("qf"))
 
 
-def bm25_index(items: DataFrame, mode: str = "child", terms: DataFrame | None = None) -> LexicalIndex:
+def bm25_index(items: DataFrame, mode: str = "child", terms: DataFrame | None = None, by: tuple[str, ...] = ()) -> LexicalIndex:
     """Index ``items(item_id, text)``.
 
     ``child`` counts items without tokens, ``parent`` leaves them out.  ``terms`` restricts the postings
     to the terms a batch of questions can score; lengths and corpus statistics stay those of the whole.
+    ``by`` names columns that split the items into corpora with statistics of their own.
     """
-    tokenized = items.select("item_id", tokenize(F.col("text"), mode).alias("tokens"))
-    lengths = tokenized.select(F.size("tokens").alias("doc_len"))
+    tokenized = items.select(*by, "item_id", tokenize(F.col("text"), mode).alias("tokens"))
+    lengths = tokenized.select(*by, F.size("tokens").alias("doc_len"))
     if mode == "parent":
         lengths = lengths.filter("doc_len > 0")
-    stats = lengths.agg(
+    stats = lengths.groupBy(*by).agg(
         F.count("*").alias("n_docs"),
         (F.sum("doc_len") / F.greatest(F.count("*"), F.lit(1))).alias("avgdl"))
     # the outer form keeps Spark from inferring a filter on the array, which would tokenize twice
-    tokens = tokenized.select("item_id", F.size("tokens").alias("doc_len"),
+    tokens = tokenized.select(*by, "item_id", F.size("tokens").alias("doc_len"),
                               F.explode_outer("tokens").alias("term")).filter("term IS NOT NULL")
     if terms is not None:
         tokens = tokens.join(terms.select("term").distinct(), "term", "left_semi").repartition("item_id")
-    postings = tokens.groupBy("item_id", "doc_len", "term").agg(F.count("*").alias("tf"))
+    postings = tokens.groupBy(*by, "item_id", "doc_len", "term").agg(F.count("*").alias("tf"))
     # counting on tf keeps this branch on the same exchange as the postings themselves
-    frequencies = postings.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
-    return LexicalIndex(postings.select("term", "item_id", "tf", "doc_len"), frequencies, stats)
+    frequencies = postings.groupBy(*by, "term").agg(F.count_if(F.col("tf") > 0).alias("df"))
+    return LexicalIndex(postings.select(*by, "term", "item_id", "tf", "doc_len"), frequencies, stats)
 
 
 def idf(n_docs: Column, df: Column) -> Column:
     return F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
 
 
-def bm25_scores(terms: DataFrame, index: LexicalIndex, keys: tuple[str, ...] = ()) -> DataFrame:
-    """``(query_id, item_id, score)`` for every item that holds a query term; ``keys`` split the index."""
-    n_docs = index.stats.select("n_docs").scalar()
-    avgdl = index.stats.select(F.greatest("avgdl", F.lit(1e-9))).scalar()
-    weighted = terms.join(index.terms, "term").select(
-        "query_id", "term", (F.col("qf") * idf(n_docs, F.col("df"))).alias("weight"))
+def bm25_scores(terms: DataFrame, index: LexicalIndex, by: tuple[str, ...] = ()) -> DataFrame:
+    """``(query_id, item_id, score)`` for every item that holds a query term, per corpus of ``by``."""
+    found = terms.join(index.terms, "term")
+    if by:
+        found = found.join(index.stats, list(by))
+    else:
+        found = found.withColumn("n_docs", index.stats.select("n_docs").scalar()).withColumn(
+            "avgdl", index.stats.select("avgdl").scalar())
+    weighted = found.select(*by, "query_id", "term", F.greatest("avgdl", F.lit(1e-9)).alias("avgdl"),
+                            (F.col("qf") * idf(F.col("n_docs"), F.col("df"))).alias("weight"))
     k1, b = model.BM25_K1, model.BM25_B
-    saturation = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / avgdl))
+    saturation = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("avgdl")))
     return (
-        index.postings.join(weighted, "term")
-        .groupBy("query_id", "item_id")
+        index.postings.join(weighted, [*by, "term"])
+        .groupBy(*by, "query_id", "item_id")
         .agg(F.round(F.sum(F.col("weight") * saturation), 9).alias("score"))
     )
 
 
-def bm25_search(questions: DataFrame, items: DataFrame, k: int, mode: str = "child") -> DataFrame:
+def bm25_search(questions: DataFrame, items: DataFrame, k: int, mode: str = "child", by: tuple[str, ...] = ()) -> DataFrame:
     """The k best items per question: ``(query_id, item_id, score, rank)``; ties go to the smaller id."""
     terms = query_terms(questions, mode)
-    return keep_top(bm25_scores(terms, bm25_index(items, mode, terms)), k)
+    return keep_top(bm25_scores(terms, bm25_index(items, mode, terms, by), by), k, [*by, "query_id"])
 
 
 def bm25_search_children(questions: DataFrame, children: DataFrame, k: int) -> DataFrame:

@@ -31,3 +31,31 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 
     found = near_groups(table(spark, sf, "documents"))
     return found.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query("op6_secret_scan")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    from lodestone.llm.secrets import BASE, of_kinds, secret_spans, spelled
+
+    found = secret_spans(table(spark, sf, "documents").select("doc_id", "text")).drop("text")
+    counts = [F.size(F.filter("spans", lambda s, k=r.kind: s["kind"] == k)).cast("long").alias(f"n_{r.kind}") for r in BASE]
+    return found.select("doc_id", *counts, F.sha2(spelled(of_kinds(F.col("spans"), BASE)), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"))
+
+
+@query("op10_quality_rules")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    from lodestone.llm import quality
+
+    docs, labels = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels")
+    ensemble = quality.fit(docs, labels.where(~quality.held_out(F.col("doc_id"))))
+    found = quality.scored(docs, ensemble)
+    return found.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score",
+                        F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0).alias("predicted"))
+
+
+@query("op2_pareto_mix")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    from lodestone.llm.mixing import mixed
+
+    found = mixed(table(spark, sf, "documents").select("doc_id", "text", "source"))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))

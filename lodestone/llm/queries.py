@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.leaks import UNITS
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -38,7 +40,7 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     from lodestone.llm.secrets import BASE, of_kinds, secret_spans, spelled
 
     found = secret_spans(table(spark, sf, "documents").select("doc_id", "text")).drop("text")
-    counts = [F.size(F.filter("spans", lambda s, k=r.kind: s["kind"] == k)).cast("long").alias(f"n_{r.kind}") for r in BASE]
+    counts = [F.size(of_kinds(F.col("spans"), (r,))).cast("long").alias(f"n_{r.kind}") for r in BASE]
     return found.select("doc_id", *counts, F.sha2(spelled(of_kinds(F.col("spans"), BASE)), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"))
 
 
@@ -59,3 +61,51 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 
     found = mixed(table(spark, sf, "documents").select("doc_id", "text", "source"))
     return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+_UNIT_LIST = ", ".join(f"'{u}'" for u in UNITS)
+_LEAK_SQL = rf"""
+WITH texts AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark
+), cut AS (
+  SELECT kind, id, regexp_extract_all(coalesce(text, ''), '[0-9]+(?:[.,:][0-9]+)*|[\p{{L}}\p{{M}}]+(?:[''’][\p{{L}}\p{{M}}]+)*|[%°$€£]|[.!?\n]') AS t FROM texts
+), made AS (
+  SELECT kind, id, t, list_transform(t, lambda x, i:
+      CASE WHEN x IN ('.', '!', '?', chr(10)) THEN ''
+           WHEN x[1] BETWEEN '0' AND '9' THEN '<num>'
+           WHEN i > 1 AND lower(x) IN ({_UNIT_LIST}) AND t[i - 1][1] BETWEEN '0' AND '9' THEN '<unit>'
+           WHEN x[1] <> lower(x[1]) AND i > 1 AND t[i - 1] NOT IN ('.', '!', '?', chr(10)) THEN '<name>'
+           ELSE lower(x) END) AS m FROM cut
+), kept AS (
+  SELECT kind, id, list_filter(t, lambda x: x NOT IN ('.', '!', '?', chr(10))) AS raw, list_filter(m, lambda x: x <> '') AS m FROM made
+), wins AS (
+  SELECT kind, id, p, raw[p:p + 4] AS raw, m[p:p + 4] AS m FROM (
+    SELECT kind, id, raw, m, unnest(range(1, len(m) - 3)) AS p FROM kept WHERE len(m) >= 5)
+), items AS (
+  SELECT id AS item_id, m, min(p) AS ip, arg_min(raw, p) AS iraw FROM wins
+  WHERE kind = 'i' AND len(list_filter(m, lambda x: x NOT IN ('<num>', '<unit>', '<name>'))) >= 2 GROUP BY id, m
+), sized AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS n FROM items),
+met AS (
+  SELECT w.id AS doc_id, s.item_id, w.p - s.ip AS off, s.ip, s.n, w.raw AS draw, s.iraw, s.m
+  FROM wins w JOIN sized s ON w.m = s.m WHERE w.kind = 'd'
+), slots AS (
+  SELECT doc_id, item_id, off, k, theirs, count(DISTINCT ours) AS vals, max((ours <> theirs)::INT) AS changed FROM (
+    SELECT doc_id, item_id, off, m[j] AS k, lower(iraw[j]) AS theirs, lower(draw[j]) AS ours FROM (
+      SELECT *, unnest(range(1, 6)) AS j FROM met) WHERE m[j] IN ('<num>', '<unit>', '<name>'))
+  GROUP BY ALL
+), per AS (
+  SELECT doc_id, item_id, off, count(*) AS slots, sum((vals > 1)::INT) AS conflicts, sum(changed) AS changed FROM slots GROUP BY ALL
+)
+SELECT m.doc_id, m.item_id, max(m.n)::BIGINT AS n_windows, count(DISTINCT m.ip)::BIGINT AS matched,
+       count(DISTINCT m.ip) / max(m.n) AS coverage, coalesce(max(p.slots), 0)::BIGINT AS slots, coalesce(max(p.changed), 0)::BIGINT AS changed
+FROM met m LEFT JOIN per p ON m.doc_id = p.doc_id AND m.item_id = p.item_id AND m.off = p.off
+WHERE coalesce(p.conflicts <= p.slots * 0.2, true)
+GROUP BY m.doc_id, m.item_id HAVING count(DISTINCT m.ip) / max(m.n) >= 0.8
+"""
+
+
+@query("op9_template_leaks", _LEAK_SQL)
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    from lodestone.llm.leaks import leaks
+
+    return leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))

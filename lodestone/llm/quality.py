@@ -133,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return RuleEnsemble(log(good / bad), ())
     said = seen.select("_label", *[_holds(r).cast("double").alias(f"r{i}") for i, r in enumerate(rules)])
     wide = VectorAssembler(inputCols=[f"r{i}" for i in range(len(rules))], outputCol="features").transform(said)
-    model = LogisticRegression(labelCol="_label", elasticNetParam=1.0, regParam=lasso, standardization=True, maxIter=60).fit(wide)
+    model = LogisticRegression(labelCol="_label", elasticNetParam=1.0, regParam=lasso, standardization=True, maxIter=40, tol=1e-5).fit(wide)
     weights = tuple((r, float(w)) for r, w in zip(rules, model.coefficients.toArray(), strict=True) if abs(w) > 1e-6)
     return RuleEnsemble(float(model.intercept), weights)
 

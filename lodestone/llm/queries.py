@@ -109,3 +109,19 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     from lodestone.llm.leaks import leaks
 
     return leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op4_suffix_dedup")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    from lodestone.llm.suffixes import without_repeats
+
+    found = without_repeats(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op7_substring_dedup")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    from lodestone.llm.substrings import without_repeats
+
+    found = without_repeats(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

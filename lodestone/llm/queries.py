@@ -125,3 +125,13 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 
     found = without_repeats(table(spark, sf, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op1_chat_format")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    from lodestone.llm.chat import chat_digests, chat_segments
+
+    said = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat_digests(chat_segments(turns))

@@ -135,3 +135,10 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     return chat_digests(chat_segments(turns))
+
+
+@query("op3_posting_list_neighbours")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    from lodestone.llm.neighbours import neighbours
+
+    return neighbours(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)

@@ -142,3 +142,75 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     from lodestone.llm.neighbours import neighbours
 
     return neighbours(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def capture_records(pages: DataFrame) -> DataFrame:
+    """Three captures of each page: the page, and two revisits whose validators agree, differ or lack by page id."""
+    page, base = F.col("page_id"), F.col("page_id") * 1000
+    digest = F.substring(F.md5(F.coalesce("html", F.lit(""))), 1, 16)
+    quoted = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    text = lambda c: c.cast("string")
+    capture = lambda n, kind, at, headers, payload: F.struct(
+        (page * 3 + n).alias("record_id"), F.lit(kind).alias("kind"), at.alias("ts"), headers.alias("headers"), payload.alias("payload"))
+    first = F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("Content-Length"), text(F.length("html")), F.lit("ETag"), quoted(digest),
+                         F.lit("Last-Modified"), text(base - 500), F.lit("Date"), text(base), F.lit("Cache-Control"), F.lit("max-age=60"))
+    again = F.create_map(F.lit("ETag"), F.concat(F.when(page % 2 == 0, "W/").otherwise(""), quoted(digest)), F.lit("Date"), text(base + 400),
+                         F.lit("Content-Length"), F.lit("0"), F.lit("Cache-Control"), F.lit("no-cache"))
+    later = (F.when(page % 3 == 0, F.create_map(F.lit("ETag"), quoted(F.substring(F.md5("url"), 1, 16)), F.lit("Date"), text(base + 900)))
+             .when(page % 3 == 1, F.create_map(F.lit("Last-Modified"), text(base - 500), F.lit("Expires"), text(base + 99_000)))
+             .otherwise(F.create_map(F.lit("Date"), text(base + 900))))
+    at = F.when(page % 5 == 0, base - 100).otherwise(base + 400)
+    none = F.lit(None).cast("string")
+    return pages.select("url", F.explode(F.array(capture(0, "response", base, first, F.col("html")), capture(1, "revisit", at, again, none), capture(2, "revisit", base + 900, later, none))).alias("r")).select("url", "r.*")
+
+
+_REVISIT_SQL = r"""
+WITH r AS (
+  SELECT page_id * 3 AS record_id, 'response' AS kind, url, page_id * 1000 AS ts, html AS payload, page_id,
+         MAP {'content-type': 'text/html', 'content-length': length(html)::VARCHAR, 'etag': '"' || md5(coalesce(html, ''))[:16] || '"',
+              'last-modified': (page_id * 1000 - 500)::VARCHAR, 'date': (page_id * 1000)::VARCHAR, 'cache-control': 'max-age=60'} AS h FROM pages
+  UNION ALL
+  SELECT page_id * 3 + 1, 'revisit', url, CASE WHEN page_id % 5 = 0 THEN page_id * 1000 - 100 ELSE page_id * 1000 + 400 END, NULL, page_id,
+         MAP {'etag': CASE WHEN page_id % 2 = 0 THEN 'W/' ELSE '' END || '"' || md5(coalesce(html, ''))[:16] || '"', 'date': (page_id * 1000 + 400)::VARCHAR,
+              'content-length': '0', 'cache-control': 'no-cache'} FROM pages
+  UNION ALL
+  SELECT page_id * 3 + 2, 'revisit', url, page_id * 1000 + 900, NULL, page_id,
+         CASE WHEN page_id % 3 = 0 THEN MAP {'etag': '"' || md5(url)[:16] || '"', 'date': (page_id * 1000 + 900)::VARCHAR}
+              WHEN page_id % 3 = 1 THEN MAP {'last-modified': (page_id * 1000 - 500)::VARCHAR, 'expires': (page_id * 1000 + 99000)::VARCHAR}
+              ELSE MAP {'date': (page_id * 1000 + 900)::VARCHAR} END FROM pages
+), bare AS (
+  SELECT *, regexp_replace(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', '') AS b FROM r
+), cut AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(b, '^([^/?]*)', 1)), '^[^@]*@', ''), '^www\.', ''), ':(80|443)$', '') AS host,
+         regexp_replace(regexp_extract(b, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+         array_to_string(list_filter(string_split(regexp_extract(b, '^[^?]*\?(.*)$', 1), '&'),
+           lambda p: NOT regexp_full_match(p, '(utm_[^=&]*|ref|fbclid|gclid)(=[^&]*)?')), '&') AS q FROM bare
+), c AS (
+  SELECT *, host || path || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS url_key FROM cut
+), v AS (
+  SELECT c.*, f.record_id AS source_id, f.h AS fh, f.payload AS fp
+  FROM (SELECT * FROM c WHERE kind = 'revisit') c ASOF LEFT JOIN (SELECT * FROM c WHERE kind = 'response') f ON c.url_key = f.url_key AND c.ts > f.ts
+), o AS (
+  SELECT *, CASE WHEN source_id IS NULL THEN 'missing'
+      WHEN h['etag'] IS NOT NULL AND fh['etag'] IS NOT NULL THEN CASE WHEN regexp_replace(h['etag'], '^W/', '') = regexp_replace(fh['etag'], '^W/', '') THEN 'etag' ELSE 'changed' END
+      WHEN h['last-modified'] IS NOT NULL AND fh['last-modified'] IS NOT NULL THEN CASE WHEN h['last-modified'] = fh['last-modified'] THEN 'last-modified' ELSE 'changed' END
+      ELSE 'unproven' END AS outcome FROM v
+), allowed AS (
+  SELECT *, list_filter(map_entries(h), lambda e: e.key IN ('cache-control', 'content-location', 'date', 'etag', 'expires', 'last-modified', 'vary')) AS fresh FROM o
+), merged AS (
+  SELECT record_id, url_key, ts, outcome, source_id, CASE WHEN outcome IN ('etag', 'last-modified')
+      THEN list_concat(list_filter(map_entries(fh), lambda e: NOT list_contains(list_transform(fresh, lambda x: x.key), e.key)), fresh) ELSE map_entries(h) END AS hs,
+    CASE WHEN outcome IN ('etag', 'last-modified') THEN fp END AS payload FROM allowed
+  UNION ALL SELECT record_id, url_key, ts, 'full', record_id, map_entries(h), payload FROM c WHERE kind = 'response'
+)
+SELECT record_id, url_key, ts, outcome, source_id, array_to_string(list_sort(list_transform(hs, lambda e: e.key || ': ' || e.value)), chr(10)) AS headers,
+       md5(payload) AS payload_md5 FROM merged
+"""
+
+
+@query("op8_revisits", _REVISIT_SQL)
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    from lodestone.llm.revisits import headers_text, resolved_revisits
+
+    found = resolved_revisits(capture_records(table(spark, sf, "pages")))
+    return found.select("record_id", "url_key", "ts", "outcome", "source_id", headers_text(F.col("headers")).alias("headers"), F.md5("payload").alias("payload_md5"))

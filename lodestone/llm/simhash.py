@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
+from math import acos, pi
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
+from lodestone.llm.windows import mixed_bits
 from lodestone.session import cut_lineage
 
 SEED = 42
@@ -76,11 +79,14 @@ def block_masks(radius: int, agree: int = 2) -> list[int]:
 
 
 def planes_of(prints: np.ndarray) -> np.ndarray:
-    """64 planes; bit j of word w of plane b is bit b of fingerprint 64 w + j.  One spare word ends each plane."""
+    """A plane for each bit; bit j of word w of plane b is bit b of fingerprint 64 w + j.  One spare word ends each.
+
+    ``prints`` has one 64-bit word a row, or several in columns.
+    """
     n = -(-len(prints) // 64) + 1
-    padded = np.zeros(n * 64, np.uint64)
-    padded[:len(prints)] = prints
-    bits = np.unpackbits(padded.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    padded = np.zeros((n * 64, prints[:1].size if len(prints) else 1), np.uint64)
+    padded[:len(prints)] = prints.reshape(len(prints), -1)
+    bits = np.unpackbits(padded.astype("<u8").view(np.uint8), axis=1, bitorder="little")
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8").astype(np.uint64)
 
 
@@ -103,7 +109,7 @@ def close_lanes(planes: np.ndarray, shift: int, lanes: np.ndarray, radius: int)
     width = max(1, radius.bit_length())
     counters = np.zeros((width, len(block)), np.uint64)
     over = np.zeros(len(block), np.uint64)
-    for first in range(0, BITS, STRIDE):
+    for first in range(0, len(planes), STRIDE):
         if not len(block):
             break
         for bit in range(first, first + STRIDE):
@@ -137,20 +143,21 @@ def close_lanes(planes: np.ndarray, shift: int, lanes: np.ndarray, radius: int)
 
 
 def local_links(group: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span the components within each run of equal ``group``: (fingerprint, smallest row's fingerprint).
+    """Links that span the components within each run of equal ``group``: row numbers, and the first row of each's component.
 
     Row i meets row i + d for every d below the longest run; pairs that already hang together are not compared
     again, and there is at most one link a row, not one a pair.
     """
+    none = np.zeros(0, np.int64)
     if len(prints) < 2:
-        return prints[:0], prints[:0]
+        return none, none
     starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     sizes = np.diff(np.concatenate((starts, [len(group)])))
-    keep = np.repeat(sizes > 1, sizes)
-    group, prints = group[keep], prints[keep]
-    if not len(prints):
-        return prints, prints
-    planes, parent = planes_of(prints), np.arange(len(prints))
+    rows = np.flatnonzero(np.repeat(sizes > 1, sizes))
+    if not len(rows):
+        return none, none
+    group = group[rows]
+    planes, parent = planes_of(prints[rows]), np.arange(len(rows))
     for shift in range(1, int(sizes.max())):
         open_ = (group[shift:] == group[:-shift]) & (parent[shift:] != parent[:-shift])
         for i in close_lanes(planes, shift, _lanes(open_, planes.shape[1]), radius).tolist():
@@ -162,8 +169,8 @@ def local_links(group: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.
             parent[max(a, b)] = min(a, b)
         while (up := parent[parent]).tobytes() != parent.tobytes():
             parent = up
-    linked = parent != np.arange(len(prints))
-    return prints[linked], prints[parent[linked]]
+    linked = np.flatnonzero(parent != np.arange(len(rows)))
+    return rows[linked], rows[parent[linked]]
 
 
 def _link_batches(radius: int, rows: int = 1 << 16):
@@ -172,7 +179,7 @@ def _link_batches(radius: int, rows: int = 1 << 16):
         g, p = np.concatenate(group), np.concatenate(prints)
         end = len(g) if last else int(np.searchsorted(np.cumsum(g[1:] != g[:-1]), (g[1:] != g[:-1]).sum())) + 1 if (g[1:] != g[:-1]).any() else 0
         a, b = local_links(g[:end], p[:end], radius)
-        out = pa.RecordBatch.from_arrays([pa.array(x.view(np.int64), pa.int64()) for x in (a, b)], ["a", "b"])
+        out = pa.RecordBatch.from_arrays([pa.array(p[x].view(np.int64), pa.int64()) for x in (a, b)], ["a", "b"])
         return out, [g[end:]], [p[end:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,6 +213,14 @@ def near_links(prints: DataFrame, radius: int = 4, agree: int = 2) -> DataFrame:
     return laid.mapInArrow(_link_batches(radius), "a long, b long")
 
 
+def _grouped(prints: DataFrame, node: str, links: DataFrame) -> DataFrame:
+    """``(doc_id, <node>, root, component_id)`` from the links between nodes."""
+    roots = components(links).withColumnRenamed("node", node)
+    placed = prints.join(roots, node, "left").withColumn("root", F.coalesce("root", node))
+    least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return placed.join(least, "root").select("doc_id", node, "root", "component_id")
+
+
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
     """``(doc_id, fp, root, component_id)`` for each row of ``docs``.
 
@@ -217,10 +232,125 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     """
     slim = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     prints = cut_lineage(fingerprints(slim, width=width))
-    roots = components(near_links(prints, radius)).select(F.col("node").alias("fp"), "root")
-    placed = prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(least, "root").select("doc_id", "fp", "root", "component_id")
+    return _grouped(prints, "fp", near_links(prints, radius))
+
+
+@dataclass(frozen=True)
+class Wide:
+    """Signatures of several words for a similarity well below one.
+
+    ``tables`` keys of ``key_bits`` bits each, drawn at random from all bits, put rows together; a shared key
+    is enough to be compared.  With these values a pair of similarity 0.8 shares one with probability 0.95, one of 0.9 always.
+    ``slack`` is the number of standard deviations by which the radius exceeds the expected distance.
+    """
+    words: int = 8
+    tables: int = 157
+    key_bits: int = 24
+    slack: float = 1.5
+    seed: int = 9
+
+    def radius(self, similarity: float) -> int:
+        """Bits that differ at this Jaccard similarity: those of sets are at the angle acos(2 s / (1 + s))."""
+        share = acos(2 * similarity / (1 + similarity)) / pi
+        bits = BITS * self.words
+        return round(bits * share + self.slack * (bits * share * (1 - share)) ** 0.5)
+
+
+def wide_signature(hashes: np.ndarray, words: int) -> bytes:
+    """The fingerprint and further ones from remixed hashes, end to end."""
+    more = [hashes if w == 0 else mixed_bits(hashes ^ np.uint64(w * 0xD1342543DE82EF95 & (1 << 64) - 1)) for w in range(words)]
+    return np.array([fingerprint(h) for h in more], "<u8").tobytes()
+
+
+def _signatures(width: int, words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").cast(pa.large_binary())
+            marks = [wide_signature(shingle_hashes(t.as_py() or b"", width), words) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(marks, pa.binary())], ["doc_id", "mark"])
+
+    return run
+
+
+def _table_keys(cfg: Wide):
+    """``(bucket, node)`` for every table; the table's number is part of the bucket."""
+    rng = np.random.default_rng(cfg.seed)
+    chosen = [rng.choice(BITS * cfg.words, cfg.key_bits, replace=False) for _ in range(cfg.tables)]
+    weight = 1 << np.arange(cfg.key_bits, dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                bits = np.unpackbits(np.frombuffer(b"".join(part.column("mark").to_pylist()), np.uint8).reshape(part.num_rows, -1), axis=1, bitorder="little")
+                keys = np.concatenate([bits[:, which] @ weight + (t << cfg.key_bits) for t, which in enumerate(chosen)])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.tile(part.column("node").to_numpy(), cfg.tables), pa.int64())], ["bucket", "node"])
+
+    return run
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows, in order of bucket, whose bucket holds another row; one row is carried from batch to batch."""
+    bucket, node, joined = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+
+    def out(upto: int):
+        same = bucket[1:] == bucket[:-1]
+        keep = np.concatenate(([joined], same)) | np.concatenate((same, [False]))
+        keep = np.flatnonzero(keep[:upto])
+        return pa.RecordBatch.from_arrays([pa.array(bucket[keep]), pa.array(node[keep])], ["bucket", "node"])
+
+    for batch in batches:
+        if batch.num_rows:
+            bucket = np.concatenate((bucket, batch.column("bucket").to_numpy()))
+            node = np.concatenate((node, batch.column("node").to_numpy()))
+            yield out(len(bucket) - 1)
+            joined = bool(bucket[-1] == bucket[-2]) if len(bucket) > 1 else joined
+            bucket, node = bucket[-1:], node[-1:]
+    if len(bucket):
+        yield out(1)
+
+
+def _wide_links(radius: int, rows: int = 1 << 14):
+    """Compares each bucket of rows ``(bucket, node, mark)`` in order of bucket; one may cross batches."""
+    def compare(held: list[pa.RecordBatch], last: bool):
+        table = pa.Table.from_batches(held).combine_chunks()
+        bucket, node = (table.column(c).to_numpy() for c in ("bucket", "node"))
+        end = len(bucket) if last else int(np.searchsorted(bucket, bucket[-1]))
+        marks = np.frombuffer(b"".join(table.column("mark").slice(0, end).to_pylist()), "<u8").reshape(end, -1).astype(np.uint64)
+        a, b = local_links(bucket[:end], marks, radius)
+        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"]), table.slice(end).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        limit = rows
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= limit:
+                out, held = compare(held, False)
+                limit = rows + 2 * sum(b.num_rows for b in held)
+                yield out
+        if sum(b.num_rows for b in held):
+            yield compare(held, True)[0]
+
+    return run
+
+
+def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, cfg: Wide | None = None) -> DataFrame:
+    """``(doc_id, node, root, component_id)`` for each row: groups of texts whose shingle sets are ``similarity`` alike.
+
+    A radius of a few bits finds little below a similarity of 0.95, so texts get wide signatures, meet in buckets of equal
+    key bits and are compared bit plane by bit plane there.  Nulls, blanks, repeats and empty tables are treated as in ``near_groups``.
+    """
+    cfg = cfg or Wide()
+    slim = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    kind = slim.schema["doc_id"].dataType.simpleString()
+    prints = cut_lineage(slim.mapInArrow(_signatures(width, cfg.words), f"doc_id {kind}, mark binary").withColumn("node", F.xxhash64("mark")))
+    nodes = prints.select("node", "mark").dropDuplicates(["node"])
+    buckets = nodes.mapInArrow(_table_keys(cfg), "bucket long, node long")
+    met = buckets.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_shared, "bucket long, node long")
+    laid = met.join(nodes, "node").repartition("bucket").sortWithinPartitions("bucket", "node")
+    links = laid.select("bucket", "node", "mark").mapInArrow(_wide_links(cfg.radius(similarity)), "a long, b long")
+    return _grouped(prints.select("doc_id", "node"), "node", links)
 
 
 def hex_digits(fp: Column) -> Column:

@@ -111,3 +111,35 @@ def test_components_of_a_chain_and_a_star(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(1, 101)} | {i: 500 for i in range(501, 700)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_similar_texts_meet(spark):
+    """Texts of similarity 0.88 and more join their group, unlike ones stay alone."""
+    rng = random.Random(7)
+    words = [f"v{i}" for i in range(4000)]
+    rows, want = [], {}
+    for g in range(60):
+        base = [rng.choice(words) for _ in range(400)]
+        for copy in range(3):
+            w = list(base)
+            for at in rng.sample(range(400), 3 * copy):
+                w[at] = "edited"
+            rows.append((len(rows), " ".join(w), g))
+            want[len(rows) - 1] = 3 * g
+    rows += [(None, rows[0][1], 0), (500, None, 0), (501, " ", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, node long").repartition(6)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()}
+    assert sum(got[d] == c for d, c in want.items()) >= 178
+    assert all(got[d] // 3 == d // 3 for d in want)
+    assert got[None] == 0 and got[500] == got[501] == 500
+    assert simhash.similar_groups(df.limit(0)).count() == 0
+
+
+def test_rows_of_shared_buckets():
+    import pyarrow as pa
+    rng = np.random.default_rng(6)
+    bucket = np.sort(rng.integers(0, 60, 80))
+    for cuts in (1, 7, 40, 80):
+        batches = [pa.RecordBatch.from_arrays([pa.array(b), pa.array(n)], ["bucket", "node"]) for b, n in zip(np.array_split(bucket, cuts), np.array_split(np.arange(80), cuts), strict=True)]
+        out = [n for o in simhash._shared(iter(batches)) for n in o["node"].to_pylist()]
+        assert out == [i for i in range(80) if (bucket == bucket[i]).sum() > 1]

@@ -20,11 +20,15 @@ def word_count(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Mix:
-    """What a mix does: relative weights by rank of the source (repeating), share of all words, cap on copies."""
+    """What a mix does: relative weights by rank of the source (repeating), share of all words, cap on copies.
+
+    ``rounds`` is how often the order is gone on with behind a document that does not fit.
+    """
     weights: tuple[float, ...] = (1.0, 2.0, 3.0)
     share: float = 1.0
     cap: int = 3
     seed: int = 11
+    rounds: int = 3
 
 
 def source_targets(sizes: DataFrame, mix: Mix) -> DataFrame:
@@ -79,44 +83,59 @@ def _with_order(rows: DataFrame, mix: Mix) -> DataFrame:
             .withColumn("_order", F.when((F.col("_chance") > 1e-9) & (F.col("_size") > 0), odds / (1 + odds))))
 
 
+def _round(rows: DataFrame, on: list[str]) -> DataFrame:
+    """``(..., _bound, _filled)`` per source: rows up to the order ``_bound`` come to ``_filled`` words, ``_gap`` at most.
+
+    The bound is found from a histogram of the order keys and then inside one of its cells, so no task sorts the
+    rows of a source.
+    """
+    celled = rows.withColumn("_cell", F.floor(F.col("_order") * CELLS))
+    in_order = Window.partitionBy(*on).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+    cells = celled.groupBy(*on, "_cell").agg(F.sum("_size").alias("_words"), F.first("_gap").alias("_gap")).withColumn("_upto", F.sum("_words").over(in_order))
+    fits = F.col("_upto") <= F.col("_gap")
+    cut = cells.groupBy(*on).agg(F.min(F.when(~fits, F.col("_cell"))).alias("_cut"), F.coalesce(F.max(F.when(fits, F.col("_upto"))), F.lit(0)).alias("_before"))
+    one_cell = Window.partitionBy(*on).orderBy("_order", "_key", "_size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = (celled.join(cut, on).where("_cell = _cut").withColumn("_upto", F.col("_before") + F.sum("_size").over(one_cell)).where(fits)
+              .groupBy(*on).agg(F.max("_order").alias("_last"), F.max("_upto").alias("_reached")))
+    just_below = F.col("_cut") / F.lit(float(CELLS)) * F.lit(1 - 2.0 ** -53)
+    return cut.join(inside, on, "left").select(
+        *on, F.when(F.col("_cut").isNull(), F.lit(1.0)).otherwise(F.coalesce("_last", just_below)).alias("_bound"), F.coalesce("_reached", "_before").alias("_filled"))
+
+
+def _taken(rounds: int) -> Column:
+    """Whether one more copy is taken: in the first round any row up to its bound, later those that fit the gap left."""
+    hit = F.lit(False)
+    for r in range(rounds):
+        reached = F.col("_order") <= F.col(f"_bound{r}")
+        hit = hit | (reached & (F.col("_order") > F.col(f"_bound{r - 1}")) & (F.col("_size") <= F.col(f"_gap{r}")) if r else reached)
+    return F.coalesce(hit, F.lit(False))
+
+
 def plan_mix(measured: DataFrame, mix: Mix) -> DataFrame:
-    """One row a source: target, rate of copies, the order key up to which one more copy is taken, the closing row.
+    """One row a source: target, rate of copies, the bounds of each round, the closing row.
 
     Whole copies are certain; what is then missing to the target is filled with one more copy each in Pareto order
-    until the next document would not fit, and closed by the one document that comes nearest to the words still
-    missing.  The cut is found from a histogram of the order keys, so no task sorts the rows of a source.
+    until the next document would not fit.  Further rounds go on behind it with the documents that do fit, and the gap
+    left at the end is closed by the one document that comes nearest to it.
     """
     on = ["_none", "_source"]
     slim = cut_lineage(measured.select(*PRIVATE))
     sums = slim.groupBy(*on).agg(F.sum(F.col("_size") * F.col("_weight")).alias("_mass"))
     targets = (source_targets(slim, mix).join(sums, on)
                .withColumn("_rate", F.when(F.col("_mass") > 0, F.col("target") / F.col("_mass")).otherwise(F.lit(0.0))))
-    rows = _with_order(slim.join(targets, on), mix).withColumn("_cell", F.floor(F.col("_order") * CELLS))
-    cells = rows.groupBy(*on, "_cell").agg(F.sum("_size").alias("_words"), F.sum(F.col("_whole") * F.col("_size")).alias("_certain"), F.first("target").alias("target"))
-    by_source, in_order = Window.partitionBy(*on), Window.partitionBy(*on).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
-    # at most CELLS + 1 rows a source
-    summed = cells.withColumn("_missing", F.col("target") - F.sum("_certain").over(by_source)).where("_cell is not null").withColumn("_upto", F.sum("_words").over(in_order))
-    cut = summed.groupBy(*on).agg(
-        F.max("_missing").alias("_missing"),
-        F.min(F.when(F.col("_upto") > F.col("_missing"), F.col("_cell"))).alias("_cut"),
-        F.coalesce(F.max(F.when(F.col("_upto") <= F.col("_missing"), F.col("_upto"))), F.lit(0)).alias("_filled"))
-    one_cell = Window.partitionBy(*on).orderBy("_order", "_key", "_size").rowsBetween(Window.unboundedPreceding, 0)
-    inside = (rows.join(cut, on).where(F.col("_cell") == F.col("_cut"))
-              .withColumn("_upto", F.col("_filled") + F.sum("_size").over(one_cell))
-              .where(F.col("_upto") <= F.col("_missing")).groupBy(*on).agg(F.max("_order").alias("_last"), F.max("_upto").alias("_reached")))
-    edges = cut.join(inside, on, "left").select(
-        *on, F.when(F.col("_cut").isNull(), F.lit(1.0)).otherwise(F.coalesce("_last", F.col("_cut") / F.lit(float(CELLS)))).alias("_edge"),
-        (F.col("_cut").isNotNull() & F.col("_last").isNull()).alias("_below"),
-        (F.col("_missing") - F.coalesce("_reached", "_filled")).alias("_gap"))
-    left = rows.join(edges, on).where(F.col("_order").isNotNull() & ~_inside(F.col("_order"), F.col("_edge"), F.col("_below")))
-    misses = F.abs(F.col("_gap") - F.col("_size"))
-    closing = left.where(misses < F.col("_gap")).groupBy(*on).agg(F.min(F.struct(misses.alias("miss"), F.col("_order").alias("order"))).alias("_close"))
-    return (targets.select(*on, "source_size", "target", "_rate").join(edges.drop("_gap"), on, "left").join(closing, on, "left")
-            .select(*on, "source_size", "target", "_rate", "_edge", "_below", F.col("_close.order").alias("_closing")))
-
-
-def _inside(order: Column, edge: Column, below: Column) -> Column:
-    return F.coalesce(F.when(below, order < edge).otherwise(order <= edge), F.lit(False))
+    certain = _with_order(slim.join(targets, on), mix).groupBy(*on).agg(F.sum(F.col("_whole") * F.col("_size")).alias("_certain"))
+    plan = cut_lineage(targets.join(certain, on).withColumn("_gap0", F.col("target") - F.col("_certain")).select(*on, "source_size", "target", "_rate", "_gap0"))
+    for r in range(mix.rounds):
+        rows = _with_order(slim.join(plan, on), mix).where("_order is not null").withColumn("_gap", F.col(f"_gap{r}"))
+        if r:
+            rows = rows.where((F.col("_order") > F.col(f"_bound{r - 1}")) & (F.col("_size") <= F.col("_gap")))
+        found = _round(rows.select(*on, "_key", "_size", "_order", "_gap"), on)
+        plan = cut_lineage(plan.join(found, on, "left").withColumns({
+            f"_bound{r}": F.coalesce("_bound", F.lit(1.0 if r else 0.0)), f"_gap{r + 1}": F.col(f"_gap{r}") - F.coalesce("_filled", F.lit(0))}).drop("_bound", "_filled"))
+    gap = F.col(f"_gap{mix.rounds}")
+    left = _with_order(slim.join(plan, on), mix).where(F.col("_order").isNotNull() & ~_taken(mix.rounds)).withColumn("_miss", F.abs(gap - F.col("_size")))
+    closing = left.where(F.col("_miss") < gap).groupBy(*on).agg(F.min(F.struct("_miss", "_order")).alias("_close"))
+    return plan.join(closing, on, "left").withColumn("_closing", F.col("_close._order")).drop("_close")
 
 
 def mixed(docs: DataFrame, mix: Mix | None = None, key: str = "doc_id", text: str = "text", source: str = "source", weight: str | None = None) -> DataFrame:
@@ -131,6 +150,6 @@ def mixed(docs: DataFrame, mix: Mix | None = None, key: str = "doc_id", text: st
     mix = mix or Mix()
     measured = _measured(docs.drop("source_size", "target", "copies", *(["size"] if weight != "size" else [])), key, text, source, weight, mix)
     rows = _with_order(measured.join(plan_mix(measured, mix), ["_none", "_source"]), mix)
-    more = _inside(F.col("_order"), F.col("_edge"), F.col("_below")) | F.coalesce(F.col("_order") == F.col("_closing"), F.lit(False))
+    more = _taken(mix.rounds) | F.coalesce(F.col("_order") == F.col("_closing"), F.lit(False))
     kept = [F.col(c) for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
     return rows.select(*kept, F.col("_size").alias("size"), "source_size", "target", (F.col("_whole") + more.cast("long")).alias("copies"))

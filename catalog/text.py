@@ -132,10 +132,12 @@ def b08(spark, sf):
 
 
 @query("b09_redact_map", """
-SELECT event_id, '{"k":' || json_extract_string(props, '$.k') || ',"api_token":"<redacted>","note":"' || event_type || ' seen"}' AS redacted FROM events""")
+SELECT event_id, '{"k":' || json_extract_string(props, '$.k') || ',"api_token":"<redacted>","note":"' || event_type || ' seen","a":{"b":[{"c":{"d":{"password":"<redacted>","kept":' ||
+  event_id || '}}}]}}' AS redacted FROM events""")
 def b09(spark, sf):
-    extended = F.concat(F.regexp_replace("props", r"\}\s*$", ""), F.lit(', "api_token": "abc", "note": "'), F.col("event_type"), F.lit('  seen"}'))
-    return V.table(spark, sf, "events").select("event_id", audit.redact_map(extended).alias("redacted"))
+    nested = F.concat(F.lit(', "a": {"b": [{"c": {"d": {"password": "p", "kept": '), F.col("event_id"), F.lit("}}}]}}"))
+    extended = F.concat(F.regexp_replace("props", r"\}\s*$", ""), F.lit(', "api_token": "abc", "note": "'), F.col("event_type"), F.lit('  seen"'), nested)
+    return V.table(spark, sf, "events").select("event_id", audit.redact_map(extended, max_items=8).alias("redacted"))
 
 
 @query("b10_text_summary", rf"""

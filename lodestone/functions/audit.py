@@ -2,67 +2,73 @@
 
 from __future__ import annotations
 
+import hashlib
+import json as jsonlib
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lodestone import model
-from lodestone.functions.text import contains_any, text_summary
-
-MAX_ITEMS = 8
-
-
-def _quoted(text: Column) -> Column:
-    """A JSON string literal."""
-    listed = F.to_json(F.array(text))
-    return F.substring(listed, F.lit(2), F.length(listed) - 2)
-
-
-def _scalar(raw: Column, value: Column, max_chars: int) -> Column:
-    """A JSON scalar: strings are summarised, numbers, booleans and null stay."""
-    kind = F.schema_of_variant(value)
-    return (F.when(value.isNull() | (kind == "VOID"), "null")
-            .when(kind == "STRING", _quoted(text_summary(raw, max_chars))).otherwise(raw))
-
-
-def _object(raw: Column, depth: int, max_chars: int) -> Column:
-    """The first keys of an object in their order, each value redacted, summarised or descended into."""
-    texts, typed = F.from_json(raw, "map<string,string>"), F.from_json(raw, "map<string,variant>")
-
-    def entry(key: Column, i: Column) -> Column:
-        value = F.get(F.map_values(texts), i)
-        shown = F.when(contains_any(key, model.SECRET_KEY_WORDS), F.lit('"<redacted>"')).otherwise(
-            _value(value, F.get(F.map_values(typed), i), depth, max_chars))
-        return F.concat(_quoted(key), F.lit(":"), shown)
-
-    keys = F.map_keys(texts)
-    shown = F.transform(F.slice(keys, 1, MAX_ITEMS), entry)
-    hidden = F.size(keys) - MAX_ITEMS
-    marker = F.when(hidden > 0, F.array(F.concat(F.lit('"_truncated_keys":'), hidden.cast("string")))).otherwise(
-        F.array().cast("array<string>"))
-    return F.concat(F.lit("{"), F.array_join(F.concat(shown, marker), ","), F.lit("}"))
-
-
-def _list(raw: Column, depth: int, max_chars: int) -> Column:
-    texts, typed = F.from_json(raw, "array<string>"), F.from_json(raw, "array<variant>")
-    shown = F.transform(F.slice(texts, 1, MAX_ITEMS), lambda item, i: _value(item, F.get(typed, i), depth, max_chars))
-    hidden = F.size(texts) - MAX_ITEMS
-    marker = F.when(hidden > 0, F.array(F.concat(F.lit('"<truncated_items='), hidden.cast("string"), F.lit('>"')))).otherwise(
-        F.array().cast("array<string>"))
-    return F.concat(F.lit("["), F.array_join(F.concat(shown, marker), ","), F.lit("]"))
-
-
-def _value(raw: Column, value: Column, depth: int, max_chars: int) -> Column:
-    if depth == 0:
-        return _scalar(raw, value, max_chars)
-    kind = F.schema_of_variant(value)
-    return (F.when(kind.startswith("OBJECT"), _object(raw, depth - 1, max_chars))
-            .when(kind.startswith("ARRAY"), _list(raw, depth - 1, max_chars))
-            .otherwise(_scalar(raw, value, max_chars)))
-
+from lodestone.functions.text import WHITE_SPACE
+
+_BLANKS = re.compile(r"[\s\x1c-\x1f]+")
+
+
+class _Raw(str):
+    """A JSON number as it was written."""
+
+
+def _summary(text: str, max_chars: int) -> str:
+    flat = _BLANKS.sub(" ", text).strip(WHITE_SPACE)
+    if len(flat) <= max_chars:
+        return flat
+    return f"{flat[:max_chars]}...<len={len(flat)} sha256={hashlib.sha256(flat.encode()).hexdigest()[:12]}>"
+
+
+def _shown(value, depth: int | None, max_items: int | None, max_chars: int) -> str:
+    """JSON text of a value: secret keys redacted on every level, long strings summarised, long containers cut."""
+    def inner(part) -> str:
+        return _shown(part, None if depth is None else depth - 1, max_items, max_chars)
+
+    if isinstance(value, _Raw):
+        return str(value)
+    if isinstance(value, str):
+        return jsonlib.dumps(_summary(value, max_chars), ensure_ascii=False)
+    if depth is not None and depth < 0 and isinstance(value, dict | list):
+        return jsonlib.dumps(_summary(_shown(value, None, None, max_chars), max_chars), ensure_ascii=False)
+    if isinstance(value, dict):
+        parts = []
+        for key, part in list(value.items())[:max_items]:
+            secret = any(word in key.lower() for word in model.SECRET_KEY_WORDS)
+            parts.append(f"{jsonlib.dumps(key, ensure_ascii=False)}:" + ('"<redacted>"' if secret else inner(part)))
+        if max_items is not None and len(value) > max_items:
+            parts.append(f'"_truncated_keys":{len(value) - max_items}')
+        return "{" + ",".join(parts) + "}"
+    if isinstance(value, list):
+        parts = [inner(part) for part in value[:max_items]]
+        if max_items is not None and len(value) > max_items:
+            parts.append(f'"<truncated_items={len(value) - max_items}>"')
+        return "[" + ",".join(parts) + "]"
+    return jsonlib.dumps(value)
+
+
+def redact_map(json: Column, depth: int | None = None, max_chars: int = 200, max_items: int | None = None) -> Column:
+    """A JSON object as it may be logged: secret keys redacted on every level, long strings summarised.
+
+    ``depth`` levels below the top are shown as JSON; what lies deeper becomes the summary of its redacted text.
+    ``max_items`` cuts objects and lists and says by how much.  Neither is limited by default.  Text that is no JSON
+    object gives null.  A container can be nested as deep as it likes, so this is an Arrow function, not a column tree.
+    """
+    def redact(texts: pd.Series) -> pd.Series:
+        def one(text):
+            try:
+                value = jsonlib.loads(text, parse_int=_Raw, parse_float=_Raw, parse_constant=_Raw) if text is not None else None
+                return _shown(value, depth, max_items, max_chars) if isinstance(value, dict) else None
+            except (ValueError, RecursionError):
+                return None
 
-def redact_map(json: Column, depth: int = 2, max_chars: int = 200) -> Column:
-    """A JSON object as it may be logged: secret keys redacted, at most 8 keys or items per level.
+        return texts.map(one)
 
-    Two levels below the top are descended into; what lies deeper is kept as its JSON text.
-    """
-    return _object(json, depth, max_chars)
+    return F.pandas_udf(redact, "string")(json)

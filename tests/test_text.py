@@ -73,8 +73,13 @@ def test_redact_nested(spark):
     want = '{"API_KEY":"<redacted>","n":1,"s":"a b","in":{"password":"<redacted>","deep":{"token":"<redacted>","ok":true}},"l":[1,"x",{"secret":"<redacted>"},null]}'
     assert values(spark, [raw], audit.redact_map) == [want]
     wide = "{" + ",".join(f'"k{i}": {i}' for i in range(11)) + "}"
-    assert values(spark, [wide], audit.redact_map)[0].endswith('"k7":7,"_truncated_keys":3}')
-    assert '"<truncated_items=2>"' in values(spark, ['{"l": [0,1,2,3,4,5,6,7,8,9]}'], audit.redact_map)[0]
+    cut = lambda c: audit.redact_map(c, max_items=8)
+    assert values(spark, [wide], cut)[0].endswith('"k7":7,"_truncated_keys":3}')
+    assert '"<truncated_items=2>"' in values(spark, ['{"l": [0,1,2,3,4,5,6,7,8,9]}'], cut)[0]
+    deep = '{"a": {"b": {"c": [{"password": "p", "x": 1.50}]}}}'
+    assert values(spark, [deep, "no", None, "[1]"], audit.redact_map) == ['{"a":{"b":{"c":[{"password":"<redacted>","x":1.50}]}}}', None, None, None]
+    assert "p" not in values(spark, [deep.replace('"p"', '"pqpq"')], lambda c: audit.redact_map(c, depth=1))[0].replace("password", "")
+    assert values(spark, [wide], audit.redact_map)[0].endswith('"k10":10}')
 
 
 def test_memory_columns(spark):

@@ -101,16 +101,17 @@ SELECT k.id || '::child_' || lpad(k.i::VARCHAR, 4, '0') AS chunk_id, parent_chun
   length(k.t)::INTEGER AS text_chars, length(p.t)::INTEGER AS parent_text_chars, is_gold AS is_gold_parent FROM kids k JOIN parents p ON p.parent_chunk_id = k.id"""
 
 
-SAMPLE_SIZE = 300
-V.SQL["sampled"] = f"""
+# all gold documents and a tenth of the corpus
+V.SQL["sampled"] = """
 SELECT doc_id, source_type, true AS is_gold FROM docs SEMI JOIN gold_ids USING (doc_id) UNION ALL
 SELECT doc_id, source_type, false FROM (SELECT *, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS r FROM docs ANTI JOIN gold_ids USING (doc_id))
-WHERE r <= greatest({SAMPLE_SIZE} - (SELECT count(*) FROM gold_ids), 0)"""
+WHERE r <= (SELECT count(*) // 10 FROM docs)"""
 
 
 def sampled(spark, sf):
     docs = V.docs(spark, sf).select("doc_id", "source_type")
-    return sampling.sample_gold_plus_background(docs, gold_ids(spark, sf), SAMPLE_SIZE)
+    gold = gold_ids(spark, sf)
+    return sampling.sample_gold_plus_background(docs, gold, gold.count() + docs.count() // 10)
 
 
 @query("c01_sample_gold_plus_background", V.ctes(*GOLD, "sampled") + " SELECT * FROM sampled")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone import model
-from lodestone.sources.files import spread
+from lodestone.session import SCAN_PARTITIONS
 
 SOURCE_LIST = ", ".join(f"'{s}'" for s in model.ALLOWED_SOURCES)
 KS = [1, 5, 10, 20]
@@ -21,8 +21,9 @@ def ctes(*names: str) -> str:
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    scan = spark.read.parquet(f"{sf}/{name}.parquet")
-    return spread(scan) if name in ("documents", "pages") else scan
+    """A given table.  A session may ask for long texts to be dealt out anew: local files often are one row group."""
+    scan, parts = spark.read.parquet(f"{sf}/{name}.parquet"), spark.conf.get(SCAN_PARTITIONS, None)
+    return scan.repartition(int(parts)) if parts and name in ("documents", "pages") else scan
 
 
 def source_of(number) -> F.Column:

@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Set by local sessions only: partitions into which the registered queries deal long texts after a scan.
+SCAN_PARTITIONS = "lodestone.scan.partitions"
+
+
 def local_session(cores: str = "*", app: str = "lodestone", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and benches; on a cluster the caller brings its own."""
     return (
@@ -17,6 +21,7 @@ def local_session(cores: str = "*", app: str = "lodestone", shuffle_partitions:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config(SCAN_PARTITIONS, str(shuffle_partitions))
         .config("spark.driver.memory", "12g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.streaming.stateStore.providerClass",

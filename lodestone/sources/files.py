@@ -8,26 +8,13 @@ from pyspark.sql import functions as F
 
 from lodestone import model
 from lodestone.functions.text import clean_text, normalize_list
-
-FILE_CAP = 20 * 1024 * 1024
-BATCH_CAP = 200 * 1024 * 1024
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Give every core work where a fresh scan has fewer partitions than the session has cores.
-
-    For files of few row groups; a large scan has more partitions than cores and stays as it is.  Only for
-    plain scans: asking a plan with shuffles for its partitions would run them.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
+from lodestone.session import stack
 
 def scan_documents(spark: SparkSession, path: str, names: dict[str, str] | None = None) -> DataFrame:
     """The four document columns and no others; ``names`` maps them to other column names."""
     names = names or {}
     columns = [F.col(names.get(c, c)).cast("string").alias(c) for c in ("doc_id", "source_type", "title", "content")]
-    return spread(spark.read.parquet(path).select(*columns))
+    return spark.read.parquet(path).select(*columns)
 
 
 def normalize_questions(raw: DataFrame) -> DataFrame:
@@ -60,9 +47,9 @@ def expected_ids(questions: DataFrame) -> DataFrame:
 
 
 def scan_jsonl(spark: SparkSession, path: str, schema: str, limit: int | None = None) -> DataFrame:
-    """One object per line with a given schema; blank lines are skipped."""
+    """One object per line with a given schema; blank lines are skipped.  ``limit`` takes the smallest by the first column."""
     rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    return rows if limit is None else rows.limit(limit)
+    return rows if limit is None else rows.orderBy(*rows.columns[:1]).limit(limit)
 
 
 def clean_groups(groups: Column) -> Column:
@@ -115,28 +102,38 @@ def decode_text(content: Column) -> Column:
 
 
 def scan_text_files(spark: SparkSession, folder: str, extensions: tuple[str, ...] = ("txt", "md"),
-                    file_cap: int = FILE_CAP, batch_cap: int = BATCH_CAP) -> DataFrame:
-    """``(path, content, text)`` of the allowed files under a folder.
+                    file_cap: int | None = None, batch_cap: int | None = None) -> DataFrame:
+    """``(path, content, text, status)``: a row for each of the allowed files under a folder.
 
-    Files over the cap are left out by their listed size, before they are read; a batch over its cap is
-    an error, as it is at the upload endpoint.  A file that is neither UTF-8 nor GBK gives no row, nor does
-    one of no bytes, which the scan itself leaves out.
+    ``status`` is ``read``, ``not_text`` where the bytes are neither UTF-8 nor GBK, or ``too_large`` for a file over
+    ``file_cap`` bytes, which is judged by its listed size and not read.  A folder whose files under the cap come to more than
+    ``batch_cap`` bytes is an error, as it is at the upload endpoint.  Both caps are off unless given.  A file of no
+    bytes gives no row, since the scan itself leaves it out.
     """
     glob = "*.{" + ",".join(extensions) + "}"
-    listed = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-              .option("recursiveFileLookup", "true").load(folder).filter(F.col("length") <= file_cap))
-    total = listed.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).scalar()
-    message = F.lit(f"upload batch is larger than {batch_cap} bytes")
-    checked = listed.filter(F.when(total > batch_cap, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
-    return checked.select("path", "content", decode_text(F.col("content")).alias("text")).filter("text IS NOT NULL")
+    listed = (spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder))
+    small = listed if file_cap is None else listed.filter(F.col("length") <= file_cap)
+    if batch_cap is not None:
+        total = small.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).scalar()
+        message = F.lit(f"upload batch is larger than {batch_cap} bytes")
+        small = small.filter(F.when(total > batch_cap, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
+    decoded = small.select("path", "content", decode_text(F.col("content")).alias("text"))
+    read = decoded.withColumn("status", F.when(F.col("text").isNull(), "not_text").otherwise("read"))
+    if file_cap is None:
+        return read
+    large = listed.filter(F.col("length") > file_cap).select(
+        "path", F.lit(None).cast("binary").alias("content"), F.lit(None).cast("string").alias("text"), F.lit("too_large").alias("status"))
+    return stack(read, large)
 
 
 def ingest_new_files(files: DataFrame, registry: DataFrame) -> DataFrame:
     """Files whose content is new: ``(md5, path, status, text)``; status is ``loaded`` or ``empty``.
 
     Copies are grouped by digest before the registry is asked, so a content with many copies costs one row.
-    The first path of a content stands for it.  Register only what was loaded (``to_register``).
+    The first path of a content stands for it.  Files without content (see the status of ``scan_text_files``) are passed
+    over.  Register only what was loaded (``to_register``).
     """
+    files = files.filter("text IS NOT NULL")
     digested = files.select(F.md5("content").alias("md5"), "path")
     first = digested.groupBy("md5").agg(F.min("path").alias("path"))
     new = first.join(registry.select("md5"), "md5", "left_anti")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DETAIL_COLUMNS = [
@@ -43,13 +43,27 @@ def write_run_artifacts(folder: str, run_id: str, config: DataFrame, summary: Da
             "ignoreNullFields", "false").json(f"{folder}/{name}")
 
 
+def trace_date(time: str) -> Column:
+    """The UTC date of a time, whatever zone the session is in."""
+    return F.to_date(F.to_utc_timestamp(F.col(time), F.current_timezone()))
+
+
 def append_traces(traces: DataFrame, folder: str, time: str = "created_at") -> None:
     """Append traces under the UTC date of their time."""
-    dated = traces.withColumn("trace_date", F.to_date(F.to_utc_timestamp(F.col(time), F.current_timezone())))
+    dated = traces.withColumn("trace_date", trace_date(time))
     dated.write.partitionBy("trace_date").mode("append").parquet(folder)
 
 
 def find_trace(spark: SparkSession, folder: str, debug_id: str) -> DataFrame:
-    """The trace with this id, of the newest date that has it."""
-    found = spark.read.parquet(folder).filter(F.col("debug_id") == debug_id)
-    return found.orderBy(F.col("trace_date").desc(), "created_at").limit(1)
+    """The trace with this id, of the newest date that has it.
+
+    Dates are tried from the newest on, each as one pruned scan, and older ones are not read once it is found.
+    """
+    traces = spark.read.parquet(folder)
+    mine = traces.filter(F.col("debug_id") == debug_id)
+    # the names of the partitions, not their rows
+    for row in traces.select("trace_date").distinct().orderBy(F.desc("trace_date")).toLocalIterator():
+        found = mine.filter(F.col("trace_date") == row["trace_date"])
+        if not found.isEmpty():
+            return found.orderBy("created_at").limit(1)
+    return mine.limit(0)

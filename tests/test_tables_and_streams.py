@@ -20,7 +20,11 @@ def test_text_files(spark, tmp_path):
     (tmp_path / "f.txt").write_bytes(b"\xff\xfe\xfa")
     (tmp_path / "g.txt").write_text("y" * 100)
     rows = files.scan_text_files(spark, str(tmp_path), file_cap=50)
-    assert sorted(r.text for r in rows.collect()) == [" ", "hello", "hello", "知识库"]
+    assert sorted(r.text for r in rows.collect() if r.status == "read") == [" ", "hello", "hello", "知识库"]
+    assert {r.path[-5:]: r.status for r in rows.collect() if r.status != "read"} == {"f.txt": "not_text", "g.txt": "too_large"}
+    (tmp_path / "big").mkdir()
+    (tmp_path / "big" / "h.txt").write_text("z" * (21 << 20))
+    assert [(len(r.text), r.status) for r in files.scan_text_files(spark, str(tmp_path / "big")).collect()] == [(21 << 20, "read")]
     with pytest.raises(Exception, match="larger than"):
         files.scan_text_files(spark, str(tmp_path), file_cap=50, batch_cap=3).collect()
     registry = spark.createDataFrame([], "md5 string")

@@ -208,17 +208,23 @@ def d07(spark, sf):
     return plan.lexical_channel(asked, corpus, 20, decisions(spark, sf)).withColumn("score", F.round("score", 6))
 
 
+# queries by turns: no rule, sources and titles, a source no list names, a kind alone
 @query("d07_hard_filter_dense", V.ctes(*KNN[:3]) + """
 SELECT query_id, item_id, rank::INTEGER AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM sims
-  WHERE query_id::INTEGER % 2 = 0 OR (source_type IN ('slack', 'jira') AND label IN ('1', '2', '3'))) WHERE rank <= 20""")
+  WHERE CASE query_id::INTEGER % 4 WHEN 0 THEN true WHEN 1 THEN source_type IN ('slack', 'jira') AND item_id::INTEGER % 3 <> 0 AND label IN ('1', '2', '3')
+    WHEN 2 THEN item_id::INTEGER % 3 = 0 ELSE item_id::INTEGER % 2 = 0 END) WHERE rank <= 20""")
 def d07_dense(spark, sf):
     queries = centroids(spark, sf)
-    texts = "array<string>"
-    rules = queries.select("query_id", F.when(F.col("query_id").cast("int") % 2 == 0, "none").otherwise("hard").alias("mode"),
-                           F.array(F.lit("slack"), F.lit("jira")).alias("source_types"), F.array().cast(texts).alias("doc_semantic_types"),
-                           F.array(F.lit("Group 1"), F.lit("group 2"), F.lit("GROUP-3")).alias("title_keywords"), F.array().cast(texts).alias("section_keywords"))
-    rows = filters.dense_attributes(vectors(spark, sf).withColumn("doc_semantic_type", F.lit("generic_doc")).withColumn("section_heading", F.lit("")))
-    return dense.knn_exact(filters.dense_filters(queries, rules), rows, 20).withColumn("score", F.round("score", 6))
+    turn, number, texts = F.col("query_id").cast("int") % 4, F.col("item_id").cast("int"), "array<string>"
+    listed = lambda *names: F.array(*[F.lit(n) for n in names]).cast(texts)
+    at = lambda n, value: F.when(turn == n, value).otherwise(listed())
+    rules = queries.select(
+        "query_id", F.when(turn == 0, "none").otherwise("hard").alias("mode"),
+        F.when(turn == 2, listed("unlisted")).otherwise(at(1, listed("slack", "jira"))).alias("source_types"), at(3, listed("new kind")).alias("doc_semantic_types"),
+        at(1, listed("Group 1", "group 2", "GROUP-3")).alias("title_keywords"), listed().alias("section_keywords"))
+    rows = (vectors(spark, sf).withColumn("source_type", F.when(number % 3 == 0, "unlisted").otherwise(F.col("source_type")))
+            .withColumn("doc_semantic_type", F.when(number % 2 == 0, "new kind").otherwise("generic_doc")).withColumn("section_heading", F.lit("")))
+    return dense.knn_exact(filters.dense_filters(queries, rules), filters.dense_attributes(rows), 20).withColumn("score", F.round("score", 6))
 
 
 @query("d08_phrase_match", f"""

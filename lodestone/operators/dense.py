@@ -1,9 +1,9 @@
 """Nearest neighbours by cosine similarity, over all vectors or within a key such as a user.
 
-Queries and vectors meet as matrices: the vectors of a batch become one row per cell, the queries of a cell
-are packed in small blocks, and an equi-join on (cell, block, salt) brings them together.  A task multiplies two matrices and
-emits the best k per query, never a pair per row.  The packed queries are broadcast only where Spark finds
-them below its threshold; beyond it both sides are shuffled, salted so that no block waits for one task.
+Over all vectors these stay where they are: a block of queries of bounded bytes goes to every task, which keeps the best k
+per query while it reads its vectors; more queries than fit one block are answered in rounds.  Within a key, queries and
+vectors meet as matrices: the vectors of a batch become one row per cell, the queries of a cell are packed in small
+blocks, and an equi-join on (cell, block, salt) brings them together.  No task emits a pair per row.
 """
 
 from __future__ import annotations
@@ -16,12 +16,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.ranking import keep_top
+from lodestone.session import cut_lineage
 
 QUERIES_PER_BLOCK = 256
 BYTES_PER_PACK = 8 << 20
 SALTS = 32
-FILTER_COLUMNS = ("category", "title", "section")
-QUERY_FILTERS = ("allowed", "title_phrases", "section_phrases", "before")
+#: Bytes of query vectors that are sent to every task at once.
+BYTES_PER_ROUND = 32 << 20
+FILTER_COLUMNS = ("category", "source_type", "doc_semantic_type", "title", "section")
+QUERY_FILTERS = ("allowed", "allowed_sources", "allowed_kinds", "title_phrases", "section_phrases", "before")
+#: Lists of a query and the columns of a vector that must be in them; a null or empty list admits all.
+MEMBERSHIPS = (("allowed", "category"), ("allowed_sources", "source_type"), ("allowed_kinds", "doc_semantic_type"))
 
 
 def _pack_vectors(bits: int, seed: int):
@@ -57,54 +62,133 @@ def _pack_vectors(bits: int, seed: int):
                     for name in ("ordinal", *names):
                         rows[name].append(batch.column(name).take(pa.array(part)).to_pylist())
             text = pa.list_(pa.string())
-            types = [pa.int64(), text, pa.int32(), pa.binary(), pa.list_(pa.int64()), text, text, text]
+            types = [pa.int64(), text, pa.int32(), pa.binary(), pa.list_(pa.int64()), *[text] * len(names)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(v, t) for v, t in zip(rows.values(), types)], names=list(rows))
 
     return pack
 
 
+def _admitted(query: dict, columns: dict, cache: dict):
+    """A mask of the vectors that a query may see; None where it may see all.  Equal lists are looked up once."""
+    import numpy as np
+
+    masks = []
+    for wanted, name in MEMBERSHIPS:
+        if query.get(wanted) is not None and len(query[wanted]):
+            at = (name, *query[wanted])
+            if at not in cache:
+                cache[at] = np.isin(np.asarray(columns[name], dtype=object).astype(str), np.asarray(query[wanted], dtype=object).astype(str))
+            masks.append(cache[at])
+    for wanted, name in (("title_phrases", "title"), ("section_phrases", "section")):
+        if query.get(wanted) is not None and len(query[wanted]):
+            at = (name, *query[wanted])
+            if at not in cache:
+                cache[at] = np.fromiter((t is not None and any(p in t for p in query[wanted]) for t in columns[name]), bool, len(columns[name]))
+            masks.append(cache[at])
+    if query.get("before") is not None:
+        masks.append(np.asarray(columns["ordinal"]) < query["before"])
+    return np.logical_and.reduce(masks) if masks else None
+
+
+def _unit(matrix):
+    import numpy as np
+
+    length = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
+
+
 def _best_of_packs(k: int):
     def score(frames: Iterator) -> Iterator:
         import numpy as np
         import pandas as pd
 
-        def admits(query, row):
-            """Which rows of the pack this query may see; None where it may see all."""
-            masks = []
-            if query["allowed"] is not None and len(query["allowed"]):
-                allowed = set(query["allowed"])
-                masks.append([c in allowed for c in row.category])
-            for phrases, texts in ((query["title_phrases"], row.title), (query["section_phrases"], row.section)):
-                if phrases is not None and len(phrases):
-                    masks.append([any(p in t for p in phrases) for t in texts])
-            if query["before"] is not None:
-                masks.append([o < query["before"] for o in row.ordinal])
-            return np.logical_and.reduce(masks) if masks else None
-
         for frame in frames:
-            out = []
+            asked, names, values = [], [], []
             for row in frame.itertuples(index=False):
                 matrix = np.frombuffer(row.matrix, dtype=np.float64).reshape(-1, row.width)
-                queries = np.array([np.asarray(q["embedding"], dtype=np.float64) for q in row.queries])
-                length = np.linalg.norm(queries, axis=1, keepdims=True)
-                unit = np.divide(queries, length, out=np.zeros_like(queries), where=length > 0)
-                scores = np.round(unit @ matrix.T, 9) + 0.0
-                ids = np.asarray(row.ids, dtype=object)
+                queries = _unit(np.array([np.asarray(q["embedding"], dtype=np.float64) for q in row.queries]))
+                scores = np.round(queries @ matrix.T, 9) + 0.0
+                ids, cache, columns = np.asarray(row.ids, dtype=object), {}, row._asdict()
                 for query, line in zip(row.queries, scores):
-                    seen = admits(query, row)
-                    names, values = (ids, line) if seen is None else (ids[seen], line[seen])
-                    if len(values) > k:
+                    seen = _admitted(query, columns, cache)
+                    found, line = (ids, line) if seen is None else (ids[seen], line[seen])
+                    if len(line) > k:
                         # all ties of the k-th best go on; the final cut breaks them by id
-                        least = np.partition(values, len(values) - k)[len(values) - k]
-                        names, values = names[values >= least], values[values >= least]
-                    out.append(pd.DataFrame({"query_id": query["query_id"], "item_id": names, "score": values}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
+                        least = np.partition(line, len(line) - k)[len(line) - k]
+                        found, line = found[line >= least], line[line >= least]
+                    asked.append(np.full(len(line), query["query_id"], dtype=object))
+                    names.append(found)
+                    values.append(line)
+            if asked:
+                yield pd.DataFrame({"query_id": np.concatenate(asked), "item_id": np.concatenate(names), "score": np.concatenate(values)})
 
     return score
 
 
+def _best_of_scan(block, k: int):
+    """Reads a partition's vectors once and keeps the best k per query of a broadcast block."""
+    def score(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        queries = block.value
+        unit = _unit(np.array([q["embedding"] for q in queries], dtype=np.float64))
+        best: list[tuple] = [(np.zeros(0), np.zeros(0, dtype=object))] * len(queries)
+        for batch in batches:
+            batch = batch.filter(batch.column("embedding").is_valid())
+            if not batch.num_rows:
+                continue
+            flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
+            matrix = _unit(flat.astype(np.float64).reshape(batch.num_rows, -1))
+            ids = np.asarray(batch.column("item_id").to_pylist(), dtype=object)
+            columns = {c: batch.column(c).to_pylist() for c in (*FILTER_COLUMNS, "ordinal") if c in batch.schema.names}
+            cache: dict = {}
+            for low in range(0, len(queries), QUERIES_PER_BLOCK):
+                scores = np.round(unit[low:low + QUERIES_PER_BLOCK] @ matrix.T, 9) + 0.0
+                for i, line in enumerate(scores, low):
+                    seen = _admitted(queries[i], columns, cache)
+                    found, line = (ids, line) if seen is None else (ids[seen], line[seen])
+                    held, held_ids = best[i]
+                    if len(held) >= k:
+                        near = line >= held[-1]
+                        found, line = found[near], line[near]
+                    elif len(line) > k:
+                        least = np.partition(line, len(line) - k)[len(line) - k]
+                        found, line = found[line >= least], line[line >= least]
+                    if len(line):
+                        line, found = np.concatenate((held, line)), np.concatenate((held_ids, found))
+                        order = sorted(range(len(line)), key=lambda j: (-line[j], found[j]))[:k]
+                        best[i] = (line[order], found[order])
+        sizes = [len(v) for v, _ in best]
+        yield pa.RecordBatch.from_arrays([
+            pa.array([q["query_id"] for q, n in zip(queries, sizes, strict=True) for _ in range(n)], pa.string()),
+            pa.array([i for _, ids in best for i in ids], pa.string()), pa.array([v for values, _ in best for v in values], pa.float64())],
+            ["query_id", "item_id", "score"])
+
+    return score
+
+
+def _search_all(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    spark = queries.sparkSession
+    given = [c for c in QUERY_FILTERS if c in queries.columns]
+    # written once, so that an embedding model is called once for each query
+    asked = cut_lineage(queries.select("query_id", F.transform("embedding", lambda v: v.cast("double")).alias("embedding"), *given))
+    size = asked.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width")).first()
+    rounds = -(-size["n"] * max(size["width"] or 0, 1) * 8 // BYTES_PER_ROUND)
+    needed = [c for c in FILTER_COLUMNS if c in vectors.columns and given] + (["ordinal"] if "before" in given else [])
+    rows = vectors.select("item_id", "embedding", *needed)
+    found = None
+    for turn in range(rounds):
+        block = [r.asDict() for r in asked.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == turn).where("embedding is not null").collect()]
+        if not block:
+            continue
+        shared = spark.sparkContext.broadcast(block)  # about BYTES_PER_ROUND
+        part = rows.mapInArrow(_best_of_scan(shared, k), "query_id string, item_id string, score double")
+        found = part if found is None else found.union(part)
+    return empty_ranking(queries) if found is None else keep_top(found, k)
+
+
 def _search(queries: DataFrame, vectors: DataFrame, k: int, bits: int, flips: int, seed: int) -> DataFrame:
     def column(df: DataFrame, name: str, default) -> Column:
         return (F.coalesce(F.col(name), default) if name in df.columns else default).alias(name)
@@ -113,8 +197,7 @@ def _search(queries: DataFrame, vectors: DataFrame, k: int, bits: int, flips: in
     rows = vectors.select("item_id", "embedding", cell, column(vectors, "ordinal", F.lit(-1).cast("bigint")),
                           *[column(vectors, c, F.lit("")) for c in FILTER_COLUMNS])
     packs = rows.mapInArrow(
-        _pack_vectors(bits, seed), "cell bigint, ids array<string>, width int, matrix binary, ordinal array<bigint>, "
-        "category array<string>, title array<string>, section array<string>")
+        _pack_vectors(bits, seed), "cell bigint, ids array<string>, width int, matrix binary, ordinal array<bigint>, " + ", ".join(f"{c} array<string>" for c in FILTER_COLUMNS))
     texts, number = F.lit(None).cast("array<string>"), F.lit(None).cast("bigint")
     wide = queries.select(
         "query_id", F.transform("embedding", lambda v: v.cast("double")).alias("embedding"), cell,
@@ -156,10 +239,10 @@ def empty_ranking(df: DataFrame) -> DataFrame:
 def knn_exact(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """The k most similar vectors per query: ``(query_id, item_id, score, rank)``.
 
-    ``queries`` may carry ``allowed`` categories and phrases (see ``filters.dense_filters``); they are
-    applied before the cut to k.
+    ``queries`` may carry allowed sources and kinds and phrases (see ``filters.dense_filters``); they are
+    applied before the cut to k.  A vector is read once for each ``BYTES_PER_ROUND`` of queries.
     """
-    return empty_ranking(queries) if k <= 0 else _search(queries, vectors, k, 0, 0, 0)
+    return empty_ranking(queries) if k <= 0 else _search_all(queries, vectors, k)
 
 
 def knn_within(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:

@@ -55,25 +55,18 @@ def filter_by_source(rows: DataFrame, source_type: str) -> DataFrame:
 
 
 def dense_filters(queries: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Give each query the category and phrase lists that ``knn_exact`` applies inside its matrices."""
+    """Give each query the lists that ``knn_exact`` applies while it scores; an empty list is no test."""
     side = decisions.filter("mode = 'hard'").select("query_id", *[_given(F.col(c)).alias(f"_{c}") for c in LISTS])
     joined = queries.join(side, "query_id", "left")
-    sources = F.when(F.size("_source_types") > 0, F.col("_source_types")).otherwise(
-        F.array(*[F.lit(s) for s in model.ALLOWED_SOURCES]))
-    kinds = F.when(F.size("_doc_semantic_types") > 0, F.col("_doc_semantic_types")).otherwise(
-        F.array(*[F.lit(s) for s in model.SEMANTIC_TYPES]))
-    pairs = F.flatten(F.transform(sources, lambda s: F.transform(kinds, lambda k: F.concat_ws("|", s, k))))
-    constrained = (F.size("_source_types") > 0) | (F.size("_doc_semantic_types") > 0)
     return joined.select(
-        *queries.columns, F.when(constrained, pairs).alias("allowed"),
+        *queries.columns, F.col("_source_types").alias("allowed_sources"), F.col("_doc_semantic_types").alias("allowed_kinds"),
         F.transform("_title_keywords", padded).alias("title_phrases"),
         F.transform("_section_keywords", padded).alias("section_phrases"))
 
 
 def dense_attributes(rows: DataFrame) -> DataFrame:
     """The columns of vectors that ``dense_filters`` is matched against."""
-    return rows.withColumn("category", F.concat_ws("|", "source_type", "doc_semantic_type")).withColumn(
-        "section", padded(F.col("section_heading"))).withColumn("title", padded(F.col("title")))
+    return rows.withColumn("section", padded(F.col("section_heading"))).withColumn("title", padded(F.col("title")))
 
 
 def _boosted(rows: DataFrame, matches: Column, boost: float, keep: list[str]) -> DataFrame:

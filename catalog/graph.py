@@ -112,8 +112,6 @@ def f06(spark, sf):
 
 V.SQL["d0"] = "SELECT DISTINCT query_id, relation_id FROM seeds JOIN rels ON entity_id = src_entity_id OR entity_id = tgt_entity_id"
 V.SQL["reach"] = """
-SELECT DISTINCT query_id, e AS entity_id FROM (SELECT query_id, unnest([src_entity_id, tgt_entity_id]) AS e FROM d0 JOIN rels USING (relation_id)) ANTI JOIN seeds ON seeds.query_id = query_id AND seeds.entity_id = e"""
-V.SQL["reach"] = """
 SELECT query_id, e AS entity_id FROM (SELECT DISTINCT query_id, unnest([src_entity_id, tgt_entity_id]) AS e FROM d0 JOIN rels USING (relation_id)) WHERE (query_id, e) NOT IN (SELECT (query_id, entity_id) FROM seeds)"""
 V.SQL["d1"] = "SELECT DISTINCT query_id, relation_id FROM reach JOIN rels ON entity_id = src_entity_id OR entity_id = tgt_entity_id WHERE (query_id, relation_id) NOT IN (SELECT (query_id, relation_id) FROM d0)"
 V.SQL["dists"] = "SELECT *, 0 AS depth FROM d0 UNION ALL SELECT *, 1 FROM d1"

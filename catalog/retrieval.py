@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from catalog import query
 from catalog import views as V
 from lodestone.operators import context, dense, filters, fusion, lexical, metrics, rerank, subqueries, webresults
 from lodestone.plans import retrieve as plan
+from lodestone.session import shared_folder
 
 SQL = V.SQL
 
@@ -76,6 +78,16 @@ def cte_text(parts: dict[str, str]) -> str:
     return ",\n".join(f"{n} AS ({b})" for n, b in parts.items())
 
 
+@query("d02_bm25_search_stored", V.ctes(*V.BM25) + """
+SELECT query_id, item_id, rank::INTEGER AS rank, round(score, 6) AS score FROM bm25""")
+def d02_stored(spark, sf):
+    """The index is saved and loaded again before it is searched."""
+    folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    lexical.bm25_index(V.items(spark, sf)).save(folder)
+    found = lexical.bm25_search(V.questions(spark, sf), None, 20, index=lexical.LexicalIndex.load(spark, folder))
+    return found.withColumn("score", F.round("score", 6))
+
+
 @query("d03_bm25_search_parents", V.ctes("pitems", "ptexts", "questions") + "," + cte_text(PARENT_CTES) + """
 SELECT query_id, item_id, rank::INTEGER AS rank, round(score, 6) AS score FROM bm25""")
 def d03(spark, sf):

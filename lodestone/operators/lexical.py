@@ -1,12 +1,14 @@
 """BM25 over whole corpora for whole batches of questions.
 
-A search shuffles by item only: tokens of the questions are the only ones kept, they are laid out by
-item once, and from there term counts, scores and the first cut to k need no further shuffle of the
-corpus.  Term frequencies over documents are pre-aggregated, so a word in every document is no hot key.
+An index is one row per item: its length and its terms with their counts, counted inside the row.  It is written once, and
+length statistics and document frequencies come from it.  A search sends the weighted terms of its questions, whose counted
+rows are few, to every task, which scores the items it reads and keeps the best k per question: neither tokens nor
+scored pairs are shuffled.  With more terms than that, or several corpora in one index, postings and terms are joined.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,27 +17,39 @@ from pyspark.sql import functions as F
 from lodestone import model
 from lodestone.functions.tokens import tokenize
 from lodestone.operators.ranking import keep_top
-from lodestone.session import stack
+from lodestone.session import cut_lineage, stack
+
+#: Rows of weighted question terms that may be sent to every task.
+BROADCAST_TERMS = 1_000_000
+#: Cells of the score matrix that a task holds at once.
+SCORE_CELLS = 1 << 22
 
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """``postings(term, item_id, tf, doc_len)``, ``terms(term, df)``, ``stats(n_docs, avgdl)``."""
+    """``rows(item_id, doc_len, terms array<struct<term, tf>>)`` with the columns of ``by``; ``stats(n_docs, avgdl)``."""
 
-    postings: DataFrame
-    terms: DataFrame
+    rows: DataFrame
     stats: DataFrame
+    by: tuple[str, ...] = ()
+
+    @property
+    def postings(self) -> DataFrame:
+        """``(term, item_id, tf, doc_len)``."""
+        return self.rows.select(*self.by, "item_id", "doc_len", F.explode("terms").alias("t")).select(*self.by, "t.term", "item_id", "t.tf", "doc_len")
+
+    @property
+    def terms(self) -> DataFrame:
+        """``(term, df)``; counts are added up within each task first, so a word in every item is no hot key."""
+        return self.rows.select(*self.by, F.explode("terms.term").alias("term")).groupBy(*self.by, "term").agg(F.count("*").alias("df"))
 
     def save(self, folder: str) -> None:
-        """Write the index; postings lie sorted by term, so a search reads few row groups."""
-        self.postings.repartitionByRange("term", "item_id").sortWithinPartitions("term").write.mode(
-            "overwrite").parquet(f"{folder}/postings")
-        self.terms.write.mode("overwrite").parquet(f"{folder}/terms")
+        self.rows.write.mode("overwrite").parquet(f"{folder}/rows")
         self.stats.write.mode("overwrite").parquet(f"{folder}/stats")
 
     @classmethod
-    def load(cls, spark, folder: str) -> LexicalIndex:
-        return cls(*(spark.read.parquet(f"{folder}/{name}") for name in ("postings", "terms", "stats")))
+    def load(cls, spark, folder: str, by: tuple[str, ...] = ()) -> LexicalIndex:
+        return cls(*(spark.read.parquet(f"{folder}/{name}") for name in ("rows", "stats")), by)
 
 
 def query_terms(questions: DataFrame, mode: str = "child") -> DataFrame:
@@ -44,58 +58,168 @@ def query_terms(questions: DataFrame, mode: str = "child") -> DataFrame:
     return tokens.groupBy("query_id", "term").agg(F.count("*").alias("qf"))
 
 
-def bm25_index(items: DataFrame, mode: str = "child", terms: DataFrame | None = None, by: tuple[str, ...] = ()) -> LexicalIndex:
-    """Index ``items(item_id, text)``.
+def _counted(by: list[str]):
+    """Token lists to distinct terms with their counts, one dictionary for each batch."""
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            tokens = batch.column("tokens")
+            sizes = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            words = tokens.flatten().dictionary_encode()
+            if isinstance(words, pa.ChunkedArray):
+                words = words.combine_chunks()
+            codes, n_words = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(1, len(words.dictionary))
+            keys, counts = np.unique(np.repeat(np.arange(len(sizes)), sizes) * n_words + codes, return_counts=True)
+            offsets = np.searchsorted(keys // n_words, np.arange(len(sizes) + 1)).astype(np.int32)
+            pairs = pa.StructArray.from_arrays([words.dictionary.take(pa.array(keys % n_words)), pa.array(counts, pa.int64())], ["term", "tf"])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in by), batch.column("item_id"), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pairs)],
+                [*by, "item_id", "doc_len", "terms"])
+
+    return run
+
 
-    ``child`` counts items without tokens, ``parent`` leaves them out.  ``terms`` restricts the postings
-    to the terms a batch of questions can score; lengths and corpus statistics stay those of the whole.
-    ``by`` names columns that split the items into corpora with statistics of their own.
+def bm25_index(items: DataFrame, mode: str = "child", by: tuple[str, ...] = ()) -> LexicalIndex:
+    """Index ``items(item_id, text)``: one pass over the texts, no shuffle of them.
+
+    ``child`` counts items without tokens, ``parent`` leaves them out.  ``by`` names columns that split the items into
+    corpora with statistics of their own.
     """
     tokenized = items.select(*by, "item_id", tokenize(F.col("text"), mode).alias("tokens"))
-    lengths = tokenized.select(*by, F.size("tokens").alias("doc_len"))
+    empty = F.lit(None).cast("array<struct<term:string,tf:bigint>>")
+    schema = tokenized.select(*by, "item_id", F.lit(0).cast("int").alias("doc_len"), empty.alias("terms")).schema
+    rows = tokenized.mapInArrow(_counted(list(by)), schema)
     if mode == "parent":
-        lengths = lengths.filter("doc_len > 0")
-    stats = lengths.groupBy(*by).agg(
-        F.count("*").alias("n_docs"),
-        (F.sum("doc_len") / F.greatest(F.count("*"), F.lit(1))).alias("avgdl"))
-    # the outer form keeps Spark from inferring a filter on the array, which would tokenize twice
-    tokens = tokenized.select(*by, "item_id", F.size("tokens").alias("doc_len"),
-                              F.explode_outer("tokens").alias("term")).filter("term IS NOT NULL")
-    if terms is not None:
-        tokens = tokens.join(terms.select("term").distinct(), "term", "left_semi").repartition("item_id")
-    postings = tokens.groupBy(*by, "item_id", "doc_len", "term").agg(F.count("*").alias("tf"))
-    # counting on tf keeps this branch on the same exchange as the postings themselves
-    frequencies = postings.groupBy(*by, "term").agg(F.count_if(F.col("tf") > 0).alias("df"))
-    return LexicalIndex(postings.select(*by, "term", "item_id", "tf", "doc_len"), frequencies, stats)
+        rows = rows.filter("doc_len > 0")
+    rows = cut_lineage(rows)
+    stats = rows.groupBy(*by).agg(
+        F.count("*").alias("n_docs"), (F.sum("doc_len") / F.greatest(F.count("*"), F.lit(1))).alias("avgdl"))
+    return LexicalIndex(rows, stats, by)
 
 
 def idf(n_docs: Column, df: Column) -> Column:
     return F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
 
 
-def bm25_scores(terms: DataFrame, index: LexicalIndex, by: tuple[str, ...] = ()) -> DataFrame:
-    """``(query_id, item_id, score)`` for every item that holds a query term, per corpus of ``by``."""
-    found = terms.join(index.terms, "term")
+def weighted_terms(terms: DataFrame, index: LexicalIndex) -> DataFrame:
+    """``(query_id, term, avgdl, weight)``: question terms that some item holds, with their weights."""
+    by = list(index.by)
+    wanted = terms.select("term").distinct()
+    frequencies = index.postings.select(*by, "term").join(F.broadcast(wanted) if wanted.count() <= BROADCAST_TERMS else wanted, "term", "left_semi")
+    found = terms.join(frequencies.groupBy(*by, "term").agg(F.count("*").alias("df")), "term")
     if by:
-        found = found.join(index.stats, list(by))
+        found = found.join(index.stats, by)
     else:
-        found = found.withColumn("n_docs", index.stats.select("n_docs").scalar()).withColumn(
-            "avgdl", index.stats.select("avgdl").scalar())
-    weighted = found.select(*by, "query_id", "term", F.greatest("avgdl", F.lit(1e-9)).alias("avgdl"),
-                            (F.col("qf") * idf(F.col("n_docs"), F.col("df"))).alias("weight"))
+        found = found.withColumn("n_docs", index.stats.select("n_docs").scalar()).withColumn("avgdl", index.stats.select("avgdl").scalar())
+    return found.select(*by, "query_id", "term", F.greatest("avgdl", F.lit(1e-9)).alias("avgdl"), (F.col("qf") * idf(F.col("n_docs"), F.col("df"))).alias("weight"))
+
+
+def bm25_scores(terms: DataFrame, index: LexicalIndex) -> DataFrame:
+    """``(query_id, item_id, score)`` for every item that holds a query term, per corpus of ``by``.
+
+    All postings of an item come to one task, so its sums need no shuffle of scored pairs.
+    """
+    by, weighted = list(index.by), cut_lineage(weighted_terms(terms, index))
+    small = weighted.count() <= BROADCAST_TERMS
     k1, b = model.BM25_K1, model.BM25_B
     saturation = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("avgdl")))
-    return (
-        index.postings.join(weighted, [*by, "term"])
-        .groupBy(*by, "query_id", "item_id")
-        .agg(F.round(F.sum(F.col("weight") * saturation), 9).alias("score"))
-    )
+    wanted = weighted.select("term").distinct()
+    kept = index.postings.join(F.broadcast(wanted) if small else wanted, "term", "left_semi").repartition("item_id")
+    return (kept.join(F.broadcast(weighted) if small else weighted, [*by, "term"])
+            .groupBy("item_id", *by, "query_id").agg(F.round(F.sum(F.col("weight") * saturation), 9).alias("score"))
+            .select(*by, "query_id", "item_id", "score"))
 
 
-def bm25_search(questions: DataFrame, items: DataFrame, k: int, mode: str = "child", by: tuple[str, ...] = ()) -> DataFrame:
-    """The k best items per question: ``(query_id, item_id, score, rank)``; ties go to the smaller id."""
+def _best_of_rows(shared, k: int):
+    """Scores a partition's items against all broadcast questions and keeps the best k of each."""
+    k1, b = model.BM25_K1, model.BM25_B
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        names, vocabulary, owners, weights, avgdl = shared.value
+        words = pa.array(vocabulary, pa.string())
+        best: list[tuple] = [(np.zeros(0), np.zeros(0, dtype=object))] * len(names)
+        step = max(1, SCORE_CELLS // max(1, len(names)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                terms = part.column("terms")
+                pairs = terms.flatten()
+                code = pc.index_in(pairs.field("term"), words).fill_null(-1).to_numpy(zero_copy_only=False)
+                item = np.repeat(np.arange(part.num_rows), terms.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                hit = np.flatnonzero(code >= 0)
+                if not len(hit):
+                    continue
+                hit = hit[np.argsort(code[hit], kind="stable")]
+                code, item = code[hit], item[hit]
+                tf = pairs.field("tf").to_numpy(zero_copy_only=False)[hit]
+                length = part.column("doc_len").to_numpy(zero_copy_only=False)[item]
+                saturation = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avgdl))
+                scores, seen = np.zeros((len(names), part.num_rows)), np.zeros((len(names), part.num_rows), bool)
+                starts = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+                for lo, hi in zip(starts, [*starts[1:], len(code)], strict=True):
+                    cells = np.ix_(owners[code[lo]], item[lo:hi])
+                    scores[cells] += weights[code[lo]][:, None] * saturation[lo:hi]
+                    seen[cells] = True
+                ids = np.asarray(part.column("item_id").to_pylist(), dtype=object)
+                for q in np.flatnonzero(seen.any(axis=1)):
+                    mine = np.flatnonzero(seen[q])
+                    line, found = np.round(scores[q, mine], 9), ids[mine]
+                    held, held_ids = best[q]
+                    if len(held) >= k:
+                        near = line >= held[-1]
+                        line, found = line[near], found[near]
+                    elif len(line) > k:
+                        near = line >= np.partition(line, len(line) - k)[len(line) - k]
+                        line, found = line[near], found[near]
+                    if len(line):
+                        line, found = np.concatenate((held, line)), np.concatenate((held_ids, found))
+                        order = sorted(range(len(line)), key=lambda j: (-line[j], found[j]))[:k]
+                        best[q] = (line[order], found[order])
+        yield pa.RecordBatch.from_arrays([
+            pa.array([n for n, (v, _) in zip(names, best, strict=True) for _ in v], pa.string()),
+            pa.array([i for _, ids in best for i in ids], pa.string()), pa.array([v for values, _ in best for v in values], pa.float64())],
+            ["query_id", "item_id", "score"])
+
+    return run
+
+
+def _search_rows(weighted: DataFrame, index: LexicalIndex, k: int) -> DataFrame:
+    """The k best of each question from an index of one corpus; ``weighted`` was counted and is small."""
+    import numpy as np
+
+    table = weighted.toPandas()
+    table["owner"], names = table["query_id"].factorize()
+    grouped = table.groupby("term", sort=True)
+    vocabulary, owners, weights = [], [], []
+    for term, rows in grouped:
+        vocabulary.append(term)
+        owners.append(rows["owner"].to_numpy())
+        weights.append(rows["weight"].to_numpy(np.float64))
+    avgdl = float(table["avgdl"].iloc[0]) if len(table) else 1.0
+    shared = index.rows.sparkSession.sparkContext.broadcast(([str(n) for n in names], vocabulary, owners, weights, avgdl))
+    rows = index.rows.select(F.col("item_id").cast("string").alias("item_id"), "doc_len", "terms")
+    return keep_top(rows.mapInArrow(_best_of_rows(shared, k), "query_id string, item_id string, score double"), k)
+
+
+def bm25_search(questions: DataFrame, items: DataFrame | None, k: int, mode: str = "child", by: tuple[str, ...] = (),
+                index: LexicalIndex | None = None) -> DataFrame:
+    """The k best items per question: ``(query_id, item_id, score, rank)``; ties go to the smaller id.
+
+    An ``index`` that was built or loaded before is searched as it is; else ``items`` are indexed first.
+    """
+    index = bm25_index(items, mode, by) if index is None else index
     terms = query_terms(questions, mode)
-    return keep_top(bm25_scores(terms, bm25_index(items, mode, terms, by), by), k, [*by, "query_id"])
+    if not index.by and k > 0:
+        weighted = cut_lineage(weighted_terms(terms, index))
+        if weighted.count() <= BROADCAST_TERMS:
+            return _search_rows(weighted, index, k)
+    return keep_top(bm25_scores(terms, index), k, [*index.by, "query_id"])
 
 
 def bm25_search_children(questions: DataFrame, children: DataFrame, k: int) -> DataFrame:
@@ -122,7 +246,7 @@ def bm25_multifield(questions: DataFrame, rows: DataFrame, k: int, boosts: dict[
     per_field = []
     for field, boost in boosts.items():
         items = rows.select("item_id", F.coalesce(F.col(field), F.lit("")).alias("text"))
-        scored = bm25_scores(terms, bm25_index(items.filter("text <> ''"), "child", terms))
+        scored = bm25_scores(terms, bm25_index(items.filter("text <> ''"), "child"))
         per_field.append(scored.withColumn("score", F.round(F.col("score") * boost, 9)))
     for field in keyword_fields:
         values = rows.filter(F.coalesce(F.col(field), F.lit("")) != "").select(

@@ -122,7 +122,7 @@ def lexical_channel(probes: DataFrame, corpus: Corpus, k: int, decisions: DataFr
     if decisions is None:
         return lexical.bm25_search_children(probes, corpus.children, k)
     terms = lexical.query_terms(probes)
-    scored = lexical.bm25_scores(terms, lexical.bm25_index(corpus.children.select("item_id", "text"), "child", terms))
+    scored = lexical.bm25_scores(terms, lexical.bm25_index(corpus.children.select("item_id", "text"), "child"))
     attributed = scored.join(corpus.children.select("item_id", *ATTRIBUTES), "item_id")
     return keep_top(filters.hard_filter(attributed, decisions).select("query_id", "item_id", "score"), k)
 

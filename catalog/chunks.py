@@ -241,19 +241,19 @@ def c10(spark, sf):
 SELECT lang, count(DISTINCT doc_id) AS documents, count(line) AS total_chunks, coalesce(round(avg(length(line)), 2), 0) AS average_chunk_chars,
   coalesce(min(length(line)), 0)::INTEGER AS min_chunk_chars, coalesce(max(length(line)), 0)::INTEGER AS max_chunk_chars,
   round(count(line) / count(DISTINCT doc_id), 2) AS average_chunks_per_doc
-FROM documents LEFT JOIN (SELECT * FROM line_chunks WHERE length(line) >= 40) USING (doc_id) GROUP BY lang""")
+FROM documents LEFT JOIN line_chunks USING (doc_id) GROUP BY lang""")
 def c09(spark, sf):
     docs = V.table(spark, sf, "documents").select("doc_id", "lang")
-    chunks = line_arrays(spark, sf).select("doc_id", F.explode("pieces").alias("text")).filter(F.length("text") >= 40)
+    chunks = line_arrays(spark, sf).select("doc_id", F.explode("pieces").alias("text"))
     return chunking.chunk_stats(docs, chunks.join(docs, "doc_id").withColumn("text_chars", F.length("text")), ["lang"])
 
 
 @query("c09_chunk_stats_total", V.ctes("line_chunks") + """
 SELECT count(DISTINCT doc_id) AS documents, count(line) AS total_chunks, round(avg(length(line)), 2) AS average_chunk_chars,
   min(length(line))::INTEGER AS min_chunk_chars, max(length(line))::INTEGER AS max_chunk_chars, round(count(line) / count(DISTINCT doc_id), 2) AS average_chunks_per_doc
-FROM documents LEFT JOIN (SELECT * FROM line_chunks WHERE length(line) >= 40) USING (doc_id)""")
+FROM documents LEFT JOIN line_chunks USING (doc_id)""")
 def c09_total(spark, sf):
-    chunks = line_arrays(spark, sf).select("doc_id", F.explode("pieces").alias("text")).filter(F.length("text") >= 40)
+    chunks = line_arrays(spark, sf).select("doc_id", F.explode("pieces").alias("text"))
     return chunking.chunk_stats(V.table(spark, sf, "documents").select("doc_id"), chunks.withColumn("text_chars", F.length("text")))
 
 

@@ -513,9 +513,9 @@ def d26(spark, sf):
     return subqueries.rewrite_queries(rows).select("query_id", "query")
 
 
-@query("d27_substitute_queries", "SELECT b.item_id::VARCHAR AS query_id, coalesce(nullif(d.text, ''), b.text) AS query FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id * 50")
+@query("d27_substitute_queries", "SELECT b.item_id::VARCHAR AS query_id, coalesce(nullif(d.text, ''), b.text) AS query FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id")
 def d27(spark, sf):
-    given = V.table(spark, sf, "documents").filter("doc_id % 50 = 0").select((F.col("doc_id") / 50).cast("bigint").cast("string").alias("query_id"), "text")
+    given = V.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("query_id"), "text")
     return subqueries.substitute_queries(V.questions(spark, sf), given).select("query_id", "query")
 
 
@@ -536,8 +536,9 @@ def acl_rows(spark, sf):
         (F.col("o_custkey")).cast("string").alias("query_id"), F.col("o_orderkey").cast("string").alias("item_id"), F.concat(F.lit("u"), F.col("o_orderkey") % 50).alias("owner_user_id"),
         F.col("o_orderpriority").alias("knowledge_base_id"), F.when(F.col("o_totalprice") > 450000, "enterprise_public").otherwise("private").alias("visibility"))
     queries = V.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("query_id"), F.concat(F.lit("u"), F.col("c_custkey") % 50).alias("user_id"))
-    grants = orders.filter("o_custkey % 7 = 0").select(F.concat(F.lit("u"), F.col("o_custkey") % 50).alias("user_id"), F.col("o_orderpriority").alias("knowledge_base_id")).filter(
-        F.col("knowledge_base_id") == F.when(F.substring("user_id", 2, 2).cast("int") % 2 == 0, "1-URGENT").otherwise("5-LOW"))
+    own = F.when(F.col("o_custkey") % 50 % 2 == 0, "1-URGENT").otherwise("5-LOW")
+    base = F.when((F.col("o_custkey") % 7 == 0) & (F.col("o_orderpriority") == own), F.col("o_orderpriority")).otherwise("closed")
+    grants = orders.select(F.concat(F.lit("u"), F.col("o_custkey") % 50).alias("user_id"), base.alias("knowledge_base_id"))
     return rows, queries, grants
 
 

@@ -110,9 +110,10 @@ def orders_checked(spark, sf):
         F.concat(F.when(F.col("o_orderkey") % 5 == 0, "industry trends of ").otherwise("state of "), F.col("o_custkey").cast("string")).alias("query"),
         (F.col("o_orderkey") % 41 == 0).alias("security_flag"), F.when(F.col("o_orderstatus") == "F", "hard").otherwise("soft").alias("mode"),
         (F.col("o_orderkey") % 2).cast("int").alias("fallback_count"), (F.col("o_orderkey") % 3).cast("int").alias("retry_count"), F.lit(1).alias("max_retries"))
-    lines = V.table(spark, sf, "lineitem").filter("l_returnflag <> 'R'").select(
-        F.col("l_orderkey").cast("string").alias("query_id"), F.concat(F.lit("sq"), F.col("l_linenumber") % 3).alias("s"))
-    selected = lines.select("query_id", F.array("s").alias("matched_sub_query_ids"))
+    lines = V.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("query_id"), "l_returnflag", F.concat(F.lit("sq"), F.col("l_linenumber") % 3).alias("s"))
+    matched = F.when(F.col("l_returnflag") != "R", F.array("s")).otherwise(F.array().cast("array<string>"))
+    selected = lines.select("query_id", matched.alias("matched_sub_query_ids"))
     subs = orders.filter("o_orderpriority = '1-URGENT'").select(
         F.col("o_orderkey").cast("string").alias("query_id"), F.explode(F.array(F.lit("sq0"), F.lit("sq1"), F.lit("sq2"))).alias("sub_query_id"))
     emptied = orders.filter("o_orderpriority = '5-LOW' AND o_orderkey % 10 = 0").select(F.col("o_orderkey").cast("string").alias("query_id"))
@@ -124,7 +125,7 @@ SELECT *, CASE WHEN split THEN n_matched ELSE any_document::BIGINT END AS n_cove
   any_document AND (NOT split OR n_matched = 3) AS enough_evidence FROM (
   SELECT o_orderkey::VARCHAR AS query_id, o_orderkey, o_custkey, o_orderstatus, o_orderpriority = '1-URGENT' AS split, o_orderpriority = '5-LOW' AND o_orderkey % 10 = 0 AS acl_emptied,
     coalesce(n, 0) AS n_documents, coalesce(m, 0) AS n_matched, coalesce(n, 0) > 0 AND NOT (o_orderpriority = '5-LOW' AND o_orderkey % 10 = 0) AS any_document
-  FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_linenumber % 3) AS m FROM lineitem WHERE l_returnflag <> 'R' GROUP BY ALL) ON l_orderkey = o_orderkey)"""
+  FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, count(DISTINCT CASE WHEN l_returnflag <> 'R' THEN l_linenumber % 3 END) AS m FROM lineitem GROUP BY ALL) ON l_orderkey = o_orderkey)"""
 
 
 @query("e06_evidence_check", V.ctes("checked") + """

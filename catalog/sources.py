@@ -173,13 +173,13 @@ def a03(spark, sf):
 
 
 @query("a04_load_questions_jsonl", r"""
-SELECT conv_id::VARCHAR AS question_id, '' AS question_type, 0::BIGINT AS n_sources, CASE WHEN conv_id % 3 = 0 THEN '' ELSE 'x' || conv_id || '/y|z' END AS groups FROM conversations WHERE turn = 0""")
+SELECT conv_id || '-' || turn AS question_id, '' AS question_type, 0::BIGINT AS n_sources, CASE WHEN conv_id % 3 = 0 THEN '' ELSE 'x' || conv_id || '/y|z' END AS groups FROM conversations""")
 def a04(spark, sf):
     path = folder(spark)
     c = F.col("conv_id")
     groups = F.when(c % 3 == 0, F.lit('[[], [" "], "none", null]')).otherwise(F.concat(F.lit('[[" x'), c, F.lit('", null, "y "], [""], ["z"], 7]')))
-    lines = V.table(spark, sf, "conversations").filter("turn = 0").select(F.concat(
-        F.lit('{"question_id": "'), c, F.lit('", "question": "q", "source_types": null, "required_evidence_groups": '), groups, F.lit("}")).alias("value"))
+    lines = V.table(spark, sf, "conversations").select(F.concat(
+        F.lit('{"question_id": "'), c, F.lit("-"), F.col("turn"), F.lit('", "question": "q", "source_types": null, "required_evidence_groups": '), groups, F.lit("}")).alias("value"))
     lines.write.text(path)
     loaded = files.load_questions_jsonl(spark, path)
     shown = F.array_join(F.transform("required_evidence_groups", lambda g: F.array_join(g, "/")), "|")
@@ -215,10 +215,10 @@ def a08(spark, sf):
 
 
 @query("a09_write_run_artifacts", """
-SELECT kind, 'run-1' AS run_id, count(*) AS n FROM (SELECT 'config' AS kind FROM region WHERE r_regionkey = 0 UNION ALL SELECT 'summary' FROM nation UNION ALL SELECT 'details' FROM customer UNION ALL SELECT 'failures' FROM supplier) GROUP BY ALL""")
+SELECT kind, 'run-1' AS run_id, count(*) AS n FROM (SELECT 'config' AS kind FROM region UNION ALL SELECT 'summary' FROM nation UNION ALL SELECT 'details' FROM customer UNION ALL SELECT 'failures' FROM supplier) GROUP BY ALL""")
 def a09(spark, sf):
     path = folder(spark)
-    parts = [V.table(spark, sf, "region").filter("r_regionkey = 0"), *[V.table(spark, sf, n) for n in ("nation", "customer", "supplier")]]
+    parts = [V.table(spark, sf, n) for n in ("region", "nation", "customer", "supplier")]
     sinks.write_run_artifacts(path, "run-1", *parts)
     counts = [spark.read.json(f"{path}/{kind}").groupBy("run_id").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "run_id", "n")
               for kind in ("config", "summary", "details", "failures")]

@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.session import cut_lineage
 
-TOKEN = r"[0-9]+(?:[.,:][0-9]+)*|[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*|[%°$€£]|[.!?\n]"
-STOPS = [".", "!", "?", "\n"]
-NUMBER, UNIT, NAME = "<num>", "<unit>", "<name>"
+NAME, NUMBER, UNIT = "\x01", "\x02", "\x03"
 # fixed values: units that count as such right after a number
 UNITS = ["%", "°", "$", "€", "£", "mm", "cm", "m", "km", "mg", "g", "kg", "ml", "l", "s", "ms", "min", "h", "hz", "v", "w", "kw", "mb", "gb", "tb",
          "inch", "inches", "foot", "feet", "yard", "yards", "mile", "miles", "ounce", "ounces", "pound", "pounds", "meter", "meters", "metre", "metres",
@@ -27,64 +25,106 @@ class Leaks:
     window: int = 5
     coverage: float = 0.8
     literal: int = 2
-    conflicts: float = 0.2
+    conflicts: float = 0.1
     broadcast_rows: int = 1_000_000
 
 
-def _templates(df: DataFrame, text: str, w: int) -> DataFrame:
-    """``df`` with ``_raw`` tokens and ``_made``, the same tokens with numbers, units and names as placeholders.
+def marked(text: Column) -> Column:
+    """Words parted by single blanks, in lower case; names, numbers and units behind a number have their mark in front.
 
-    A capital marks a name unless it begins a sentence; sentence ends are dropped from both arrays.
+    A capital marks a name unless it begins a line or sentence; points within a number become ``_``.
     """
-    first = lambda x: F.substring(x, 1, 1)
-    is_number = lambda x: first(x).between("0", "9")
+    out = F.regexp_replace(F.coalesce(text, F.lit("")), r"\p{Lu}(?<=[\p{Ll}\p{N},;:] .)[\p{L}\p{M}]*", NAME + "$0")
+    out = F.regexp_replace(F.lower(out), r"(?<=[0-9])[.,:](?=[0-9])", "_")
+    out = F.regexp_replace(out, r"(?<![a-z\p{L}\p{N}_])[0-9][0-9_]*", NUMBER + "$0 ")
+    out = F.regexp_replace(out, r"[^a-z0-9_\x01-\x03%°$€£\p{L}\p{M}\p{N}]+", " ")
+    return F.regexp_replace(out, f"({NUMBER}[^ ]* +)(" + "|".join("\\" + u if u in "$" else u for u in UNITS) + r")(?=[ \x01-\x03]|$)", "$1" + UNIT + "$2")
 
-    def made(x: Column, i: Column) -> Column:
-        previous = F.element_at("_all", i)  # the token before: i counts from 0, element_at from 1
-        return (F.when(x.isin(STOPS), "").when(is_number(x), NUMBER)
-                .when((i > 0) & F.lower(x).isin(UNITS) & is_number(previous), UNIT)
-                .when((first(x) != F.lower(first(x))) & (i > 0) & ~previous.isin(STOPS), NAME)
-                .otherwise(F.lower(x)))
 
-    return (df.withColumn("_all", F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), F.lit(0)))
-            .withColumn("_made", F.filter(F.transform("_all", made), lambda x: x != "")))
+def template(words: Column) -> Column:
+    """The marked text with bare marks instead of names, numbers and units."""
+    return F.regexp_replace(words, r"([\x01-\x03])[^ ]+", "$1")
 
 
-def _raw(tokens: Column) -> Column:
-    return F.filter(tokens, lambda x: ~x.isin(STOPS))
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, " "), lambda x: x != "")
 
 
 def _windows(made: Column, w: int) -> Column:
-    """Hashes of all runs of ``w`` template tokens."""
+    """Hashes of all runs of ``w`` template words."""
     last = F.size(made) - w
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(made, i + 1, w))))
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.array_join(F.slice(made, i + 1, w), " "))))
+
+
+def _all_windows(df: DataFrame, kept: list[str], w: int) -> DataFrame:
+    """``kept`` columns of ``df``, ``pos``, ``hash``, ``tokens`` and ``templates`` of every window of ``_text``.
+
+    Every window comes in two forms, with names as placeholders and as words: a copy may have lost its capitals.
+    """
+    laid = df.withColumn("_marked", marked(F.col("_text"))).select(
+        *kept, _words(F.col("_marked")).alias("_raw"), F.explode(F.array(template(F.col("_marked")), template(nameless(F.col("_marked"))))).alias("_form"))
+    cut = laid.select(*kept, "_raw", _words(F.col("_form")).alias("_made"))
+    return (cut.select(*kept, "_raw", "_made", F.posexplode(_windows(F.col("_made"), w)).alias("pos", "hash"))
+            .select(*kept, "pos", "hash", F.slice("_raw", F.col("pos") + 1, w).alias("tokens"), F.slice("_made", F.col("pos") + 1, w).alias("templates"))
+            .dropDuplicates([*kept, "pos", "hash"]))
+
+
+def nameless(words: Column) -> Column:
+    """The marked text with names as plain words."""
+    return F.replace(words, F.lit(NAME), F.lit(""))
 
 
 def item_windows(items: DataFrame, cfg: Leaks, key: str = "item_id", text: str = "text") -> DataFrame:
-    """``(item_id, hash, item_pos, tokens, templates, n, rare)``: one row for each distinct informative window.
+    """``(item_id, hash, item_pos, tokens, templates, same, n, need, rare)``: every window that is not mostly placeholders.
 
-    ``rare`` marks the windows of an item that the fewest items share, one more than a leak may miss, so every leak holds
-    one of them.  Items of one id are read as one; those with no informative window have no row.
+    Windows count in stretches of ``need`` consecutive ones: ``cfg.window`` of them, or one where an item has no such
+    stretch; shorter stretches are left out.  ``same`` names a window whatever its form, ``n`` counts the distinct ones.
+    ``rare`` marks the windows that the fewest items share, one more than a leak may miss, so every leak holds one.
     """
     w = cfg.window
-    laid = (_templates(items.select(F.col(key).alias("item_id"), F.col(text).alias("_text")), "_text", w)
-            .select("item_id", _raw(F.col("_all")).alias("_raw"), "_made", F.posexplode(_windows(F.col("_made"), w)).alias("item_pos", "hash"))
-            .select("item_id", "hash", "item_pos", F.slice("_raw", F.col("item_pos") + 1, w).alias("tokens"), F.slice("_made", F.col("item_pos") + 1, w).alias("templates"))
-            .where(F.size(F.filter("templates", lambda x: ~x.isin(NUMBER, UNIT, NAME))) >= cfg.literal))
-    one = laid.groupBy("item_id", "hash").agg(F.min(F.struct("item_pos", "tokens", "templates")).alias("at")).select("item_id", "hash", "at.*")
-    shared = one.groupBy("hash").agg(F.count("*").alias("items"))
-    counts = one.groupBy("item_id").agg(F.count("*").alias("n"))
-    order = F.row_number().over(Window.partitionBy("item_id").orderBy("items", "hash"))
-    return (one.join(shared, "hash").join(counts, "item_id")
-            .withColumn("rare", order <= F.col("n") - F.ceil(F.col("n") * cfg.coverage - 1e-9) + 1).drop("items"))
+    laid = (_all_windows(items.select(F.col(key).alias("item_id"), F.col(text).alias("_text")), ["item_id"], w).withColumnRenamed("pos", "item_pos")
+            .where(F.size(F.filter("templates", lambda x: ~F.substring(x, 1, 1).isin(NAME, NUMBER, UNIT))) >= cfg.literal)
+            .withColumn("same", F.xxhash64(F.array_join(F.transform("tokens", lambda x: F.regexp_replace(x, r"^[\x01-\x03]", "")), " "))))
+    run = F.col("item_pos") - F.dense_rank().over(Window.partitionBy("item_id").orderBy("item_pos"))
+    long = F.count_distinct("item_pos") >= w
+    runs = laid.withColumn("_run", run)
+    lengths = runs.groupBy("item_id", "_run").agg(long.alias("_long"))
+    needs = lengths.groupBy("item_id").agg(F.when(F.max("_long"), w).otherwise(1).alias("need"))
+    laid = runs.join(lengths, ["item_id", "_run"]).join(needs, "item_id").where(F.col("_long") | (F.col("need") == 1)).drop("_run", "_long")
+    shared = laid.groupBy("hash").agg(F.count_distinct("item_id").alias("_items"))
+    one = laid.join(shared, "hash").groupBy("item_id", "same").agg(F.max("_items").alias("_items"))
+    order = F.row_number().over(Window.partitionBy("item_id").orderBy("_items", "same"))
+    n = F.count("*").over(Window.partitionBy("item_id"))
+    rare = one.withColumn("n", n).withColumn("rare", order <= F.col("n") - F.ceil(F.col("n") * cfg.coverage - 1e-9) + 1).drop("_items")
+    return laid.join(rare, ["item_id", "same"]).select("item_id", "hash", "item_pos", "tokens", "templates", "same", "n", "need", "rare")
+
+
+def _touched(docs: DataFrame, known: DataFrame, near, cfg: Leaks) -> DataFrame:
+    """Ids of documents with a window of some item at every ``cfg.window``-th place.
+
+    A stretch of that many windows holds one of them, so this misses no leak of an item that asks for such a stretch; the
+    windows of shorter items are looked for at every place.
+    """
+    word, w = "[^ ]+", cfg.window
+    text = docs.select("doc_id", marked(F.col("_text")).alias("_marked")).select("doc_id", template(F.col("_marked")).alias("_made"), template(nameless(F.col("_marked"))).alias("_plain"))
+
+    def hits(pattern: str, group: int, wanted: DataFrame) -> DataFrame:
+        found = F.concat(*[F.regexp_extract_all(c, F.lit(pattern), F.lit(group)) for c in ("_made", "_plain")])
+        return text.select("doc_id", F.explode(found).alias("_w")).select("doc_id", F.xxhash64("_w").alias("hash")).join(near(wanted.select("hash").distinct()), "hash", "left_semi").select("doc_id")
+
+    out = hits(f"{word}(?: {word}){{{w - 1}}}", 0, known)
+    short = known.where(F.col("need") < w)
+    if not short.isEmpty():
+        out = out.union(hits(f"(?<![^ ])(?=({word}(?: {word}){{{w - 1}}}))", 1, short))
+    return out.distinct()
 
 
 def leaks(docs: DataFrame, items: DataFrame, cfg: Leaks | None = None, key: str = "doc_id", text: str = "text",
           item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """``(doc_id, item_id, n_windows, matched, coverage, slots, changed)`` for each document that holds an item.
 
-    Both sides are cut into tokens whose numbers, units and names become typed placeholders, and windows of template tokens
-    meet in a hash join.  Per occurrence (one offset between document and item) each value of the item must stand for one
+    Both sides are cut into words whose numbers, units and names become typed placeholders, and windows of template words
+    meet in a hash join, with names as placeholders or as words; they count in stretches of ``cfg.window`` consecutive ones.  Per occurrence (one offset between document and item) each value of the item must stand for one
     value in the document; an occurrence with more contradictions than ``cfg.conflicts`` of its slots does not count.  An
     item leaks where ``cfg.coverage`` of its distinct windows are found.  ``changed`` counts slots with another value:
     more than zero means a re-parameterised question.
@@ -95,34 +135,31 @@ def leaks(docs: DataFrame, items: DataFrame, cfg: Leaks | None = None, key: str
     cfg = cfg or Leaks()
     w = cfg.window
     known = cut_lineage(item_windows(items, cfg, item_key, item_text))
-    rare = known.where("rare").select("item_id", "hash")
-    small = rare.count() <= cfg.broadcast_rows and known.count() <= 5 * cfg.broadcast_rows
+    small = known.count() <= cfg.broadcast_rows
     near = F.broadcast if small else (lambda side: side)  # a checked size; beyond it both sides are shuffled
-
-    made = _templates(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text")), "_text", w)
-    found = made.select("doc_id", F.explode(_windows(F.col("_made"), w)).alias("hash")).join(near(rare), "hash")
-    candidates = cut_lineage(found.select("doc_id", "item_id").distinct())
-
-    held = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text")).join(
-        candidates.select("doc_id").distinct().withColumnRenamed("doc_id", "_doc"), F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi")
-    placed = (_templates(held, "_text", w)
-              .select("doc_id", _raw(F.col("_all")).alias("_raw"), F.posexplode(_windows(F.col("_made"), w)).alias("doc_pos", "hash"))
-              .select("doc_id", "doc_pos", "hash", F.slice("_raw", F.col("doc_pos") + 1, w).alias("doc_tokens")))
-    met = placed.join(near(known), "hash").join(
-        candidates.withColumnsRenamed({"doc_id": "_doc", "item_id": "_item"}),
-        F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("item_id").eqNullSafe(F.col("_item")), "left_semi")
-    met = met.withColumn("offset", F.col("doc_pos") - F.col("item_pos"))
+    texts = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text"))
+    touched = cut_lineage(_touched(texts, known, near, cfg)).withColumnRenamed("doc_id", "_doc")
+    held = texts.join(touched, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi")
+    placed = cut_lineage(_all_windows(held, ["doc_id"], w).withColumnsRenamed({"pos": "doc_pos", "tokens": "doc_tokens"}).drop("templates")
+                         .join(near(known.select("hash").distinct()), "hash", "left_semi"))
+    pairs = placed.join(near(known.where("rare").select("item_id", "hash").distinct()), "hash").select(F.col("doc_id").alias("_doc"), F.col("item_id").alias("_item")).distinct()
+    met = placed.join(near(known), "hash").join(pairs, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("item_id").eqNullSafe(F.col("_item")), "left_semi")
     here = ["doc_id", "item_id", "offset"]
-
-    slot = F.explode(F.filter(F.arrays_zip("templates", "tokens", "doc_tokens"), lambda s: s["templates"].isin(NUMBER, UNIT, NAME)))
-    values = (met.select(*here, slot.alias("s")).groupBy(*here, "s.templates", F.lower("s.tokens").alias("theirs"))
-              .agg(F.count_distinct(F.lower("s.doc_tokens")).alias("values"), F.max((F.lower("s.doc_tokens") != F.lower("s.tokens")).cast("long")).alias("changed")))
+    met = met.withColumn("offset", F.col("doc_pos") - F.col("item_pos")).dropDuplicates([*here, "item_pos", "doc_tokens"])
+    # stretches of consecutive windows at one offset
+    run = F.col("item_pos") - F.dense_rank().over(Window.partitionBy(*here).orderBy("item_pos"))
+    met = met.withColumn("_run", run)
+    met = met.withColumn("_length", F.max("item_pos").over(Window.partitionBy(*here, "_run")) - F.min("item_pos").over(Window.partitionBy(*here, "_run")) + 1).where("_length >= need")
+
+    slot = F.explode(F.filter(F.arrays_zip("templates", "tokens", "doc_tokens"), lambda s: s["templates"].isin(NAME, NUMBER, UNIT)))
+    values = (met.select(*here, slot.alias("s")).groupBy(*here, "s.templates", F.col("s.tokens").alias("theirs"))
+              .agg(F.count_distinct("s.doc_tokens").alias("values"), F.max((F.col("s.doc_tokens") != F.col("s.tokens")).cast("long")).alias("changed")))
     slots = values.groupBy(*here).agg(F.count("*").alias("slots"), F.sum((F.col("values") > 1).cast("long")).alias("conflicts"), F.sum("changed").alias("changed"))
-    matched = met.select(*here, "n", "item_pos").distinct().join(slots.withColumnsRenamed({c: f"_{c}" for c in here}),
+    matched = met.select(*here, "n", "same").distinct().join(slots.withColumnsRenamed({c: f"_{c}" for c in here}),
         F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("item_id").eqNullSafe(F.col("_item_id")) & (F.col("offset") == F.col("_offset")), "left")
     fine = matched.where(F.coalesce(F.col("conflicts") <= F.col("slots") * cfg.conflicts, F.lit(True)))
     return (fine.groupBy("doc_id", "item_id")
-            .agg(F.max("n").alias("n_windows"), F.count_distinct("item_pos").alias("matched"),
+            .agg(F.max("n").alias("n_windows"), F.count_distinct("same").alias("matched"),
                  F.coalesce(F.max("slots"), F.lit(0)).alias("slots"), F.coalesce(F.max("changed"), F.lit(0)).alias("changed"))
             .withColumn("coverage", F.col("matched") / F.col("n_windows")).where(F.col("coverage") >= cfg.coverage)
             .select("doc_id", "item_id", "n_windows", "matched", "coverage", "slots", "changed"))

@@ -63,44 +63,60 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-_UNIT_LIST = ", ".join(f"'{u}'" for u in UNITS)
+_UNIT_WORDS = "|".join("\\" + u if u in "$" else u for u in UNITS)
 _LEAK_SQL = rf"""
 WITH texts AS (
-  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark
-), cut AS (
-  SELECT kind, id, regexp_extract_all(coalesce(text, ''), '[0-9]+(?:[.,:][0-9]+)*|[\p{{L}}\p{{M}}]+(?:[''’][\p{{L}}\p{{M}}]+)*|[%°$€£]|[.!?\n]') AS t FROM texts
+  SELECT 'd' AS kind, doc_id AS id, coalesce(text, '') AS t FROM documents UNION ALL SELECT 'i', item_id, coalesce(text, '') FROM benchmark
+), names AS (  -- twice, since a match takes the end of the word before it
+  SELECT kind, id, regexp_replace(regexp_replace(t, '([\p{{Ll}}\p{{N}},;:] )(\p{{Lu}}[\p{{L}}\p{{M}}]*)', '\1' || chr(1) || '\2', 'g'),
+                                  '([\p{{Ll}}\p{{N}},;:] )(\p{{Lu}}[\p{{L}}\p{{M}}]*)', '\1' || chr(1) || '\2', 'g') AS t FROM texts
+), points AS (
+  SELECT kind, id, regexp_replace(regexp_replace(lower(t), '([0-9])[.,:]([0-9])', '\1_\2', 'g'), '([0-9])[.,:]([0-9])', '\1_\2', 'g') AS t FROM names
+), numbers AS (
+  SELECT kind, id, regexp_replace(t, '(^|[^\p{{L}}\p{{N}}_])([0-9][0-9_]*)', '\1' || chr(2) || '\2 ', 'g') AS t FROM points
+), clean AS (
+  SELECT kind, id, regexp_replace(t, '[^_\x01-\x03%°$€£\p{{L}}\p{{M}}\p{{N}}]+', ' ', 'g') AS t FROM numbers
+), units AS (
+  SELECT kind, id, regexp_replace(t, '(\x02[^ ]* +)({_UNIT_WORDS})([ \x01-\x03]|$)', '\1' || chr(3) || '\2\3', 'g') AS t FROM clean
+), words AS (
+  SELECT kind, id, list_filter(string_split(t, ' '), lambda x: x <> '') AS raw FROM units
 ), made AS (
-  SELECT kind, id, t, list_transform(t, lambda x, i:
-      CASE WHEN x IN ('.', '!', '?', chr(10)) THEN ''
-           WHEN x[1] BETWEEN '0' AND '9' THEN '<num>'
-           WHEN i > 1 AND lower(x) IN ({_UNIT_LIST}) AND t[i - 1][1] BETWEEN '0' AND '9' THEN '<unit>'
-           WHEN x[1] <> lower(x[1]) AND i > 1 AND t[i - 1] NOT IN ('.', '!', '?', chr(10)) THEN '<name>'
-           ELSE lower(x) END) AS m FROM cut
-), kept AS (
-  SELECT kind, id, list_filter(t, lambda x: x NOT IN ('.', '!', '?', chr(10))) AS raw, list_filter(m, lambda x: x <> '') AS m FROM made
+  SELECT kind, id, raw, list_transform(raw, lambda x: regexp_replace(x, '([\x01-\x03]).+', '\1')) AS m FROM words
+  UNION ALL SELECT kind, id, raw, list_transform(raw, lambda x: regexp_replace(replace(x, chr(1), ''), '([\x01-\x03]).+', '\1')) FROM words
 ), wins AS (
-  SELECT kind, id, p, raw[p:p + 4] AS raw, m[p:p + 4] AS m FROM (
-    SELECT kind, id, raw, m, unnest(range(1, len(m) - 3)) AS p FROM kept WHERE len(m) >= 5)
+  SELECT DISTINCT kind, id, p, raw[p:p + 4] AS raw, m[p:p + 4] AS m FROM (
+    SELECT kind, id, raw, m, unnest(range(1, len(m) - 3)) AS p FROM made WHERE len(m) >= 5)
 ), items AS (
-  SELECT id AS item_id, m, min(p) AS ip, arg_min(raw, p) AS iraw FROM wins
-  WHERE kind = 'i' AND len(list_filter(m, lambda x: x NOT IN ('<num>', '<unit>', '<name>'))) >= 2 GROUP BY id, m
-), sized AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS n FROM items),
-met AS (
-  SELECT w.id AS doc_id, s.item_id, w.p - s.ip AS off, s.ip, s.n, w.raw AS draw, s.iraw, s.m
+  SELECT id AS item_id, m, p AS ip, raw AS iraw, list_transform(raw, lambda x: regexp_replace(x, '^[\x01-\x03]', '')) AS same,
+         p - dense_rank() OVER (PARTITION BY id ORDER BY p) AS r FROM wins
+  WHERE kind = 'i' AND len(list_filter(m, lambda x: x[1] NOT IN (chr(1), chr(2), chr(3)))) >= 2
+), lengths AS (
+  SELECT item_id, r, count(DISTINCT ip) >= 5 AS long FROM items GROUP BY ALL
+), needs AS (
+  SELECT item_id, CASE WHEN bool_or(long) THEN 5 ELSE 1 END AS need FROM lengths GROUP BY item_id
+), counted AS (
+  SELECT i.*, need FROM items i JOIN lengths USING (item_id, r) JOIN needs USING (item_id) WHERE long OR need = 1
+), sized AS (
+  SELECT i.*, n FROM counted i JOIN (SELECT item_id, count(DISTINCT same) AS n FROM counted GROUP BY item_id) USING (item_id)
+), met AS (
+  SELECT w.id AS doc_id, s.item_id, w.p - s.ip AS off, s.ip, s.n, s.need, s.same, w.raw AS draw, s.iraw, s.m,
+         s.ip - dense_rank() OVER (PARTITION BY w.id, s.item_id, w.p - s.ip ORDER BY s.ip) AS run
   FROM wins w JOIN sized s ON w.m = s.m WHERE w.kind = 'd'
+), stretch AS (
+  SELECT * FROM met QUALIFY max(ip) OVER (PARTITION BY doc_id, item_id, off, run) - min(ip) OVER (PARTITION BY doc_id, item_id, off, run) + 1 >= need
 ), slots AS (
   SELECT doc_id, item_id, off, k, theirs, count(DISTINCT ours) AS vals, max((ours <> theirs)::INT) AS changed FROM (
-    SELECT doc_id, item_id, off, m[j] AS k, lower(iraw[j]) AS theirs, lower(draw[j]) AS ours FROM (
-      SELECT *, unnest(range(1, 6)) AS j FROM met) WHERE m[j] IN ('<num>', '<unit>', '<name>'))
+    SELECT doc_id, item_id, off, m[j] AS k, iraw[j] AS theirs, draw[j] AS ours FROM (
+      SELECT *, unnest(range(1, 6)) AS j FROM stretch) WHERE m[j] IN (chr(1), chr(2), chr(3)))
   GROUP BY ALL
 ), per AS (
   SELECT doc_id, item_id, off, count(*) AS slots, sum((vals > 1)::INT) AS conflicts, sum(changed) AS changed FROM slots GROUP BY ALL
 )
-SELECT m.doc_id, m.item_id, max(m.n)::BIGINT AS n_windows, count(DISTINCT m.ip)::BIGINT AS matched,
-       count(DISTINCT m.ip) / max(m.n) AS coverage, coalesce(max(p.slots), 0)::BIGINT AS slots, coalesce(max(p.changed), 0)::BIGINT AS changed
-FROM met m LEFT JOIN per p ON m.doc_id = p.doc_id AND m.item_id = p.item_id AND m.off = p.off
-WHERE coalesce(p.conflicts <= p.slots * 0.2, true)
-GROUP BY m.doc_id, m.item_id HAVING count(DISTINCT m.ip) / max(m.n) >= 0.8
+SELECT s.doc_id, s.item_id, max(s.n)::BIGINT AS n_windows, count(DISTINCT s.same)::BIGINT AS matched,
+       count(DISTINCT s.same) / max(s.n) AS coverage, coalesce(max(p.slots), 0)::BIGINT AS slots, coalesce(max(p.changed), 0)::BIGINT AS changed
+FROM stretch s LEFT JOIN per p ON s.doc_id = p.doc_id AND s.item_id = p.item_id AND s.off = p.off
+WHERE coalesce(p.conflicts <= p.slots * 0.1, true)
+GROUP BY s.doc_id, s.item_id HAVING count(DISTINCT s.same) / max(s.n) >= 0.8
 """
 
 
@@ -111,7 +127,23 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     return leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
-@query("op4_suffix_dedup")
+_BYTES_SQL = """
+WITH t AS (SELECT doc_id, row_number() OVER () AS r, hex(coalesce(text, '')) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+starts AS (SELECT r, i, md5(substr(x, 2 * i - 1, 400)) AS h FROM (SELECT r, x, unnest(range(1, n - 198)) AS i FROM t WHERE n >= 200)),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS c FROM starts) WHERE c > 1),
+-- a start covers 200 bytes; runs of covered bytes are merged from their starts
+edges AS (SELECT r, i, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + 200, true) AS opens FROM again),
+runs AS (SELECT r, min(i) AS lo, max(i) + 199 AS hi FROM (SELECT r, i, sum(opens::INT) OVER (PARTITION BY r ORDER BY i) AS g FROM edges) GROUP BY r, g),
+kept AS (SELECT r, lo, hi, lag(hi, 1, 0) OVER (PARTITION BY r ORDER BY lo) AS before FROM runs),
+ends AS (SELECT r, count(*) AS n_spans, sum(hi - lo + 1) AS n_removed, max(hi) AS last FROM runs GROUP BY r),
+parts AS (SELECT k.r, string_agg(substr(x, 2 * before + 1, 2 * (lo - 1 - before)), '' ORDER BY lo) AS y FROM kept k JOIN t USING (r) GROUP BY k.r)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN n_spans IS NULL THEN x ELSE y || substr(x, 2 * last + 1) END)) AS kept_sha256
+FROM t LEFT JOIN ends USING (r) LEFT JOIN parts USING (r)
+"""
+
+
+@query("op4_suffix_dedup", _BYTES_SQL)
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     from lodestone.llm.suffixes import without_repeats
 
@@ -119,7 +151,18 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query("op7_substring_dedup")
+_WORDS_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+starts AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 19], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS o FROM starts) WHERE o > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM later),
+words AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS j FROM w),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY j) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op7_substring_dedup", _WORDS_SQL)
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     from lodestone.llm.substrings import without_repeats
 
@@ -127,7 +170,23 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query("op1_chat_format")
+_CHAT_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL
+  SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '\### Assistant: </turn> ok'
+), o AS (
+  SELECT *, row_number() OVER w AS n, lag(role, 1, 'start') OVER w AS before, count(*) OVER (PARTITION BY conv_id) AS total FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(CASE role WHEN 'system' THEN 12 WHEN 'user' THEN 10 WHEN 'assistant' THEN 15 ELSE 10 + length(role) END + length(text)
+           + len(regexp_extract_all(text, '\\|### System:|### User:|### Assistant:|### Role|</turn>')) + 9)::BIGINT AS formatted_chars,
+       bool_and((before, role) IN (('start', 'system'), ('start', 'user'), ('system', 'user'), ('user', 'assistant'), ('assistant', 'user')) AND (n < total OR role = 'assistant')) AS valid
+FROM o GROUP BY conv_id
+"""
+
+
+@query("op1_chat_format", _CHAT_SQL)
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     from lodestone.llm.chat import chat_digests, chat_segments
 

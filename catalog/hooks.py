@@ -14,7 +14,7 @@ from lodestone.operators import hooks, rerank
 @query("u01_score_pairs", V.ctes(*V.BM25) + """
 SELECT query_id, item_id, round(length(left(text, 4000)) % 997 / 997 - length(query) / 10000, 6) AS score FROM bm25 JOIN items USING (item_id) JOIN questions USING (query_id)""")
 def u01(spark, sf):
-    pairs = rerank.rerank_pairs(R.bm25_ranked(spark, sf), V.items(spark, sf), V.questions(spark, sf), 20)
+    pairs = rerank.rerank_pairs(R.bm25_ranked(spark, sf), V.items(spark, sf), V.questions(spark, sf), 20, 4000)
 
     def factory():
         return lambda queries, texts: [len(t) % 997 / 997 - len(q) / 10000 for q, t in zip(queries, texts)]

@@ -183,7 +183,7 @@ SELECT query_id, id, score, rank FROM (SELECT query_id, id, round(list_cosine_si
 
 @query("h11_search_memories", V.ctes("mstore", "vecs", "cents", "found") + " SELECT query_id, id, round(score, 6) AS score, rank::INTEGER AS rank FROM found")
 def h11(spark, sf):
-    found = memories.search_memories(memory_queries(spark, sf), memory_store(spark, sf), 50)
+    found = memories.search_memories(memory_queries(spark, sf), memory_store(spark, sf), 50, max_k=20)
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -193,13 +193,13 @@ SELECT user_id AS query_id, id, rank::INTEGER AS rank FROM (SELECT *, row_number
 def h12(spark, sf):
     asked = memory_queries(spark, sf).withColumn("query", F.regexp_replace("query", "find ", ""))
     answered = asked.filter(F.col("query_id").cast("int") % 2 == 0)
-    return memories.keyword_search_memories(asked, memory_store(spark, sf), answered)
+    return memories.keyword_search_memories(asked, memory_store(spark, sf), answered, max_words=3)
 
 
 @query("h13_list_memories", V.ctes("mstore") + """
 SELECT user_id, id, position::INTEGER AS position FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS position FROM mstore WHERE active) WHERE position BETWEEN 6 AND 25""")
 def h13(spark, sf):
-    return memories.list_memories(memory_store(spark, sf), 20, 5).select("user_id", "id", "position")
+    return memories.list_memories(memory_store(spark, sf), 20, 5, max_limit=100).select("user_id", "id", "position")
 
 
 @query("h14_soft_delete", V.ctes("mstore") + """

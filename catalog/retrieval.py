@@ -457,7 +457,7 @@ def chosen(spark, sf):
 SELECT query_id, md5(string_agg('【资料' || rank || '】' || chr(10) || 'source_type: ' || source_type || chr(10) || 'doc_semantic_type: ' || doc_semantic_type || chr(10) || 'title: ' || title || chr(10) || 'section: ' || chr(10)
   || 'parent_doc_id: ' || parent_doc_id || chr(10) || 'content:' || chr(10) || left(text, 2500), chr(10) || chr(10) ORDER BY rank)) AS context FROM chosen GROUP BY ALL""")
 def d23(spark, sf):
-    return context.pack_context(chosen(spark, sf)).withColumn("context", F.md5("context"))
+    return context.pack_context(chosen(spark, sf), 2500).withColumn("context", F.md5("context"))
 
 
 @query("d23_pack_memories", r"""
@@ -466,7 +466,7 @@ FROM conversations WHERE turn < 5 AND trim(text) <> '' GROUP BY ALL""")
 def d23_memories(spark, sf):
     recalled = V.table(spark, sf, "conversations").select(
         F.col("conv_id").cast("string").alias("query_id"), (F.col("turn") + 1).alias("rank"), F.col("role").alias("category"), F.col("text").alias("memory"))
-    return context.pack_memories(recalled).withColumn("memory_context", F.md5("memory_context"))
+    return context.pack_memories(recalled, 5).withColumn("memory_context", F.md5("memory_context"))
 
 
 @query("d24_merge_sources", V.ctes(*V.BM25) + """,
@@ -501,7 +501,7 @@ c AS (SELECT query_id, question_type, query, list_slice(list_filter(list_transfo
 p AS (SELECT query_id, question_type, CASE WHEN question_type <> 'semantic' AND len(f) > 0 THEN f ELSE [query] END AS f FROM c)
 SELECT query_id, question_type, unnest(f) AS query, 'sq' || generate_subscripts(f, 1) AS sub_query_id FROM p""")
 def d25(spark, sf):
-    return subqueries.expand_queries(fact_questions(spark, sf))
+    return subqueries.expand_queries(fact_questions(spark, sf), 4)
 
 
 @query("d26_rewrite_queries", f"""
@@ -526,7 +526,7 @@ def d29(spark, sf):
     number = F.col("item_id").cast("int")
     rows = chosen(spark, sf).withColumn("parent_chunk_id", F.when(number % 3 == 0, "").otherwise(F.col("parent_chunk_id"))).withColumn(
         "parent_doc_id", F.when((number % 3 == 0) & (number % 2 == 0), "").otherwise(F.col("parent_doc_id")))
-    return context.answer_sources(rows).select("query_id", "position", "source_id", "snippet")
+    return context.answer_sources(rows, 5, 500).select("query_id", "position", "source_id", "snippet")
 
 
 # every customer asks for its purchases; order priority is the knowledge base, one status is public

@@ -226,6 +226,9 @@ SECRET_KEY_WORDS = [
     "api_key", "apikey", "authorization", "cookie", "password", "secret", "token", "jwt",
     "access_key", "refresh_token", "connection_string",
 ]
+# Cuts of the published retrieval methods.
+MAX_FACTS = 4
+RERANK_CHARS = 4000
 MEMORY_TYPES = ["preference", "profile", "project", "decision", "task", "assistant_output", "other"]
 MEMORY_OPT_OUTS = [
     "不要记", "别记", "不要保存", "别保存", "不要写入记忆", "do not remember", "don't remember", "do not save",

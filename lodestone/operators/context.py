@@ -12,10 +12,10 @@ from lodestone.operators.ranking import with_rank
 DOCUMENT_BLOCK = ["【资料%d】", "source_type: ", "doc_semantic_type: ", "title: ", "section: ", "parent_doc_id: ", "content:"]
 EMPTY_WEB = "无。"
 EMPTY_MEMORY = "无"
-MAX_TEXT = 2500
-MAX_MEMORIES = 5
-MAX_SOURCES = 5
-MAX_SNIPPET = 500
+
+
+def _cut(text: Column, most: int | None) -> Column:
+    return text if most is None else F.substring(text, 1, most)
 
 
 def _text(column: str) -> Column:
@@ -28,14 +28,14 @@ def _joined(rows: DataFrame, block: Column, separator: str, name: str) -> DataFr
         F.array_sort(F.collect_list(F.struct("rank", block.alias("block")))), lambda b: b["block"]), separator).alias(name))
 
 
-def pack_context(selected: DataFrame, max_chars: int = MAX_TEXT) -> DataFrame:
-    """``(query_id, context)``: numbered blocks of the selected documents, texts cut."""
+def pack_context(selected: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """``(query_id, context)``: numbered blocks of the selected documents, texts cut to ``max_chars`` if given."""
     title, source, kind, name, section, doc, content = DOCUMENT_BLOCK
     block = F.concat_ws(
         "\n", F.format_string(title, F.col("rank").cast("int")), F.concat(F.lit(source), _text("source_type")),
         F.concat(F.lit(kind), _text("doc_semantic_type")), F.concat(F.lit(name), _text("title")),
         F.concat(F.lit(section), _text("section_heading")), F.concat(F.lit(doc), _text("parent_doc_id")),
-        F.lit(content), F.substring(_text("text"), 1, max_chars))
+        F.lit(content), _cut(_text("text"), max_chars))
     return _joined(selected, block, "\n\n", "context")
 
 
@@ -47,18 +47,19 @@ def pack_web(results: DataFrame) -> DataFrame:
     return _joined(results, block, "\n\n", "web_context")
 
 
-def pack_memories(recalled: DataFrame) -> DataFrame:
-    """``(query_id, memory_context)``: the first five memories that are not blank, sanitised and numbered."""
+def pack_memories(recalled: DataFrame, most: int | None = None) -> DataFrame:
+    """``(query_id, memory_context)``: the memories, or the ``most`` first, that are not blank, sanitised and numbered."""
     line = F.concat(F.format_string("%d. [", F.col("rank").cast("int")), sanitize_type(F.col("category")), F.lit("] "),
                     sanitize_memory(F.col("memory")))
-    head = recalled.filter(F.col("rank") <= MAX_MEMORIES).filter(sanitize_memory(F.col("memory")) != "")
+    head = (recalled if most is None else recalled.filter(F.col("rank") <= most)).filter(sanitize_memory(F.col("memory")) != "")
     return _joined(head, line, "\n", "memory_context")
 
 
-def answer_sources(selected: DataFrame) -> DataFrame:
-    """At most five sources per query, named by chunk, document or title, with a bounded snippet."""
+def answer_sources(selected: DataFrame, most: int | None = None, max_snippet: int | None = None) -> DataFrame:
+    """The sources of a query, or the ``most`` first, named by chunk, document or title, with a snippet of their text."""
     name = F.coalesce(F.nullif("parent_chunk_id", F.lit("")), F.nullif("parent_doc_id", F.lit("")),
                       F.nullif("title", F.lit("")), F.lit("source"))
-    ranked = with_rank(selected, [F.col("rank")], name="position").filter(F.col("position") <= MAX_SOURCES)
+    ranked = with_rank(selected, [F.col("rank")], name="position")
+    ranked = ranked if most is None else ranked.filter(F.col("position") <= most)
     return ranked.select("query_id", "position", name.alias("source_id"), "parent_doc_id", "parent_chunk_id", "title",
-                         F.substring(_text("text"), 1, MAX_SNIPPET).alias("snippet"))
+                         _cut(_text("text"), max_snippet).alias("snippet"))

@@ -8,6 +8,7 @@ blocks, and an equi-join on (cell, block, salt) brings them together.  No task e
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -256,13 +257,17 @@ def knn_within(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return _search(queries.withColumn("allowed", F.array("key")), vectors.withColumn("category", F.col("key")), k, 0, 0, 0)
 
 
-def knn_approx(queries: DataFrame, vectors: DataFrame, k: int, bits: int = 6, flips: int = 3, seed: int = 7) -> DataFrame:
+def knn_approx(queries: DataFrame, vectors: DataFrame, k: int, bits: int | None = None, flips: int | None = None, seed: int = 7) -> DataFrame:
     """Look only into cells of random hyperplanes near the query; scores inside them are exact.
 
-    All vectors of the probed cells are candidates, so the pool is at least the 4k of the search node
-    wherever the cells hold that many.
+    Unless given, ``bits`` follows the number of vectors, so that a cell holds some hundreds of them, and half of the
+    bits may be flipped.  All vectors of the probed cells are candidates.
     """
-    return empty_ranking(queries) if k <= 0 else _search(queries, vectors, k, bits, flips, seed)
+    if k <= 0:
+        return empty_ranking(queries)
+    if bits is None:
+        bits = min(16, max(1, round(math.log2(max(2, vectors.count()) / 500))))
+    return _search(queries, vectors, k, bits, -(-bits // 2) if flips is None else flips, seed)
 
 
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:

@@ -8,15 +8,14 @@ from pyspark.sql import functions as F
 from lodestone.operators.ranking import with_rank
 from lodestone.session import stack
 
-MAX_CHARS = 4000
 
-
-def rerank_pairs(ranked: DataFrame, texts: DataFrame, questions: DataFrame, window: int) -> DataFrame:
-    """``(query_id, item_id, query, text)`` of the first rows of each ranking, text cut for the model."""
+def rerank_pairs(ranked: DataFrame, texts: DataFrame, questions: DataFrame, window: int, max_chars: int | None = None) -> DataFrame:
+    """``(query_id, item_id, query, text)`` of the first rows of each ranking, text cut to ``max_chars`` if given."""
+    text = F.coalesce("text", F.lit(""))
     head = ranked.filter(F.col("rank") <= window).select("query_id", "item_id")
     return head.join(texts.select("item_id", "text"), "item_id", "left").join(
         questions.select("query_id", "query"), "query_id").select(
-        "query_id", "item_id", "query", F.substring(F.coalesce("text", F.lit("")), 1, MAX_CHARS).alias("text"))
+        "query_id", "item_id", "query", (text if max_chars is None else F.substring(text, 1, max_chars)).alias("text"))
 
 
 def rerank_window(ranked: DataFrame, scores: DataFrame, window: int) -> DataFrame:

@@ -61,11 +61,11 @@ def validate_sub_query_plans(plans: DataFrame, raw: str = "raw") -> DataFrame:
         *keep, "reason", "position", F.col("s.id").alias("sub_query_id"), "s.query", "s.purpose", "s.depends_on")
 
 
-def expand_queries(questions: DataFrame) -> DataFrame:
-    """``(query_id, sub_query_id, query)``: the first four facts of a decomposed question, else itself."""
+def expand_queries(questions: DataFrame, max_facts: int | None = None) -> DataFrame:
+    """``(query_id, sub_query_id, query)``: the facts of a decomposed question, or the first ``max_facts``, else itself."""
     facts = F.filter(F.transform(F.coalesce("answer_facts", F.array().cast("array<string>")), strip), lambda f: f != "")
     use_facts = F.col("question_type").isin(model.DECOMPOSED_TYPES) & (F.size(facts) > 0)
-    parts = F.when(use_facts, F.slice(facts, 1, 4)).otherwise(F.array("query"))
+    parts = F.when(use_facts, facts if max_facts is None else F.slice(facts, 1, max_facts)).otherwise(F.array("query"))
     keep = [c for c in questions.columns if c not in ("query", "answer_facts")]
     return questions.select(*keep, F.posexplode(parts).alias("position", "query")).withColumn(
         "sub_query_id", F.concat(F.lit("sq"), F.col("position") + 1)).drop("position")

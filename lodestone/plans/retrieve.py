@@ -64,7 +64,7 @@ def retrieve(method: str, questions: DataFrame, corpus: Corpus, models: Models,
     _, use_vector, use_bm25, use_graph, use_boost, rerank_mode, decompose = method_row(method)
     asked = questions.select("query_id", "query", "question_type", "source_types", "answer_facts")
     if decompose:
-        split = subqueries.expand_queries(asked)
+        split = subqueries.expand_queries(asked, model.MAX_FACTS)
     else:
         split = asked.drop("answer_facts").withColumn("sub_query_id", F.lit("sq1"))
     # a sub-query searches under an id of its own and comes back to its question by the lookup
@@ -102,7 +102,7 @@ def retrieve(method: str, questions: DataFrame, corpus: Corpus, models: Models,
     if rerank_mode == "none" or models.score is None:
         return Retrieved(candidates, documents, candidates.select("query_id", "item_id", "rank"))
     texts = _rerank_texts(corpus)
-    pairs = rerank.rerank_pairs(documents.join(eligible.select("query_id"), "query_id", "left_semi"), texts, eligible, rerank_k)
+    pairs = rerank.rerank_pairs(documents.join(eligible.select("query_id"), "query_id", "left_semi"), texts, eligible, rerank_k, model.RERANK_CHARS)
     reranked = rerank.rerank_window(documents, models.score(pairs), rerank_k)
     # questions that are not due have no scores: all of their window ties and keeps its order
     return Retrieved(candidates, reranked, rerank.coverage_order(candidates, reranked, eligible))

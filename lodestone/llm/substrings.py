@@ -113,8 +113,8 @@ def _cut(cfg: Repeats):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, n_words, n_removed = [], [], []
-            for text, spans in zip(batch.column("_text").cast(pa.large_binary()), batch.column("_spans"), strict=True):
-                words = text.as_py().split()
+            for text, spans in zip(map(unpacked, batch.column("_packed").to_pylist()), batch.column("_spans"), strict=True):
+                words = text.split()
                 found = spans.as_py()
                 n_words.append(len(words))
                 gone = 0
@@ -130,10 +130,25 @@ def _cut(cfg: Repeats):
     return run
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed, each behind its length: what a shuffle then writes is half as much."""
+    for batch in batches:
+        texts = batch.column("_text").cast(pa.large_binary())
+        packed = [len(t).to_bytes(8, "little") + pa.compress(t, codec="zstd", asbytes=True) for t in (x.as_py() for x in texts)]
+        yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("_twin"), pa.array(packed, pa.binary())], ["_key", "_twin", "_packed"])
+
+
+def unpacked(packed: bytes) -> bytes:
+    size = int.from_bytes(packed[:8], "little")
+    return pa.decompress(packed[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+
+
 def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """``rows`` with ``_spans``, the list of their own spans or null; a text holds no more spans than windows."""
+    """``(_key, _packed, _spans)``: each text with the list of its own spans or null; it has no more of them than windows."""
     own = spans.groupBy("_key", "_twin").agg(F.collect_list(F.struct("low", "high")).alias("_spans")).withColumnsRenamed({"_key": "_k", "_twin": "_t"})
-    return rows.join(own, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_twin") == F.col("_t")), "left").select("_key", "_text", "_spans")
+    kind = rows.schema["_key"].dataType.simpleString()
+    packed = rows.mapInArrow(_packed, f"_key {kind}, _twin long, _packed binary")
+    return packed.join(own, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_twin") == F.col("_t")), "left").select("_key", "_packed", "_spans")
 
 
 def without_repeats(docs: DataFrame, cfg: Repeats | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -58,13 +58,13 @@ def corpus(seed):
     return [*texts, None, "", " \t\n", "ab " * 400, "ab " * 350, "a" * 900, passages[0], passages[3][:-7], "\x00" * 300 + "z", some(6000)]
 
 
-@pytest.mark.parametrize("piece", [300, 1 << 20])
-def test_bytes_equal_brute_force(spark, piece, monkeypatch):
+@pytest.mark.parametrize("piece,together", [(300, 4096), (1 << 20, 3)])
+def test_bytes_equal_brute_force(spark, piece, together, monkeypatch):
     monkeypatch.setattr(windows.gathered, "__defaults__", (piece,))
     texts = corpus(1)
     keys = [i if i % 7 else None for i in range(len(texts))]
     df = spark.createDataFrame([(k, t, 0, "x") for k, t in zip(keys, texts, strict=True)] + [(5, texts[5], 0, "x")], "doc_id long, text string, low long, body string").repartition(4)
-    got = suffixes.without_repeats(df, suffixes.Threshold(shape=SMALL)).collect()
+    got = suffixes.without_repeats(df, suffixes.Threshold(shape=SMALL, together=together)).collect()
     want = plain_bytes([*texts, texts[5]], 200)
     assert sorted((r.doc_id or -1, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == sorted((k or -1, *w) for k, w in zip([*keys, 5], want, strict=True))
 

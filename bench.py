@@ -15,7 +15,7 @@ from lodestone.session import local_session  # noqa: E402
 
 HEADLINES = [
     "flagship_lexical_evaluation", "d01_bm25_index", "d02_bm25_search_children", "d03_bm25_search_parents",
-    "d05_knn_exact", "d06_knn_approx", "d10_rrf_fuse", "d28_retrieve_source_boost", "d28_retrieve_reranker",
+    "d05_knn_exact", "d06_knn_approx", "d10_rrf_fuse", "d02_bm25_search_stored", "d28_retrieve_chroma_bm25_rrf", "d28_retrieve_source_boost", "d28_retrieve_reranker",
     "g09_summarize_run", "g11_doc_type_summary", "g14_failure_reasons", "g21_final_contexts",
     "b05_normalize_documents", "c01_sample_gold_plus_background", "c03_recursive_split", "c08_chunk_parent_child",
     "c08_chunk_parent_child_semantic", "a11_build_index_rows", "e06_evidence_check", "f05_build_graph",

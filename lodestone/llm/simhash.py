@@ -20,6 +20,8 @@ SEED = 42
 BITS = 64
 #: Planes added before the comparison looks for blocks to abandon.
 STRIDE = 8
+#: Runs of more equal keys than this are compared by themselves.
+LONG_RUN = 64
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -148,16 +150,23 @@ def local_links(group: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.
     Row i meets row i + d for every d below the longest run; pairs that already hang together are not compared
     again, and there is at most one link a row, not one a pair.
     """
-    none = np.zeros(0, np.int64)
-    if len(prints) < 2:
-        return none, none
-    starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else np.zeros(0, np.int64)
     sizes = np.diff(np.concatenate((starts, [len(group)])))
-    rows = np.flatnonzero(np.repeat(sizes > 1, sizes))
-    if not len(rows):
-        return none, none
-    group = group[rows]
-    planes, parent = planes_of(prints[rows]), np.arange(len(rows))
+    of_row = np.repeat(sizes, sizes)
+    found = [_spanned(np.flatnonzero((of_row > 1) & (of_row <= LONG_RUN)), group, prints, radius)]
+    found += [_spanned(np.arange(at, at + n), group, prints, radius) for at, n in zip(starts, sizes, strict=True) if n > LONG_RUN]
+    return tuple(np.concatenate(part) for part in zip(*found, strict=True))
+
+
+def _spanned(rows: np.ndarray, group: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """``local_links`` of the given rows; it ends as soon as each run hangs together."""
+    if len(rows) < 2:
+        return rows[:0], rows[:0]
+    group, prints = group[rows], prints[rows]
+    first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    sizes = np.diff(np.concatenate((first, [len(group)])))
+    head = np.repeat(first, sizes)
+    planes, parent = planes_of(prints), np.arange(len(rows))
     for shift in range(1, int(sizes.max())):
         open_ = (group[shift:] == group[:-shift]) & (parent[shift:] != parent[:-shift])
         for i in close_lanes(planes, shift, _lanes(open_, planes.shape[1]), radius).tolist():
@@ -167,8 +176,10 @@ def local_links(group: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.
             while parent[b] != b:
                 b = parent[b]
             parent[max(a, b)] = min(a, b)
-        while (up := parent[parent]).tobytes() != parent.tobytes():
+        while not np.array_equal(up := parent[parent], parent):
             parent = up
+        if np.array_equal(parent, head):
+            break
     linked = np.flatnonzero(parent != np.arange(len(rows)))
     return rows[linked], rows[parent[linked]]
 
@@ -335,6 +346,26 @@ def _wide_links(radius: int, rows: int = 1 << 14):
     return run
 
 
+def _towards_least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links in order of (a, b): a node keeps its link to its least neighbour, and its others are linked to that one.
+
+    Components stay the same, and the links of a group with many tables in common fall together.
+    """
+    node, least = None, np.int64(0)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        a, b = (batch.column(c).to_numpy() for c in ("a", "b"))
+        new = np.concatenate(([node is None or a[0] != node], a[1:] != a[:-1]))
+        run = np.cumsum(new) - 1
+        heads = b[new]
+        target = np.where(run >= 0, heads[np.maximum(run, 0)] if len(heads) else least, least)
+        pairs = np.unique(np.column_stack((np.where(new, a, b), target)), axis=0)
+        node, least = a[-1], target[-1]
+        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, cfg: Wide | None = None) -> DataFrame:
     """``(doc_id, node, root, component_id)`` for each row: groups of texts whose shingle sets are ``similarity`` alike.
 
@@ -350,6 +381,7 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     met = buckets.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_shared, "bucket long, node long")
     laid = met.join(nodes, "node").repartition("bucket").sortWithinPartitions("bucket", "node")
     links = laid.select("bucket", "node", "mark").mapInArrow(_wide_links(cfg.radius(similarity)), "a long, b long")
+    links = links.repartition("a").sortWithinPartitions("a", "b").mapInArrow(_towards_least, "a long, b long")
     return _grouped(prints.select("doc_id", "node"), "node", links)
 
 

@@ -143,3 +143,19 @@ def test_rows_of_shared_buckets():
         batches = [pa.RecordBatch.from_arrays([pa.array(b), pa.array(n)], ["bucket", "node"]) for b, n in zip(np.array_split(bucket, cuts), np.array_split(np.arange(80), cuts), strict=True)]
         out = [n for o in simhash._shared(iter(batches)) for n in o["node"].to_pylist()]
         assert out == [i for i in range(80) if (bucket == bucket[i]).sum() > 1]
+
+
+def test_links_towards_the_least_keep_components():
+    import pyarrow as pa
+    rng = np.random.default_rng(8)
+    links = np.unique(np.sort(rng.integers(0, 60, (90, 2)), axis=1)[:, ::-1], axis=0)
+    for cuts in (1, 5, 40):
+        batches = [pa.RecordBatch.from_arrays([pa.array(x[:, 0].copy()), pa.array(x[:, 1].copy())], ["a", "b"]) for x in np.array_split(links, cuts)]
+        out = [(a, b) for o in simhash._towards_least(iter(batches)) for a, b in zip(o["a"].to_pylist(), o["b"].to_pylist(), strict=True)]
+        def classes(pairs):
+            least = list(range(60))
+            for _ in range(60):
+                for a, b in pairs:
+                    least[a] = least[b] = min(least[a], least[b])
+            return least
+        assert classes(out) == classes(links.tolist())

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cache, reduce
+from itertools import islice
+from math import log, log1p
+from operator import eq
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.session import cut_lineage
 
-SPACE = r"[\x20\x09-\x0D]+"
 #: Rules see these statistics of a text and nothing else.
 STATISTICS = ["log_chars", "log_words", "word_length", "distinct_words", "repeated_words", "letters", "upper", "digits",
               "symbols", "sentence_ends", "bars", "line_words", "distinct_lines", "doubled_marks"]
@@ -19,34 +26,57 @@ FIT_ROWS = 20_000
 THRESHOLD = 0.3
 
 
+LETTER, UPPER, DIGIT, MARK, SYMBOL, BLANK = 1, 2, 3, 4, 5, 6
+
+
+@cache
+def _classes() -> np.ndarray:
+    """A class for each code point: other letters, capitals, decimal digits, common marks, other symbols, blanks."""
+    out = np.full(sys.maxunicode + 1, SYMBOL, np.uint8)
+    for point in range(sys.maxunicode + 1):
+        kind = unicodedata.category(chr(point))
+        if kind[0] in "LM":
+            out[point] = UPPER if kind == "Lu" else LETTER
+        elif kind[0] == "N":
+            out[point] = DIGIT if kind == "Nd" else LETTER
+        elif kind[0] == "Z":
+            out[point] = BLANK
+    out[[ord(c) for c in " \t\n\r\x0b\x0c"]] = BLANK
+    out[[ord(c) for c in ".,;:'\"?!()-"]] = MARK
+    return out
+
+
+def statistics_of(text: bytes) -> list[float]:
+    """The values of ``STATISTICS``; all zero for a blank text."""
+    words = text.split()
+    if not words:
+        return [0.0] * len(STATISTICS)
+    points = np.frombuffer(text.decode().encode("utf-32-le"), np.uint32)
+    kinds = _classes()[points]
+    n, w = len(points), len(words)
+    count = np.bincount(kinds, minlength=BLANK + 1).tolist()
+    letters = count[LETTER] + count[UPPER]
+    lines = [x for x in text.split(b"\n") if x]
+    marks = (kinds == MARK) | (kinds == SYMBOL)
+    doubled = int((marks[1:] & (points[1:] == points[:-1])).sum())
+    ends = np.isin(points, [ord(c) for c in ".?!"]) & np.append(kinds[1:] == BLANK, True)
+    again = sum(map(eq, words, islice(words, 1, None)))
+    return [log1p(n), log1p(w), n / w, len(set(words)) / w, again / w, letters / n, count[UPPER] / letters if letters else 0.0, count[DIGIT] / n,
+            count[SYMBOL] / n, int(ends.sum()) / w, text.count(b"|") / w, w / len(lines), len(set(lines)) / len(lines), doubled / w]
+
+
 def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with a struct column ``_stats``; a null or blank text has zero in all of them."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    share = lambda part, whole: F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
-    counted = lambda pattern: F.regexp_count(F.col("_body"), F.lit(pattern)).cast("double")
-    split = df.withColumn("_body", body).withColumns({
-        "_words": F.filter(F.split("_body", SPACE), lambda w: w != ""),
-        "_lines": F.filter(F.split("_body", r"\n"), lambda w: w != ""),
-        "_n": F.length("_body").cast("double"),
-    })
-    sized = split.withColumns({"_w": F.size("_words").cast("double"), "_l": F.size("_lines").cast("double")}).withColumns({
-        "_distinct": F.size(F.array_distinct("_words")).cast("double"),
-        "_distinct_lines": F.size(F.array_distinct("_lines")).cast("double"),
-        "_again": counted(r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]{1,40})[\x20\x09-\x0D]+\1(?![^\x20\x09-\x0D])"),
-        "_letters": counted(r"\p{L}"), "_upper": counted(r"\p{Lu}"), "_digits": counted(r"[0-9]"),
-        "_symbols": counted(r"[^\p{L}\p{M}\p{N}\s.,;:'\"?!()-]"), "_ends": counted(r"[.?!](?=\s|$)"),
-        "_bars": counted(r"\|"), "_doubled": counted(r"([^\p{L}\p{N}\s])\1"),
-    })
-    n, w, rows = F.col("_n"), F.col("_w"), F.col("_l")
-    stats = {
-        "log_chars": F.log1p(n), "log_words": F.log1p(w), "word_length": share(n, w), "distinct_words": share(F.col("_distinct"), w),
-        "repeated_words": share(F.col("_again"), w), "letters": share(F.col("_letters"), n), "upper": share(F.col("_upper"), F.col("_letters")),
-        "digits": share(F.col("_digits"), n), "symbols": share(F.col("_symbols"), n), "sentence_ends": share(F.col("_ends"), w),
-        "bars": share(F.col("_bars"), w), "line_words": share(w, rows), "distinct_lines": share(F.col("_distinct_lines"), rows),
-        "doubled_marks": share(F.col("_doubled"), w),
-    }
-    made = ["_body", "_words", "_lines", "_n", "_w", "_l", "_distinct", "_distinct_lines", "_again", "_letters", "_upper", "_digits", "_symbols", "_ends", "_bars", "_doubled"]
-    return sized.withColumn("_stats", F.struct(*[stats[s].alias(s) for s in STATISTICS])).drop(*made)
+    rest = [c for c in df.columns if c != "_stats"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.array([statistics_of(t.as_py() or b"") for t in batch.column(text).cast(pa.large_binary())]).reshape(-1, len(STATISTICS))
+            stats = pa.StructArray.from_arrays([pa.array(values[:, i], pa.float64()) for i in range(len(STATISTICS))], STATISTICS)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), stats], [*rest, "_stats"])
+
+    kind = "struct<" + ",".join(f"{s}:double" for s in STATISTICS) + ">"
+    return df.select(*rest).mapInArrow(run, df.select(*rest, F.lit(None).cast(kind).alias("_stats")).schema)
 
 
 @dataclass(frozen=True)
@@ -121,7 +151,6 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     counts = {r["_label"]: r["count"] for r in seen.groupBy("_label").count().collect()}  # two rows at most
     good, bad = counts.get(1.0, 0), counts.get(0.0, 0)
     if not good or not bad:
-        from math import log
         return RuleEnsemble(log((good + 1) / (bad + 1)), ())
 
     flat = seen.select("_label", *[F.col(f"_stats.{s}").alias(s) for s in STATISTICS])
@@ -129,7 +158,6 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     forest = RandomForestClassifier(labelCol="_label", numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=0.7, featureSubsetStrategy="onethird").fit(vectors)
     rules = sorted({r for tree in forest.trees for r in tree_rules(tree)}, key=repr)
     if not rules:
-        from math import log
         return RuleEnsemble(log(good / bad), ())
     said = seen.select("_label", *[_holds(r).cast("double").alias(f"r{i}") for i, r in enumerate(rules)])
     wide = VectorAssembler(inputCols=[f"r{i}" for i in range(len(rules))], outputCol="features").transform(said)

@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,6 +67,20 @@ def _identity(found: Stretches, low: np.ndarray, twins: np.ndarray) -> np.ndarra
     return found.whole ^ mixed_bits(low.astype(np.uint64)) ^ mixed_bits(twins.view(np.uint64))
 
 
+def _dealt(columns: dict[str, pa.Array], anchor: np.ndarray, whole: np.ndarray, identity: np.ndarray) -> dict[str, pa.Array]:
+    """Adds ``local`` and ``deal``: where positions are sent to.
+
+    Positions that have an equal in the same batch are known to be repeated.  They are dealt out by their own names, and
+    one of them goes to its first rank for all, so a very common string is no large group there.
+    """
+    _, first, inverse, counts = np.unique(whole ^ mixed_bits(anchor), return_index=True, return_inverse=True, return_counts=True)
+    equal = np.flatnonzero(counts[inverse] > 1)
+    rows = np.concatenate((equal, first))
+    local = np.concatenate((np.ones(len(equal), bool), np.zeros(len(first), bool)))
+    out = {name: column.take(pa.array(rows)) for name, column in columns.items()}
+    return out | {"local": pa.array(local), "deal": _long(np.where(local, mixed_bits(identity[rows]), anchor[rows]))}
+
+
 def _positions(cfg: Threshold, bits, bodies: bool):
     """Chosen positions that the bit set knows: by first rank, or, with the bytes of their stretch, by identity."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,6 +110,7 @@ def _positions(cfg: Threshold, bits, bodies: bool):
                     columns |= {"lead": _long(found.at[keep] - found.low[keep]), "body": pa.array(cut, pa.binary())}
                 else:
                     columns |= {"high": _long(high), "whole": _long(found.whole[keep]), "name": _long(identity[keep])}
+                    columns = _dealt(columns, found.anchor[keep], found.whole[keep], identity[keep])
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
@@ -103,7 +119,7 @@ def _positions(cfg: Threshold, bits, bodies: bool):
 def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Reads positions in order of their pair of ranks; two rows at most are carried on.
 
-    Rows whose pair another row has come out with ``past`` set.  Of a first rank with unequal stretches the first row of
+    Rows whose pair another row has come out with ``past`` set, those known before as well.  Of a first rank with unequal stretches the first row of
     each stretch comes out as an example, without ``past``.
     """
     held: pa.Table | None = None
@@ -129,7 +145,13 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             table = pa.Table.from_batches([batch])
-            fresh = np.zeros(batch.num_rows, bool)
+            known = table.filter(table.column("local")).select(["_key", "_twin", "low", "high", "name"])
+            if known.num_rows:
+                yield from known.append_column("past", pa.array(np.ones(known.num_rows, bool))).to_batches()
+            table = table.filter(pc.invert(table.column("local")))
+            if not table.num_rows:
+                continue
+            fresh = np.zeros(table.num_rows, bool)
             if held is not None:
                 table = pa.concat_tables([held, table])
             out, held, past, told = settle(table, np.concatenate((past, fresh)), np.concatenate((told, fresh)), False)
@@ -224,9 +246,9 @@ def repeated_spans(rows: DataFrame, cfg: Threshold) -> DataFrame:
 
     ranks = rows.select("_text").mapInArrow(_first_ranks(cfg), "name long")
     known = screen(ranks.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"))
-    placed = rows.mapInArrow(_positions(cfg, known, False), f"_key {kind}, _twin long, low long, anchor long, high long, whole long, name long")
-    order = ["anchor", "whole", "_key", "low"]
-    paired = cut_lineage(placed.repartition("anchor").sortWithinPartitions(*order).mapInArrow(_paired, f"_key {kind}, _twin long, low long, high long, name long, past boolean"))
+    placed = rows.mapInArrow(_positions(cfg, known, False), f"_key {kind}, _twin long, low long, anchor long, high long, whole long, name long, local boolean, deal long")
+    order = ["deal", "anchor", "whole", "_key", "low"]
+    paired = cut_lineage(placed.repartition("deal").sortWithinPartitions(*order).mapInArrow(_paired, f"_key {kind}, _twin long, low long, high long, name long, past boolean"))
     whole = paired.where("past").select("_key", "_twin", "low", "high")
 
     examples = rows.mapInArrow(_positions(cfg, screen(paired.where("not past").select("name")), True), f"_key {kind}, _twin long, low long, anchor long, lead long, body binary")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.session import cut_lineage
@@ -19,7 +19,8 @@ class Lists:
 
     A vector goes to its nearest list and to those at most ``spread`` times as far, ``copies`` at most.  A query reads the
     lists up to a ratio of the distance to its nearest one; the ratio is the one that would have kept ``recall`` of the
-    neighbours within the sample.  ``block`` vectors or queries at most meet in one group; longer lists are split.
+    neighbours within the sample.  About ``block`` vectors and queries meet in one group: short lists share one, longer ones
+    are split.
     """
     sample: int = 20_000
     per_list: int = 100
@@ -102,12 +103,14 @@ def balanced_centroids(points: np.ndarray, lists: int, seed: int) -> np.ndarray:
 
 def _assigned(index: Index, points: np.ndarray, cfg: Lists) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(row, list, place)``: the nearest list (place 0) and further ones for vectors near a border."""
-    found = index.search(points, cfg.spread, 2 * cfg.copies)
-    n = min(cfg.copies, found.shape[1])
-    near = np.argsort(found, axis=1, kind="stable")[:, :n]
-    reach = np.take_along_axis(found, near, axis=1)
-    row, place = np.nonzero(np.isfinite(reach) & (reach <= cfg.spread * reach[:, :1]))
-    return row, near[row, place], place
+    parts = []
+    for at in range(0, len(points), 512):  # bounds what the walk holds
+        found = index.search(points[at:at + 512], cfg.spread, 2 * cfg.copies)
+        near = np.argsort(found, axis=1, kind="stable")[:, :min(cfg.copies, found.shape[1])]
+        reach = np.take_along_axis(found, near, axis=1)
+        row, place = np.nonzero(np.isfinite(reach) & (reach <= cfg.spread * reach[:, :1]))
+        parts.append((row + at, near[row, place], place))
+    return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
 
 def fit(points: np.ndarray, n: int, cfg: Lists, k: int) -> Index:
@@ -124,7 +127,8 @@ def fit(points: np.ndarray, n: int, cfg: Lists, k: int) -> Index:
     row, lst, _ = _assigned(index, points, cfg)
     dots = points[asked] @ points.T
     dots[np.arange(len(asked)), asked] = -2
-    true = np.argsort(-dots, axis=1)[:, :min(k, max(1, len(points) - 1))]
+    n_true = min(k, max(1, len(points) - 1))
+    true = np.argpartition(-dots, n_true - 1, axis=1)[:, :n_true]
     to_lists = np.sqrt(np.maximum(2 - 2 * points[asked] @ centroids.T, 1e-12))
     needed = np.full((len(points), len(asked)), np.inf, np.float32)
     for j in range(len(asked)):
@@ -148,8 +152,8 @@ def _route(bits, cfg: Lists, dim: int, chosen, of: str, out_id: str):
     """Rows ``(list, part, block, id, vector)``; ``chosen`` gives (row, list, place) for a batch of unit vectors."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                piece = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 512):
+                piece = batch.slice(at, 512)
                 rows, values = _matrix(piece.column(of), dim)
                 if not len(rows):
                     continue
@@ -161,7 +165,7 @@ def _route(bits, cfg: Lists, dim: int, chosen, of: str, out_id: str):
 
 
 def _nearest(dim: int, k: int):
-    """The ``k`` nearest of one part of a list, for one block of queries."""
+    """The ``k`` nearest of a shelf's vectors for each query of a block, among the lists that the query reads."""
     names = ["query_id", "vec_id", "score"]
 
     def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
@@ -169,32 +173,42 @@ def _nearest(dim: int, k: int):
         none = pa.table({"query_id": pa.array([], kind), "vec_id": pa.array([], kind), "score": pa.array([], pa.float64())})
         if not vectors.num_rows or not queries.num_rows:
             return none
-        ids, asked = vectors.column("vec_id").combine_chunks(), queries.column("query_id").combine_chunks()
-        order = pa.compute.sort_indices(ids)
-        ids = ids.take(order)
+        order = pa.compute.sort_indices(vectors.column("vec_id"))
+        ids, lists = vectors.column("vec_id").combine_chunks().take(order), vectors.column("list").to_numpy()[order.to_numpy()]
         _, x = _matrix(vectors.column("_vector").combine_chunks().take(order), dim)
-        _, q = _matrix(queries.column("_vector").combine_chunks(), dim)
+        # a query comes with a row for each of its lists
+        asked, read = queries.column("query_id").combine_chunks().dictionary_encode(), queries.column("list").to_numpy()
+        owner = asked.indices.to_numpy()
+        first = np.unique(owner, return_index=True)[1]
+        _, q = _matrix(queries.column("_vector").combine_chunks().take(pa.array(first)), dim)
+        asked = asked.dictionary
+        numbers, column = np.unique(np.concatenate((lists, read)), return_inverse=True)
+        reads = np.zeros((len(q), len(numbers)), bool)
+        reads[owner, column[len(lists):]] = True
         norms, q_norms = np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1)
         place = pa.compute.index_in(asked, ids).fill_null(-1).to_numpy(zero_copy_only=False)
-        times = int(np.unique(np.asarray(ids), return_counts=True)[1].max())  # rows of one id, nearly always one
+        times = int(np.unique(np.asarray(ids), return_counts=True)[1].max())  # lists that hold one vector, and repeated rows
         pairs = []
         for lo in range(0, len(q), 256):
             block = slice(lo, lo + 256)
             near = np.round((q[block] / q_norms[block, None]) @ (x / norms[:, None]).T, 12)
-            own = np.flatnonzero(place[block] >= 0)
-            for i in own.tolist():  # a query's own id, which may stand in several rows
-                first = int(place[block][i])
-                last = first
-                while last < len(ids) and ids[last] == ids[first]:
-                    last += 1
-                near[i, first:last] = -np.inf
+            near[~reads[block][:, column[:len(lists)]]] = -np.inf
+            for i in np.flatnonzero(place[block] >= 0).tolist():  # a query's own id, which may stand in several rows
+                start = stop = int(place[block][i])
+                while stop < len(ids) and ids[stop] == ids[start]:
+                    stop += 1
+                near[i, start:stop] = -np.inf
             n = min(k * times, near.shape[1])
-            # a stable sort of the few above the k-th keeps the smaller id among equals
             kth = np.partition(near, near.shape[1] - n, axis=1)[:, near.shape[1] - n]
             for i in range(near.shape[0]):
-                above = np.flatnonzero(near[i] >= kth[i])
-                best = above[np.argsort(-near[i, above], kind="stable")[:n]]
-                pairs += [(lo + i, int(b)) for b in best if near[i, b] > -np.inf]
+                above = np.flatnonzero((near[i] >= kth[i]) & (near[i] > -np.inf))
+                best = above[np.argsort(-near[i, above], kind="stable")]  # equal ones stay in the order of their ids
+                seen: dict = {}
+                for j in best.tolist():
+                    seen.setdefault(ids[j].as_py(), j)
+                    if len(seen) == k:
+                        break
+                pairs += [(lo + i, j) for j in seen.values()]
         if not pairs:
             return none
         i, j = np.array(pairs).T
@@ -204,15 +218,19 @@ def _nearest(dim: int, k: int):
     return run
 
 
-def _parts(counts: dict[int, int], block: int) -> dict[int, int]:
-    return {lst: -(-n // block) for lst, n in counts.items() if n > block}
-
-
-def _number(parts: dict[int, int]) -> Column:
-    """Parts of each list: one, but for the long ones."""
-    if not parts:
-        return F.lit(1)
-    return F.coalesce(F.element_at(F.create_map(*[F.lit(v) for item in parts.items() for v in item]), F.col("list")), F.lit(1))
+def _shelves(spark: SparkSession, held: dict[int, int], asked: dict[int, int], block: int) -> DataFrame:
+    """``(list, shelf, parts, blocks)`` for each list: short lists share a shelf of at most ``block`` vectors, a long one is
+    alone and split into parts; a shelf with more than ``block`` rows of queries takes them in blocks."""
+    shelf, size, rows = 0, 0, []
+    for lst, n in sorted(held.items()):
+        if size and size + n > block:
+            shelf, size = shelf + 1, 0
+        rows.append((lst, shelf, -(-n // block)))
+        size += n
+    queries: dict[int, int] = {}
+    for lst, at, _ in rows:
+        queries[at] = queries.get(at, 0) + asked.get(lst, 0)
+    return spark.createDataFrame([(lst, at, parts, max(1, -(-queries[at] // block))) for lst, at, parts in rows], "list int, shelf int, parts int, blocks int")
 
 
 def neighbours(vectors: DataFrame, is_query: Column, k: int = 5, cfg: Lists | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -265,11 +283,13 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 5, cfg: Lists | No
     asks = rows.where("_asks").select("_id", "_vector").mapInArrow(_route(shared, cfg, dim, read_lists, "_vector", "query_id"), f"list int, place int, query_id {kind}, _vector array<double>")
     asks = cut_lineage(asks)
     asked = {r["list"]: r["n"] for r in asks.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    parts, blocks = _number(_parts({lst: r["n"] for lst, r in held.items()}, cfg.block)), _number(_parts(asked, cfg.block))
-    all_of = lambda number: F.explode(F.sequence(F.lit(0), number - 1))
-    left = postings.withColumn("part", F.pmod(F.xxhash64("vec_id"), parts).cast("int")).select("list", "part", all_of(blocks).alias("block"), "vec_id", "_vector")
-    right = asks.withColumn("block", F.pmod(F.xxhash64("query_id"), blocks).cast("int")).select("list", all_of(parts).alias("part"), "block", "query_id", "_vector")
-    met = left.groupBy("list", "part", "block").cogroup(right.groupBy("list", "part", "block")).applyInArrow(_nearest(dim, k), f"query_id {kind}, vec_id {kind}, score double")
+    # a row for each list again
+    shelves = F.broadcast(_shelves(spark, {lst: r["n"] for lst, r in held.items()}, asked, cfg.block))
+    all_of = lambda number: F.explode(F.sequence(F.lit(0), F.col(number) - 1))
+    left = postings.join(shelves, "list").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).select("list", "shelf", "part", all_of("blocks").alias("block"), "vec_id", "_vector")
+    right = asks.join(shelves, "list").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).select(
+        "list", F.col("shelf").alias("on"), all_of("parts").alias("part"), "block", "query_id", "_vector")
+    met = left.groupBy("shelf", "part", "block").cogroup(right.groupBy("on", "part", "block")).applyInArrow(_nearest(dim, k), f"query_id {kind}, vec_id {kind}, score double")
     best = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -62,6 +62,11 @@ def _tables(rules: tuple[Rule, ...]):
     return a, first, held, a.step.reshape(-1).tolist(), a.accepts.tolist(), a.reaches.tolist(), a.opening.tolist()
 
 
+@cache
+def _heads(rules: tuple[Rule, ...]) -> list[re.Pattern[bytes] | None]:
+    return [re.compile(r.head.encode()) if r.head else None for r in rules]
+
+
 def _candidates(data: np.ndarray, begins: np.ndarray, rules: tuple[Rule, ...]) -> np.ndarray:
     """Positions where a match may start: each byte opens a lane, and most lanes are dead after a few bytes.
 
@@ -91,6 +96,7 @@ def _candidates(data: np.ndarray, begins: np.ndarray, rules: tuple[Rule, ...]) -
 def _matches(text: bytes, starts: list[int], rules: tuple[Rule, ...]) -> list[tuple[int, int, int]]:
     """``(start, end, rule)`` in bytes: per rule the leftmost longest matches that do not overlap, short ones dropped."""
     _, _, _, step, accepts, reaches, opening = _tables(rules)
+    heads = _heads(rules)
     free = [0] * len(rules)
     found = []
     for start in starts:
@@ -107,8 +113,8 @@ def _matches(text: bytes, starts: list[int], rules: tuple[Rule, ...]) -> list[tu
                     best[r] = max(end, best.get(r, 0))
         for r, end in best.items():
             free[r] = end
-            head = re.match(rules[r].head.encode(), text[start:min(end, start + 4096)]).end() if rules[r].head else 0
-            if end - start - head >= rules[r].least:
+            head = heads[r].match(text, start, end).end() if heads[r] else start
+            if end - head >= rules[r].least:
                 found.append((start, end, r))
     return sorted(found, key=lambda m: (m[0], m[2]))
 

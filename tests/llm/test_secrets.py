@@ -69,3 +69,11 @@ def test_automaton_equals_expression(pattern):
 
 def test_minimal_automaton_is_small():
     assert len(compile_expressions([Expression("(a|b)*c")]).step) == 3
+
+
+@pytest.mark.parametrize("text", ["token" + " " * 5000 + ":abcdef", "token" + " " * 5000 + "=abc", "token:" + " " * 5000 + "abc", "token:" + " " * 5000 + "abcdef",
+                                  "x token" + " " * 4085 + ":'abcde", "token" + " " * 5000 + ": " + "é" * 3])
+def test_long_runs_of_blanks(text):
+    raw = text.encode()
+    found = secrets._points(raw, secrets.scan_batch([raw], secrets.RULES)[0])
+    assert [(secrets.RULES[r].kind, s, e) for s, e, r in found] == plain_spans(text)

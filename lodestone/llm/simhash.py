@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from itertools import combinations
 from math import acos, pi
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
 from lodestone.llm.windows import mixed_bits
-from lodestone.session import cut_lineage
+from lodestone.session import cut_lineage, stack
 
 SEED = 42
 BITS = 64
@@ -144,21 +145,22 @@ def close_lanes(planes: np.ndarray, shift: int, lanes: np.ndarray, radius: int)
     return block[word] * 64 + lane
 
 
-def local_links(group: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def local_links(group: np.ndarray, prints: np.ndarray, radius: int, alike=None, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links that span the components within each run of equal ``group``: row numbers, and the first row of each's component.
 
     Row i meets row i + d for every d below the longest run; pairs that already hang together are not compared
-    again, and there is at most one link a row, not one a pair.
+    again, and there is at most one link a row, not one a pair.  ``alike(i, j)`` decides on pairs within the radius;
+    neighbours of a run with equal ``part`` hang together from the start.
     """
     starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else np.zeros(0, np.int64)
     sizes = np.diff(np.concatenate((starts, [len(group)])))
     of_row = np.repeat(sizes, sizes)
-    found = [_spanned(np.flatnonzero((of_row > 1) & (of_row <= LONG_RUN)), group, prints, radius)]
-    found += [_spanned(np.arange(at, at + n), group, prints, radius) for at, n in zip(starts, sizes, strict=True) if n > LONG_RUN]
+    found = [_spanned(np.flatnonzero((of_row > 1) & (of_row <= LONG_RUN)), group, prints, radius, alike, part)]
+    found += [_spanned(np.arange(at, at + n), group, prints, radius, alike, part) for at, n in zip(starts, sizes, strict=True) if n > LONG_RUN]
     return tuple(np.concatenate(part) for part in zip(*found, strict=True))
 
 
-def _spanned(rows: np.ndarray, group: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _spanned(rows: np.ndarray, group: np.ndarray, prints: np.ndarray, radius: int, alike=None, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """``local_links`` of the given rows; it ends as soon as each run hangs together."""
     if len(rows) < 2:
         return rows[:0], rows[:0]
@@ -167,6 +169,10 @@ def _spanned(rows: np.ndarray, group: np.ndarray, prints: np.ndarray, radius: in
     sizes = np.diff(np.concatenate((first, [len(group)])))
     head = np.repeat(first, sizes)
     planes, parent = planes_of(prints), np.arange(len(rows))
+    if part is not None:
+        part = part[rows]
+        new = np.concatenate(([True], (group[1:] != group[:-1]) | (part[1:] != part[:-1])))
+        parent = np.flatnonzero(new)[np.cumsum(new) - 1]
     for shift in range(1, int(sizes.max())):
         open_ = (group[shift:] == group[:-shift]) & (parent[shift:] != parent[:-shift])
         for i in close_lanes(planes, shift, _lanes(open_, planes.shape[1]), radius).tolist():
@@ -175,6 +181,8 @@ def _spanned(rows: np.ndarray, group: np.ndarray, prints: np.ndarray, radius: in
                 a = parent[a]
             while parent[b] != b:
                 b = parent[b]
+            if a == b or alike is not None and not alike(rows[i], rows[i + shift]):
+                continue
             parent[max(a, b)] = min(a, b)
         while not np.array_equal(up := parent[parent], parent):
             parent = up
@@ -225,11 +233,11 @@ def near_links(prints: DataFrame, radius: int = 4, agree: int = 2) -> DataFrame:
 
 
 def _grouped(prints: DataFrame, node: str, links: DataFrame) -> DataFrame:
-    """``(doc_id, <node>, root, component_id)`` from the links between nodes."""
+    """The columns of ``prints``, ``root`` and ``component_id`` from the links between nodes."""
     roots = components(links).withColumnRenamed("node", node)
     placed = prints.join(roots, node, "left").withColumn("root", F.coalesce("root", node))
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(least, "root").select("doc_id", node, "root", "component_id")
+    return placed.join(least, "root").select(*prints.columns, "root", "component_id")
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
@@ -248,17 +256,19 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
 
 @dataclass(frozen=True)
 class Wide:
-    """Signatures of several words for a similarity well below one.
+    """Signatures of several words and min-hash keys for a similarity well below one.
 
-    ``tables`` keys of ``key_bits`` bits each, drawn at random from all bits, put rows together; a shared key
-    is enough to be compared.  With these values a pair of similarity 0.8 shares one with probability 0.95, one of 0.9 always.
-    ``slack`` is the number of standard deviations by which the radius exceeds the expected distance.
+    Rows meet if one of ``tables`` keys is equal; a key is made of the least of the shingle hashes under ``rows`` mixings, so two
+    sets of similarity s share it with probability s ** rows: with these values 0.06 percent of the pairs at 0.8 share none.
+    ``slack`` is the number of standard deviations by which the radius exceeds the expected distance; it is wide as
+    the sets themselves decide.  A group of more than ``block`` sets is compared in pairs of blocks.
     """
     words: int = 8
-    tables: int = 157
-    key_bits: int = 24
-    slack: float = 1.5
+    tables: int = 40
+    rows: int = 8
+    slack: float = 6.0
     seed: int = 9
+    block: int = 512
 
     def radius(self, similarity: float) -> int:
         """Bits that differ at this Jaccard similarity: those of sets are at the angle acos(2 s / (1 + s))."""
@@ -273,29 +283,58 @@ def wide_signature(hashes: np.ndarray, words: int) -> bytes:
     return np.array([fingerprint(h) for h in more], "<u8").tobytes()
 
 
-def _signatures(width: int, words: int):
+@cache
+def _mixings(cfg: Wide) -> tuple[np.ndarray, np.ndarray]:
+    add, times = np.random.default_rng(cfg.seed).integers(0, 1 << 64, (2, cfg.tables * cfg.rows, 1), dtype=np.uint64)
+    return add, times | np.uint64(1)
+
+
+def table_keys(hashes: np.ndarray, cfg: Wide) -> np.ndarray:
+    """One key a table; no hash gives none."""
+    import xxhash
+
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    add, times = _mixings(cfg)
+    least = np.full(len(add), (1 << 64) - 1, np.uint64)
+    for at in range(0, len(hashes), 512):
+        least = np.minimum(least, ((hashes[at:at + 512] ^ add) * times).min(axis=1))
+    data, step = least.astype("<u8").tobytes(), 8 * cfg.rows
+    return np.array([xxhash.xxh64_intdigest(data[t * step:(t + 1) * step], t) for t in range(cfg.tables)], np.uint64).view(np.int64)
+
+
+def _node(raw: bytes) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(raw, SEED)
+
+
+def _parts_of(batches: Iterator[pa.RecordBatch], width: int):
+    """Parts of batches, with the shingle set (sorted hashes) of each row and the set's hash."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            sets = [np.unique(shingle_hashes(t.as_py() or b"", width)) for t in part.column("text").cast(pa.large_binary())]
+            raw = [h.astype("<u8").tobytes() for h in sets]
+            yield part, sets, raw, pa.array(np.array([_node(r) for r in raw], np.uint64).view(np.int64), pa.int64())
+
+
+def _keys(width: int, cfg: Wide):
+    """For each row the hash of its shingle set and its keys."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").cast(pa.large_binary())
-            marks = [wide_signature(shingle_hashes(t.as_py() or b"", width), words) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(marks, pa.binary())], ["doc_id", "mark"])
+        for part, sets, _, nodes in _parts_of(batches, width):
+            keys = pa.array([table_keys(h, cfg) for h in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), nodes, keys], ["doc_id", "text_hash", "node", "keys"])
 
     return run
 
 
-def _table_keys(cfg: Wide):
-    """``(bucket, node)`` for every table; the table's number is part of the bucket."""
-    rng = np.random.default_rng(cfg.seed)
-    chosen = [rng.choice(BITS * cfg.words, cfg.key_bits, replace=False) for _ in range(cfg.tables)]
-    weight = 1 << np.arange(cfg.key_bits, dtype=np.int64)
-
+def _sets(width: int, cfg: Wide):
+    """For each text the hash of its shingle set, the signature and the set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                bits = np.unpackbits(np.frombuffer(b"".join(part.column("mark").to_pylist()), np.uint8).reshape(part.num_rows, -1), axis=1, bitorder="little")
-                keys = np.concatenate([bits[:, which] @ weight + (t << cfg.key_bits) for t, which in enumerate(chosen)])
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.tile(part.column("node").to_numpy(), cfg.tables), pa.int64())], ["bucket", "node"])
+        for _, sets, raw, nodes in _parts_of(batches, width):
+            marks = pa.array([wide_signature(h, cfg.words) for h in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([nodes, marks, pa.array(raw, pa.binary())], ["node", "mark", "shingles"])
 
     return run
 
@@ -321,25 +360,48 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(1)
 
 
-def _wide_links(radius: int, rows: int = 1 << 14):
-    """Compares each bucket of rows ``(bucket, node, mark)`` in order of bucket; one may cross batches."""
+def _alike(sets: list[np.ndarray], similarity: float):
+    """Whether two of the sets have this Jaccard similarity or more."""
+    def alike(i: int, j: int) -> bool:
+        a, b = sets[i], sets[j]
+        if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
+            return False
+        both = np.concatenate((a, b))
+        both.sort(kind="stable")
+        common = int((both[1:] == both[:-1]).sum())
+        return common >= similarity * (len(both) - common) - 1e-9
+
+    return alike
+
+
+def _wide_links(radius: int, similarity: float, rows: int = 1 << 12):
+    """Compares the sets of each unit, rows ``(unit, part, node, mark, shingles)`` in order of (unit, part); one may cross batches.
+
+    The signatures screen pairs, the sets decide.  What is held is bounded by ``rows`` and the largest unit.
+    """
     def compare(held: list[pa.RecordBatch], last: bool):
         table = pa.Table.from_batches(held).combine_chunks()
-        bucket, node = (table.column(c).to_numpy() for c in ("bucket", "node"))
-        end = len(bucket) if last else int(np.searchsorted(bucket, bucket[-1]))
+        unit, part, node = (table.column(c).to_numpy() for c in ("unit", "part", "node"))
+        end = len(unit) if last else int(np.flatnonzero(unit == unit[-1])[0])
+        if not end:
+            return None, table.to_batches()
         marks = np.frombuffer(b"".join(table.column("mark").slice(0, end).to_pylist()), "<u8").reshape(end, -1).astype(np.uint64)
-        a, b = local_links(bucket[:end], marks, radius)
+        sets = [np.frombuffer(x, "<u8") for x in table.column("shingles").slice(0, end).to_pylist()]
+        _, numbers = np.unique(unit[:end], return_inverse=True)
+        a, b = local_links(numbers, marks, radius, _alike(sets, similarity), part[:end])
         return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"]), table.slice(end).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         limit = rows
-        for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= limit:
-                out, held = compare(held, False)
-                limit = rows + 2 * sum(b.num_rows for b in held)
-                yield out
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                held.append(whole.slice(at, rows))
+                if sum(b.num_rows for b in held) >= limit:
+                    out, held = compare(held, False)
+                    limit = rows + sum(b.num_rows for b in held)
+                    if out is not None:
+                        yield out
         if sum(b.num_rows for b in held):
             yield compare(held, True)[0]
 
@@ -366,23 +428,70 @@ def _towards_least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
+def _met(nodes: DataFrame) -> DataFrame:
+    """Links from each node to the least one of each of its keys."""
+    rows = nodes.select("node", F.explode("keys").alias("bucket"))
+    least = rows.groupBy("bucket").agg(F.min("node").alias("b"), F.max("node").alias("_last")).where("b < _last").drop("_last")
+    return rows.join(least, "bucket").select(F.col("node").alias("a"), "b").where("a <> b")
+
+
+def _unit_links(units: DataFrame, nodes: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Links within each unit of ``(unit, part, node)``."""
+    laid = units.join(nodes.select("node", "mark", "shingles"), "node").select("unit", "part", "node", "mark", "shingles")
+    laid = laid.repartition("unit").sortWithinPartitions("unit", "part", "node")
+    return cut_lineage(laid.mapInArrow(_wide_links(radius, similarity), "a long, b long"))
+
+
+def set_links(met: DataFrame, nodes: DataFrame, similarity: float, cfg: Wide) -> DataFrame:
+    """Links ``(a, b)`` whose components are those of all pairs within a component of ``met`` that are ``similarity`` alike.
+
+    Keys only say who is in one group; pairs of sets decide.  A group of up to ``cfg.block`` sets is compared as it is.  A larger one
+    is dealt into blocks with its least node in each; only where these leave it in several parts does each pair of blocks meet.
+    """
+    radius = cfg.radius(similarity)
+    found = components(met)
+    members = found.unionByName(found.select(F.col("root").alias("node"), "root")).distinct()
+    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / F.lit(cfg.block)).cast("long").alias("blocks"))
+    block = F.pmod(F.xxhash64("node", F.lit(cfg.seed)), F.col("blocks"))
+    members = cut_lineage(members.join(sizes, "root").select("root", "node", "blocks", block.alias("block")))
+    dealt = members.select("root", "node", F.when(F.col("node") == F.col("root"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block")).alias("_in"))
+    units = dealt.select("root", "node", F.explode("_in").alias("block")).select(F.xxhash64("root", "block").alias("unit"), F.col("node").alias("part"), "node")
+    links = _unit_links(units, nodes, radius, similarity)
+    large = members.where("blocks > 1")
+    if large.isEmpty():
+        return links
+    # groups that blocks leave in several parts
+    parts = components(links.join(large.select(F.col("node").alias("a")), "a", "left_semi"))
+    placed = cut_lineage(large.join(parts.withColumnRenamed("root", "part"), "node", "left").withColumn("part", F.coalesce("part", "node")))
+    torn = placed.groupBy("root").agg(F.min("part").alias("_low"), F.max("part").alias("_high")).where("_low < _high").select("root")
+    other = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != F.col("block"))).alias("other")
+    pairs = placed.join(torn, "root", "left_semi").select("root", "node", "part", "block", other)
+    pairs = pairs.select(F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other"), F.lit(1)).alias("unit"), "part", "node")
+    # a pair of blocks that is of one part already has nothing to add
+    open_ = pairs.groupBy("unit").agg(F.min("part").alias("_low"), F.max("part").alias("_high")).where("_low < _high").select("unit")
+    return stack(links, _unit_links(pairs.join(open_, "unit", "left_semi"), nodes, radius, similarity))
+
+
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, cfg: Wide | None = None) -> DataFrame:
-    """``(doc_id, node, root, component_id)`` for each row: groups of texts whose shingle sets are ``similarity`` alike.
+    """``(doc_id, text_hash, node, root, component_id)`` for each row: groups of texts whose shingle sets are ``similarity`` alike.
 
-    A radius of a few bits finds little below a similarity of 0.95, so texts get wide signatures, meet in buckets of equal
-    key bits and are compared bit plane by bit plane there.  Nulls, blanks, repeats and empty tables are treated as in ``near_groups``.
+    A radius of a few bits finds little below a similarity of 0.95, so texts get wide signatures and meet by min-hash keys;
+    signatures are compared bit plane by bit plane there, and the sets of those within a wide radius decide.  Groups hold
+    chains of such pairs.  ``text_hash`` tells rows of one ``doc_id`` apart.  Nulls, blanks, repeats and empty tables
+    are treated as in ``near_groups``.
     """
     cfg = cfg or Wide()
-    slim = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    slim = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    prints = cut_lineage(slim.mapInArrow(_signatures(width, cfg.words), f"doc_id {kind}, mark binary").withColumn("node", F.xxhash64("mark")))
-    nodes = prints.select("node", "mark").dropDuplicates(["node"])
-    buckets = nodes.mapInArrow(_table_keys(cfg), "bucket long, node long")
-    met = buckets.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_shared, "bucket long, node long")
-    laid = met.join(nodes, "node").repartition("bucket").sortWithinPartitions("bucket", "node")
-    links = laid.select("bucket", "node", "mark").mapInArrow(_wide_links(cfg.radius(similarity)), "a long, b long")
-    links = links.repartition("a").sortWithinPartitions("a", "b").mapInArrow(_towards_least, "a long, b long")
-    return _grouped(prints.select("doc_id", "node"), "node", links)
+    prints = cut_lineage(slim.mapInArrow(_keys(width, cfg), f"doc_id {kind}, text_hash long, node long, keys array<long>"))
+    met = _met(cut_lineage(prints.select("node", "keys").dropDuplicates(["node"])))
+    met = cut_lineage(met.repartition("a").sortWithinPartitions("a", "b").mapInArrow(_towards_least, "a long, b long").distinct())
+    # sets are made again for one text of each node that met another, so those of the whole corpus are never written
+    wanted = met.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    chosen = prints.select("node", "text_hash").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text_hash").alias("text_hash"))
+    texts = slim.select("text", "text_hash").join(cut_lineage(chosen.select("text_hash")), "text_hash", "left_semi")
+    nodes = cut_lineage(texts.mapInArrow(_sets(width, cfg), "node long, mark binary, shingles binary").dropDuplicates(["node"]))
+    return _grouped(prints.select("doc_id", "text_hash", "node"), "node", set_links(met, nodes, similarity, cfg))
 
 
 def hex_digits(fp: Column) -> Column:

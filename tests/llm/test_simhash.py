@@ -159,3 +159,57 @@ def test_links_towards_the_least_keep_components():
                     least[a] = least[b] = min(least[a], least[b])
             return least
         assert classes(out) == classes(links.tolist())
+
+
+def sets_of(texts, width=5):
+    return [set(simhash.shingle_hashes(t.encode(), width).tolist()) for t in texts]
+
+
+def jaccard_components(texts, bar=0.8):
+    sets, root = sets_of(texts), list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and len(sets[i] & sets[j]) >= bar * len(sets[i] | sets[j]) - 1e-9:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def near_the_bar(groups, sizes=(400,)):
+    """Groups of one text and copies of a similarity of 0.6 to 0.9, short ones too."""
+    rng = random.Random(11)
+    words = [f"v{i}" for i in range(4000)]
+    out = []
+    for g in range(groups):
+        base = [rng.choice(words) for _ in range(sizes[g % len(sizes)])]
+        out.append(" ".join(base))
+        for share in (0.6, 0.7, 0.76, 0.79, 0.81, 0.85, 0.9):
+            keep = round(len(base) * 2 * share / (1 + share))
+            w = base[:keep] + [rng.choice(words) for _ in range(len(base) - keep)]
+            out.append(" ".join(w))
+    return out
+
+
+def test_similarity_is_that_of_the_sets(spark):
+    """Pairs below the bar stay apart, pairs above it are together."""
+    texts = near_the_bar(40, (400, 12, 60, 1500))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    want = jaccard_components(texts)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()}
+    assert [got[d] for d in range(len(texts))] == want
+
+
+def test_large_group_in_blocks(spark):
+    """A group of many blocks gives the components of brute force, whatever is held at once."""
+    rng = random.Random(2)
+    base = [f"v{i}" for i in range(200)]
+    texts = []
+    for i in range(150):
+        w = list(base)
+        for at in rng.sample(range(200), rng.choice([1, 2, 3, 4, 5])):
+            w[at] = f"x{i}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(df, cfg=simhash.Wide(block=12)).collect()}
+    want = jaccard_components(texts)
+    assert len(set(want)) > 3 and [got[d] for d in range(len(texts))] == want

@@ -213,3 +213,19 @@ def test_large_group_in_blocks(spark):
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(df, cfg=simhash.Wide(block=12)).collect()}
     want = jaccard_components(texts)
     assert len(set(want)) > 3 and [got[d] for d in range(len(texts))] == want
+
+
+@pytest.mark.parametrize("held", [3, 16, 1 << 14])
+def test_unit_larger_than_what_is_held(held):
+    """One unit that fills several batches, with another behind it."""
+    import pyarrow as pa
+    rng = np.random.default_rng(5)
+    base = np.sort(rng.integers(0, 2**63, 200, dtype=np.uint64))
+    sets = [np.unique(np.concatenate((base[:-3], rng.integers(0, 2**63, 3, dtype=np.uint64)))) for _ in range(50)] + [base, base[:199]]
+    unit = np.array([1] * 50 + [2] * 2)
+    columns = [pa.array(unit), pa.array(np.arange(52)), pa.array(np.arange(52)), pa.array([simhash.wide_signature(x, 8) for x in sets]), pa.array([x.tobytes() for x in sets])]
+    table = pa.RecordBatch.from_arrays(columns, ["unit", "part", "node", "mark", "shingles"])
+    for cut in (52, 10):
+        batches = [table.slice(at, cut) for at in range(0, 52, cut)]
+        out = [x for o in simhash._wide_links(125, 0.8, held)(iter(batches)) for x in zip(o["a"].to_pylist(), o["b"].to_pylist(), strict=True)]
+        assert sorted(out) == [(i, 0) for i in range(1, 50)] + [(51, 50)]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import leaks, mixing, quality, secrets, simhash
-from lodestone.session import cut_lineage
+from lodestone.session import cut_lineage, stack
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 MARK = "[secret]"
@@ -20,19 +20,20 @@ def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates.
+    """One row of each group of near-duplicates: that with the smallest id, then with the smallest hash of its text.
 
-    Documents are alike from a similarity of 0.8 of their five-word shingles on.  Rows that repeat one id are reduced to
-    one of them; rows without an id stay only where their group has no other, as one row.
+    Documents are alike from a similarity of 0.8 of their five-word shingles on.  Rows are told apart by id and text, so rows that
+    share an id, or have none, stay if their texts are not alike.  A row without an id stays only where its group has no
+    other; of rows equal in both, that with the smallest other columns stays.
     """
-    docs = docs.select(*COLUMNS)
+    docs = docs.select(*COLUMNS).withColumn("_hash", F.xxhash64("text"))
     groups = cut_lineage(simhash.similar_groups(docs))
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    again = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_again"))
-    single = kept.join(again, F.col("doc_id").eqNullSafe(F.col("_again")), "left_anti")
-    repeated = kept.join(again, F.col("doc_id").eqNullSafe(F.col("_again")), "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(repeated)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    first = groups.groupBy("root").agg(F.min(order).alias("_row"), F.count("*").alias("_rows"))
+    first = first.select(F.col("_row.doc_id").alias("_id"), F.col("_row.text_hash").alias("_text"), (F.col("_rows") > 1).alias("_many"))
+    kept = cut_lineage(docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text"))))
+    least = kept.where("_many").groupBy("_id", "_text").agg(F.min(F.struct(*COLUMNS)).alias("_row")).select("_row.*")
+    return stack(kept.where("NOT _many").select(*COLUMNS), least)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,3 +42,16 @@ def test_nulls_empty_and_repeated_documents(spark, tmp_path):
         got = sorted((r.doc_id, r.text) for r in docs.collect())
         assert got == ([(1, None), (2, long), (4, "[secret]")] if part else [])
     assert isinstance(RuleEnsemble(0.0, ()).intercept, float)
+
+
+def test_near_duplicates_go_by_row_not_by_id(spark):
+    """Rows that share an id, or have none, stay unless their own text has a near-duplicate."""
+    long = " ".join(f"word{i}" for i in range(400))
+    other = [" ".join(f"{c}{i}" for i in range(50)) for c in "abcd"]
+    rows = [(None, long, "en", "s", 1), (2, long + " more", "en", "s", 1), (None, other[0], "en", "s", 1), (None, other[1], "en", "s", 1),
+            (7, other[2], "en", "s", 1), (7, other[3], "en", "s", 1), (7, other[3], "de", "s", 1), (2, other[0] + " end", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for parts in (1, 4):
+        got = corpus_pipeline.one_of_each_group(spark, docs.repartition(parts), "").collect()
+        assert sorted([(r.doc_id or 0, r.text, r.lang) for r in got]) == sorted(
+            [(2, long + " more", "en"), (0, other[1], "en"), (7, other[2], "en"), (7, other[3], "de"), (2, other[0] + " end", "en")])

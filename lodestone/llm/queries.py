@@ -273,3 +273,71 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 
     found = resolved_revisits(capture_records(table(spark, sf, "pages")))
     return found.select("record_id", "url_key", "ts", "outcome", "source_id", headers_text(F.col("headers")).alias("headers"), F.md5("payload").alias("payload_md5"))
+
+
+_HOST_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t),
+runs AS (SELECT r, i, ws[i:i + 2] AS run FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) > 3)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, run) AS c FROM runs) WHERE c > 1),
+again AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, unnest([i, i + 1, i + 2]) AS i FROM twice) GROUP BY r),
+c AS (
+  SELECT doc_id, source, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words FROM t JOIN w USING (r) LEFT JOIN again USING (r)
+), f AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, [word_chars < 3 * n_words, word_chars > 12 * n_words, 100 * n_symbols > 10 * n_words,
+         100 * n_dup_lines > 30 * n_lines, 100 * n_repeat_words > 20 * n_words] AS fails FROM c
+), rules AS (
+  SELECT source, base_failed, unnest(range(0, 6)) AS rule, unnest(list_concat([base_failed], fails)) AS bad FROM f
+), hosts AS (
+  SELECT source, rule, count(*)::DOUBLE AS n, sum(bad::INT)::DOUBLE AS k FROM rules GROUP BY ALL
+), moments AS (
+  SELECT rule, sum(k) / sum(n) AS share, avg(k / n) FILTER (n > 1) AS m, avg(k * (k - 1) / (n * (n - 1))) FILTER (n > 1) AS p FROM hosts GROUP BY rule
+), prior AS (
+  SELECT rule, coalesce(m, share) AS m, CASE WHEN p - m * m > 0 THEN least(greatest((m - p) / (p - m * m), 2), 10000) ELSE 10000 END AS s FROM moments
+), posterior AS (
+  SELECT source, rule, n, s, (k + m * s) / (n + s) AS mean FROM hosts JOIN prior USING (rule)
+), verdicts AS (
+  SELECT source, bool_or(rule = 0 AND low > 0.5) AS host_rejected, list(low > 0.2 ORDER BY rule) AS binds FROM (SELECT *, mean - 2 * sqrt(mean * (1 - mean) / (n + s + 1)) AS low FROM posterior) GROUP BY source
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_rejected,
+       NOT base_failed AND NOT host_rejected AND len(list_filter(list_zip(fails, binds[2:]), lambda x: x[1] AND x[2])) = 0 AS kept
+FROM f JOIN verdicts v ON f.source IS NOT DISTINCT FROM v.source
+"""
+
+
+@query("op11_host_rules", _HOST_SQL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    from lodestone.llm.hosts import host_rules
+
+    return host_rules(table(spark, sf, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rejected", "kept")
+
+
+_NEGATIVE_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.x, b.x)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM (
+  SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score) WHERE rank <= 10
+"""
+
+
+@query("op12_hard_negatives", _NEGATIVE_SQL)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    from lodestone.llm.negatives import hard_negatives
+
+    rows = table(spark, sf, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+@query("op13_embedding_whitening")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    from lodestone.llm.whitening import whitened
+
+    return whitened(table(spark, sf, "embeddings"))

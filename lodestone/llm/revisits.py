@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.session import stack
+
 # fixed values: headers of a not-modified answer that replace those of the stored response
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 # fixed values: query parameters that name a campaign or a referrer, not a document
@@ -47,7 +49,8 @@ def _tag(headers: Column) -> Column:
 
 
 def earlier_response(records: DataFrame, slices: int) -> DataFrame:
-    """``(_id, _source)`` for the revisits in ``(_id, _url, _at, _full)``: the latest full response strictly before.
+    """``(_url, _at, _source_at, _source)`` for the times of revisits in ``(_id, _url, _at, _full)``: the latest full response
+    strictly before; times without one are left out.
 
     Of several at one time the largest id is taken.  Captures of a URL are cut into time slices: the answer is in the
     slice itself or is the last of the slices before, so no task has to sort all captures of a common URL.
@@ -57,11 +60,12 @@ def earlier_response(records: DataFrame, slices: int) -> DataFrame:
         "_slice", F.floor((F.col("_at") - F.col("_from")).cast("double") / (F.col("_to") - F.col("_from") + 1) * slices)).drop("_from", "_to")
     full = F.when(F.col("_full"), F.struct(F.col("_at").alias("at"), F.col("_id").alias("id")))
     inside = Window.partitionBy("_url", "_slice").orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
-    near = sliced.withColumn("_near", F.max(full).over(inside)).where("not _full").select("_id", "_url", "_slice", "_near")
+    near = sliced.withColumn("_near", F.max(full).over(inside)).where("not _full").groupBy("_url", "_slice", "_at").agg(F.max("_near").alias("_near"))
     last = sliced.groupBy("_url", "_slice").agg(F.max(full).alias("_last"))  # at most `slices` rows a URL
     before = Window.partitionBy("_url").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = last.select("_url", "_slice", F.max("_last").over(before).alias("_carried"))
-    return near.join(carried, ["_url", "_slice"]).select("_id", F.coalesce("_near", "_carried")["id"].alias("_source"))
+    found = near.join(carried, ["_url", "_slice"]).select("_url", "_at", F.coalesce("_near", "_carried").alias("_found"))
+    return found.where("_found is not null").select("_url", "_at", F.col("_found.at").alias("_source_at"), F.col("_found.id").alias("_source"))
 
 
 def resolved_revisits(records: DataFrame, cfg: Revisits | None = None) -> DataFrame:
@@ -74,21 +78,28 @@ def resolved_revisits(records: DataFrame, cfg: Revisits | None = None) -> DataFr
     one, else the time of the last change.  Otherwise the revisit keeps its own headers and has no payload: ``missing`` without an
     earlier response, ``changed`` where the validator differs, ``unproven`` where there is none to compare.
 
-    Null urls and null times match nothing; a null kind counts as a revisit; null headers are empty; names are put in
-    lower case.  Repeated rows give repeated rows for revisits; a response id that occurs twice is read once.
+    An id alone tells nothing apart: a revisit is resolved by its own URL and time, and a response is known by URL, time and id; of
+    several that share all three, the one with the smallest payload and headers is read.  Null urls and null times match nothing; a
+    null kind counts as a revisit; null headers are empty; names are put in lower case.  Repeated rows give repeated rows.
     Other columns are ignored; an empty table gives an empty result.
     """
     cfg = cfg or Revisits()
     rows = records.where("record_id is not null").select(
         "record_id", canonical_url(F.col("url")).alias("url_key"), F.col("ts").cast("long").alias("ts"),
         F.coalesce(F.col("kind") == "response", F.lit(False)).alias("_full"), _lowered(F.col("headers")).alias("headers"), "payload")
-    slim = rows.where("url_key is not null and ts is not null").select(
-        F.col("record_id").alias("_id"), F.col("url_key").alias("_url"), F.col("ts").alias("_at"), "_full")
-    pairs = earlier_response(slim, cfg.slices).dropDuplicates(["_id"])
-    stored = rows.where("_full and url_key is not null and ts is not null").select(
-        F.col("record_id").alias("_source"), F.col("headers").alias("_stored"), F.col("payload").alias("_body")).dropDuplicates(["_source"])
-    asked = rows.where("not _full").join(pairs, F.col("record_id") == F.col("_id"), "left").drop("_id")
-    met = asked.join(stored, "_source", "left")
+    placed = F.col("url_key").isNotNull() & F.col("ts").isNotNull()
+    slim = rows.where(placed).select(F.col("record_id").alias("_id"), F.col("url_key").alias("_url"), F.col("ts").alias("_at"), "_full")
+    pairs = earlier_response(slim, cfg.slices)
+    stored = (rows.where(F.col("_full") & placed).groupBy(F.col("url_key").alias("_s_url"), F.col("ts").alias("_s_at"), F.col("record_id").alias("_s_id"))
+              .agg(F.min(F.struct("payload", F.array_sort(F.map_entries("headers")).alias("headers"))).alias("_kept"))
+              .select("_s_url", "_s_at", "_s_id", F.col("_kept.payload").alias("_body"), F.map_from_entries("_kept.headers").alias("_stored")))
+    # revisits without a place never enter a join, where they would share one key
+    revisits = rows.where("not _full")
+    none = F.lit(None)
+    lost = revisits.where(~placed).select("*", none.cast(rows.schema["record_id"].dataType).alias("_source"), none.cast("map<string,string>").alias("_stored"), none.cast(rows.schema["payload"].dataType).alias("_body"))
+    asked = revisits.where(placed).join(pairs, (F.col("url_key") == F.col("_url")) & (F.col("ts") == F.col("_at")), "left")
+    met = asked.join(stored, (F.col("url_key") == F.col("_s_url")) & (F.col("_source_at") == F.col("_s_at")) & (F.col("_source") == F.col("_s_id")), "left")
+    met = stack(met.select(*lost.columns), lost)
     tag, stored_tag = _tag(F.col("headers")), _tag(F.col("_stored"))
     since, stored_since = F.element_at("headers", "last-modified"), F.element_at("_stored", "last-modified")
     outcome = (F.when(F.col("_source").isNull(), "missing")
@@ -102,7 +113,7 @@ def resolved_revisits(records: DataFrame, cfg: Revisits | None = None) -> DataFr
         "record_id", "url_key", "ts", "outcome", F.col("_source").alias("source_id"),
         F.when(ok, F.map_concat(kept, renewed)).otherwise(F.col("headers")).alias("headers"), F.when(ok, F.col("_body")).alias("payload"))
     full = rows.where("_full").select("record_id", "url_key", "ts", F.lit("full").alias("outcome"), F.col("record_id").alias("source_id"), "headers", "payload")
-    return full.unionByName(settled)
+    return stack(full, settled)
 
 
 def headers_text(headers: Column) -> Column:

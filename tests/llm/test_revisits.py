@@ -55,6 +55,18 @@ def test_repeats_and_empty(spark):
     assert resolved_revisits(df.limit(0)).count() == 0
 
 
+def test_ids_that_several_records_share(spark):
+    tag, other = {"ETag": "x"}, {"ETag": "y"}
+    rows = [(1, "response", "a.com/x", 1, tag, "ax"), (1, "response", "b.com/y", 1, other, "by"), (1, "response", "a.com/x", 5, tag, "ax5"),
+            (9, "revisit", "a.com/x", 3, tag, None), (9, "revisit", "b.com/y", 3, other, None), (9, "revisit", "a.com/x", 7, tag, None), (9, "revisit", None, 7, tag, None), (9, "revisit", "a.com/x", 1, tag, None),
+            (2, "response", "c.com", 1, tag, "q"), (2, "response", "c.com", 1, tag, "p"), (9, "revisit", "c.com", 2, tag, None)]
+    df = spark.createDataFrame([(*r, "old", 1) for r in rows], SCHEMA)
+    for parts in (1, 5):
+        got = sorted((r.url_key or "", r.ts, r.outcome, r.source_id or 0, r.payload or "") for r in resolved_revisits(df.repartition(parts)).where("record_id = 9").collect())
+        assert got == [("", 7, "missing", 0, ""), ("a.com/x", 1, "missing", 0, ""), ("a.com/x", 3, "etag", 1, "ax"), ("a.com/x", 7, "etag", 1, "ax5"), ("b.com/y", 3, "etag", 1, "by"), ("c.com", 2, "etag", 2, "p")]
+        assert resolved_revisits(df.repartition(parts)).count() == len(rows)
+
+
 def test_canonical_urls(spark):
     urls = {"https://www.Ex.org:443/A/?utm_source=x&b=2&ref=y#top": "ex.org/A?b=2", "http://ex.org": "ex.org", "HTTP://u:p@ex.org/?fbclid=1": "ex.org", "ex.org/a?refer=1": "ex.org/a?refer=1", None: None, "": ""}
     df = spark.createDataFrame([(u,) for u in urls], "url string")

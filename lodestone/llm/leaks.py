@@ -18,6 +18,10 @@ UNITS = ["%", "°", "$", "€", "£", "mm", "cm", "m", "km", "mg", "g", "kg", "m
          "percent", "degree", "degrees", "cent", "cents", "dollar", "dollars", "euro", "euros"]
 
 
+#: What tells a document apart: its key and the hash of its text.
+DOC = ["doc_id", "doc_hash"]
+
+
 @dataclass(frozen=True)
 class Leaks:
     """Words in a window, part of an item's windows that makes a leak, words of a window that must be no placeholder,
@@ -75,42 +79,44 @@ def nameless(words: Column) -> Column:
 
 
 def item_windows(items: DataFrame, cfg: Leaks, key: str = "item_id", text: str = "text") -> DataFrame:
-    """``(item_id, hash, item_pos, tokens, templates, same, n, need, rare)``: every window that is not mostly placeholders.
+    """``(item, item_id, hash, item_pos, tokens, templates, same, n, need, rare)``: every window that is not mostly placeholders.
 
+    ``item`` names an id with its text: rows that share an id, or have none, are items of their own unless their texts are equal.
     Windows count in stretches of ``need`` consecutive ones: ``cfg.window`` of them, or one where an item has no such
     stretch; shorter stretches are left out.  ``same`` names a window whatever its form, ``n`` counts the distinct ones.
     ``rare`` marks the windows that the fewest items share, one more than a leak may miss, so every leak holds one.
     """
     w = cfg.window
-    laid = (_all_windows(items.select(F.col(key).alias("item_id"), F.col(text).alias("_text")), ["item_id"], w).withColumnRenamed("pos", "item_pos")
+    named = items.select(F.xxhash64(F.col(key).isNull(), key, F.col(text)).alias("item"), F.col(key).alias("item_id"), F.col(text).alias("_text"))
+    laid = (_all_windows(named, ["item", "item_id"], w).withColumnRenamed("pos", "item_pos")
             .where(F.size(F.filter("templates", lambda x: ~F.substring(x, 1, 1).isin(NAME, NUMBER, UNIT))) >= cfg.literal)
             .withColumn("same", F.xxhash64(F.array_join(F.transform("tokens", lambda x: F.regexp_replace(x, r"^[\x01-\x03]", "")), " "))))
-    run = F.col("item_pos") - F.dense_rank().over(Window.partitionBy("item_id").orderBy("item_pos"))
+    run = F.col("item_pos") - F.dense_rank().over(Window.partitionBy("item").orderBy("item_pos"))
     long = F.count_distinct("item_pos") >= w
     runs = laid.withColumn("_run", run)
-    lengths = runs.groupBy("item_id", "_run").agg(long.alias("_long"))
-    needs = lengths.groupBy("item_id").agg(F.when(F.max("_long"), w).otherwise(1).alias("need"))
-    laid = runs.join(lengths, ["item_id", "_run"]).join(needs, "item_id").where(F.col("_long") | (F.col("need") == 1)).drop("_run", "_long")
-    shared = laid.groupBy("hash").agg(F.count_distinct("item_id").alias("_items"))
-    one = laid.join(shared, "hash").groupBy("item_id", "same").agg(F.max("_items").alias("_items"))
-    order = F.row_number().over(Window.partitionBy("item_id").orderBy("_items", "same"))
-    n = F.count("*").over(Window.partitionBy("item_id"))
+    lengths = runs.groupBy("item", "_run").agg(long.alias("_long"))
+    needs = lengths.groupBy("item").agg(F.when(F.max("_long"), w).otherwise(1).alias("need"))
+    laid = runs.join(lengths, ["item", "_run"]).join(needs, "item").where(F.col("_long") | (F.col("need") == 1)).drop("_run", "_long")
+    shared = laid.groupBy("hash").agg(F.count_distinct("item").alias("_items"))
+    one = laid.join(shared, "hash").groupBy("item", "same").agg(F.max("_items").alias("_items"))
+    order = F.row_number().over(Window.partitionBy("item").orderBy("_items", "same"))
+    n = F.count("*").over(Window.partitionBy("item"))
     rare = one.withColumn("n", n).withColumn("rare", order <= F.col("n") - F.ceil(F.col("n") * cfg.coverage - 1e-9) + 1).drop("_items")
-    return laid.join(rare, ["item_id", "same"]).select("item_id", "hash", "item_pos", "tokens", "templates", "same", "n", "need", "rare")
+    return laid.join(rare, ["item", "same"]).select("item", "item_id", "hash", "item_pos", "tokens", "templates", "same", "n", "need", "rare")
 
 
 def _touched(docs: DataFrame, known: DataFrame, near, cfg: Leaks) -> DataFrame:
-    """Ids of documents with a window of some item at every ``cfg.window``-th place.
+    """The ``DOC`` columns of documents with a window of some item at every ``cfg.window``-th place.
 
     A stretch of that many windows holds one of them, so this misses no leak of an item that asks for such a stretch; the
     windows of shorter items are looked for at every place.
     """
     word, w = "[^ ]+", cfg.window
-    text = docs.select("doc_id", marked(F.col("_text")).alias("_marked")).select("doc_id", template(F.col("_marked")).alias("_made"), template(nameless(F.col("_marked"))).alias("_plain"))
+    text = docs.select(*DOC, marked(F.col("_text")).alias("_marked")).select(*DOC, template(F.col("_marked")).alias("_made"), template(nameless(F.col("_marked"))).alias("_plain"))
 
     def hits(pattern: str, group: int, wanted: DataFrame) -> DataFrame:
         found = F.concat(*[F.regexp_extract_all(c, F.lit(pattern), F.lit(group)) for c in ("_made", "_plain")])
-        return text.select("doc_id", F.explode(found).alias("_w")).select("doc_id", F.xxhash64("_w").alias("hash")).join(near(wanted.select("hash").distinct()), "hash", "left_semi").select("doc_id")
+        return text.select(*DOC, F.explode(found).alias("_w")).select(*DOC, F.xxhash64("_w").alias("hash")).join(near(wanted.select("hash").distinct()), "hash", "left_semi").select(*DOC)
 
     out = hits(f"{word}(?: {word}){{{w - 1}}}", 0, known)
     short = known.where(F.col("need") < w)
@@ -119,9 +125,23 @@ def _touched(docs: DataFrame, known: DataFrame, near, cfg: Leaks) -> DataFrame:
     return out.distinct()
 
 
+def _same_doc(left: str = "", right: str = "_") -> Column:
+    return F.col(f"{left}doc_id").eqNullSafe(F.col(f"{right}doc_id")) & (F.col(f"{left}doc_hash") == F.col(f"{right}doc_hash"))
+
+
+def _away(df: DataFrame, names: list[str]) -> DataFrame:
+    """The same columns, those of ``names`` with a stroke in front, for joins on nullable keys."""
+    return df.withColumnsRenamed({c: f"_{c}" for c in names})
+
+
+def text_hash(text: Column) -> Column:
+    """Null texts have the hash of an empty one."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def leaks(docs: DataFrame, items: DataFrame, cfg: Leaks | None = None, key: str = "doc_id", text: str = "text",
           item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``(doc_id, item_id, n_windows, matched, coverage, slots, changed)`` for each document that holds an item.
+    """``(doc_id, doc_hash, item_id, n_windows, matched, coverage, slots, changed)`` for each document that holds an item.
 
     Both sides are cut into words whose numbers, units and names become typed placeholders, and windows of template words
     meet in a hash join, with names as placeholders or as words; they count in stretches of ``cfg.window`` consecutive ones.  Per occurrence (one offset between document and item) each value of the item must stand for one
@@ -129,23 +149,25 @@ def leaks(docs: DataFrame, items: DataFrame, cfg: Leaks | None = None, key: str
     item leaks where ``cfg.coverage`` of its distinct windows are found.  ``changed`` counts slots with another value:
     more than zero means a re-parameterised question.
 
-    Rows of one ``key`` count as one document, null keys too.  Null, empty and short texts hold no window and leak
-    nothing.  Repeated rows change nothing; other columns are ignored; an empty side gives an empty result.
+    A document is a key and a text: rows that share a key, or have none, are judged apart unless their texts are equal, and
+    ``doc_hash`` tells them apart.  The same holds for items.  Null, empty and short texts hold no window and leak
+    nothing.  Repeated rows change nothing; other columns are ignored; an empty side gives an empty result.  A text wholly in capitals
+    is read as names and finds only items written so.
     """
     cfg = cfg or Leaks()
     w = cfg.window
     known = cut_lineage(item_windows(items, cfg, item_key, item_text))
     small = known.count() <= cfg.broadcast_rows
     near = F.broadcast if small else (lambda side: side)  # a checked size; beyond it both sides are shuffled
-    texts = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text"))
-    touched = cut_lineage(_touched(texts, known, near, cfg)).withColumnRenamed("doc_id", "_doc")
-    held = texts.join(touched, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi")
-    placed = cut_lineage(_all_windows(held, ["doc_id"], w).withColumnsRenamed({"pos": "doc_pos", "tokens": "doc_tokens"}).drop("templates")
+    texts = docs.select(F.col(key).alias("doc_id"), text_hash(F.col(text)).alias("doc_hash"), F.col(text).alias("_text"))
+    touched = cut_lineage(_touched(texts, known, near, cfg)).transform(_away, DOC)
+    held = texts.join(touched, _same_doc(), "left_semi")
+    placed = cut_lineage(_all_windows(held, DOC, w).withColumnsRenamed({"pos": "doc_pos", "tokens": "doc_tokens"}).drop("templates")
                          .join(near(known.select("hash").distinct()), "hash", "left_semi"))
-    pairs = placed.join(near(known.where("rare").select("item_id", "hash").distinct()), "hash").select(F.col("doc_id").alias("_doc"), F.col("item_id").alias("_item")).distinct()
-    met = placed.join(near(known), "hash").join(pairs, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("item_id").eqNullSafe(F.col("_item")), "left_semi")
-    here = ["doc_id", "item_id", "offset"]
-    met = met.withColumn("offset", F.col("doc_pos") - F.col("item_pos")).dropDuplicates([*here, "item_pos", "doc_tokens"])
+    pairs = placed.join(near(known.where("rare").select("item", "hash").distinct()), "hash").select(*DOC, "item").distinct().transform(_away, [*DOC, "item"])
+    met = placed.join(near(known), "hash").join(pairs, _same_doc() & (F.col("item") == F.col("_item")), "left_semi")
+    here = [*DOC, "item", "offset"]
+    met = met.withColumn("offset", F.col("doc_pos") - F.col("item_pos")).dropDuplicates([*here, "item_pos", "doc_tokens", "templates"])
     # stretches of consecutive windows at one offset
     run = F.col("item_pos") - F.dense_rank().over(Window.partitionBy(*here).orderBy("item_pos"))
     met = met.withColumn("_run", run)
@@ -155,17 +177,16 @@ def leaks(docs: DataFrame, items: DataFrame, cfg: Leaks | None = None, key: str
     values = (met.select(*here, slot.alias("s")).groupBy(*here, "s.templates", F.col("s.tokens").alias("theirs"))
               .agg(F.count_distinct("s.doc_tokens").alias("values"), F.max((F.col("s.doc_tokens") != F.col("s.tokens")).cast("long")).alias("changed")))
     slots = values.groupBy(*here).agg(F.count("*").alias("slots"), F.sum((F.col("values") > 1).cast("long")).alias("conflicts"), F.sum("changed").alias("changed"))
-    matched = met.select(*here, "n", "same").distinct().join(slots.withColumnsRenamed({c: f"_{c}" for c in here}),
-        F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("item_id").eqNullSafe(F.col("_item_id")) & (F.col("offset") == F.col("_offset")), "left")
+    matched = met.select(*here, "item_id", "n", "same").distinct().join(slots.transform(_away, here), _same_doc() & (F.col("item") == F.col("_item")) & (F.col("offset") == F.col("_offset")), "left")
     fine = matched.where(F.coalesce(F.col("conflicts") <= F.col("slots") * cfg.conflicts, F.lit(True)))
-    return (fine.groupBy("doc_id", "item_id")
+    return (fine.groupBy(*DOC, "item", "item_id")
             .agg(F.max("n").alias("n_windows"), F.count_distinct("same").alias("matched"),
                  F.coalesce(F.max("slots"), F.lit(0)).alias("slots"), F.coalesce(F.max("changed"), F.lit(0)).alias("changed"))
             .withColumn("coverage", F.col("matched") / F.col("n_windows")).where(F.col("coverage") >= cfg.coverage)
-            .select("doc_id", "item_id", "n_windows", "matched", "coverage", "slots", "changed"))
+            .select(*DOC, "item_id", "n_windows", "matched", "coverage", "slots", "changed"))
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, cfg: Leaks | None = None, key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose document holds no item, unchanged."""
-    gone = leaks(docs, items, cfg, key).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
+def without_leaks(docs: DataFrame, items: DataFrame, cfg: Leaks | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose own text holds no item, unchanged; rows that share a key, or have none, do not go for one another."""
+    gone = leaks(docs, items, cfg, key, text).select(F.col("doc_id").alias("_gone"), F.col("doc_hash").alias("_gone_hash")).distinct()
+    return docs.join(gone, F.col(key).eqNullSafe(F.col("_gone")) & (text_hash(F.col(text)) == F.col("_gone_hash")), "left_anti")

@@ -124,7 +124,7 @@ GROUP BY s.doc_id, s.item_id HAVING count(DISTINCT s.same) / max(s.n) >= 0.8
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     from lodestone.llm.leaks import leaks
 
-    return leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("doc_hash")
 
 
 _BYTES_SQL = """

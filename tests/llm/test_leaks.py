@@ -24,7 +24,8 @@ def test_leaks_of_a_fixture(spark):
     assert set(got) == {(1, 1), (2, 1), (8, 1), (10, 1), (None, 1), (13, 2), (11, 6)}
     assert got[1, 1].changed == 0 and got[1, 1].coverage == 1.0 and got[2, 1].changed == 5 and got[2, 1].slots == 6
     left = without_leaks(*tables(spark))
-    assert sorted(r.doc_id for r in left.collect()) == [3, 4, 5, 6, 7, 9, 12, 14]
+    # of the two rows with key 1, that without the item stays
+    assert sorted((r.doc_id, r.text == CLEAN) for r in left.collect()) == [(1, True), (3, False), (4, True), *((i, False) for i in (5, 6, 7, 9, 12, 14))]
     assert left.columns == ["doc_id", "text", "hash", "need"]
 
 
@@ -36,7 +37,7 @@ def test_sql_says_the_same(spark):
         db.register(f"{name}_arrow", df.toArrow())
         db.execute(f"create view {name} as select * from {name}_arrow")
     want = db.execute(ORACLES["op9_template_leaks"]).fetchall()
-    assert sorted(tuple(r) for r in leaks(docs, items).collect()) == sorted(want)
+    assert sorted(tuple(r) for r in leaks(docs, items).drop("doc_hash").collect()) == sorted(want)
 
 
 @pytest.mark.parametrize("side", [0, 1])
@@ -51,3 +52,19 @@ def test_large_benchmarks_are_not_broadcast(spark):
     assert a == sorted(map(str, leaks(*tables(spark)).collect()))
     plan = leaks(*tables(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_items_without_a_key_and_with_one_for_several_texts(spark):
+    docs, other = [(1, f"{CLEAN} {ITEM}"), (2, CLEAN), (None, CLEAN), (None, f"{ITEM} x"), (3, "It is said that 17 gardeners planted 340 tulips along the canal before the first frost came last year")], "so 17 gardeners planted 340 tulips along the canal before the first frost came last year"
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame([(None, ITEM), (None, other), (None, ITEM), (9, "nothing of this kind was ever seen before in the old town hall")], "item_id long, text string")
+    assert sorted((r.doc_id or 0, r.item_id, r.changed) for r in leaks(frame, items).collect()) == [(0, None, 0), (1, None, 0), (3, None, 0)]
+    assert sorted((r.doc_id or 0) for r in without_leaks(frame, items).collect()) == [0, 2]
+    shared = items.withColumn("item_id", items.item_id * 0 + 4).fillna(4)
+    assert sorted((r.doc_id or 0, r.item_id, r.coverage) for r in leaks(frame, shared).collect()) == [(0, 4, 1.0), (1, 4, 1.0), (3, 4, 11 / 12)]
+
+
+def test_both_forms_of_a_window_reach_the_slots(spark):
+    docs, items = tables(spark)
+    runs = [sorted(map(str, leaks(docs.repartition(n), items.repartition(8 - n)).collect())) for n in (1, 3, 7)]
+    assert runs[0] == runs[1] == runs[2]

@@ -37,10 +37,13 @@ _CONTROLS = {"n": "\n", "t": "\t", "r": "\r"}
 
 
 class _Parser:
-    """Literals, classes, groups, alternation and the quantifiers ``? * + {m} {m,} {m,n}`` over single bytes."""
+    """Literals, classes, groups, alternation and the quantifiers ``? * + {m} {m,} {m,n}`` over single bytes.
 
-    def __init__(self, nfa: _Nfa, pattern: str, any_case: bool) -> None:
-        self.nfa, self.text, self.at, self.any_case = nfa, pattern, 0, any_case
+    Counts above ``most`` become ``{most,}``: what then matches is a superset.
+    """
+
+    def __init__(self, nfa: _Nfa, pattern: str, any_case: bool, most: int | None = None) -> None:
+        self.nfa, self.text, self.at, self.any_case, self.most = nfa, pattern, 0, any_case, most
 
     def peek(self) -> str:
         return self.text[self.at:self.at + 1]
@@ -129,6 +132,8 @@ class _Parser:
                 least, most = int(low), int(low) if "," not in body else int(high) if high else None
             else:
                 least, most = {"?": (0, 1), "*": (0, None), "+": (1, None)}[c]
+            if self.most is not None and max(least, most or 0) > self.most:
+                least, most = min(least, self.most), None
             after = self.at
             pieces = []
             for _ in range(max(least, most or 0, 1) if most is not None else max(least, 1)):
@@ -184,6 +189,16 @@ def _minimise(step: np.ndarray, accepts: np.ndarray) -> np.ndarray:
         classes = finer
 
 
+def _renumbered(step: np.ndarray, accepts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The smallest automaton with the same answers, and the new number of each state; state 0 stays."""
+    classes = _minimise(step, accepts)
+    order = np.where(classes == classes[0], 0, np.where(classes < classes[0], classes + 1, classes))
+    n = int(order.max()) + 1
+    small, final = np.zeros((n, step.shape[1]), np.int64), np.zeros(n, np.int64)
+    small[order], final[order] = order[step], accepts
+    return small, final, order
+
+
 def compile_expressions(expressions: list[Expression]) -> Automaton:
     """One automaton that follows all expressions at once from a common start."""
     if len(expressions) > 62:
@@ -229,15 +244,67 @@ def compile_expressions(expressions: list[Expression]) -> Automaton:
         accepts[numbers[states]] = sum(1 << ends[s] for s in states if s in ends)
     step = np.stack([rows[i] for i in range(len(numbers))])
     taken = np.array([accepts[i] for i in range(len(numbers))], np.int64)
-    classes = _minimise(step, taken)
-    # the dead state keeps number 0
-    order = np.where(classes == classes[DEAD], 0, np.where(classes < classes[DEAD], classes + 1, classes))
-    n = int(order.max()) + 1
-    small, final = np.zeros((n, 256), np.int64), np.zeros(n, np.int64)
-    small[order], final[order] = order[step], taken
+    small, final, order = _renumbered(step, taken)
     reaches = final.copy()
     while True:
         wider = reaches | np.bitwise_or.reduce(reaches[small], axis=1)
         if (wider == reaches).all():
             return Automaton(small.astype(np.int32), final, reaches, order[opening].astype(np.int32))
         reaches = wider
+
+
+@dataclass(frozen=True)
+class StartAutomaton:
+    """Reads bytes from right to left and never dies: ``accepts[state]`` has the expressions with a match that starts here.
+
+    ``kind[byte]`` is a column of ``step``; the last column stands for the border of a text and leads to state 0.
+    """
+    kind: np.ndarray
+    step: np.ndarray
+    accepts: np.ndarray
+
+    @property
+    def border(self) -> int:
+        return self.step.shape[1] - 1
+
+
+def compile_starts(expressions: list[Expression], most: int) -> StartAutomaton:
+    """One automaton for the reversed expressions, each of which may begin at any byte; counts above ``most`` are cut to it.
+
+    Cut counts keep the subsets few; a reported start then is a necessary condition for a match.
+    """
+    nfa, starts, ends = _Nfa(), {}, []
+    for number, e in enumerate(expressions):
+        start, end = _Parser(nfa, e.pattern, e.any_case, most).alternatives()
+        starts[start] = number
+        ends.append(end)
+    back = _Nfa()
+    for _ in nfa.empty:
+        back.state()
+    for s, (empty, moves) in enumerate(zip(nfa.empty, nfa.moves, strict=True)):
+        for to in empty:
+            back.empty[to].append(s)
+        for members, to in moves:
+            back.moves[to].append((members, s))
+
+    # bytes that all moves treat alike share a column
+    sets = sorted({members for moves in nfa.moves for members, _ in moves}, key=sorted)
+    columns: dict[tuple[bool, ...], int] = {}
+    kind = np.array([columns.setdefault(tuple(b in m for m in sets), len(columns)) for b in range(256)], np.uint8)
+    example = [int(np.flatnonzero(kind == c)[0]) for c in range(len(columns))]
+
+    fresh = back.closure(ends)
+    numbers, todo, rows, accepts = {fresh: 0}, [fresh], {}, {}
+    while todo:
+        states = todo.pop()
+        row = [0] * (len(columns) + 1)
+        for c, b in enumerate(example):
+            after = fresh | back.closure({to for s in states for members, to in back.moves[s] if b in members})
+            if after not in numbers:
+                numbers[after] = len(numbers)
+                todo.append(after)
+            row[c] = numbers[after]
+        rows[numbers[states]] = row
+        accepts[numbers[states]] = sum(1 << starts[s] for s in states if s in starts)
+    small, final, _ = _renumbered(np.array([rows[i] for i in range(len(numbers))]), np.array([accepts[i] for i in range(len(numbers))], np.int64))
+    return StartAutomaton(kind, small.astype(np.int32), final)

@@ -1,10 +1,11 @@
 import random
 import re
+import time
 
 import pytest
 
 from lodestone.llm import secrets
-from lodestone.llm.automaton import Expression, compile_expressions
+from lodestone.llm.automaton import Expression, compile_expressions, compile_starts
 
 # fixed values: the base rules as plain expressions
 PLAIN = {
@@ -77,3 +78,46 @@ def test_long_runs_of_blanks(text):
     raw = text.encode()
     found = secrets._points(raw, secrets.scan_batch([raw], secrets.RULES)[0])
     assert [(secrets.RULES[r].kind, s, e) for s, e, r in found] == plain_spans(text)
+
+
+@pytest.mark.parametrize("text", ["eyJ" * 350_000, "token" * 200_000, "-----BEGIN A " * 80_000, "eyJ" * 350_000 + ".eyJ" + "a" * 9 + ".x", "AKIA" * 250_000, "ab1" * 350_000, "token=" * 170_000,
+                                  ("eyJ" * 4 + ".") * 80_000, "ghp_" * 250_000, "a" * 10**6 + "." + "eyJ" * 9])
+def test_time_is_linear(text):
+    secrets.scan_batch([b"warm"], secrets.RULES)
+    begun = time.perf_counter()
+    secrets.scan_batch([text.encode()], secrets.RULES)
+    assert time.perf_counter() - begun < 4  # a square would take hours
+
+
+@pytest.mark.parametrize("lanes,block", [(2048, 1 << 20), (3, 700), (50, 130)])
+def test_lanes_agree_with_one_pass(lanes, block, monkeypatch):
+    """Long runs keep what stands far to their right; lanes and blocks must not lose it."""
+    monkeypatch.setattr(secrets, "LANES", lanes)
+    monkeypatch.setattr(secrets, "LANE_BYTES", block)
+    a, rng = secrets.starts_of(secrets.RULES), random.Random(lanes)
+    parts = ["eyJ", "a" * 200, "." + "b" * 90, ".eyJ", "token=", " ", "x", "AKIA" + "Q" * 30, "f" * 100, "-----BEGIN A PRIVATE KEY-----", "\n"]
+    texts = [b"", *("".join(rng.choice(parts) for _ in range(rng.randrange(12))).encode() for _ in range(60)), b""]
+    want = []
+    for t in texts:
+        state, marks = 0, []
+        for p in range(len(t) - 1, -1, -1):
+            state = a.step[state, a.kind[t[p]]]
+            mask = sum(1 << i for i, r in enumerate(secrets.RULES) if a.accepts[state] >> i & 1 and not (p and chr(t[p - 1]) in r.never_after))
+            if mask:
+                marks.append((p, mask))
+        want.append(marks[::-1])
+    assert secrets._starts(texts, secrets.RULES, a) == want and any(want)
+
+
+def test_starts_are_never_missed():
+    rng = random.Random(3)
+    for pattern in ["a{2,9}b", "(ab|a)c+", "a[^a-c]{8}d", "x(yz)+|z{7,}"]:
+        a, rx = compile_starts([Expression(pattern)], 4), re.compile(pattern.encode())
+        for _ in range(300):
+            text = bytes(rng.choice(b"aaabcdxyzz") for _ in range(rng.randrange(30)))
+            state, marks = 0, set()
+            for p in range(len(text) - 1, -1, -1):
+                state = a.step[state, a.kind[text[p]]]
+                if a.accepts[state]:
+                    marks.add(p)
+            assert {p for p in range(len(text)) if rx.match(text, p)} <= marks

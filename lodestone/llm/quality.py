@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.batches import pieces
 from lodestone.session import cut_lineage
 
 #: Rules see these statistics of a text and nothing else.
@@ -66,11 +67,11 @@ def statistics_of(text: bytes) -> list[float]:
 
 
 def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with a struct column ``_stats``; a null or blank text has zero in all of them."""
+    """``df`` with a struct column ``_stats``, in place of one of that name; a null or blank text has zero in all of them."""
     rest = [c for c in df.columns if c != "_stats"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, text):
             values = np.array([statistics_of(t.as_py() or b"") for t in batch.column(text).cast(pa.large_binary())]).reshape(-1, len(STATISTICS))
             stats = pa.StructArray.from_arrays([pa.array(values[:, i], pa.float64()) for i in range(len(STATISTICS))], STATISTICS)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), stats], [*rest, "_stats"])
@@ -174,6 +175,10 @@ def held_out(key: Column) -> Column:
 def scored(docs: DataFrame, ensemble: RuleEnsemble, text: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with ``name``, from 0 to 1, larger where label 1 is likelier; null and empty texts get a score as well.
 
-    All columns and rows pass through; a column of the same name as ``name`` is replaced.
+    All columns and rows pass through, whatever their names; a column of the same name as ``name`` is replaced.
     """
-    return with_statistics(docs, text).withColumn(name, ensemble.score()).drop("_stats")
+    kept = [c for c in docs.columns if c != name]
+    # the caller's columns under private names, so that none meets the statistics
+    slim = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)])
+    found = with_statistics(slim, f"c{kept.index(text)}").withColumn("score", ensemble.score())
+    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], F.col("score").alias(name))

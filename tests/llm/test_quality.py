@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -23,7 +24,7 @@ def test_held_out_rows_are_told_apart(spark):
     ensemble = quality.fit(docs, labels.where(~quality.held_out(F.col("doc_id"))))
     assert ensemble.weights and all(c.statistic in STATISTICS for rule, _ in ensemble.weights for c in rule)
     out = quality.scored(docs, ensemble, name="score")
-    assert out.columns == ["doc_id", "text", "score"] and out.count() == 404
+    assert out.columns == ["doc_id", "text", "_stats", "score"] and out.count() == 404 and out.where("_stats = 'x'").count() == 404
     rows = out.join(labels.where("quality in (0, 1)"), "doc_id").where(quality.held_out(F.col("doc_id"))).collect()
     assert len(rows) > 40 and all(0 <= r.score <= 1 for r in rows)
     assert sum((r.score >= 0.3) == (r.quality == 1) for r in rows) >= 0.97 * len(rows)
@@ -51,3 +52,25 @@ def test_statistics_of_edge_texts():
     s = dict(zip(STATISTICS, statistics_of("Äb 12 !! a a.\na a.".encode()), strict=True))
     assert s["upper"] == pytest.approx(1 / 6) and s["digits"] == pytest.approx(2 / 18) and s["repeated_words"] == 0.0
     assert s["distinct_lines"] == 1.0 and s["sentence_ends"] == pytest.approx(3 / 7) and s["doubled_marks"] == pytest.approx(1 / 7)
+
+
+def plain_score(ensemble, text):
+    """The ensemble by hand, rule by rule."""
+    stats, odds = dict(zip(STATISTICS, statistics_of(text.encode()), strict=True)), ensemble.intercept
+    for rule, weight in ensemble.weights:
+        odds += weight * all((stats[c.statistic] > c.bound) == c.above for c in rule)
+    return 1 / (1 + math.exp(-odds))
+
+
+def test_columns_equal_the_rules_by_hand(spark):
+    docs, labels = corpus(spark)
+    ensemble = quality.fit(docs, labels)
+    out = quality.scored(docs.union(spark.createDataFrame([(7, "w " * 300_000, "x", 1.0)], docs.schema)), ensemble).collect()
+    assert len(out) == 405 and all(r.score == pytest.approx(plain_score(ensemble, r.text or ""), abs=1e-12) for r in out)
+
+
+def test_contradicting_labels_even_out(spark):
+    docs = spark.createDataFrame([(i, "same words here") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i in range(40) for q in (0, 1)], "doc_id long, quality int")
+    ensemble = quality.fit(docs, labels)
+    assert {round(r.score, 6) for r in quality.scored(docs, ensemble).collect()} == {0.5}

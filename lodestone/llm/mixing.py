@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from lodestone.session import cut_lineage
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Sources whose plans may be sent to every task, some hundred bytes each; with more of them rows are salted.
+BROADCAST_SOURCES, SALTS = 100_000, 64
 #: Cells of the histogram of order keys, per source; the cut is searched in one cell only.
 CELLS = 4096
 
@@ -56,15 +58,23 @@ def source_targets(sizes: DataFrame, mix: Mix) -> DataFrame:
 
 
 def _measured(docs: DataFrame, key: str, text: str, source: str, weight: str | None, mix: Mix) -> DataFrame:
-    """``docs`` with private columns: source, size, relative weight and a number in (0, 1) drawn from the row itself."""
+    """``_row`` with the caller's columns, and private ones: source, size, relative weight and a number in (0, 1) drawn from the row itself."""
     body = F.coalesce(F.col(text), F.lit(""))
     drawn = F.xxhash64(F.col(key), F.xxhash64(body), F.lit(mix.seed))
-    return docs.withColumns({
-        "_none": F.col(source).isNull(), "_source": F.coalesce(F.col(source).cast("string"), F.lit("")),
-        "_key": F.col(key), "_size": word_count(F.col(text)),
-        "_weight": F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0)) if weight else F.lit(1.0),
-        "_u": F.shiftrightunsigned(drawn, 11) * F.lit(2.0 ** -53) + F.lit(2.0 ** -54),
-    })
+    weighed = F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0)) if weight else F.lit(1.0)
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(source).isNull().alias("_none"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_source"),
+        F.col(key).alias("_key"), word_count(F.col(text)).alias("_size"), weighed.alias("_weight"),
+        (F.shiftrightunsigned(drawn, 11) * F.lit(2.0 ** -53) + F.lit(2.0 ** -54)).alias("_u"))
+
+
+def _by_source(rows: DataFrame, plan: DataFrame, small: bool) -> DataFrame:
+    """Each row with what its source has in ``plan``; no task gets all rows of a common source."""
+    on = ["_none", "_source"]
+    if small:
+        return rows.join(F.broadcast(plan), on)
+    copies = plan.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", (F.col("_u") * SALTS).cast("int")).join(copies, [*on, "_salt"]).drop("_salt")
 
 
 PRIVATE = ["_none", "_source", "_key", "_size", "_weight", "_u"]
@@ -83,7 +93,7 @@ def _with_order(rows: DataFrame, mix: Mix) -> DataFrame:
             .withColumn("_order", F.when((F.col("_chance") > 1e-9) & (F.col("_size") > 0), odds / (1 + odds))))
 
 
-def _round(rows: DataFrame, on: list[str]) -> DataFrame:
+def _round(rows: DataFrame, on: list[str], small: bool) -> DataFrame:
     """``(..., _bound, _filled)`` per source: rows up to the order ``_bound`` come to ``_filled`` words, ``_gap`` at most.
 
     The bound is found from a histogram of the order keys and then inside one of its cells, so no task sorts the
@@ -95,7 +105,7 @@ def _round(rows: DataFrame, on: list[str]) -> DataFrame:
     fits = F.col("_upto") <= F.col("_gap")
     cut = cells.groupBy(*on).agg(F.min(F.when(~fits, F.col("_cell"))).alias("_cut"), F.coalesce(F.max(F.when(fits, F.col("_upto"))), F.lit(0)).alias("_before"))
     one_cell = Window.partitionBy(*on).orderBy("_order", "_key", "_size").rowsBetween(Window.unboundedPreceding, 0)
-    inside = (celled.join(cut, on).where("_cell = _cut").withColumn("_upto", F.col("_before") + F.sum("_size").over(one_cell)).where(fits)
+    inside = (_by_source(celled, cut, small).where("_cell = _cut").withColumn("_upto", F.col("_before") + F.sum("_size").over(one_cell)).where(fits)
               .groupBy(*on).agg(F.max("_order").alias("_last"), F.max("_upto").alias("_reached")))
     just_below = F.col("_cut") / F.lit(float(CELLS)) * F.lit(1 - 2.0 ** -53)
     return cut.join(inside, on, "left").select(
@@ -111,8 +121,8 @@ def _taken(rounds: int) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
-def plan_mix(measured: DataFrame, mix: Mix) -> DataFrame:
-    """One row a source: target, rate of copies, the bounds of each round, the closing row.
+def plan_mix(measured: DataFrame, mix: Mix, broadcast_sources: int = BROADCAST_SOURCES) -> tuple[DataFrame, bool]:
+    """One row a source: target, rate of copies, the bounds of each round, the closing row; and whether they are few enough to broadcast.
 
     Whole copies are certain; what is then missing to the target is filled with one more copy each in Pareto order
     until the next document would not fit.  Further rounds go on behind it with the documents that do fit, and the gap
@@ -121,21 +131,22 @@ def plan_mix(measured: DataFrame, mix: Mix) -> DataFrame:
     on = ["_none", "_source"]
     slim = cut_lineage(measured.select(*PRIVATE))
     sums = slim.groupBy(*on).agg(F.sum(F.col("_size") * F.col("_weight")).alias("_mass"))
-    targets = (source_targets(slim, mix).join(sums, on)
-               .withColumn("_rate", F.when(F.col("_mass") > 0, F.col("target") / F.col("_mass")).otherwise(F.lit(0.0))))
-    certain = _with_order(slim.join(targets, on), mix).groupBy(*on).agg(F.sum(F.col("_whole") * F.col("_size")).alias("_certain"))
+    targets = cut_lineage(source_targets(slim, mix).join(sums, on)
+                          .withColumn("_rate", F.when(F.col("_mass") > 0, F.col("target") / F.col("_mass")).otherwise(F.lit(0.0))))
+    small = targets.count() <= broadcast_sources
+    certain = _with_order(_by_source(slim, targets, small), mix).groupBy(*on).agg(F.sum(F.col("_whole") * F.col("_size")).alias("_certain"))
     plan = cut_lineage(targets.join(certain, on).withColumn("_gap0", F.col("target") - F.col("_certain")).select(*on, "source_size", "target", "_rate", "_gap0"))
     for r in range(mix.rounds):
-        rows = _with_order(slim.join(plan, on), mix).where("_order is not null").withColumn("_gap", F.col(f"_gap{r}"))
+        rows = _with_order(_by_source(slim, plan, small), mix).where("_order is not null").withColumn("_gap", F.col(f"_gap{r}"))
         if r:
             rows = rows.where((F.col("_order") > F.col(f"_bound{r - 1}")) & (F.col("_size") <= F.col("_gap")))
-        found = _round(rows.select(*on, "_key", "_size", "_order", "_gap"), on)
+        found = _round(rows.select(*on, "_key", "_size", "_u", "_order", "_gap"), on, small)
         plan = cut_lineage(plan.join(found, on, "left").withColumns({
             f"_bound{r}": F.coalesce("_bound", F.lit(1.0 if r else 0.0)), f"_gap{r + 1}": F.col(f"_gap{r}") - F.coalesce("_filled", F.lit(0))}).drop("_bound", "_filled"))
     gap = F.col(f"_gap{mix.rounds}")
-    left = _with_order(slim.join(plan, on), mix).where(F.col("_order").isNotNull() & ~_taken(mix.rounds)).withColumn("_miss", F.abs(gap - F.col("_size")))
+    left = _with_order(_by_source(slim, plan, small), mix).where(F.col("_order").isNotNull() & ~_taken(mix.rounds)).withColumn("_miss", F.abs(gap - F.col("_size")))
     closing = left.where(F.col("_miss") < gap).groupBy(*on).agg(F.min(F.struct("_miss", "_order")).alias("_close"))
-    return plan.join(closing, on, "left").withColumn("_closing", F.col("_close._order")).drop("_close")
+    return cut_lineage(plan.join(closing, on, "left").withColumn("_closing", F.col("_close._order")).drop("_close")), small
 
 
 def mixed(docs: DataFrame, mix: Mix | None = None, key: str = "doc_id", text: str = "text", source: str = "source", weight: str | None = None) -> DataFrame:
@@ -148,8 +159,8 @@ def mixed(docs: DataFrame, mix: Mix | None = None, key: str = "doc_id", text: st
     empty result.  Columns named like the four results are replaced, all others pass through.
     """
     mix = mix or Mix()
-    measured = _measured(docs.drop("source_size", "target", "copies", *(["size"] if weight != "size" else [])), key, text, source, weight, mix)
-    rows = _with_order(measured.join(plan_mix(measured, mix), ["_none", "_source"]), mix)
+    measured = _measured(docs, key, text, source, weight, mix)
+    rows = _with_order(_by_source(measured, *plan_mix(measured, mix)), mix)
     more = _taken(mix.rounds) | F.coalesce(F.col("_order") == F.col("_closing"), F.lit(False))
-    kept = [F.col(c) for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
+    kept = [F.col("_row").getField(c).alias(c) for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
     return rows.select(*kept, F.col("_size").alias("size"), "source_size", "target", (F.col("_whole") + more.cast("long")).alias("copies"))

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.llm import mixing
 from lodestone.llm.mixing import Mix, mixed
 
 
@@ -72,3 +73,20 @@ def test_empty_and_wordless_tables(spark):
 def test_no_python_on_the_main_path(spark):
     plan = mixed(corpus(spark, 50))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_callers_private_names_pass(spark):
+    docs = corpus(spark, 300)
+    wide = docs.selectExpr("*", "7 AS _rate", "'x' AS _source", "doc_id AS _order", "1 AS _row", "'y' AS `a.b`", "2 AS copies", "3 AS target")
+    out = mixed(wide)
+    assert out.columns == ["doc_id", "text", "source", "importance", "_rate", "_source", "_order", "_row", "a.b", "size", "source_size", "target", "copies"]
+    rows = out.collect()
+    assert all((r._rate, r._source, r._order, r._row, r["a.b"]) == (7, "x", r.doc_id, 1, "y") for r in rows)
+    assert sorted(map(str, [(r.doc_id, r.size, r.copies) for r in rows])) == sorted(map(str, [(r.doc_id, r.size, r.copies) for r in mixed(docs).collect()]))
+
+
+def test_very_many_sources_are_salted(spark, monkeypatch):
+    docs = corpus(spark, 400)
+    want = sorted(map(str, mixed(docs).collect()))
+    monkeypatch.setattr(mixing.plan_mix, "__defaults__", (0,))
+    assert sorted(map(str, mixed(docs).collect())) == want

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.batches import pieces
 from lodestone.llm.components import components
 from lodestone.llm.windows import mixed_bits
 from lodestone.session import cut_lineage, stack
@@ -58,7 +59,7 @@ def fingerprints(docs: DataFrame, text: str = "text", width: int = 4, name: str
     rest = [c for c in docs.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, text):
             texts = batch.column(text).cast(pa.large_binary())
             prints = [fingerprint(shingle_hashes(t.as_py() or b"", width)) for t in texts]
             column = pa.array(np.array(prints, np.uint64).view(np.int64), pa.int64())
@@ -311,12 +312,10 @@ def _node(raw: bytes) -> int:
 
 def _parts_of(batches: Iterator[pa.RecordBatch], width: int):
     """Parts of batches, with the shingle set (sorted hashes) of each row and the set's hash."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1024):
-            part = batch.slice(at, 1024)
-            sets = [np.unique(shingle_hashes(t.as_py() or b"", width)) for t in part.column("text").cast(pa.large_binary())]
-            raw = [h.astype("<u8").tobytes() for h in sets]
-            yield part, sets, raw, pa.array(np.array([_node(r) for r in raw], np.uint64).view(np.int64), pa.int64())
+    for part in pieces(batches, "text", rows=1024):
+        sets = [np.unique(shingle_hashes(t.as_py() or b"", width)) for t in part.column("text").cast(pa.large_binary())]
+        raw = [h.astype("<u8").tobytes() for h in sets]
+        yield part, sets, raw, pa.array(np.array([_node(r) for r in raw], np.uint64).view(np.int64), pa.int64())
 
 
 def _keys(width: int, cfg: Wide):
@@ -374,7 +373,7 @@ def _alike(sets: list[np.ndarray], similarity: float):
     return alike
 
 
-def _wide_links(radius: int, similarity: float, rows: int = 1 << 12):
+def _wide_links(radius: int, similarity: float, rows: int = 1 << 10):
     """Compares the sets of each unit, rows ``(unit, part, node, mark, shingles)`` in order of (unit, part); one may cross batches.
 
     The signatures screen pairs, the sets decide.  What is held is bounded by ``rows`` and the largest unit.

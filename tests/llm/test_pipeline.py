@@ -26,7 +26,11 @@ def test_stages_take_effect_and_keep_the_columns(spark):
     assert {d for d in kept if d not in clean} == {d for d, t in kept.items() if any(i in t for i in items)}
     assert all("AKIA" not in t for t in rows["secret scans"].values()) and rows["secret scans"].keys() == clean.keys()
     mix = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
-    assert {r.doc_id for r in mix} == clean.keys() and all(r.taken == r.copies * r.size <= 3 * r.size for r in mix)
+    assert {r.doc_id for r in mix} <= clean.keys() and all(0 < r.taken == r.copies * r.size <= 3 * r.size for r in mix)
+    words = {}
+    for r in mix:
+        words.setdefault(r.source, [r.target, 0])[1] += r.taken
+    assert len(words) == len({r.source for r in docs.collect()}) and all(abs(target - taken) <= max(200, 0.02 * target) for target, taken in words.values())
 
 
 def test_nulls_empty_and_repeated_documents(spark, tmp_path):
@@ -40,7 +44,7 @@ def test_nulls_empty_and_repeated_documents(spark, tmp_path):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, str(tmp_path))
         got = sorted((r.doc_id, r.text) for r in docs.collect())
-        assert got == ([(1, None), (2, long), (4, "[secret]")] if part else [])
+        assert got == ([(2, long), (4, "[secret]")] if part else [])  # what has no word is no part of a mix
     assert isinstance(RuleEnsemble(0.0, ()).intercept, float)
 
 

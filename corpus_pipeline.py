@@ -48,8 +48,8 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its copies in the mix (zero: left out), the words they come to and its source's target."""
-    found = mixing.mixed(docs.select(*COLUMNS))
+    """The mix: each document it takes with its copies, the words they come to and its source's target."""
+    found = mixing.mixed(docs.select(*COLUMNS)).where("copies > 0")
     return found.withColumn("taken", F.col("size") * F.col("copies"))
 
 

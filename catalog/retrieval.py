@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from catalog import query
 from catalog import views as V
-from lodestone.operators import context, dense, filters, fusion, lexical, metrics, rerank, subqueries, webresults
+from lodestone.operators import context, dense, filters, fusion, lexical, metrics, postings, rerank, subqueries, webresults
 from lodestone.plans import retrieve as plan
 from lodestone.session import shared_folder
 
@@ -81,10 +81,10 @@ def cte_text(parts: dict[str, str]) -> str:
 @query("d02_bm25_search_stored", V.ctes(*V.BM25) + """
 SELECT query_id, item_id, rank::INTEGER AS rank, round(score, 6) AS score FROM bm25""")
 def d02_stored(spark, sf):
-    """The index is saved and loaded again before it is searched."""
+    """The index is inverted into folders by term, loaded again and searched by blocks."""
     folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-    lexical.bm25_index(V.items(spark, sf)).save(folder)
-    found = lexical.bm25_search(V.questions(spark, sf), None, 20, index=lexical.LexicalIndex.load(spark, folder))
+    postings.save_blocks(lexical.bm25_index(V.items(spark, sf)), folder)
+    found = postings.search_blocks(V.questions(spark, sf), postings.BlockIndex.load(spark, folder), 20)
     return found.withColumn("score", F.round("score", 6))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lodestone import model
 from lodestone.functions.tokens import tokenize
-from lodestone.operators.ranking import keep_top
+from lodestone.operators.ranking import BestOfTask, keep_top
 from lodestone.session import cut_lineage, stack
 
 #: Rows of weighted question terms that may be sent to every task.
@@ -132,7 +132,7 @@ def bm25_scores(terms: DataFrame, index: LexicalIndex) -> DataFrame:
             .select(*by, "query_id", "item_id", "score"))
 
 
-def _best_of_rows(shared, k: int):
+def _best_of_rows(shared, k: int, query_type, item_type):
     """Scores a partition's items against all broadcast questions and keeps the best k of each."""
     k1, b = model.BM25_K1, model.BM25_B
 
@@ -143,7 +143,7 @@ def _best_of_rows(shared, k: int):
 
         names, vocabulary, owners, weights, avgdl = shared.value
         words = pa.array(vocabulary, pa.string())
-        best: list[tuple] = [(np.zeros(0), np.zeros(0, dtype=object))] * len(names)
+        best = BestOfTask(names, k)
         step = max(1, SCORE_CELLS // max(1, len(names)))
         for batch in batches:
             for at in range(0, batch.num_rows, step):
@@ -166,25 +166,8 @@ def _best_of_rows(shared, k: int):
                     cells = np.ix_(owners[code[lo]], item[lo:hi])
                     scores[cells] += weights[code[lo]][:, None] * saturation[lo:hi]
                     seen[cells] = True
-                ids = np.asarray(part.column("item_id").to_pylist(), dtype=object)
-                for q in np.flatnonzero(seen.any(axis=1)):
-                    mine = np.flatnonzero(seen[q])
-                    line, found = np.round(scores[q, mine], 9), ids[mine]
-                    held, held_ids = best[q]
-                    if len(held) >= k:
-                        near = line >= held[-1]
-                        line, found = line[near], found[near]
-                    elif len(line) > k:
-                        near = line >= np.partition(line, len(line) - k)[len(line) - k]
-                        line, found = line[near], found[near]
-                    if len(line):
-                        line, found = np.concatenate((held, line)), np.concatenate((held_ids, found))
-                        order = sorted(range(len(line)), key=lambda j: (-line[j], found[j]))[:k]
-                        best[q] = (line[order], found[order])
-        yield pa.RecordBatch.from_arrays([
-            pa.array([n for n, (v, _) in zip(names, best, strict=True) for _ in v], pa.string()),
-            pa.array([i for _, ids in best for i in ids], pa.string()), pa.array([v for values, _ in best for v in values], pa.float64())],
-            ["query_id", "item_id", "score"])
+                best.add(np.round(scores, 9), seen, np.asarray(part.column("item_id").to_pylist(), dtype=object))
+        yield best.batch(query_type, item_type)
 
     return run
 
@@ -192,7 +175,9 @@ def _best_of_rows(shared, k: int):
 def _search_rows(weighted: DataFrame, index: LexicalIndex, k: int) -> DataFrame:
     """The k best of each question from an index of one corpus; ``weighted`` was counted and is small."""
     import numpy as np
+    from pyspark.sql.pandas.types import to_arrow_type
 
+    query_type, item_type = weighted.schema["query_id"].dataType, index.rows.schema["item_id"].dataType
     table = weighted.toPandas()
     table["owner"], names = table["query_id"].factorize()
     grouped = table.groupby("term", sort=True)
@@ -202,9 +187,11 @@ def _search_rows(weighted: DataFrame, index: LexicalIndex, k: int) -> DataFrame:
         owners.append(rows["owner"].to_numpy())
         weights.append(rows["weight"].to_numpy(np.float64))
     avgdl = float(table["avgdl"].iloc[0]) if len(table) else 1.0
-    shared = index.rows.sparkSession.sparkContext.broadcast(([str(n) for n in names], vocabulary, owners, weights, avgdl))
-    rows = index.rows.select(F.col("item_id").cast("string").alias("item_id"), "doc_len", "terms")
-    return keep_top(rows.mapInArrow(_best_of_rows(shared, k), "query_id string, item_id string, score double"), k)
+    shared = index.rows.sparkSession.sparkContext.broadcast((names.tolist(), vocabulary, owners, weights, avgdl))
+    found = index.rows.select("item_id", "doc_len", "terms").mapInArrow(
+        _best_of_rows(shared, k, to_arrow_type(query_type), to_arrow_type(item_type)),
+        f"query_id {query_type.simpleString()}, item_id {item_type.simpleString()}, score double")
+    return keep_top(found, k)
 
 
 def bm25_search(questions: DataFrame, items: DataFrame | None, k: int, mode: str = "child", by: tuple[str, ...] = (),

@@ -22,3 +22,40 @@ def keep_first(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFra
     """One row per key, the first in the given order."""
     first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return rows.withColumn("_first", first).filter("_first = 1").drop("_first")
+
+
+class BestOfTask:
+    """The k best of the items that one task reads, for each of ``names``; ids of equal score go by their own order, null first."""
+
+    def __init__(self, names: list, k: int) -> None:
+        import numpy as np
+
+        self.names, self.k = names, k
+        self.held = [(np.zeros(0), np.zeros(0, dtype=object))] * len(names)
+
+    def add(self, scores, seen, ids) -> None:
+        """``scores[name, item]`` where ``seen``, for the items ``ids``."""
+        import numpy as np
+
+        k = self.k
+        for q in np.flatnonzero(seen.any(axis=1)):
+            mine = np.flatnonzero(seen[q])
+            line, found = scores[q, mine], ids[mine]
+            held, held_ids = self.held[q]
+            least = held[-1] if len(held) >= k else np.partition(line, len(line) - k)[len(line) - k] if len(line) > k else None
+            if least is not None:
+                near = line >= least
+                line, found = line[near], found[near]
+            if len(line):
+                line, found = np.concatenate((held, line)), np.concatenate((held_ids, found))
+                order = sorted(range(len(line)), key=lambda j: (-line[j], found[j] is not None, found[j]))[:k]
+                self.held[q] = (line[order], found[order])
+
+    def batch(self, query_type, item_type):
+        """``(query_id, item_id, score)``."""
+        import pyarrow as pa
+
+        return pa.RecordBatch.from_arrays([
+            pa.array([n for n, (v, _) in zip(self.names, self.held, strict=True) for _ in v], query_type),
+            pa.array([i for _, ids in self.held for i in ids], item_type), pa.array([v for values, _ in self.held for v in values], pa.float64())],
+            ["query_id", "item_id", "score"])

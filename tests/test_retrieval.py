@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import dense, filters, fusion, hooks, lexical, memories, rerank
+from lodestone.operators import dense, filters, fusion, hooks, lexical, memories, postings, rerank
 from lodestone.plans import retrieve as plan
 
 TEXTS = {"a": "Red apple pie", "b": "apple apple tart", "c": "", "d": "blue sky", "e": "apple apple tart", "f": None}
@@ -36,6 +36,46 @@ def test_bm25_by_hand(spark):
         assert row.score == pytest.approx(want[row.item_id], abs=1e-8)
 
 
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_ids_keep_their_type_and_order(spark, monkeypatch, limit):
+    """On either side of the broadcast bound, ties of whole numbers go by number."""
+    monkeypatch.setattr(lexical, "BROADCAST_TERMS", limit)
+    rows = spark.createDataFrame([(i, "same words") for i in (10, 9, 100, 2)], "item_id long, text string").repartition(2)
+    asked = spark.createDataFrame([(7, "words")], "query_id long, query string")
+    got = lexical.bm25_search_children(asked, rows, 3)
+    assert [(f.name, f.dataType.simpleString()) for f in got.schema][:2] == [("query_id", "bigint"), ("item_id", "bigint")]
+    assert [(r.query_id, r.item_id) for r in got.orderBy("rank").collect()] == [(7, 2), (7, 9), (7, 10)]
+
+
+def corpus_of_words(spark, n=600):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(["common"] * int(rng.integers(1, 4)) + [f"w{int(rng.zipf(1.6)) % 300}" for _ in range(int(rng.integers(1, 40)))])) for i in range(n)]
+    rows += [(n + i, "common rare gem" if i % 2 else "rare") for i in range(12)] + [(n + 20, None), (n + 21, "")]
+    asked = [("a", "common rare"), ("b", "w1 w2 w250"), ("c", "gem gem common"), ("d", "absent"), ("e", None), ("f", "common")]
+    return spark.createDataFrame(rows, "item_id long, text string").repartition(4), spark.createDataFrame(asked, "query_id string, query string")
+
+
+@pytest.mark.parametrize("segment,k", [(4, 3), (16, 10), (128, 700)])
+def test_blocks_give_the_rows_of_a_full_search(spark, tmp_path, segment, k):
+    rows, asked = corpus_of_words(spark)
+    index = lexical.bm25_index(rows)
+    blocks = postings.save_blocks(index, str(tmp_path), segment, 16)
+    plain = lambda df: sorted((r.query_id, r["rank"], r.item_id, r.score) for r in df.collect())
+    assert plain(postings.search_blocks(asked, blocks, k)) == plain(lexical.bm25_search(asked, None, k, index=index))
+
+
+def test_only_asked_folders_and_hopeful_blocks_are_read(spark, tmp_path):
+    rows, asked = corpus_of_words(spark)
+    blocks = postings.save_blocks(lexical.bm25_index(rows), str(tmp_path), 8, 16)
+    terms = lexical.query_terms(asked.where("query_id = 'a'"))
+    folders = lambda df: {re.search(r"bucket=(\d+)", r.f)[1] for r in df.select(F.input_file_name().alias("f")).distinct().collect()}
+    assert 0 < len(folders(postings.asked_blocks(blocks, terms))) <= 2 < len(folders(blocks.blocks))
+    every = blocks.blocks.where("term = 'common'").count()
+    opened = postings.open_blocks(terms, blocks, 3).where("term = 'common'").count()
+    assert 0 < opened < 0.5 * every
+    assert max(r.n for r in blocks.blocks.groupBy("term", "segment").agg(F.count("*").alias("n")).collect()) == 1
+
+
 def test_index_round_trip(spark, tmp_path):
     index = lexical.bm25_index(items(spark), "parent")
     index.save(str(tmp_path))

@@ -126,9 +126,10 @@ def candidates(spark, sf):
 
 
 def held(spark, sf):
-    return V.table(spark, sf, "conversations").filter("turn = 0 AND conv_id % 2 = 0").select(
-        (F.col("conv_id") % 10).cast("string").alias("user_id"), M.memory_hash(F.col("text")).alias("hash"),
-        F.when(F.col("conv_id") % 6 == 0, "deleted").otherwise("active").alias("status"))
+    """Every message is a stored memory; those of half the first turns are active."""
+    alive = (F.col("turn") == 0) & (F.col("conv_id") % 2 == 0) & (F.col("conv_id") % 6 != 0)
+    return V.table(spark, sf, "conversations").select(
+        (F.col("conv_id") % 10).cast("string").alias("user_id"), M.memory_hash(F.col("text")).alias("hash"), F.when(alive, "active").otherwise("deleted").alias("status"))
 
 
 @query("h08_dedup_memories", V.ctes("cands", "held") + """

@@ -358,12 +358,12 @@ def g21(spark, sf):
     return judging.final_contexts(selected(spark, sf), source_rows(spark, sf))
 
 
-# one answer per order; lines score one judge metric each, a discount of 10 % is no number
+# one answer per order; lines score the judge metrics in turn, a discount of 10 % is no number
 METRIC_LIST = ", ".join(f"'{m}'" for m in judging.model.JUDGE_METRICS)
 V.SQL["judged"] = f"""
-SELECT l_orderkey, map_from_entries(list((list_extract([{METRIC_LIST}], ((l - 1) % 5 + 1)::INTEGER),
+SELECT l_orderkey, map_from_entries(list((list_extract([{METRIC_LIST}], (l + 1)::INTEGER),
   CASE WHEN d = 0.1 THEN 'n/a' ELSE d::VARCHAR END) ORDER BY l)) AS scores
-FROM (SELECT l_orderkey, l_linenumber AS l, max(l_discount) AS d FROM lineitem WHERE l_linenumber <= 5 GROUP BY ALL) GROUP BY ALL"""
+FROM (SELECT l_orderkey, (l_linenumber - 1) % 5 AS l, max(l_discount) AS d FROM lineitem GROUP BY ALL) GROUP BY ALL"""
 V.SQL["records"] = """
 SELECT o_orderkey::VARCHAR AS question_id, o_totalprice AS latency_ms,
   CASE WHEN o_orderstatus = 'P' THEN 'failed' END AS generation_error FROM orders"""
@@ -379,10 +379,10 @@ FROM records LEFT JOIN (SELECT l_orderkey::VARCHAR AS question_id, map_from_entr
 
 def judged_records(spark, sf):
     names = F.array(*[F.lit(m) for m in judging.model.JUDGE_METRICS])
-    lines = V.table(spark, sf, "lineitem").filter("l_linenumber <= 5").groupBy("l_orderkey", "l_linenumber").agg(
+    lines = V.table(spark, sf, "lineitem").groupBy("l_orderkey", ((F.col("l_linenumber") - 1) % 5).alias("l")).agg(
         F.max("l_discount").alias("d"))
     value = F.when(F.col("d") == 0.1, "n/a").otherwise(F.col("d").cast("string"))
-    entry = F.struct(F.get(names, F.col("l_linenumber") - 1).alias("key"), value.alias("value"))
+    entry = F.struct(F.get(names, F.col("l")).alias("key"), value.alias("value"))
     scores = lines.groupBy(F.col("l_orderkey").cast("string").alias("question_id")).agg(
         F.map_from_entries(F.collect_list(entry)).alias("scores"))
     records = V.table(spark, sf, "orders").select(

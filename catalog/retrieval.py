@@ -288,7 +288,7 @@ def d11(spark, sf):
 
 
 # graph channel: parent chunks of the second list from its tenth place on, reversed, and a parent of no child
-GRAPH_SQL = """, child AS (SELECT query_id, item_id, a.rank AS va, b.rank AS vb, round(coalesce(1 / (60 + a.rank), 0) + coalesce(1 / (60 + b.rank), 0), 9) AS f FROM (SELECT * FROM bm25 WHERE rank <= 10) a FULL JOIN (SELECT * FROM bm25_b WHERE rank <= 10) b USING (query_id, item_id)),
+GRAPH_SQL = """, child AS (SELECT query_id, item_id, a.rank AS va, b.rank AS vb, round(coalesce(1 / (60 + a.rank), 0) + coalesce(1 / (60 + b.rank), 0), 9) AS f FROM bm25 a FULL JOIN bm25_b b USING (query_id, item_id)),
 kids AS (SELECT c.*, parent_chunk_id, CASE WHEN doc_semantic_type = 'chat_thread' THEN '' ELSE doc_semantic_type END AS kind FROM child c JOIN attrs USING (item_id)),
 hits AS (SELECT query_id, parent_chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY r DESC) AS g FROM (SELECT query_id, parent_chunk_id, min(rank) AS r FROM bm25_b JOIN attrs USING (item_id) GROUP BY ALL)),
 rep AS (SELECT *, row_number() OVER (PARTITION BY query_id, parent_chunk_id ORDER BY f DESC, least(coalesce(va, 99), coalesce(vb, 99)), item_id) AS p FROM kids)"""
@@ -303,7 +303,7 @@ def d12(spark, sf):
     first, second = bm25_ranked(spark, sf), second_ranked(spark, sf)
     attrs = attributes(spark, sf)
     kind = F.when(F.col("doc_semantic_type") == "chat_thread", "").otherwise(F.col("doc_semantic_type"))
-    children = fusion.rrf_fuse_children(first.filter("rank <= 10"), second.filter("rank <= 10")).join(
+    children = fusion.rrf_fuse_children(first, second).join(
         attrs.withColumn("doc_semantic_type", kind), "item_id")
     hits = fusion.collapse_to_parent(second.join(attrs, "item_id"), rerank=False)
     reversed_order = V.Window.partitionBy("query_id").orderBy(F.col("rank").desc())
@@ -445,12 +445,12 @@ def d22(spark, sf):
 
 # ---------------------------------------------------------------- contexts and sources
 
-V.SQL["chosen"] = "SELECT query_id, attrs.item_id, rank, attrs.source_type, doc_semantic_type, attrs.title, parent_doc_id, parent_chunk_id, content AS text FROM bm25 JOIN attrs USING (item_id) JOIN docs ON doc_id = item_id WHERE rank <= 8"
+V.SQL["chosen"] = "SELECT query_id, attrs.item_id, rank, attrs.source_type, doc_semantic_type, attrs.title, parent_doc_id, parent_chunk_id, content AS text FROM bm25 JOIN attrs USING (item_id) JOIN docs ON doc_id = item_id"
 
 
 def chosen(spark, sf):
     texts = V.docs(spark, sf).select(F.col("doc_id").alias("item_id"), F.col("content").alias("text"))
-    return bm25_ranked(spark, sf).filter("rank <= 8").join(attributes(spark, sf), "item_id").join(texts, "item_id")
+    return bm25_ranked(spark, sf).join(attributes(spark, sf), "item_id").join(texts, "item_id")
 
 
 @query("d23_pack_context", V.ctes(*V.BM25, "docs", "attrs", "chosen") + """

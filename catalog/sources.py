@@ -201,7 +201,7 @@ LEFT JOIN (SELECT question_id, string_agg(item_id, '|' ORDER BY rank) AS top FRO
 def a08(spark, sf):
     path = folder(spark)
     at5 = metrics.question_metrics(V.asked(spark, sf), V.ranking(spark, sf), V.returned(spark, sf), [5])
-    top = V.ranking(spark, sf).filter("rank <= 10").groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "item_id"))).alias("hits"))
+    top = V.ranking(spark, sf).groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "item_id"))).alias("hits"))
     no_ids = F.array().cast("array<string>")
     details = V.asked(spark, sf).join(at5, "question_id").join(top, "question_id", "left").select(
         F.lit("m").alias("method"), F.lit("m").alias("normalized_method"), "question_id", "question_type", "source_types", no_ids.alias("expected_doc_ids"),

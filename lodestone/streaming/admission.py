@@ -30,21 +30,76 @@ def _judge(limit: int, micros: int):
     return judge
 
 
-def admission_windows(events: DataFrame, limit: int, seconds: int) -> DataFrame:
+#: Events of a key that a task judges in one go, about: a busy stretch is cut at the bucket in which it passes this.
+CHUNK_EVENTS = 100_000
+NEVER = -(1 << 62)
+
+
+def _passage(micros: int, limit: int):
+    """What a chunk does to any window that reaches into it.
+
+    Entering, all that matters is which event opens the first window of the chunk: one of its first bucket, or the first one behind
+    it.  For each of these comes the last window that opens in the chunk, and its events.
+    """
+    def run(frame):
+        import numpy as np
+        import pandas as pd
+
+        at = np.sort(frame["micros"].to_numpy(np.int64))
+        last = np.searchsorted(at, at + micros)
+        last = np.where(last < len(at), last, np.arange(len(at)))
+        while not (last[last] == last).all():
+            last = last[last]
+        edge = np.searchsorted(at, (at[0] // micros + 1) * micros)
+        opening = np.unique(np.searchsorted(at, at[:edge + 1]))
+        start = np.searchsorted(at, at[last[opening]])
+        return pd.DataFrame({"key": frame["key"].iloc[0], "_island": frame["_island"].iloc[0], "_chunk": frame["_chunk"].iloc[0],
+                             "opening": at[opening], "start": at[start], "count": np.minimum(len(at) - start, limit)})
+
+    return run
+
+
+def _entries(micros: int):
+    """The open window in which each chunk of an island begins, by following the passages; there are few rows a chunk."""
+    def run(frame):
+        import pandas as pd
+
+        out, start, count = [], NEVER, 0
+        for chunk, rows in frame.sort_values(["_chunk", "opening"]).groupby("_chunk", sort=True):
+            out.append((rows["key"].iloc[0], rows["_island"].iloc[0], chunk, start, count))
+            later = rows[rows["opening"] >= start + micros]
+            if len(later):
+                start, count = int(later["start"].iloc[0]), int(later["count"].iloc[0])
+        return pd.DataFrame(out, columns=["key", "_island", "_chunk", "_start", "_count"])
+
+    return run
+
+
+def admission_windows(events: DataFrame, limit: int, seconds: int, chunk_events: int = CHUNK_EVENTS) -> DataFrame:
     """Judge ``events(key, event_id, ts)``: the first ``limit`` of a window are admitted, the rest are not counted.
 
     A window length without an event always ends a window, so the history of a key falls apart into islands of
-    occupied time buckets that are judged independently: a key with very many events is many islands.  Inside a
-    task islands follow each other in order and only the open window is held.
+    occupied time buckets that are judged independently.  A busy key may be one island: it is cut into chunks of whole buckets.
+    In a bucket, which is as long as a window, at most one window opens, so a chunk turns the opening of its first window into its last
+    one; these passages are composed along the island, and then all chunks are judged side by side from their own entry.
     """
     micros = seconds * 1_000_000
     timed = _timed(events).withColumn("_bucket", F.floor(F.col("micros") / micros))
-    occupied = timed.select("key", "_bucket").distinct()
+    occupied = timed.groupBy("key", "_bucket").agg(F.count("*").alias("_n"))
     # one row per key and occupied bucket, not per event
     order = Window.partitionBy("key").orderBy("_bucket")
     islands = occupied.withColumn("_island", F.col("_bucket") - F.row_number().over(order))
-    placed = timed.join(islands, ["key", "_bucket"]).repartition("key", "_island").sortWithinPartitions(
-        "key", "_island", "micros", "event_id")
+    island = Window.partitionBy("key", "_island")
+    before = F.coalesce(F.sum("_n").over(island.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chunked = islands.withColumn("_chunk", F.floor(before / chunk_events)).withColumn("_chunks", F.max("_chunk").over(island))
+    placed = timed.join(chunked.drop("_n"), ["key", "_bucket"])
+    passages = placed.where("_chunks > 0").groupBy("key", "_island", "_chunk").applyInPandas(
+        _passage(micros, limit), "key string, _island bigint, _chunk bigint, opening bigint, start bigint, count bigint")
+    entries = passages.groupBy("key", "_island").applyInPandas(_entries(micros), "key string, _island bigint, _chunk bigint, _start bigint, _count bigint")
+    chunk = ["key", "_island", "_chunk"]
+    entered = placed.join(entries, chunk, "left").select(
+        *chunk, "event_id", "micros", F.coalesce("_start", F.lit(NEVER)).alias("_start"), F.coalesce("_count", F.lit(0)).cast("bigint").alias("_count"))
+    laid = entered.repartition(*chunk).sortWithinPartitions(*chunk, "micros", "event_id")
     judge = _judge(limit, micros)
 
     def run(frames):
@@ -53,14 +108,14 @@ def admission_windows(events: DataFrame, limit: int, seconds: int) -> DataFrame:
         current, start, count = None, None, 0
         for frame in frames:
             out = []
-            for key, island, event, at in zip(frame["key"], frame["_island"], frame["event_id"], frame["micros"]):
-                if (key, island) != current:
-                    current, start, count = (key, island), None, 0
+            for key, number, part, event, at, begun, held in zip(*(frame[c] for c in (*chunk, "event_id", "micros", "_start", "_count")), strict=True):
+                if (key, number, part) != current:
+                    current, start, count = (key, number, part), int(begun), int(held)
                 start, count, admitted = judge(start, count, at)
                 out.append((key, event, at, start, admitted))
             yield pd.DataFrame(out, columns=["key", "event_id", "micros", "window_start", "admitted"])
 
-    return placed.select("key", "_island", "event_id", "micros").mapInPandas(run, OUTPUT)
+    return laid.mapInPandas(run, OUTPUT)
 
 
 def stream_admission_windows(events: DataFrame, limit: int, seconds: int) -> DataFrame:

@@ -179,3 +179,28 @@ def test_stream_memories_over_batches(spark, tmp_path):
     folder = str(tmp_path / "out")
     ingest.stream_new_memories(stream_of(spark, rows, schema, str(tmp_path / "in"), 3), folder, str(tmp_path / "state")).awaitTermination()
     assert sorted(r.memory for r in spark.read.parquet(folder).collect()) == ["Likes 0", "Likes 1", "Likes 2"]
+
+
+@pytest.mark.parametrize("limit,chunk", [(2, 1), (3, 40), (50, 700)])
+def test_a_busy_key_is_cut_and_judged_side_by_side(spark, limit, chunk):
+    """Events without a gap are one island; its chunks give the rows of the plain loop."""
+    rng, at, rows = random.Random(chunk), -30_000_000, []
+    for i in range(4000):
+        at += rng.choice([0, 1, 300_000, 900_000, 2_500_000, 6_900_000]) if i < 3900 else rng.randrange(20_000_000)
+        rows += [("busy", i, at)] + ([("calm", 10**6 + i, at)] if i % 50 == 0 else [])
+    events = spark.createDataFrame(rows, "key string, event_id long, micros long").select("key", "event_id", F.timestamp_micros("micros").alias("ts")).repartition(5)
+    want, open_windows = {}, {}
+    for key, event, micros in sorted(rows, key=lambda r: (r[2], r[1])):
+        start, count = open_windows.get(key, (None, 0))
+        if start is None or micros >= start + 7_000_000:
+            start, count = micros, 0
+        want[event] = (start, count < limit)
+        open_windows[key] = (start, min(limit, count + 1))
+    out = admission.admission_windows(events, limit, 7, chunk)
+    assert {r.event_id: (r.window_start, r.admitted) for r in out.collect()} == want
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small partitions would be read together
+    try:
+        tasks = admission.admission_windows(events, limit, 7, chunk).where("key = 'busy'").select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert tasks > 1

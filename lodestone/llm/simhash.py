@@ -236,9 +236,10 @@ def near_links(prints: DataFrame, radius: int = 4, agree: int = 2) -> DataFrame:
 def _grouped(prints: DataFrame, node: str, links: DataFrame) -> DataFrame:
     """The columns of ``prints``, ``root`` and ``component_id`` from the links between nodes."""
     roots = components(links).withColumnRenamed("node", node)
-    placed = prints.join(roots, node, "left").withColumn("root", F.coalesce("root", node))
-    least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(least, "root").select(*prints.columns, "root", "component_id")
+    # ids are reduced by node before components meet, so a component with very many rows is no large key
+    nodes = prints.groupBy(node).agg(F.min("doc_id").alias("_least")).join(roots, node, "left").withColumn("root", F.coalesce("root", node))
+    named = nodes.join(nodes.groupBy("root").agg(F.min("_least").alias("component_id")), "root").select(node, "root", "component_id")
+    return prints.join(cut_lineage(named), node).select(*prints.columns, "root", "component_id")
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4) -> DataFrame:

@@ -30,7 +30,10 @@ def test_stages_take_effect_and_keep_the_columns(spark):
     words = {}
     for r in mix:
         words.setdefault(r.source, [r.target, 0])[1] += r.taken
-    assert len(words) == len({r.source for r in docs.collect()}) and all(abs(target - taken) <= max(200, 0.02 * target) for target, taken in words.values())
+    largest = {}  # a source misses its target by less than the document that would not fit
+    for r in docs.collect():
+        largest[r.source] = max(largest.get(r.source, 0), len((r.text or "").split()))
+    assert words.keys() == largest.keys() and all(abs(target - taken) <= largest[s] for s, (target, taken) in words.items())
 
 
 def test_nulls_empty_and_repeated_documents(spark, tmp_path):

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from catalog import graph as graph_views
 from catalog import query
 from catalog import views as V
 from lodestone.operators import context, dense, filters, fusion, lexical, metrics, postings, rerank, subqueries, webresults
@@ -608,11 +609,130 @@ method_query("d28_retrieve_source_boost", "chroma_bm25_rrf_source_boost", METHOD
 method_query("d28_retrieve_reranker", "hybrid_bm25_rrf_reranker", METHOD_CTES + ", rdocs AS (" + V.SQL["rdocs"].format(score="score") + """)
 SELECT query_id, r.item_id, parent_doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank <= 20 DESC, CASE WHEN rank <= 20 THEN length(left(text, 4000)) % 997 / 997 END DESC, rank)::INTEGER AS rank
 FROM rdocs r JOIN items USING (item_id) QUALIFY rank <= 20 AND row_number() OVER (PARTITION BY query_id ORDER BY rank <= 20 DESC, CASE WHEN rank <= 20 THEN length(left(text, 4000)) % 997 / 997 END DESC, rank) <= 20""")
-method_query("d28_retrieve_strategy_matrix_decompose", "strategy_matrix_decompose")
-method_query("d28_retrieve_hard_filter", "chroma_bm25_rrf", with_rules=True)
 
 
-@query("e08_retrieve_with_fallback")
+# ---------------------------------------------------------------- every method by one SQL text: a probe is a question or one of its sub-queries
+
+V.SQL["plain_asked"] = "SELECT item_id AS n, text AS query, NULL AS part FROM benchmark"
+V.SQL["graph_asked"] = "SELECT item_id AS n, text || '. Which tools does the ' || coalesce(p_name, '') || ' need' AS query FROM benchmark LEFT JOIN part ON p_partkey = item_id"
+V.SQL["mparents"] = V.SQL["gparents"].replace("lpad(p_partkey::VARCHAR, 8, '0')", "'c' || p_partkey").replace("SELECT ", """SELECT 'd' || p_partkey // 2 AS parent_doc_id,
+  '(' || p_name || ') requires ' || p_type || ' ' || p_brand || ' before use. Note: ' || p_type || ' ' || p_brand || ' REQUIRES size ' || p_size || '! Nothing else? A requirement, size ' || p_size || ' requires -tools-' AS text, """, 1)
+
+
+def method_ctes(method, with_graph_words=True):
+    """CTEs up to ``cands(n, kind, item_id, parent_doc_id, score, evidence, rank)`` and ``mdocs`` of a method."""
+    _, use_vector, use_bm25, use_graph, boost, _, split = plan.method_row(method)
+    kind = "CASE n % 3 WHEN 0 THEN 'multi_hop' WHEN 1 THEN 'semantic' ELSE 'lookup' END"
+    facts = r"list_slice(list_filter(list_transform(string_split_regex(query, '\.\s'), lambda f: trim(f)), lambda f: f <> ''), 1, 4)"
+    parts = f"CASE WHEN kind IN ('multi_hop', 'comparison') AND len(f) > 0 THEN f ELSE [query] END" if split else "[query]"  # noqa: F541
+    ctes = [("masked", V.SQL["graph_asked" if with_graph_words else "plain_asked"]),
+            ("probes", f"""SELECT n, kind, turn, query, n || chr(1) || 'sq' || turn AS query_id, (n % 10)::VARCHAR AS label, {V.source_sql('n')} AS hint FROM (
+  SELECT n, kind, unnest(p) AS query, generate_subscripts(p, 1) AS turn FROM (SELECT n, kind, {parts} AS p FROM (SELECT n, query, {kind} AS kind, {facts} AS f FROM masked)))"""),
+            ("questions", "SELECT query_id, query FROM probes")]
+    ctes += [(name, SQL[name]) for name in ("items", "toks", "corpus", "posts", "qterms", "dfs", "scored", "docs", "attrs", "vecs", "cents", "sims", "rbm")]
+    ctes.append(("rknn", """SELECT p.query_id, s.item_id, s.score, row_number() OVER (PARTITION BY p.query_id ORDER BY s.score DESC, s.item_id) AS rank
+  FROM probes p JOIN sims s ON s.query_id = p.label QUALIFY rank <= 30"""))
+    if use_vector and use_bm25:
+        ctes.append(("fused", """SELECT f.*, parent_chunk_id, parent_doc_id, source_type FROM (
+  SELECT query_id, item_id, min(v) AS v, min(b) AS b, round(coalesce(1 / (60 + min(v)), 0) + coalesce(1 / (60 + min(b)), 0), 9) AS score
+  FROM (SELECT query_id, item_id, rank AS v, NULL AS b FROM rknn UNION ALL SELECT query_id, item_id, NULL, rank FROM rbm) GROUP BY ALL) f LEFT JOIN attrs USING (item_id)"""))
+    else:
+        ctes.append(("fused", f"SELECT r.*, parent_doc_id, source_type FROM {'rknn' if use_vector else 'rbm'} r LEFT JOIN attrs USING (item_id)"))
+    rows = "SELECT query_id, item_id, parent_doc_id, source_type, score, [item_id] AS evidence FROM fused"
+    if use_graph:
+        ctes += [("gparents", SQL["mparents"]), ("gquestions", f"SELECT query_id, query, {'hint' if boost else 'NULL'} AS hint FROM probes")]
+        ctes += [(name, SQL[name]) for name in ("phrases", "gents", "grels", "entities", "rels", "rel_chunks", "seeds", "d0", "near", "near_scores")]
+        ctes.append(("met", """SELECT query_id, chunk_id AS item_id, parent_doc_id, source_type, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT c.query_id, chunk_id, parent_doc_id, source_type,
+    round(score + CASE WHEN hint = source_type THEN 0.15 ELSE 0 END, 9) AS score FROM near_scores c JOIN gparents USING (chunk_id) JOIN gquestions USING (query_id))) WHERE rank <= 20"""))
+        rows = """SELECT f.query_id, f.item_id, f.parent_doc_id, f.source_type, round(score + coalesce(1 / (60 + m.rank), 0), 9) AS score,
+    CASE WHEN m.item_id IS NULL THEN [f.item_id] ELSE [f.item_id, m.item_id] END AS evidence FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id, parent_chunk_id ORDER BY score DESC, least(coalesce(v, 999), coalesce(b, 999)), item_id) AS place FROM fused) f
+    LEFT JOIN met m ON m.query_id = f.query_id AND m.item_id = f.parent_chunk_id AND place = 1
+  UNION ALL SELECT query_id, item_id, parent_doc_id, source_type, round(1 / (60 + rank), 9), [item_id] FROM met m
+    WHERE NOT EXISTS (FROM fused f WHERE f.query_id = m.query_id AND f.parent_chunk_id = m.item_id)"""
+    value = "CASE WHEN source_type = hint THEN round(score * 1.15, 9) ELSE score END" if boost else "score"
+    ctes += [("all_rows", rows), ("cands", f"""SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, item_id) AS rank FROM (
+  SELECT n, kind, item_id, parent_doc_id, {value} AS score, evidence FROM all_rows r JOIN probes USING (query_id) QUALIFY row_number() OVER (PARTITION BY n, item_id ORDER BY {value} DESC, turn) = 1)"""),
+             ("mdocs", "SELECT n, kind, parent_doc_id, arg_min(item_id, rank) AS item_id, row_number() OVER (PARTITION BY n ORDER BY min(rank)) AS rank FROM cands WHERE parent_doc_id IS NOT NULL GROUP BY n, kind, parent_doc_id")]
+    return "WITH " + ",\n".join(f"{name} AS ({sql.strip()})" for name, sql in ctes)
+
+
+def method_sql(method, with_graph_words=True):
+    rerank_mode, use_graph = plan.method_row(method)[5], plan.method_row(method)[3]
+    due = {"none": "false", "all": "true", "complex": "kind <> 'lookup'"}[rerank_mode]
+    texts = "SELECT * FROM items" + (" UNION ALL SELECT chunk_id, text FROM gparents" if use_graph else "")
+    return method_ctes(method, with_graph_words) + f""",
+mtexts AS ({texts}),
+placed AS (SELECT n, d.item_id, parent_doc_id, row_number() OVER (PARTITION BY n ORDER BY rank <= 20 DESC, CASE WHEN {due} AND rank <= 20 THEN coalesce(length(left(text, 4000)), 0) % 997 / 997 ELSE 0 END DESC, rank) AS rank
+  FROM mdocs d LEFT JOIN mtexts t ON t.item_id = d.item_id)
+SELECT n::VARCHAR AS query_id, item_id, parent_doc_id, rank::INTEGER AS rank FROM placed WHERE rank <= 20"""
+
+
+def graph_questions(spark, sf):
+    part = V.table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("query_id"), "p_name")
+    query = F.concat("query", F.lit(". Which tools does the "), F.coalesce("p_name", F.lit("")), F.lit(" need"))
+    return full_questions(spark, sf).join(part, "query_id", "left").withColumn("query", query).withColumn(
+        "answer_facts", F.split("query", r"\.\s")).drop("p_name")
+
+
+def graph_corpus(spark, sf):
+    """The documents with a graph over parts, whose chunks are parents of documents by number."""
+    number = F.col("parent_doc_id").substr(F.lit(2), F.lit(12)).cast("bigint")
+    parents = graph_views.parents(spark, sf).withColumn("parent_chunk_id", F.when(F.trim("parent_chunk_id") != "", F.concat(F.lit("c"), number))).withColumn(
+        "parent_doc_id", F.concat(F.lit("d"), F.floor(number / 2)))
+    plain = corpus(spark, sf)
+    return plan.Corpus(plain.children, plain.vectors, graph_views.graph.build_graph(parents), None)
+
+
+def graph_method(spark, sf, method):
+    with_graph = graph_corpus if plan.method_row(method)[3] else corpus
+    return plan.retrieve(method, graph_questions(spark, sf), with_graph(spark, sf), models(spark, sf), 30)
+
+
+def graph_method_query(name, method):
+    @query(name, method_sql(method))
+    def run(spark, sf):
+        return graph_method(spark, sf, method).documents.filter("rank <= 20").select("query_id", "item_id", "parent_doc_id", "rank")
+
+
+for entry_name, method_name in [
+        ("d28_chroma_only", "chroma_only"), ("d28_bm25_only", "bm25_only"), ("d28_hybrid_bm25_rrf", "hybrid_bm25_rrf"),
+        ("d28_reranker", "chroma_bm25_rrf_reranker"), ("d28_graph_rrf", "chroma_bm25_graph_rrf"), ("d28_graph_rrf_reranker", "chroma_bm25_graph_rrf_reranker"),
+        ("d28_strategy_matrix", "strategy_matrix"), ("d28_strategy_matrix_graph", "strategy_matrix_graph"),
+        ("d28_strategy_matrix_decompose_graph", "strategy_matrix_decompose_graph")]:
+    graph_method_query(entry_name, method_name)
+
+
+# a question needs the parent that its part names and the document of its number
+@query("d28_evidence_coverage", method_ctes("chroma_bm25_graph_rrf") + """,
+ids AS (SELECT n, rank, unnest(evidence) AS id FROM cands),
+wanted AS (SELECT n, 'part' AS g, 'c' || n AS id FROM masked UNION ALL SELECT n, 'part', 'c' || (n + 1) FROM masked UNION ALL SELECT n, 'text', n::VARCHAR FROM masked),
+reached AS (SELECT n, g, min(rank) AS rank FROM wanted LEFT JOIN ids USING (n, id) GROUP BY n, g)
+SELECT n::VARCHAR AS question_id, 2::BIGINT AS n_groups, k::INTEGER AS k, count(*) FILTER (rank <= k) / 2 AS evidence_coverage FROM reached, (SELECT unnest([5, 10, 20]) AS k) GROUP BY n, k""")
+def d28_evidence(spark, sf):
+    asked = graph_questions(spark, sf).select(F.col("query_id").alias("question_id"))
+    found = graph_method(spark, sf, "chroma_bm25_graph_rrf").coverage.withColumnRenamed("query_id", "question_id")
+    number = F.col("question_id").cast("bigint")
+    group = lambda name, ident: F.struct(F.lit(name).alias("group_id"), ident.alias("evidence_id"))
+    groups = asked.select("question_id", F.inline(F.array(
+        group("part", F.concat(F.lit("c"), number)), group("part", F.concat(F.lit("c"), number + 1)), group("text", F.col("question_id")))))
+    return metrics.evidence_coverage_at_k(asked, found, groups, [5, 10, 20])
+
+
+method_query("d28_retrieve_strategy_matrix_decompose", "strategy_matrix_decompose", method_sql("strategy_matrix_decompose", False))
+HARD_CTES = V.ctes(*V.BM25[:-1], "docs", "attrs", "decided", "vecs", "cents", "sims") + f""",
+rknn AS (SELECT d.query_id, item_id, row_number() OVER (PARTITION BY d.query_id ORDER BY s.score DESC, item_id) AS rank
+  FROM decided d JOIN (SELECT query_id AS label, item_id, score FROM sims) s ON s.label = (d.query_id::BIGINT % 10)::VARCHAR JOIN attrs USING (item_id) WHERE {ADMITS} QUALIFY rank <= 30),
+rbm AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM scored JOIN attrs USING (item_id) JOIN decided USING (query_id) WHERE {ADMITS} QUALIFY rank <= 30),
+rfused AS ({V.SQL["rfused"]}), rdocs AS ({V.SQL["rdocs"].format(score="score")})"""
+method_query("d28_retrieve_hard_filter", "chroma_bm25_rrf", HARD_CTES + LAST, with_rules=True)
+
+
+# no title holds the keywords, so hard questions are broadened once
+@query("e08_retrieve_with_fallback", V.ctes(*V.BM25[:-1]) + """
+SELECT query_id, item_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id)::INTEGER AS rank, CASE WHEN query_id::BIGINT % 3 = 0 THEN 2 ELSE 1 END::INTEGER AS attempt
+FROM scored QUALIFY rank <= 5""")
 def e08(spark, sf):
     asked = full_questions(spark, sf).withColumn("source_hints", F.col("source_types"))
     rules = decisions(spark, sf).withColumn("title_keywords", F.array(F.lit("no such title")))
@@ -621,4 +741,58 @@ def e08(spark, sf):
     def search(questions, given):
         return plan.lexical_channel(questions, children, 5, given)
 
-    return plan.retrieve_with_fallback(asked, rules, search)
+    return plan.retrieve_with_fallback(asked, rules, search).withColumn("score", F.round("score", 6))
+
+
+# an order asks for its lines: a hard filter shows the first, a soft one those that were not returned, a rewritten query all of them.  Urgent orders
+# need three sub-queries covered, users see lines of their own, public ones and those of a granted line status
+def order_passes(spark, sf):
+    key, orders = F.col("o_orderkey"), V.table(spark, sf, "orders")
+    number = key.cast("string").alias("query_id")
+    asked = orders.select(number, F.concat(F.when(key % 5 == 0, "industry trends of ").otherwise("state of "), F.col("o_custkey").cast("string")).alias("query"),
+                          F.array(F.lit("erp")).alias("source_hints"))
+    rules = orders.filter("o_orderstatus <> 'P'").select(number, F.when(F.col("o_orderstatus") == "F", "hard").otherwise("none").alias("mode"), F.lit("by status").alias("reason"))
+    lines = V.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("query_id"), F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("item_id"),
+        F.col("l_linenumber").cast("int").alias("rank"), "l_returnflag", F.array(F.concat(F.lit("sq"), F.col("l_linenumber") % 3)).alias("matched_sub_query_ids"),
+        F.concat(F.lit("u"), F.col("l_suppkey") % 4).alias("owner_user_id"), F.col("l_linestatus").alias("knowledge_base_id"),
+        F.when(F.col("l_quantity") > 40, "enterprise_public").otherwise("private").alias("visibility"))
+    users = orders.select(number, F.concat(F.lit("u"), F.col("o_custkey") % 4).alias("user_id"))
+    grants = V.table(spark, sf, "lineitem").select(
+        F.when(F.col("l_linestatus") == "O", "u0").otherwise("u1").alias("user_id"), F.col("l_linestatus").alias("knowledge_base_id")).distinct()
+    subs = orders.filter("o_orderpriority = '1-URGENT'").select(number, F.explode(F.array(F.lit("sq0"), F.lit("sq1"), F.lit("sq2"))).alias("sub_query_id"))
+
+    def search(questions, given):
+        met = lines.join(questions.select("query_id", "query"), "query_id").join(given.select("query_id", "mode"), "query_id", "left")
+        hit = F.when(F.col("query").endswith("evidence"), True).when(F.col("mode") == "hard", F.col("rank") == 1).otherwise(F.col("l_returnflag") != "R")
+        return met.filter(hit).select(*lines.columns)
+
+    return plan.evidence_passes(asked, rules, search, 1, subs, (users, grants), orders.filter(key % 41 == 0).select(number))
+
+
+V.SQL["line_rows"] = """
+SELECT o_orderkey AS q, l_linenumber AS rank, k, CASE k WHEN 'h' THEN l_linenumber = 1 WHEN 's' THEN l_returnflag <> 'R' ELSE true END AS hit,
+  l_suppkey % 4 = o_custkey % 4 OR l_quantity > 40 OR (l_linestatus = 'O' AND o_custkey % 4 = 0) OR (l_linestatus <> 'O' AND o_custkey % 4 = 1) AS sees
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey, (SELECT unnest(['h', 's', 'a']) AS k)"""
+V.SQL["line_passes"] = """
+SELECT *, guard OR emptied OR enough AS stops, CASE WHEN hard THEN strpos('hsa', k) ELSE strpos('sa', k) END AS attempt FROM (
+  SELECT *, n = 0 AND n_before > 0 AS emptied, n > 0 AND (NOT urgent OR c = 3) AS enough FROM (
+    SELECT o_orderkey AS q, kinds.k, o_orderstatus = 'F' AS hard, o_orderkey % 41 = 0 AS guard, o_orderkey % 5 = 0 AS public, o_orderpriority = '1-URGENT' AS urgent,
+      count(*) FILTER (hit) AS n_before, count(*) FILTER (hit AND sees) AS n, count(DISTINCT rank % 3) FILTER (hit AND sees) AS c
+    FROM orders CROSS JOIN (SELECT unnest(['h', 's', 'a']) AS k) kinds LEFT JOIN line_rows r ON r.q = o_orderkey AND r.k = kinds.k GROUP BY ALL))"""
+V.SQL["line_ends"] = """
+SELECT * FROM line_passes WHERE attempt > 0 AND (stops OR k = 'a') QUALIFY row_number() OVER (PARTITION BY q ORDER BY attempt) = 1"""
+
+
+@query("e08_evidence_states", V.ctes("line_rows", "line_passes", "line_ends") + """
+SELECT q::VARCHAR AS query_id, attempt::INTEGER AS attempt, (hard AND k <> 'h')::INTEGER AS fallback_count, (k = 'a')::INTEGER AS retry_count, n AS n_documents,
+  CASE WHEN urgent THEN c / 3 WHEN n > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS context_score, enough AS enough_evidence,
+  CASE WHEN guard OR emptied THEN 'insufficient_evidence' WHEN enough AND NOT public THEN 'generate' ELSE 'external_search' END AS next_action FROM line_ends""")
+def e08_states(spark, sf):
+    return order_passes(spark, sf).states
+
+
+@query("e08_evidence_rows", V.ctes("line_rows", "line_passes", "line_ends") + """
+SELECT q::VARCHAR AS query_id, q || '-' || rank AS item_id, rank::INTEGER AS rank, attempt::INTEGER AS attempt FROM line_ends JOIN line_rows USING (q, k) WHERE hit AND sees""")
+def e08_rows(spark, sf):
+    return order_passes(spark, sf).selected.select("query_id", "item_id", "rank", "attempt")

@@ -38,19 +38,20 @@ def rerank_all(ranked: DataFrame, scores: DataFrame) -> DataFrame:
     return with_rank(scored, order, name="_new").withColumn("rank", F.col("_new")).drop("_new", "_answered")
 
 
-def coverage_order(ranked: DataFrame, documents: DataFrame, reranked: DataFrame) -> DataFrame:
-    """``(query_id, item_id, rank)``: the chunk list whose evidence counts.
+def coverage_order(ranked: DataFrame, documents: DataFrame, reranked: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """``(query_id, item_id, rank)``: the chunk list whose evidence counts, with the columns to ``keep`` of both relations.
 
     Without a reranker it is the ranking itself.  For the queries in ``reranked`` it is the reranked
     representatives, then the other chunks of the ranked documents in their old order.
     """
-    chunks = ranked.filter("item_id <> ''").select("query_id", "item_id", "parent_doc_id", "rank")
-    plain = chunks.join(reranked.select("query_id"), "query_id", "left_anti").select("query_id", "item_id", "rank")
+    kept = keep or []
+    chunks = ranked.filter("item_id <> ''").select("query_id", "item_id", "parent_doc_id", "rank", *kept)
+    plain = chunks.join(reranked.select("query_id"), "query_id", "left_anti").select("query_id", "item_id", "rank", *kept)
     heads = documents.join(reranked.select("query_id"), "query_id", "left_semi")
     siblings = chunks.filter("parent_doc_id <> ''").join(
         heads.select("query_id", "parent_doc_id"), ["query_id", "parent_doc_id"], "left_semi")
-    phased = heads.filter("item_id <> ''").select("query_id", "item_id", F.struct(F.lit(0).alias("p"), "rank").alias("place")).transform(stack, 
-        siblings.select("query_id", "item_id", F.struct(F.lit(1).alias("p"), "rank").alias("place")))
-    once = phased.groupBy("query_id", "item_id").agg(F.min("place").alias("place"))
-    ordered = with_rank(once, [F.col("place"), F.col("item_id")]).select("query_id", "item_id", "rank")
+    phased = heads.filter("item_id <> ''").select("query_id", "item_id", *kept, F.struct(F.lit(0).alias("p"), "rank").alias("place")).transform(stack, 
+        siblings.select("query_id", "item_id", *kept, F.struct(F.lit(1).alias("p"), "rank").alias("place")))
+    once = phased.groupBy("query_id", "item_id").agg(F.min("place").alias("place"), *[F.min_by(c, "place").alias(c) for c in kept])
+    ordered = with_rank(once, [F.col("place"), F.col("item_id")]).select("query_id", "item_id", "rank", *kept)
     return plain.transform(stack, ordered)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone import model
-from lodestone.functions.rules import broaden, evidence_check
+from lodestone.functions.rules import broaden, evidence_check, next_action
 from lodestone.operators import filters, fusion, graph as graphs, lexical, rerank, subqueries
 from lodestone.operators.dense import knn_exact
 from lodestone.operators.ranking import keep_top, with_rank
@@ -39,7 +40,7 @@ class Models:
 @dataclass(frozen=True)
 class Retrieved:
     """``candidates``: chunks per question; ``documents``: first chunk per document, reranked where due;
-    ``coverage``: the chunk list that evidence coverage reads."""
+    ``coverage``: the chunk list that evidence coverage reads, each chunk with the ids it stands for."""
 
     candidates: DataFrame
     documents: DataFrame
@@ -59,9 +60,12 @@ def retrieve(method: str, questions: DataFrame, corpus: Corpus, models: Models,
     """Answer all ``questions(query_id, query, question_type, source_types, answer_facts)`` with one method.
 
     The method decides which channels enter the plan; a question's type decides, row by row, whether it is
-    split into sub-queries and whether its documents are reranked.
+    split into sub-queries and whether its documents are reranked.  Of several sub-queries that find a chunk,
+    the one with the best score, then the first, gives its row.  A method with a graph needs one in the corpus.
     """
     _, use_vector, use_bm25, use_graph, use_boost, rerank_mode, decompose = method_row(method)
+    if use_graph and corpus.graph is None:
+        raise ValueError(f"method {method} needs a graph")
     asked = questions.select("query_id", "query", "question_type", "source_types", "answer_facts")
     if decompose:
         split = subqueries.expand_queries(asked, model.MAX_FACTS)
@@ -70,10 +74,11 @@ def retrieve(method: str, questions: DataFrame, corpus: Corpus, models: Models,
     # a sub-query searches under an id of its own and comes back to its question by the lookup
     probe_id = F.concat_ws("\u0001", "query_id", "sub_query_id")
     probes = split.select(probe_id.alias("query_id"), "query", F.col("source_types").alias("source_hints"))
-    lookup = split.select(probe_id.alias("_probe"), F.col("query_id").alias("_question"))
+    lookup = split.select(probe_id.alias("_probe"), F.col("query_id").alias("_question"),
+                          F.substring("sub_query_id", 3, 10).cast("int").alias("_turn"))
     constraints = None
     if decisions is not None:
-        constraints = lookup.join(decisions.withColumnRenamed("query_id", "_question"), "_question").withColumnRenamed(
+        constraints = lookup.drop("_turn").join(decisions.withColumnRenamed("query_id", "_question"), "_question").withColumnRenamed(
             "_probe", "query_id").drop("_question")
     attributes = corpus.children.select("item_id", *ATTRIBUTES)
     vector = bm25 = None
@@ -88,24 +93,27 @@ def retrieve(method: str, questions: DataFrame, corpus: Corpus, models: Models,
         scored = fused.withColumn("score", F.col("fused_score"))
     else:
         scored = (vector if vector is not None else bm25).drop("rank").join(attributes, "item_id", "left")
-    scored = scored.select("query_id", "item_id", "score", *ATTRIBUTES)
+    found = F.coalesce("evidence_ids", F.array().cast("array<string>")) if "evidence_ids" in scored.columns else F.array().cast("array<string>")
+    scored = scored.select("query_id", "item_id", "score", *ATTRIBUTES,
+                           F.array_distinct(F.concat(F.array("item_id"), found)).alias("evidence_ids"))
     if use_boost:
         scored = filters.boost_sources(scored, probes)
-    named = scored.join(lookup, F.col("query_id") == F.col("_probe")).withColumn("query_id", F.col("_question")).drop("_probe", "_question")
-    best = named.groupBy("query_id", "item_id").agg(
-        F.max("score").alias("score"), *[F.first(c).alias(c) for c in ATTRIBUTES])
+    named = scored.join(lookup, F.col("query_id") == F.col("_probe"))
+    row = F.struct("score", *ATTRIBUTES, "evidence_ids")
+    best = named.groupBy(F.col("_question").alias("query_id"), "item_id").agg(
+        F.max_by(row, F.struct("score", -F.col("_turn"))).alias("row")).select("query_id", "item_id", "row.*")
     candidates = with_rank(best, [F.col("score").desc(), F.col("item_id")])
     documents = fusion.dedup_docs(candidates)
     eligible = asked.select("query_id", "query", "question_type")
     if rerank_mode == "complex":
         eligible = eligible.filter(F.col("question_type").isin(model.RERANKED_TYPES))
     if rerank_mode == "none" or models.score is None:
-        return Retrieved(candidates, documents, candidates.select("query_id", "item_id", "rank"))
-    texts = _rerank_texts(corpus)
+        return Retrieved(candidates, documents, candidates.select("query_id", "item_id", "rank", "evidence_ids"))
+    texts = _rerank_texts(corpus, use_graph)
     pairs = rerank.rerank_pairs(documents.join(eligible.select("query_id"), "query_id", "left_semi"), texts, eligible, rerank_k, model.RERANK_CHARS)
     reranked = rerank.rerank_window(documents, models.score(pairs), rerank_k)
     # questions that are not due have no scores: all of their window ties and keeps its order
-    return Retrieved(candidates, reranked, rerank.coverage_order(candidates, reranked, eligible))
+    return Retrieved(candidates, reranked, rerank.coverage_order(candidates, reranked, eligible, ["evidence_ids"]))
 
 
 def dense_channel(probes: DataFrame, corpus: Corpus, models: Models, k: int, decisions: DataFrame | None) -> DataFrame:
@@ -130,49 +138,89 @@ def lexical_channel(probes: DataFrame, corpus: Corpus, k: int, decisions: DataFr
 def _with_graph(fused: DataFrame, attributes: DataFrame, probes: DataFrame, corpus: Corpus, k: int, depth: int, boost: bool) -> DataFrame:
     hinted = probes if boost else probes.withColumn("source_hints", F.array().cast("array<string>"))
     hits = graphs.graph_search(hinted, corpus.graph, k, depth)
-    kinds = corpus.graph.parents.select(F.col("parent_chunk_id").alias("item_id"), *ATTRIBUTES[:1], *ATTRIBUTES[1:])
+    kinds = corpus.graph.parents.select(F.col("parent_chunk_id").alias("item_id"), *ATTRIBUTES)
     found = hits.join(kinds, "item_id").withColumn("evidence_ids", F.array("item_id"))
     merged = fusion.rrf_fuse_graph(fused, found)
-    side = attributes.transform(stack, kinds).dropDuplicates(["item_id"])
+    # a chunk that is child and parent under one id keeps the attributes of the child
+    side = attributes.transform(stack, kinds.join(attributes.select("item_id"), "item_id", "left_anti"))
     rest = [c for c in ATTRIBUTES if c not in ("parent_chunk_id", "doc_semantic_type")]
     return merged.join(side.select("item_id", *rest), "item_id", "left")
 
 
-def _rerank_texts(corpus: Corpus) -> DataFrame:
-    """The parent text of a chunk, else its own."""
-    if corpus.parents is None:
-        return corpus.children.select("item_id", "text")
-    parents = corpus.parents.select("parent_chunk_id", F.col("text").alias("_parent"))
-    return corpus.children.select("item_id", "text", "parent_chunk_id").join(parents, "parent_chunk_id", "left").select(
-        "item_id", F.coalesce("_parent", "text").alias("text"))
+def _rerank_texts(corpus: Corpus, use_graph: bool) -> DataFrame:
+    """The parent text of a chunk, else its own; a parent that the graph alone found has its text there."""
+    texts = corpus.children.select("item_id", "text")
+    if corpus.parents is not None:
+        parents = corpus.parents.select("parent_chunk_id", F.col("text").alias("_parent"))
+        texts = corpus.children.select("item_id", "text", "parent_chunk_id").join(parents, "parent_chunk_id", "left").select(
+            "item_id", F.coalesce("_parent", "text").alias("text"))
+    if use_graph:
+        found = corpus.graph.parents.select(F.col("parent_chunk_id").alias("item_id"), "text")
+        texts = texts.transform(stack, found.join(corpus.children.select("item_id"), "item_id", "left_anti"))
+    return texts
 
 
-def retrieve_with_fallback(questions: DataFrame, decisions: DataFrame,
-                           search: Callable[[DataFrame, DataFrame], DataFrame], max_retries: int = 1) -> DataFrame:
-    """Selected documents after at most three passes: as decided, broadened, rewritten.
+@dataclass(frozen=True)
+class Evidence:
+    """``selected``: the rows of each question's last pass; ``states``: how each question ended."""
+
+    selected: DataFrame
+    states: DataFrame
+
+
+def evidence_passes(questions: DataFrame, decisions: DataFrame, search: Callable[[DataFrame, DataFrame], DataFrame],
+                    max_retries: int = 1, sub_queries: DataFrame | None = None, acl: tuple[DataFrame, DataFrame] | None = None,
+                    guarded: DataFrame | None = None) -> Evidence:
+    """Search until each question has enough evidence or nothing is left to try.
 
-    ``search(questions, decisions)`` returns the selected ``(query_id, item_id, rank, ...)``.  Only questions
-    without enough evidence go on, and for those the last pass counts.  Each pass is written once, so a later
-    pass never repeats an earlier one.
+    ``search(questions, decisions)`` returns the selected ``(query_id, item_id, rank, ...)``.  After a pass the
+    evidence check and the next action route every question: hard filters are broadened once, then the query
+    is rewritten up to ``max_retries`` times, always from the original text.  With ``sub_queries(query_id,
+    sub_query_id)`` all of a question's must be among the ``matched_sub_query_ids`` of its rows.  ``acl``, a
+    pair (queries with user_id, grants), removes rows a user may not see; a question that loses all of them, and
+    one in ``guarded(query_id)``, stops as insufficient.  ``decisions`` may leave questions out: no filter.
+
+    ``states(query_id, attempt, fallback_count, retry_count, n_documents, context_score, enough_evidence,
+    next_action)``.  The last pass counts, whatever an earlier one found.  There are at most 2 + max_retries
+    passes, each over the questions still open, and each is written once, so a later one never repeats it.
     """
-    def missing(asked: DataFrame, found: DataFrame) -> DataFrame:
-        return evidence_check(asked, found).filter(~F.col("enough_evidence")).select(*asked.columns)
-
-    first = cut_lineage(search(questions, decisions).withColumn("attempt", F.lit(1)))
-    unmet = missing(questions, first)
-    hard = decisions.filter("mode = 'hard'")
-    to_broaden = unmet.join(hard.select("query_id"), "query_id", "left_semi")
-    second = cut_lineage(search(to_broaden, broaden(decisions)).withColumn("attempt", F.lit(2)))
-    if max_retries < 1:
-        return _last_attempts([first, second])
-    still = missing(to_broaden, second).transform(stack, unmet.join(hard.select("query_id"), "query_id", "left_anti"))
-    third = search(subqueries.rewrite_queries(still), broaden(decisions)).withColumn("attempt", F.lit(3))
-    return _last_attempts([first, second, third])
-
-
-def _last_attempts(passes: list[DataFrame]) -> DataFrame:
-    """A question whose pass failed found nothing in it, so every question has rows of one pass only."""
-    result = passes[0]
-    for later in passes[1:]:
-        result = result.transform(stack, later)
-    return result
+    shown = ["query_id", "attempt", "fallback_count", "retry_count", "n_documents", "context_score", "enough_evidence", "next_action"]
+    rule = decisions.select("query_id", "mode")
+    begun = questions.join(rule, "query_id", "left").withColumn("mode", F.coalesce("mode", F.lit("none")))
+    flag = F.lit(False) if guarded is None else F.coalesce("_guarded", F.lit(False))
+    if guarded is not None:
+        begun = begun.join(guarded.select("query_id", F.lit(True).alias("_guarded")).distinct(), "query_id", "left")
+    zero = F.lit(0)
+    asked = begun.select(*questions.columns, "mode", flag.alias("security_flag"), zero.alias("fallback_count"), zero.alias("retry_count"),
+                         F.lit(max_retries).alias("max_retries"), F.col("query").alias("_original"))
+    selected, states = [], []
+    for attempt in range(1, max_retries + 3):
+        current = asked.select("query_id", "mode", "fallback_count")
+        given = decisions.join(current.filter("fallback_count = 0").select("query_id"), "query_id", "left_semi").transform(
+            stack, broaden(decisions.join(current.filter("fallback_count > 0").select("query_id"), "query_id", "left_semi")))
+        found, emptied = search(asked.select(*questions.columns), given), None
+        if acl is not None:
+            before = cut_lineage(found)
+            found = filters.acl_filter(before, *acl)
+            emptied = filters.acl_removed_all(before, found)
+        found = cut_lineage(found.withColumn("attempt", F.lit(attempt)))
+        mine = None if sub_queries is None else sub_queries.join(asked.select("query_id"), "query_id", "left_semi")
+        # the action is chosen by what the user asked, not by the rewritten text
+        checked = evidence_check(asked.withColumn("_asked", F.col("query")).withColumn("query", F.col("_original")), found, mine, emptied)
+        judged = cut_lineage(next_action(checked).withColumn("query", F.col("_asked")).withColumn("attempt", F.lit(attempt)))
+        again = F.col("next_action").isin("broaden_metadata_filter", "rewrite_query")
+        ended = judged.filter(~again)
+        selected.append(found.join(ended.select("query_id"), "query_id", "left_semi"))
+        states.append(ended.select(*shown))
+        broadened = judged.filter("next_action = 'broaden_metadata_filter'").withColumn("mode", F.lit("soft")).withColumn(
+            "fallback_count", F.col("fallback_count") + 1)
+        rewritten = subqueries.rewrite_queries(judged.filter("next_action = 'rewrite_query'").withColumn("query", F.col("_original"))).withColumn(
+            "retry_count", F.col("retry_count") + 1)
+        asked = broadened.transform(stack, rewritten).select(*asked.columns)
+    return Evidence(reduce(stack, selected), reduce(stack, states))
+
+
+def retrieve_with_fallback(questions: DataFrame, decisions: DataFrame,
+                           search: Callable[[DataFrame, DataFrame], DataFrame], max_retries: int = 1, **evidence) -> DataFrame:
+    """The selected rows of ``evidence_passes``: as decided, broadened, rewritten; the last pass of a question counts."""
+    return evidence_passes(questions, decisions, search, max_retries, **evidence).selected

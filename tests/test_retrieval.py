@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import dense, filters, fusion, hooks, lexical, memories, postings, rerank
+from lodestone.operators import dense, filters, fusion, graph, hooks, lexical, memories, postings, rerank
 from lodestone.plans import retrieve as plan
 
 TEXTS = {"a": "Red apple pie", "b": "apple apple tart", "c": "", "d": "blue sky", "e": "apple apple tart", "f": None}
@@ -190,6 +190,66 @@ def test_fallback_passes(spark):
     assert rows == {"ok": 1, "soft": 2, "word": 3}
 
 
+def passes(spark, max_retries=1, **evidence):
+    questions = spark.createDataFrame([(q, "x", ["s"]) for q in ("full", "half", "later")], "query_id string, query string, source_hints array<string>")
+    rules = spark.createDataFrame([("half", "soft", "r")], "query_id string, mode string, reason string")
+    subs = spark.createDataFrame([(q, s) for q in ("full", "half", "later") for s in ("sq1", "sq2")], "query_id string, sub_query_id string")
+
+    def search(asked, given):
+        both = (F.col("query_id") == "full") | ((F.col("query_id") == "later") & F.col("query").endswith("evidence"))
+        met = F.when(both, F.array(F.lit("sq1"), F.lit("sq2"))).otherwise(F.array(F.lit("sq1")))
+        return asked.select("query_id", F.col("query").alias("item_id"), F.lit(1).alias("rank"), met.alias("matched_sub_query_ids"),
+                            F.lit("o").alias("owner_user_id"), F.lit("k").alias("knowledge_base_id"), F.lit("private").alias("visibility"))
+
+    return plan.evidence_passes(questions, rules, search, max_retries, subs, **evidence)
+
+
+def test_partly_covered_questions_go_on(spark):
+    found = passes(spark)
+    states = {r.query_id: (r.attempt, r.retry_count, r.context_score, r.next_action) for r in found.states.collect()}
+    assert states == {"full": (1, 0, 1.0, "generate"), "later": (2, 1, 1.0, "generate"), "half": (2, 1, 0.5, "external_search")}
+    # the last pass counts, though the first had found something
+    assert {(r.query_id, r.item_id) for r in found.selected.collect()} == {
+        ("full", "x"), ("later", "x s enterprise knowledge evidence"), ("half", "x s enterprise knowledge evidence")}
+
+
+@pytest.mark.parametrize("retries", [0, 2])
+def test_retry_budget(spark, retries):
+    states = {r.query_id: (r.attempt, r.next_action) for r in passes(spark, retries).states.collect()}
+    later = (1, "external_search") if retries == 0 else (2, "generate")
+    assert states == {"full": (1, "generate"), "later": later, "half": (1 + retries, "external_search")}
+
+
+def test_guards_stop_at_once(spark):
+    users = spark.createDataFrame([("full", "o"), ("half", "other"), ("later", "o")], "query_id string, user_id string")
+    grants = spark.createDataFrame([], "user_id string, knowledge_base_id string")
+    guarded = spark.createDataFrame([("later",)], "query_id string")
+    found = passes(spark, acl=(users, grants), guarded=guarded)
+    states = {r.query_id: (r.attempt, r.n_documents, r.next_action) for r in found.states.collect()}
+    assert states == {"full": (1, 1, "generate"), "half": (1, 0, "insufficient_evidence"), "later": (1, 1, "insufficient_evidence")}
+    assert {r.query_id for r in found.selected.collect()} == {"full", "later"}
+
+
+def test_graph_hits_leave_their_ids_as_evidence(spark):
+    """A parent that the graph finds raises its child, enters alone without one, and is reranked by its own text."""
+    names = "item_id string, text string, parent_chunk_id string, parent_doc_id string, source_type string, doc_semantic_type string, title string, section_heading string"
+    children = spark.createDataFrame([("a", "valve notes", "P1", "D1", "wiki", "", "t", ""), ("b", "valve list valve", "P2", "D2", "wiki", "", "t", "")], names)
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.1])], "item_id string, embedding array<double>")
+    parents = spark.createDataFrame([("P1", "D1", "wiki", "guide", "pump", "", "x"), ("P3", "D3", "wiki", "guide", "pump", "", "long text of a parent")],
+                                    "parent_chunk_id string, parent_doc_id string, source_type string, doc_semantic_type string, title string, section_heading string, text string")
+    asked = spark.createDataFrame([("q", "pump valve", "semantic", None, None)], "query_id string, query string, question_type string, source_types array<string>, answer_facts array<string>")
+    models = plan.Models(lambda q: q.select("query_id", F.array(F.lit(1.0), F.lit(0.0)).alias("embedding")),
+                         lambda pairs: pairs.select("query_id", "item_id", F.length("text").cast("double").alias("score")))
+    corpus = plan.Corpus(children, vectors, graph.build_graph(parents))
+    found = plan.retrieve("chroma_bm25_graph_rrf_reranker", asked, corpus, models, 5, 5)
+    rows = {r.item_id: (r.evidence_ids, r.doc_semantic_type) for r in found.candidates.collect()}
+    assert rows == {"a": (["a", "P1"], "guide"), "b": (["b"], "generic_doc"), "P3": (["P3"], "guide")}
+    assert [r.item_id for r in found.documents.orderBy("rank").collect()] == ["P3", "b", "a"]
+    assert [(r.item_id, r.evidence_ids) for r in found.coverage.orderBy("rank").collect()] == [("P3", ["P3"]), ("b", ["b"]), ("a", ["a", "P1"])]
+    with pytest.raises(ValueError):
+        plan.retrieve("strategy_matrix_graph", asked, plan.Corpus(children, vectors), models)
+
+
 def test_unknown_method():
     assert plan.method_row("hybrid_bm25_rrf")[0] == "chroma_bm25_rrf"
     with pytest.raises(ValueError):

@@ -81,6 +81,42 @@ def f04(spark, sf):
         "relation_id", "src_entity_id", "tgt_entity_id", F.array_join("keywords", " ").alias("keywords"))
 
 
+# what a model may extract, read from order lines: a part is an entity with aliases, a part and its supplier are related
+def told_lines(spark, sf):
+    line, even = F.col("l_linenumber"), F.col("l_linenumber") % 2 == 0
+    part, supplier = F.concat(F.lit("p"), "l_partkey"), F.concat(F.lit("s"), "l_suppkey")
+    return V.table(spark, sf, "lineitem").select(
+        F.lpad(F.col("l_orderkey").cast("string"), 12, "0").alias("chunk_id"), line.alias("place"), part.alias("entity_id"), F.concat(F.lit("Part "), line.cast("string")).alias("name"),
+        F.concat(F.lit("part "), line.cast("string")).alias("normalized_name"), F.col("l_returnflag").alias("entity_type"),
+        F.when(even, F.concat(F.lit("in "), F.col("l_orderkey").cast("string"))).alias("description"), F.array(F.concat(part, "l_returnflag"), F.concat(part, "l_linestatus"), F.lit("")).alias("aliases"),
+        F.concat(part, F.lit("__"), supplier).alias("relation_id"), part.alias("src_entity_id"), supplier.alias("tgt_entity_id"), F.col("l_returnflag").alias("relation_type"),
+        F.col("l_discount").alias("weight"), F.when(even, F.array("l_returnflag", "l_linestatus")).otherwise(F.array().cast("array<string>")).alias("keywords"))
+
+
+V.SQL["told"] = """
+SELECT lpad(l_orderkey::VARCHAR, 12, '0') AS chunk_id, l_linenumber AS place, 'p' || l_partkey AS entity_id, 's' || l_suppkey AS tgt, l_returnflag AS f, l_linestatus AS s, l_discount AS weight,
+  CASE WHEN l_linenumber % 2 = 0 THEN 'in ' || l_orderkey ELSE '' END AS description FROM lineitem"""
+
+
+@query("f03_merge_told_entities", V.ctes("told") + """
+SELECT entity_id, 'Part ' || arg_min(place, (chunk_id, place)) AS name, 'part ' || arg_min(place, (chunk_id, place)) AS normalized_name, arg_min(f, (chunk_id, place)) AS entity_type,
+  coalesce(arg_min(description, (chunk_id, place)) FILTER (description <> ''), '') AS description,
+  (SELECT string_agg(DISTINCT a, '|' ORDER BY a) FROM (SELECT entity_id AS e, unnest([entity_id || f, entity_id || s]) AS a FROM told) x WHERE x.e = told.entity_id) AS aliases FROM told GROUP BY entity_id""")
+def f03_told(spark, sf):
+    told = told_lines(spark, sf)
+    # at most five aliases a part
+    aliases = graph.merge_aliases(told).groupBy("entity_id").agg(F.array_join(F.array_sort(F.collect_list("alias")), "|").alias("aliases"))
+    return graph.merge_entities(told).join(aliases, "entity_id")
+
+
+@query("f04_merge_told_relations", V.ctes("told") + """
+SELECT entity_id || '__' || tgt AS relation_id, entity_id AS src_entity_id, tgt AS tgt_entity_id, arg_min(f, (chunk_id, place)) AS relation_type, arg_min(description, (chunk_id, place)) AS description,
+  arg_min(weight, (chunk_id, place)) AS weight, coalesce((SELECT string_agg(DISTINCT k, '|' ORDER BY k) FROM (SELECT entity_id AS e, tgt AS t, unnest([f, s]) AS k FROM told WHERE place % 2 = 0) x WHERE x.e = told.entity_id AND x.t = told.tgt), '') AS keywords
+FROM told GROUP BY entity_id, tgt""")
+def f04_told(spark, sf):
+    return graph.merge_relations(told_lines(spark, sf)).withColumn("keywords", F.array_join("keywords", "|"))
+
+
 @query("f05_build_graph", V.ctes(*BUILT) + """
 SELECT (SELECT count(*) FROM entities) AS entities, (SELECT count(DISTINCT (entity_id, chunk_id)) FROM gents) AS entity_chunks, (SELECT count(*) FROM rels) AS relations,
   (SELECT count(*) FROM rel_chunks) AS relation_chunks, (SELECT count(*) FROM gparents) AS parents""")

@@ -152,9 +152,16 @@ SELECT vec_id::VARCHAR AS id, vec_id, label::VARCHAR AS user_id, 'mem ' || vec_i
   TIMESTAMP '2024-01-01' + to_hours((vec_id % 97)::INTEGER) AS created_at FROM embeddings"""
 
 
-@query("h09_drop_semantic_duplicates", V.ctes("mstore", "vecs", "cents") + """
-SELECT c.id, c.user_id FROM mstore c WHERE NOT EXISTS (SELECT 1 FROM cents WHERE query_id = c.user_id AND round(list_cosine_similarity(q, c.e), 9) >= 0.32)
-AND NOT EXISTS (SELECT 1 FROM mstore o WHERE o.user_id = c.user_id AND o.vec_id < c.vec_id AND round(list_cosine_similarity(o.e, c.e), 9) >= 0.32)""")
+# users' rows in order, each with its earlier neighbours: a row joins the list unless the list holds one of them
+GREEDY = """,
+open AS (SELECT * FROM mstore c WHERE {open}),
+links AS (SELECT c.vec_id, list(o.vec_id) AS earlier FROM open c JOIN open o ON o.user_id = c.user_id AND o.vec_id < c.vec_id AND round(list_cosine_similarity(o.e, c.e), 9) >= {least} GROUP BY c.vec_id),
+lists AS (SELECT user_id, list(list_concat([vec_id], coalesce(earlier, [])) ORDER BY vec_id) AS steps FROM open LEFT JOIN links USING (vec_id) GROUP BY user_id)
+SELECT unnest(list_reduce(steps, lambda kept, row: CASE WHEN list_has_any(kept, row[2:]) THEN kept ELSE list_append(kept, row[1]) END))::VARCHAR AS id, user_id FROM lists"""
+
+
+@query("h09_drop_semantic_duplicates", V.ctes("mstore", "vecs", "cents") + GREEDY.format(
+    open="NOT EXISTS (SELECT 1 FROM cents WHERE query_id = c.user_id AND round(list_cosine_similarity(q, c.e), 9) >= 0.32)", least=0.32))
 def h09(spark, sf):
     rows = memory_store(spark, sf).withColumn("ordinal", F.col("id").cast("bigint"))
     store = R.centroids(spark, sf).select(F.concat(F.lit("mean-"), "query_id").alias("id"), F.col("query_id").alias("user_id"), "embedding", F.lit("active").alias("status"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+
+from lodestone.streaming.expiry import LATE, expiring
 
 OUTPUT = "key string, event_id bigint, micros bigint, window_start bigint, admitted boolean"
 
@@ -118,22 +119,24 @@ def admission_windows(events: DataFrame, limit: int, seconds: int, chunk_events:
     return laid.mapInPandas(run, OUTPUT)
 
 
-def stream_admission_windows(events: DataFrame, limit: int, seconds: int) -> DataFrame:
-    """The same rule on a stream ``(key, event_id, ts)``; the open window of each key is its state."""
+def stream_admission_windows(events: DataFrame, limit: int, seconds: int, late: str | None = LATE) -> DataFrame:
+    """The same rule on a stream ``(key, event_id, ts)``; the open window of each key is its state.
+
+    A window ends a fixed time after its first event, so when the watermark has passed that its state goes: a later event opens
+    a window anyway.  Events more than ``late`` behind the latest are dropped; without it nothing is dropped and no state goes.
+    """
     micros = seconds * 1_000_000
     judge = _judge(limit, micros)
 
-    def run(key, frames, state):
-        import pandas as pd
-
-        rows = pd.concat(list(frames)).sort_values(["micros", "event_id"])
-        start, count = state.get if state.exists else (None, 0)
+    def step(key, rows, state):
+        start, count = state or (None, 0)
         out = []
+        rows = rows.sort_values(["micros", "event_id"])
         for event, at in zip(rows["event_id"], rows["micros"]):
             start, count, admitted = judge(start, count, at)
-            out.append((key[0], event, at, start, admitted))
-        state.update((start, count))
-        yield pd.DataFrame(out, columns=["key", "event_id", "micros", "window_start", "admitted"])
+            out.append((key, event, at, start, admitted))
+        return out, (start, count)
 
-    return _timed(events).groupBy("key").applyInPandasWithState(
-        run, OUTPUT, "start bigint, count bigint", "append", GroupStateTimeout.NoTimeout)
+    timed = _timed(events).withColumn("at", F.timestamp_micros("micros"))
+    return expiring(timed, "key", "at", late, step, OUTPUT, "start bigint, count bigint", None,
+                    None if late is None else lambda state: -(-(state[0] + micros) // 1000))

@@ -1,12 +1,14 @@
 """Files, sinks, positions, turns, and streams over several batches."""
 
 import json
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import sessions
+from lodestone.operators import memories, sessions
 from lodestone.sources import files, sinks, tables
 from lodestone.streaming import admission, ingest, turns
 
@@ -204,3 +206,100 @@ def test_a_busy_key_is_cut_and_judged_side_by_side(spark, limit, chunk):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert tasks > 1
+
+
+def accepted_in_order(rows, threshold, store=()):
+    """The plain loop: a row is kept unless a stored vector of its user or an earlier kept one is close to it."""
+    held = [(user, np.asarray(v)) for user, v in store]
+    kept = []
+    for key, user, _, vector in sorted(rows, key=lambda r: r[2]):
+        v = None if vector is None else np.asarray(vector)
+        if v is not None and any(u == user and round(float(v @ h) / float(np.linalg.norm(v) * np.linalg.norm(h)), 9) >= threshold for u, h in held):
+            continue
+        kept.append(key)
+        if v is not None:
+            held.append((user, v))
+    return sorted(kept)
+
+
+VECTORS = "id string, user_id string, ordinal bigint, embedding array<double>"
+
+
+def turned(step):
+    return [math.cos(step), math.sin(step)]
+
+
+def test_semantic_duplicates_in_order(spark):
+    """In a chain each row is close to its neighbours only: every second one stays, not just the first."""
+    rng = random.Random(9)
+    rows = [(f"c{i}", "chain", i, turned(0.05 * i)) for i in range(9)]
+    rows += [(f"r{i}", rng.choice(["hot", "hot", "u"]), 100 + i, turned(rng.uniform(0, 6))) for i in range(60)]
+    rows += [(f"n{i}", "hot", 200 + i, None) for i in range(2)] + [("copy", "u", 300, rows[-1][3])]
+    store = [("s0", "hot", turned(1.0), "active"), ("s1", "u", turned(2.0), "deleted")]
+    held = spark.createDataFrame(store, "id string, user_id string, embedding array<double>, status string")
+    out = memories.drop_semantic_duplicates(spark.createDataFrame(rows, VECTORS).repartition(5), held, 0.998)
+    want = accepted_in_order(rows, 0.998, [("hot", store[0][2])])
+    assert out.columns == ["id", "user_id", "ordinal", "embedding"] and sorted(r.id for r in out.collect()) == want
+    assert {f"c{i}" for i in range(0, 9, 2)} == {k for k in want if k.startswith("c") and k != "copy"}
+    assert memories.drop_semantic_duplicates(spark.createDataFrame([], VECTORS), held).count() == 0
+
+
+def test_memory_stream_by_meaning(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(str(i), f"u{rng.randint(0, 4)}", i, turned(rng.uniform(0, 6)), "s", f"Likes {i}", "task", "0.5") for i in range(45)]
+    rows += [("late", rows[0][1], 99, None, "s", "likes  0", "task", "0.5")]
+    schema = VECTORS + ", session_id string, memory string, memory_type string, confidence string"
+    folder = str(tmp_path / "out")
+    stream = stream_of(spark, rows, schema, str(tmp_path / "in"), 3)
+    ingest.stream_new_memories(stream, folder, str(tmp_path / "state"), threshold=0.99).awaitTermination()
+    stored = spark.read.parquet(folder)
+    want = accepted_in_order([r[:4] for r in rows[:-1]], 0.99)
+    assert sorted(r.id for r in stored.collect()) == want and 5 < len(want) < 45
+    assert stored.select("batch_id").distinct().count() == 3
+
+
+def test_a_batch_of_memories_reads_the_buckets_of_its_users(spark, tmp_path):
+    folder = str(tmp_path / "table")
+    rows = spark.createDataFrame([(str(i), f"u{i}", "h", "active") for i in range(40)], "id string, user_id string, hash string, status string")
+    for batch in (0, 1):
+        rows.withColumn("bucket", ingest.user_bucket()).write.partitionBy("bucket").parquet(f"{folder}/batch_id={batch}")
+    batch = rows.where("user_id in ('u3', 'u8')")
+    read = ingest.memories_of(batch, folder, "id string, user_id string, hash string, status string", 1)
+    touched = sorted({r.bucket for r in batch.select(ingest.user_bucket()).collect()})
+    pushed = read._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: ")[1].split("PushedFilters")[0]
+    assert "NOT (batch_id" in pushed and all(str(b) in pushed for b in touched) and "bucket" in pushed
+    assert {"u3", "u8"} <= {r.user_id for r in read.collect()}
+
+
+def kept_states(frame, folder):
+    """Rows of a finished stream, and the states it holds after each micro-batch."""
+    query = frame.writeStream.format("parquet").option("path", folder + "/out").option("checkpointLocation", folder + "/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return frame.sparkSession.read.schema(frame.schema).parquet(folder + "/out"), [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+
+
+def test_windows_leave_the_state_behind_the_watermark(spark, tmp_path):
+    """Keys come and go: states stay few, the rows are those of the plain loop."""
+    rng = random.Random(6)
+    rows = sorted(((f"k{(s // 300) * 4 + rng.randrange(4)}", i, s) for i, s in enumerate(rng.choices(range(1, 3000), k=400))), key=lambda r: r[2])
+    events = stream_of(spark, rows, "key string, event_id bigint, s int", str(tmp_path / "in"), 8).select("key", "event_id", F.timestamp_seconds("s").alias("ts"))
+    got, states = kept_states(admission.stream_admission_windows(events, 2, 20, late="10 seconds"), str(tmp_path))
+    assert sorted((r.key, r.event_id, r.window_start, r.admitted) for r in got.collect()) == judged(rows, 2, 20)
+    assert max(states) < len({r[0] for r in rows}) / 2 and states[-1] <= 4
+
+
+def test_idle_sessions_leave_the_state(spark, tmp_path):
+    rows = [(f"s{i // 10}", i, i, ("user", "assistant")[i % 2], f"m{i}") for i in range(200)]
+    stream = stream_of(spark, rows, MESSAGES, str(tmp_path / "in"), 5).withColumn("created_at", F.timestamp_seconds(F.lit(1000) + F.col("id")))
+    got, states = kept_states(turns.stream_pair_turns(stream, idle="20 seconds", late="5 seconds"), str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == paired(rows)
+    assert states[-1] <= 4 < len({r[0] for r in rows})
+    # the turns as a stream of their own: what waits for a summary goes with its session
+    made = [(s, n, u, a, 1000 + 10 * int(s[1:]) + n) for s, n, u, a in paired(rows)]
+    made.sort(key=lambda r: r[4])
+    timed = stream_of(spark, made, "session_id string, turn_no bigint, user_text string, assistant_text string, s int", str(tmp_path / "turns"), 5).withColumn("created_at", F.timestamp_seconds("s"))
+    slices, states = kept_states(turns.stream_summary_slices(timed, 1, 2, idle="20 seconds", late="5 seconds"), str(tmp_path / "slices"))
+    assert sorted((r.session_id, r.turn_no) for r in slices.collect()) == sorted((r[0], r[1]) for r in made if r[1] < 4)
+    assert states[-1] <= 4
+    with pytest.raises(TypeError, match="timestamp"):
+        turns.stream_pair_turns(stream.withColumn("created_at", F.col("id")), idle="1 hour")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
-from catalog import query
+from catalog import metrics, query
 from catalog import text as T
 from catalog import views as V
 from lodestone import model
-from lodestone.operators import chunking, sampling
+from lodestone.operators import chunking, sampling, summaries
 from lodestone.plans import grid
 
 
@@ -89,16 +91,33 @@ SELECT id || '::chunk_' || lpad(i::VARCHAR, 4, '0') AS chunk_id, doc_id AS paren
   {heading_sql('t')} AS section_heading, md5(t) AS text, length(t)::INTEGER AS text_chars, is_gold AS is_gold_parent FROM cut JOIN doc_full ON id = doc_id"""
 
 
-def nested_sql() -> str:
-    outer, last = split_ctes("to_split", 3000, model.STRUCTURE_SEPARATORS, "s")
-    inner, last_child = split_ctes("parent_text", 700, model.STRUCTURE_SEPARATORS, "k")
-    return f"""{V.ctes(*FULL)}, {outer}, cut AS ({overlap_sql(last, 300)}),
-parents AS (SELECT id || '::parent_' || lpad(i::VARCHAR, 4, '0') AS parent_chunk_id, doc_id AS parent_doc_id, source_type, doc_semantic_type, title,
-  i::INTEGER AS parent_chunk_index, {heading_sql('t')} AS heading, t, is_gold FROM cut JOIN doc_full ON id = doc_id),
-parent_text AS (SELECT parent_chunk_id AS id, 1 AS ord, t AS c FROM parents), {inner}, kids AS ({overlap_sql(last_child, 100)})
+def parent_ctes(size: int, overlap: int, tag: str = "") -> str:
+    """``parents{tag}``: the parent chunks of all documents."""
+    levels, last = split_ctes("to_split", size, model.STRUCTURE_SEPARATORS, f"s{tag}")
+    return f"""{levels}, cut{tag} AS ({overlap_sql(last, overlap)}),
+parents{tag} AS (SELECT id || '::parent_' || lpad(i::VARCHAR, 4, '0') AS parent_chunk_id, doc_id AS parent_doc_id, source_type, doc_semantic_type, title,
+  i::INTEGER AS parent_chunk_index, {heading_sql('t')} AS heading, t, is_gold FROM cut{tag} JOIN doc_full ON id = doc_id)"""
+
+
+def child_ctes(size: int, overlap: int, mode: str, parents: str = "parents", tag: str = "") -> str:
+    """``kids{tag}``: (id of the parent, i, t), cut by size or by semantic units."""
+    if mode == "recursive":
+        levels, last = split_ctes(f"ptext{tag}", size, model.STRUCTURE_SEPARATORS, f"k{tag}")
+        return f"ptext{tag} AS (SELECT parent_chunk_id AS id, 1 AS ord, t AS c FROM {parents}), {levels}, kids{tag} AS ({overlap_sql(last, overlap)})"
+    own = {name: re.sub(r"\b(notes|units)\b", rf"\1{tag}", V.SQL[name]) for name in ("units", "to_cut")}
+    levels, last = split_ctes(f"to_cut{tag}", size, model.STRUCTURE_SEPARATORS, f"k{tag}")
+    return f"""notes{tag} AS (SELECT parent_chunk_id AS conv_id, doc_semantic_type AS kind, t AS text FROM {parents}),
+units{tag} AS ({own["units"]}), to_cut{tag} AS ({own["to_cut"]}), {levels},
+listed{tag} AS (SELECT id, list(c ORDER BY ord) AS l, id IN (SELECT id FROM to_cut{tag} WHERE found) AS found FROM {last} GROUP BY id),
+pieces{tag} AS (SELECT id, unnest(l) AS c, generate_subscripts(l, 1) AS ord FROM (SELECT id, CASE WHEN found THEN {sql_pack('l', size, 'chr(10)')} ELSE l END AS l FROM listed{tag})),
+kids{tag} AS ({overlap_sql(f"pieces{tag}", overlap)})"""
+
+
+def nested_sql(mode: str = "recursive", docs: str | None = None, sizes: tuple[int, int, int, int] = (3000, 300, 700, 100)) -> str:
+    return f"""{V.ctes(*FULL) if docs is None else docs}, {parent_ctes(*sizes[:2])}, {child_ctes(*sizes[2:], mode, tag='_c')}
 SELECT k.id || '::child_' || lpad(k.i::VARCHAR, 4, '0') AS chunk_id, parent_chunk_id, parent_doc_id, source_type, doc_semantic_type, title, parent_chunk_index,
   k.i::INTEGER AS child_chunk_index, CASE WHEN {heading_sql('k.t')} <> '' THEN {heading_sql('k.t')} ELSE heading END AS section_heading, md5(k.t) AS text,
-  length(k.t)::INTEGER AS text_chars, length(p.t)::INTEGER AS parent_text_chars, is_gold AS is_gold_parent FROM kids k JOIN parents p ON p.parent_chunk_id = k.id"""
+  length(k.t)::INTEGER AS text_chars, length(p.t)::INTEGER AS parent_text_chars, is_gold AS is_gold_parent FROM kids_c k JOIN parents p ON p.parent_chunk_id = k.id"""
 
 
 # all gold documents and a tenth of the corpus
@@ -227,11 +246,22 @@ def c08(spark, sf):
     return digested(chunking.chunk_parent_child(normalized(spark, sf))[1])
 
 
-@query("c08_chunk_parent_child_semantic")
+@query("c08_chunk_parent_child_semantic", nested_sql("semantic"))
 def c08_semantic(spark, sf):
     return digested(chunking.chunk_parent_child(normalized(spark, sf), mode="semantic")[1])
 
 
+NOTE_DOCS = f"""{V.ctes("notes")}, doc_full AS (SELECT conv_id::VARCHAR AS doc_id, kind AS source_type, 'note' AS title, text, kind AS doc_semantic_type, false AS is_gold FROM notes),
+to_split AS ({V.SQL["to_split"]})"""
+
+
+@query("c08_chunk_parent_child_semantic_notes", nested_sql("semantic", NOTE_DOCS, (900, 90, 300, 40)))
+def c08_notes(spark, sf):
+    docs = notes(spark, sf).select(
+        F.col("conv_id").cast("string").alias("doc_id"), F.col("kind").alias("source_type"), F.lit("note").alias("title"), "text", F.col("kind").alias("doc_semantic_type"), F.lit(False).alias("is_gold"))
+    return digested(chunking.chunk_parent_child(docs, 900, 90, 300, 40, "semantic")[1])
+
+
 @query("c10_chunk_uploads", flat_sql(200, 20, model.UPLOAD_SEPARATORS))
 def c10(spark, sf):
     return digested(chunking.chunk_uploads(normalized(spark, sf)))
@@ -292,20 +322,99 @@ def c13(spark, sf):
     return sampling.assert_same_sample(first.unionByName(second), ["n_ids", "hash_sum", "hash_xor"])
 
 
+PROFILES = model.FIXED_PROFILES + model.SEMANTIC_PROFILES
+GRID_KS = [1, 5, 10, 20]
+
+
+def grid_sql() -> str:
+    """Chunks of every profile, a search over each, and its ranking, under the names that the metric views read."""
+    sizes = sorted({(p[1], p[2]) for p in PROFILES})
+    tag = {size: f"_{n}" for n, size in enumerate(sizes)}
+    parts = [parent_ctes(*size, tag[size]) for size in sizes]
+    parts += [child_ctes(p[3], p[4], p[5], "parents" + tag[p[1], p[2]], f"_p{n}") for n, p in enumerate(PROFILES)]
+    kids = " UNION ALL ".join(f"SELECT '{p[0]}' AS profile, id || '::child_' || lpad(i::VARCHAR, 4, '0') AS item_id, t AS text FROM kids_p{n}" for n, p in enumerate(PROFILES))
+    names = ", ".join(f"'{p[0]}'" for p in PROFILES)
+    bm25 = V.bm25_sql("gitems", "questions", V.CHILD_SQL, 50)
+    bm25["toks"] = bm25["toks"].replace("SELECT item_id", "SELECT profile, item_id")
+    bm25["corpus"] = bm25["corpus"].replace("SELECT ", "SELECT profile, ") + " GROUP BY profile"
+    bm25["posts"] = bm25["posts"].replace("SELECT item_id", "SELECT profile, item_id")
+    bm25["dfs"] = "SELECT profile, term, count(*) AS df FROM posts GROUP BY ALL"
+    bm25["scored"] = bm25["scored"].replace("SELECT query_id", "SELECT profile, query_id").replace("JOIN dfs USING (term), corpus", "JOIN dfs USING (profile, term) JOIN corpus USING (profile)")
+    bm25["bm25"] = bm25["bm25"].replace("PARTITION BY query_id", "PARTITION BY profile, query_id")
+    parts += [f"gitems AS ({kids})", f"profiles AS (SELECT unnest([{names}]) AS profile)", *(f"{name} AS ({body})" for name, body in bm25.items())]
+    covered = metrics.V.SQL["coverage"].replace("ranking", "evidence")
+    parts += [f"""asked AS (SELECT profile, profile || '|' || item_id AS question_id, CASE item_id % 3 WHEN 0 THEN 'fact' WHEN 1 THEN 'unknown' ELSE 'list' END AS question_type, 0.0::DOUBLE AS latency_ms
+  FROM benchmark, profiles)""", """ranking AS (SELECT profile || '|' || query_id AS question_id, doc AS item_id, row_number() OVER (PARTITION BY profile, query_id ORDER BY rank) AS rank
+  FROM (SELECT profile, query_id, split_part(item_id, '::', 1) AS doc, min(rank) AS rank FROM bm25 GROUP BY ALL))""",
+              "returned AS (SELECT profile || '|' || question_id AS question_id, item_id FROM passage_gold, profiles)",
+              """evidence AS (SELECT profile || '|' || query_id AS question_id, rank, unnest([item_id, split_part(item_id, '::', 1), split_part(item_id, '::', 1) || '::' || split_part(item_id, '::', 2)]) AS item_id FROM bm25)""",
+              """evidence_groups AS (SELECT question_id, 'document' AS group_id, item_id AS evidence_id FROM returned UNION ALL SELECT question_id, 'second', item_id || '::parent_0001' FROM returned)"""]
+    parts += [f"{name} AS ({V.SQL[name]})" for name in ("hits", "numbered", "expected", "counted", "metrics", "tall", "kept")] + [f"coverage AS ({covered})"]
+    return V.ctes(*FULL, "questions") + ", " + ", ".join(parts)
+
+
+def grouped_sql(groups: str, tall: str, coverage: str) -> str:
+    """(keys, metric, k, value) of relations with the key columns ``groups``."""
+    return f"""SELECT {groups}, metric, k, avg(value) AS value FROM {tall} WHERE metric <> 'ap' GROUP BY ALL
+UNION ALL SELECT {groups}, 'questions', 0, count(DISTINCT question_id)::DOUBLE FROM {tall} GROUP BY ALL
+UNION ALL SELECT {groups}, 'average_latency_ms', 0, 0.0 FROM {tall} GROUP BY ALL{coverage}"""
+
+
+COVERED_BY = """
+UNION ALL SELECT {groups}, 'evidence_coverage', k, avg(evidence_coverage) FROM coverage JOIN asked USING (question_id) WHERE n_groups > 0 GROUP BY ALL"""
+
+
+def headline_sql(keys: str, rows: str, digits: int) -> str:
+    picks = [("questions", 0, "questions"), ("recall", 10, "recall_10"), ("evidence_coverage", 10, "coverage_10"), ("hit", 5, "hit_5"), ("mrr", 20, "mrr"), ("ndcg", 10, "ndcg_10"), ("average_latency_ms", 0, "average_latency_ms")]
+    return f"SELECT {keys}, " + ", ".join(f"round(max(value) FILTER (metric = '{m}' AND k = {k}), {digits}) AS {name}" for m, k, name in picks) + f" FROM ({rows}) GROUP BY ALL"
+
+
 def run_grid(spark, sf):
+    """Each gold document is evidence as a whole, and so is its second parent chunk."""
     gold = V.passage_gold(spark, sf).withColumnRenamed("item_id", "doc_id")
-    questions = V.questions(spark, sf).withColumn("question_type", F.lit("semantic"))
-    return grid.run_profile_grid(normalized(spark, sf), questions, gold, model.FIXED_PROFILES + model.SEMANTIC_PROFILES, [1, 5, 10, 20])
+    n = F.pmod(F.col("query_id").cast("long"), F.lit(3))
+    questions = V.questions(spark, sf).withColumn("question_type", F.when(n == 0, "fact").when(n == 1, "").otherwise("list"))
+    whole = gold.select("question_id", F.lit("document").alias("group_id"), F.col("doc_id").alias("evidence_id"))
+    second = gold.select("question_id", F.lit("second").alias("group_id"), F.concat("doc_id", F.lit("::parent_0001")).alias("evidence_id"))
+    return grid.run_profile_grid(normalized(spark, sf), questions, gold, PROFILES, GRID_KS, evidence=whole.unionByName(second))
+
+
+BY_PROFILE = grouped_sql("profile", "(SELECT * FROM kept JOIN asked USING (question_id))", COVERED_BY.format(groups="profile"))
 
 
-@query("c14_run_profile_grid")
+@query("c14_run_profile_grid", grid_sql() + f"""
+SELECT profile, metric, k, round(value, 4) AS value FROM ({BY_PROFILE}) UNION ALL
+SELECT profile, 'evidence_coverage_questions', 0, count(*)::DOUBLE FROM coverage JOIN asked USING (question_id) WHERE n_groups > 0 AND k = 20 GROUP BY ALL""")
 def c14(spark, sf):
-    return run_grid(spark, sf)[0]
+    return run_grid(spark, sf).summary
 
 
-@query("g17_compare_profiles")
-def g17(spark, sf):
-    from lodestone.operators import summaries
+SIZES = {size: n for n, size in enumerate(sorted({(p[1], p[2]) for p in PROFILES}))}
+STATS = " UNION ALL ".join(f"""SELECT '{p[0]}' AS profile, (SELECT count(*) FROM kids_p{n}) AS total_child_chunks, (SELECT round(avg(length(t)), 2) FROM kids_p{n}) AS average_child_chunk_chars,
+  (SELECT max(length(t))::INTEGER FROM kids_p{n}) AS max_child_chunk_chars, count(*) AS total_parent_chunks, round(avg(length(t)), 2) AS average_parent_chunk_chars,
+  max(length(t))::INTEGER AS max_parent_chunk_chars FROM parents_{SIZES[p[1], p[2]]}""" for n, p in enumerate(PROFILES))
+
 
-    metrics, stats = run_grid(spark, sf)
-    return summaries.compare_profiles(metrics, stats, [1, 5, 10, 20])
+@query("g17_compare_profiles", grid_sql() + f", head AS ({headline_sql('profile', BY_PROFILE, 4)}), stats AS ({STATS}) SELECT * FROM head JOIN stats USING (profile)")
+def g17(spark, sf):
+    run = run_grid(spark, sf)
+    return summaries.compare_profiles(run.summary, run.stats, GRID_KS)
+
+
+# gold by type: the metric views once more, with the type as part of the question
+BY_TYPE = """, typed AS (SELECT r.question_id, item_id, coalesce(nullif(doc_semantic_type, ''), 'generic_doc') AS grp FROM returned r JOIN doc_full ON doc_id = item_id),
+asked_t AS (SELECT DISTINCT split_part(question_id, '|', 1) AS profile, question_id || '|' || grp AS question_id, grp FROM typed),
+returned_t AS (SELECT question_id || '|' || grp AS question_id, item_id FROM typed),
+ranking_t AS (SELECT p.question_id || '|' || grp AS question_id, item_id, rank FROM (SELECT DISTINCT question_id, grp FROM typed) p JOIN ranking r ON r.question_id = p.question_id), """ + ", ".join(
+    f"{name}_t AS (" + re.sub(r"\b(asked|returned|ranking|hits|numbered|expected|counted|metrics|tall)\b(?!\()", r"\1_t", V.SQL[name]) + ")" for name in ("hits", "numbered", "expected", "counted", "metrics", "tall", "kept"))
+
+
+@query("g17_compare_profile_types", grid_sql() + BY_TYPE + ", q AS (" + headline_sql("profile, question_type AS grp", grouped_sql(
+    "profile, question_type", "(SELECT * FROM kept JOIN asked USING (question_id))", COVERED_BY.format(groups="profile, question_type")), 6)
+    + "), d AS (" + headline_sql("profile, grp", grouped_sql("profile, grp", "(SELECT * FROM kept_t JOIN asked_t USING (question_id))", ""), 6)
+    + """) SELECT 'question_type' AS kind, * RENAME (grp AS "group") FROM q UNION ALL SELECT 'doc_semantic_type', * FROM d""")
+def g17_types(spark, sf):
+    run = run_grid(spark, sf)
+    both = [summaries.compare_profile_types(rows, GRID_KS).withColumn("kind", F.lit(kind)) for kind, rows in (("question_type", run.question_types), ("doc_semantic_type", run.doc_types))]
+    shown = both[0].unionByName(both[1])
+    return shown.select("kind", "profile", "group", *[F.round(c, 6).alias(c) for c in shown.columns if c not in ("kind", "profile", "group")])

@@ -7,8 +7,8 @@ import __spark_entry__ as entry
 from tools.check import TABLES, canonical
 
 SF = "/root/testdata/sf0.001"
-# plans of seven profiles each; their parts have tests of their own
-SLOW = {"c14_run_profile_grid", "g17_compare_profiles"}
+# seven profiles in one plan; g17's two entries are made of the same rows
+SLOW = {"c14_run_profile_grid"}
 
 
 @pytest.fixture(scope="module")

@@ -3,7 +3,7 @@
 Over all vectors these stay where they are: a block of queries of bounded bytes goes to every task, which keeps the best k
 per query while it reads its vectors; more queries than fit one block are answered in rounds.  Within a key, queries and
 vectors meet as matrices: the vectors of a batch become one row per cell, the queries of a cell are packed in small
-blocks, and an equi-join on (cell, block, salt) brings them together.  No task emits a pair per row.
+blocks, and an equi-join on (cell, block, salt) brings them together; a cell has as many salts as its vectors fill tasks.  No task emits a pair per row.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from lodestone.session import cut_lineage
 QUERIES_PER_BLOCK = 256
 BYTES_PER_PACK = 8 << 20
 SALTS = 32
+#: Vectors of a key that meet copies of its queries in one task, about.
+VECTORS_PER_SALT = 1 << 15
 #: Bytes of query vectors that are sent to every task at once.
 BYTES_PER_ROUND = 32 << 20
 FILTER_COLUMNS = ("category", "source_type", "doc_semantic_type", "title", "section")
@@ -208,9 +210,15 @@ def _search(queries: DataFrame, vectors: DataFrame, k: int, bits: int, flips: in
     # a block holds about QUERIES_PER_BLOCK queries of its cell: its number is a hash of a unique id
     sizes = wide.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES_PER_BLOCK).alias("n_blocks"))
     blocks = (wide.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("n_blocks")))
-              .groupBy("cell", "block").agg(F.collect_list(F.struct("query_id", "embedding", *QUERY_FILTERS)).alias("queries"))
-              .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
-    placed = (packs.withColumn("salt", F.pmod(F.xxhash64("matrix"), F.lit(SALTS)).cast("int")).join(sizes, "cell")
+              .groupBy("cell", "block").agg(F.collect_list(F.struct("query_id", "embedding", *QUERY_FILTERS)).alias("queries")))
+    if bits:
+        salted, blocks = packs.withColumn("salts", F.lit(SALTS)), blocks.withColumn("salts", F.lit(SALTS))
+    else:
+        # queries of a key are copied as often as its vectors need tasks: mostly once
+        spread = rows.groupBy("cell").agg(F.ceil(F.count("embedding") / VECTORS_PER_SALT).cast("int").alias("salts")).where("salts > 0")
+        salted, blocks = packs.join(spread, "cell"), blocks.join(spread, "cell")
+    blocks = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    placed = (salted.withColumn("salt", F.pmod(F.xxhash64("matrix"), F.col("salts")).cast("int")).join(sizes, "cell")
               .withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_blocks") - 1))))
     met = placed.join(blocks, ["cell", "block", "salt"]).select(
         "ids", "width", "matrix", "ordinal", *FILTER_COLUMNS, "queries")

@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import memories, sessions
 from lodestone.sources import files, sinks, tables
-from lodestone.streaming import admission, ingest, turns
+from lodestone.streaming import admission, ingest, latency, turns
 
 
 def test_text_files(spark, tmp_path):
@@ -303,3 +304,39 @@ def test_idle_sessions_leave_the_state(spark, tmp_path):
     assert states[-1] <= 4
     with pytest.raises(TypeError, match="timestamp"):
         turns.stream_pair_turns(stream.withColumn("created_at", F.col("id")), idle="1 hour")
+
+
+def test_keyword_search_equals_the_plain_match(spark):
+    rng = random.Random(8)
+    words = ["Alpha", "beta", "gam_ma", "GAMXMA", "50%", "x1", "日本語", "zz", "alphabet"]
+    store = [(f"m{i:03d}", "hot" if i % 3 else "u", " ".join(rng.sample(words, 4)), "active" if i % 10 else "deleted", i % 7) for i in range(120)]
+    queries = [("q1", "hot", "alpha, BETA"), ("q2", "hot", "gam_ma"), ("q3", "u", "50%"), ("q4", "u", "zz x1"), ("q5", "hot", "日本語 alphabet"),
+               ("q6", "u", "missing"), ("q7", "nobody", "alpha"), ("q8", "hot", "alpha"), ("q9", "u", "a")]
+    held = spark.createDataFrame(store, "id string, user_id string, memory string, status string, s int").withColumn("created_at", F.timestamp_seconds("s"))
+    asked = spark.createDataFrame(queries, "query_id string, user_id string, query string").repartition(3)
+    got = memories.keyword_search_memories(asked, held, asked.where("query_id = 'q8'"), k=5)
+    want = []
+    for query, user, text in queries:
+        needles = [re.escape(w.lower()).replace("%", ".*").replace("_", ".") for w in re.split("[, ]+", text) if len(w) >= 2]
+        hits = [r for r in store if r[1] == user and r[3] == "active" and needles and all(re.search(n, r[2].lower()) for n in needles)] if query != "q8" else []
+        want += [(query, r[0], i) for i, r in enumerate(sorted(hits, key=lambda r: (-r[4], [-ord(c) for c in r[0]]))[:5], 1)]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and {w[0] for w in want} == {"q1", "q2", "q3", "q4", "q5"}
+
+
+def test_merged_sketches(spark):
+    """A hot stage over many days; a range of days is answered from its own sketches."""
+    rows = spark.range(200_000).select(F.when(F.col("id") % 50 == 0, "rare").otherwise("hot").alias("stage"), F.timestamp_seconds(F.col("id") * 10).alias("ts"),
+                                       F.when(F.col("id") % 1000 == 1, None).otherwise(F.pmod(F.col("id") * 7919, F.lit(10_007)).cast("double")).alias("ms"))
+    sketches = latency.stage_sketches(rows).cache()
+    days = sketches.select("window_start").distinct().count()
+    assert days == 24 and sketches.agg(F.max(F.octet_length("sketch"))).first()[0] < 50_000
+    for since, until in ((None, None), ("1970-01-05", "1970-01-09")):
+        found = {r.stage: r for r in latency.merged_latency(sketches, since, until).collect()}
+        part = rows.where("ms is not null") if since is None else rows.where("ms is not null and ts >= '1970-01-05' and ts < '1970-01-09'")
+        for stage, mine in found.items():
+            exact = sorted(r.ms for r in part.where(F.col("stage") == stage).collect())
+            assert mine.n == len(exact) and abs(mine.avg_ms - sum(exact) / len(exact)) < 1e-6
+            for q, value in ((0.5, mine.p50_ms), (0.95, mine.p95_ms)):
+                assert abs(np.searchsorted(exact, value, "right") / len(exact) - q) <= 0.015
+    sketches.unpersist()
+    assert latency.merged_latency(latency.stage_sketches(rows.limit(0))).count() == 0

@@ -31,5 +31,13 @@ def test_query(spark, db, name):
     assert left.equals(right)
 
 
+@pytest.mark.parametrize("name", ["s01_stream_ingest", "s02_stream_pair_turns", "s05_stream_stage_latency", "s06_stream_new_memories", "s06_stream_new_memories_by_meaning"])
+def test_streams_read_tables_that_are_folders(spark, db, tmp_path, name):
+    for table in ("documents", "conversations", "embeddings", "events"):
+        spark.read.parquet(f"{SF}/{table}.parquet").repartition(3).write.parquet(f"{tmp_path}/{table}.parquet")
+    left, right = canonical(entry.queries()[name](spark, str(tmp_path)).toPandas()), canonical(db.execute(entry.oracle_sql()[name]).df())
+    assert len(left) > 0 and left.equals(right)
+
+
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())

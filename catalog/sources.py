@@ -161,6 +161,10 @@ def a15_texts(spark, sf):
 
 # ---------------------------------------------------------------- written and read again
 
+#: Lines in a text file that is written to be read back whole.
+FILE_LINES = 500
+
+
 def folder(spark):
     return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
 
@@ -188,9 +192,13 @@ def a04(spark, sf):
 
 @query("a05_scan_text_files", "SELECT count(*) AS n, sum(length(text)) ::BIGINT AS chars FROM (SELECT replace(text, chr(10), ' ') AS text FROM documents)")
 def a05(spark, sf):
-    """documents as text files of one line each per row, read back as whole files."""
+    """documents as text files of one line each per row, read back as whole files.
+
+    A file is a row of the scan, so it has a bounded number of lines however large the table's own files are.
+    """
     path = folder(spark)
-    V.table(spark, sf, "documents").select(F.replace("text", F.lit("\n"), F.lit(" ")).alias("value")).write.text(path)
+    lines = V.table(spark, sf, "documents").select(F.replace("text", F.lit("\n"), F.lit(" ")).alias("value"))
+    lines.write.option("maxRecordsPerFile", FILE_LINES).text(path)
     texts = files.scan_text_files(spark, path).select(F.explode(F.split(F.trim("text", F.lit("\n")), "\n")).alias("line"))
     return texts.agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("chars"))
 

@@ -36,6 +36,18 @@ def test_text_files(spark, tmp_path):
     assert files.ingest_new_files(rows, files.to_register(new)).select("status").collect()[0].status == "empty"
 
 
+def test_text_files_of_a_table_are_small(spark, tmp_path, monkeypatch):
+    from catalog import sources
+
+    rows = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a\nb "), "id").alias("text"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in/documents.parquet")
+    monkeypatch.setattr(sources, "folder", lambda spark: f"{tmp_path}/out")
+    monkeypatch.setattr(sources.V, "table", lambda spark, sf, name: spark.read.parquet(f"{sf}/{name}.parquet"))
+    found = sources.a05(spark, f"{tmp_path}/in").first()
+    assert (found.n, found.chars) == (2000, sum(len(f"a b {i}") for i in range(2000)))
+    assert max(len(p.read_text().splitlines()) for p in (tmp_path / "out").glob("*.txt")) <= sources.FILE_LINES
+
+
 def test_questions_jsonl(spark, tmp_path):
     path = tmp_path / "q.jsonl"
     rows = [{"question_id": "1", "question": "q", "required_evidence_groups": [[" a ", None, ""], "x", [], None, ["b"]]}, {"question_id": "2", "question": "r"}]

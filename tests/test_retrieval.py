@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,3 +255,41 @@ def test_unknown_method():
     assert plan.method_row("hybrid_bm25_rrf")[0] == "chroma_bm25_rrf"
     with pytest.raises(ValueError):
         plan.method_row("nope")
+
+def test_corpora_searched_one_by_one_give_the_rows_of_joined_postings(spark, monkeypatch):
+    items = spark.createDataFrame([(f"i{n:02d}", f"a{n % 3} b{n % 5} word word{n % 2}", "xy"[n % 2]) for n in range(40)], "item_id string, text string, part string")
+    asked = spark.createDataFrame([("q1", "word a1 b2"), ("q2", "word0 b4"), ("q3", "none")], "query_id string, query string")
+
+    def rows():
+        return sorted(map(str, lexical.bm25_search(asked, items, 7, by=("part",)).select("part", "query_id", "item_id", "score", "rank").collect()))
+
+    one_by_one = rows()
+    with monkeypatch.context() as patched:
+        # no scored pair of an item and a question is shuffled
+        patched.setattr(lexical, "bm25_scores", None)
+        assert one_by_one == rows()
+    monkeypatch.setattr(lexical, "MAX_CORPORA", 0)
+    assert one_by_one == rows() and len(one_by_one) == 25
+
+
+def test_multifield_keeps_the_best_of_each_field(spark, monkeypatch):
+    rows = spark.createDataFrame([(f"i{n:02d}", f"a{n % 3} word b{n % 7}", f"t{n % 4} word", "fr" if n % 2 else "") for n in range(40)],
+                                 "item_id string, child_text string, title string, lang string")
+    asked = spark.createDataFrame([("q1", "word a1 t2"), ("q2", "fr"), ("q3", "b3 t1")], "query_id string, query string")
+
+    def found():
+        return sorted(map(str, lexical.bm25_multifield(asked, rows, 9, {"child_text": 0.3, "title": 2.0}, ["lang"]).collect()))
+
+    best = found()
+    with monkeypatch.context() as patched:
+        patched.setattr(lexical, "bm25_scores", None)
+        assert best == found()
+    monkeypatch.setattr(lexical, "BROADCAST_TERMS", 0)
+    assert best == found() and len(best) == 27
+
+
+def test_batches_of_long_texts_are_bounded(spark):
+    lexical.bm25_index(spark.createDataFrame([("a", "b")], "item_id string, text string"))
+    sizes = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("text")).mapInArrow(
+        lambda batches: (pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"]) for batch in batches), "n long").collect()
+    assert max(r.n for r in sizes) < 6 << 20

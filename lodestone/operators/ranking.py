@@ -37,20 +37,34 @@ class BestOfTask:
         """``scores[name, item]`` where ``seen``, for the items ``ids``."""
         import numpy as np
 
-        k = self.k
+        k, place = self.k, None
         for q in np.flatnonzero(seen.any(axis=1)):
             mine = np.flatnonzero(seen[q])
-            line, found = scores[q, mine], ids[mine]
+            line = scores[q, mine]
             held, held_ids = self.held[q]
             least = held[-1] if len(held) >= k else np.partition(line, len(line) - k)[len(line) - k] if len(line) > k else None
             if least is not None:
                 near = line >= least
-                line, found = line[near], found[near]
+                line, mine = line[near], mine[near]
+            if len(line) > k:
+                # very many items may tie: their ids are put in order once, for all names
+                place = self._places(ids) if place is None else place
+                first = np.lexsort((place[mine], -line))[:k]
+                line, mine = line[first], mine[first]
+            found = ids[mine]
             if len(line):
                 line, found = np.concatenate((held, line)), np.concatenate((held_ids, found))
                 order = sorted(range(len(line)), key=lambda j: (-line[j], found[j] is not None, found[j]))[:k]
                 self.held[q] = (line[order], found[order])
 
+    @staticmethod
+    def _places(ids):
+        import numpy as np
+
+        place = np.empty(len(ids), np.int64)
+        place[sorted(range(len(ids)), key=lambda j: (ids[j] is not None, ids[j]))] = np.arange(len(ids))
+        return place
+
     def batch(self, query_type, item_type):
         """``(query_id, item_id, score)``."""
         import pyarrow as pa

@@ -129,8 +129,12 @@ def dense_channel(probes: DataFrame, corpus: Corpus, models: Models, k: int, dec
 def lexical_channel(probes: DataFrame, corpus: Corpus, k: int, decisions: DataFrame | None) -> DataFrame:
     if decisions is None:
         return lexical.bm25_search_children(probes, corpus.children, k)
-    terms = lexical.query_terms(probes)
-    scored = lexical.bm25_scores(terms, lexical.bm25_index(corpus.children.select("item_id", "text"), "child"))
+    rows = filters.dense_attributes(corpus.children.select("item_id", "text", *ATTRIBUTES))
+    index = lexical.bm25_index(rows, "child", carry=lexical.RULE_COLUMNS)
+    found = lexical.bm25_search_admitted(probes, index, k, filters.dense_filters(probes.select("query_id"), decisions))
+    if found is not None:
+        return found
+    scored = lexical.bm25_scores(lexical.query_terms(probes), index)
     attributed = scored.join(corpus.children.select("item_id", *ATTRIBUTES), "item_id")
     return keep_top(filters.hard_filter(attributed, decisions).select("query_id", "item_id", "score"), k)
 

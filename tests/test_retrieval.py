@@ -293,3 +293,25 @@ def test_batches_of_long_texts_are_bounded(spark):
     sizes = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("text")).mapInArrow(
         lambda batches: (pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"]) for batch in batches), "n long").collect()
     assert max(r.n for r in sizes) < 6 << 20
+
+
+def test_hard_rules_are_applied_while_items_are_scored(spark, monkeypatch):
+    rows = [(f"i{n:02d}" if n else None, f"word a{n % 3} b{n % 5}", f"c{n}", f"d{n}", ["slack", "jira", None][n % 3], ["faq", "None"][n % 2], ["Big Plan", "big-plan two", None][n % 4 % 3],
+             ["Intro", ""][n % 2]) for n in range(40)]
+    children = spark.createDataFrame(rows, "item_id string, text string, parent_chunk_id string, parent_doc_id string, source_type string, doc_semantic_type string, title string, section_heading string")
+    asked = spark.createDataFrame([(f"q{n}", "word a1 b2") for n in range(8)], "query_id string, query string")
+    lists = "query_id string, mode string, source_types array<string>, doc_semantic_types array<string>, title_keywords array<string>, section_keywords array<string>"
+    rules = spark.createDataFrame([
+        ("q0", "hard", ["slack", None, ""], [], None, []), ("q1", "hard", ["None"], [], [], []), ("q2", "soft", ["slack"], [], [], []), ("q3", "hard", [], ["None"], ["Big, plan"], []),
+        ("q4", "hard", [], [], [], ["intro"]), ("q5", "hard", None, None, None, None), ("q6", None, ["slack"], [], [], [])], lists)
+
+    def found():
+        ranked = plan.lexical_channel(asked, plan.Corpus(children), 6, rules)
+        return sorted(map(str, ranked.select("query_id", "item_id", "score", "rank").collect()))
+
+    with monkeypatch.context() as patched:
+        # no scored pair of an item and a question is shuffled
+        patched.setattr(lexical, "bm25_scores", None)
+        scanned = found()
+    monkeypatch.setattr(lexical, "BROADCAST_TERMS", 0)
+    assert scanned == found() and len(scanned) == 7 * 6

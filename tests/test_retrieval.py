@@ -77,6 +77,26 @@ def test_only_asked_folders_and_hopeful_blocks_are_read(spark, tmp_path):
     assert max(r.n for r in blocks.blocks.groupBy("term", "segment").agg(F.count("*").alias("n")).collect()) == 1
 
 
+@pytest.mark.parametrize("segment,batch", [(4, 7), (64, 10_000)])
+def test_opened_blocks_are_scored_where_their_segment_lies(spark, tmp_path, monkeypatch, segment, batch):
+    rows, asked = corpus_of_words(spark, 200)
+    blocks = postings.save_blocks(lexical.bm25_index(rows), str(tmp_path), segment, 8)
+    plain = lambda df: sorted((r.query_id, r["rank"], r.item_id, r.score) for r in df.collect())
+    monkeypatch.setattr(postings, "SCORE_CELLS", 30)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, batch)
+    try:
+        found = postings.search_blocks(asked, blocks, 5)
+        # no scored pair of an item and a question is shuffled
+        assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+        scanned = plain(found)
+    finally:
+        spark.conf.set(size, before)
+    monkeypatch.setattr(postings, "BROADCAST_TERMS", 0)
+    assert scanned == plain(postings.search_blocks(asked, blocks, 5)) and len(scanned) == 20
+
+
 def test_index_round_trip(spark, tmp_path):
     index = lexical.bm25_index(items(spark), "parent")
     index.save(str(tmp_path))
